@@ -89,8 +89,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
         plans[c] = _order_stat_plan(n, probs)
         for _, _, k0, k1 in plans[c]:
             for k in (k0, k1):
-                # state: [lo, hi, below, resolved]
-                need[(c, k)] = [lo, hi, 0, None]
+                # state: [lo, hi, below, resolved, rows in interval]
+                need[(c, k)] = [lo, hi, 0, None, n]
     pending = {key: st for key, st in need.items() if st[3] is None}
     while pending:
         for key, st in pending.items():
@@ -101,6 +101,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
             break
         # distinct intervals per column (disjoint or equal by construction)
         intervals: dict[str, list] = {}
+        all_small = all(st[4] <= final_rows for st in pending.values())
         for (c, _), st in pending.items():
             iv = (st[0], st[1])
             lst = intervals.setdefault(c, [])
@@ -120,9 +121,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
                   .where(F.col("iid").isNotNull()))
         bin_e = F.least(F.floor((F.col("x") - F.col("ilo")) / (F.col("ihi") - F.col("ilo")) * bins),
                         F.lit(bins - 1)).cast("int")
-        counts = (tagged.groupBy("column_name", "iid", bin_e.alias("bin"))
-                  .agg(F.count("*").alias("cnt"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
-                  .collect())
+        counts = [] if all_small else (
+            tagged.groupBy("column_name", "iid", bin_e.alias("bin"))
+            .agg(F.count("*").alias("cnt"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
+            .collect())
         per_iv: dict[tuple, list] = {}
         for r in counts:
             per_iv.setdefault((r["column_name"], r["iid"]), []).append((r["bin"], r["cnt"], r["bmin"], r["bmax"]))
@@ -130,7 +132,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
         for (c, k), st in pending.items():
             i = intervals[c].index((st[0], st[1]))
             blist = sorted(per_iv.get((c, i), []))
-            total = sum(b[1] for b in blist)
+            total = st[4] if all_small else sum(b[1] for b in blist)
             if total <= final_rows:
                 small.append(((c, k), i))
                 continue
@@ -138,7 +140,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
             acc = 0
             for _, cnt, bmin, bmax in blist:
                 if acc + cnt > want:
-                    st[0], st[1], st[2] = bmin, bmax, st[2] + acc
+                    st[0], st[1], st[2], st[4] = bmin, bmax, st[2] + acc, cnt
                     break
                 acc += cnt
         if small:
