@@ -1 +1,79 @@
-"""Registered queries (filled in below)."""
+"""Registered nested-data queries (J1-J5, S11) over payloads derived from ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkeda.operators import nested as N
+from sparkeda.plans.catalog import register, tbl
+from sparkeda.sources.api import read_api_payloads
+
+
+def event_payloads(spark, sf_dir):
+    """One API-style payload per event: ``{"data": {"items": [ {...} ]}}``."""
+    e = tbl(spark, sf_dir, "events")
+    item = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"),
+                    F.get_json_object("props", "$.k").cast("long").alias("k"),
+                    F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("tags"),
+                    F.struct(F.col("user_id").alias("user"), F.col("value").alias("value")).alias("meta"))
+    body = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("data")))
+    return e.select(F.concat(F.lit("/events/"), F.col("event_type")).alias("endpoint"), body.alias("body"))
+
+
+J1_SQL = """SELECT '/events/' || event_type AS endpoint, event_id AS id, event_type AS type,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type || ', ' || CAST(user_id AS VARCHAR) AS tags,
+  user_id AS "meta.user", value AS "meta.value" FROM events"""
+
+
+@register("j1_records_at_path", J1_SQL)
+def j1_records_at_path(spark, sf_dir):
+    p = event_payloads(spark, sf_dir)
+    return N.payloads_to_table(p, path="data.items", keep=["endpoint"])
+
+
+J2_SQL = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+
+
+@register("j2_detect_records", J2_SQL)
+def j2_detect_records(spark, sf_dir):
+    e = tbl(spark, sf_dir, "events").select("event_id", F.col("props").alias("body"))
+    return N.flatten(N.records_to_struct(N.detect_records(e, keep=["event_id"]), keep=["event_id"]))
+
+
+J3_SQL = """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS "props.k",
+  user_id AS "who.user", event_type AS "who.kind" FROM events"""
+
+
+@register("j3_flatten", J3_SQL)
+def j3_flatten(spark, sf_dir):
+    e = tbl(spark, sf_dir, "events")
+    nested = e.select("event_id", F.from_json("props", "k long").alias("props"),
+                      F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("who"))
+    return N.flatten(nested)
+
+
+J4_SQL = """SELECT user_id, CASE WHEN event_type = 'click' THEN NULL
+  ELSE event_type || ', ' || CAST(user_id AS VARCHAR) END AS tags FROM events"""
+
+
+@register("j4_join_arrays", J4_SQL)
+def j4_join_arrays(spark, sf_dir):
+    e = tbl(spark, sf_dir, "events")
+    arr = F.when(F.col("event_type") == "click", F.array().cast("array<string>")) \
+        .otherwise(F.array("event_type", F.col("user_id").cast("string")))
+    return N.join_arrays(e.select("user_id", arr.alias("tags")))
+
+
+J5_SQL = """SELECT event_id, 'type=' || event_type || ', k=' || json_extract_string(props, '$.k') AS attrs FROM events"""
+
+
+@register("j5_join_maps", J5_SQL)
+def j5_join_maps(spark, sf_dir):
+    e = tbl(spark, sf_dir, "events")
+    m = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    return N.join_maps(e.select("event_id", m.alias("attrs")))
+
+
+@register("s11_read_api_payloads", J1_SQL)
+def s11_read_api_payloads(spark, sf_dir):
+    return read_api_payloads(spark, event_payloads(spark, sf_dir), path="data.items").df
