@@ -1 +1,269 @@
-"""Registered queries (filled in below)."""
+"""Registered learning queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkeda.operators import learn as L
+from sparkeda.plans.catalog import register, round_doubles, tbl
+
+CUST = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+M1_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS \"distinct\", "
+    f"count(DISTINCT {c}) <= greatest(20, count(*) * 0.1) AS candidate FROM customer" for c in CUST)
+
+
+@register("m1_candidate_targets", M1_SQL)
+def m1_candidate_targets(spark, sf_dir):
+    return L.candidate_targets(tbl(spark, sf_dir, "customer"))
+
+
+M2_SQL = ("SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS label "
+          "FROM customer")
+
+
+@register("m2_encode_label", M2_SQL)
+def m2_encode_label(spark, sf_dir):
+    d, _ = L.encode_label(tbl(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+    return d
+
+
+M3_SQL = """
+SELECT 'c_custkey' AS column_name, CASE WHEN count(*) FILTER (WHERE c_custkey IS NULL) > 0 THEN 'excluded' ELSE 'numeric' END AS role,
+       CASE WHEN count(*) FILTER (WHERE c_custkey IS NULL) > 0 THEN 'has nulls' ELSE '' END AS reason FROM customer
+UNION ALL
+SELECT 'c_name', CASE WHEN count(DISTINCT c_name) > greatest(20, count(*) * 0.1) THEN 'excluded' ELSE 'categorical' END,
+       CASE WHEN count(DISTINCT c_name) > greatest(20, count(*) * 0.1) THEN 'too many values' ELSE '' END FROM customer
+UNION ALL
+SELECT 'c_nationkey', CASE WHEN count(*) FILTER (WHERE c_nationkey IS NULL) > 0 THEN 'excluded' ELSE 'numeric' END,
+       CASE WHEN count(*) FILTER (WHERE c_nationkey IS NULL) > 0 THEN 'has nulls' ELSE '' END FROM customer
+UNION ALL
+SELECT 'c_acctbal', 'excluded', 'user'
+"""
+
+
+@register("m3_usable_features", M3_SQL)
+def m3_usable_features(spark, sf_dir):
+    return L.usable_features(tbl(spark, sf_dir, "customer"), "c_mktsegment", exclude=("c_acctbal",))
+
+
+# The market segments of the driver tables (oracle side only).
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+M4_SQL = ("SELECT c_custkey, c_mktsegment, " + ", ".join(
+    f"coalesce(CAST(c_mktsegment = '{s}' AS INTEGER), 0) AS \"c_mktsegment_{s}\"" for s in SEGMENTS[1:])
+    + " FROM customer")
+
+
+@register("m4_one_hot", M4_SQL)
+def m4_one_hot(spark, sf_dir):
+    d, _ = L.one_hot(tbl(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+    return d
+
+
+@register("m5_split")
+def m5_split(spark, sf_dir):
+    o = tbl(spark, sf_dir, "orders")
+    train, test = L.split(o, 0.2, 42, key=["o_orderkey"])
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@register("m6_stratified_split")
+def m6_stratified_split(spark, sf_dir):
+    o = tbl(spark, sf_dir, "orders")
+    train, test = L.stratified_split(o, "o_orderpriority", 0.2, 42, key=["o_orderkey"])
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("o_orderpriority", "part").count()
+
+
+def doc_features(spark, sf_dir):
+    """Labelled documents with simple text features (labels joined to documents)."""
+    d = tbl(spark, sf_dir, "documents")
+    lab = tbl(spark, sf_dir, "labels")
+    j = lab.join(d, "doc_id")
+    return j.select("quality", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
+                    F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+                    F.regexp_count("text", F.lit(r"[^\s]+")).cast("double").alias("n_words"),
+                    F.regexp_count("text", F.lit(r"[0-9]")).cast("double").alias("n_digits"))
+
+
+def _prepared(spark, sf_dir):
+    data, feats, classes = L.prepare_classification(doc_features(spark, sf_dir), "quality")
+    return L.split(data, 0.2, 42)
+
+
+def _fit_predict(spark, sf_dir, est_fn):
+    train, test = _prepared(spark, sf_dir)
+    est = est_fn(train)
+    return est.fit(train).transform(test).select("label", "prediction")
+
+
+@register("m7_decision_tree")
+def m7_decision_tree(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, lambda tr: L.decision_tree())
+
+
+@register("m8_logistic_regression")
+def m8_logistic_regression(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, lambda tr: L.logistic_regression(tr.count()))
+
+
+@register("m9_random_forest")
+def m9_random_forest(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, lambda tr: L.random_forest())
+
+
+@register("m12_compare_models")
+def m12_compare_models(spark, sf_dir):
+    train, test = _prepared(spark, sf_dir)
+    table, _, _ = L.compare_models(train, test)
+    return table
+
+
+PRED_SQL = ("SELECT l_returnflag AS label, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS prediction "
+            "FROM lineitem")
+
+
+def line_predictions(spark, sf_dir):
+    li = tbl(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("label"),
+                     F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("prediction"))
+
+
+_PC = f"""pc AS (
+  SELECT cls, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted,
+         coalesce(tp * 1.0 / nullif(predicted, 0), 0) AS precision, coalesce(tp * 1.0 / nullif(support, 0), 0) AS recall
+  FROM (SELECT label AS cls, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS tp FROM p GROUP BY 1) a
+  FULL JOIN (SELECT prediction AS cls, count(*) AS predicted FROM p GROUP BY 1) b USING (cls)),
+pf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pc)"""
+
+M10_SQL = f"""WITH p AS ({PRED_SQL}), {_PC}
+SELECT round(sum(tp) * 1.0 / sum(support), 4) AS accuracy, round(sum(precision * support) / sum(support), 4) AS precision,
+       round(sum(recall * support) / sum(support), 4) AS recall, round(sum(f1 * support) / sum(support), 4) AS f1 FROM pf"""
+
+
+@register("m10_classification_metrics", M10_SQL)
+def m10_classification_metrics(spark, sf_dir):
+    return L.classification_metrics(line_predictions(spark, sf_dir))
+
+
+M11_SQL = f"""WITH p AS ({PRED_SQL}), {_PC}
+SELECT cls AS class, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support FROM pf
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support)::BIGINT FROM pf
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4), round(sum(recall * support) / sum(support), 4),
+       round(sum(f1 * support) / sum(support), 4), sum(support)::BIGINT FROM pf"""
+
+
+@register("m11_class_report", M11_SQL)
+def m11_class_report(spark, sf_dir):
+    return L.class_report(line_predictions(spark, sf_dir))
+
+
+M13_PRED = ("SELECT 'by_status' AS model, l_returnflag AS label, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END "
+            "AS prediction FROM lineitem UNION ALL SELECT 'always_n', l_returnflag, 'N' FROM lineitem "
+            "UNION ALL SELECT 'by_quantity', l_returnflag, CASE WHEN l_quantity > 25 THEN 'R' ELSE 'N' END FROM lineitem")
+M13_SQL = f"""WITH p0 AS ({M13_PRED}),
+a AS (SELECT model, label AS cls, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS tp FROM p0 GROUP BY 1, 2),
+b AS (SELECT model, prediction AS cls, count(*) AS predicted FROM p0 GROUP BY 1, 2),
+pc AS (SELECT model, cls, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
+              coalesce(tp * 1.0 / nullif(predicted, 0), 0) AS precision, coalesce(tp * 1.0 / nullif(support, 0), 0) AS recall
+       FROM a FULL JOIN b USING (model, cls)),
+m AS (SELECT model, round(sum(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) * support) / sum(support), 4) AS f1
+      FROM pc GROUP BY model)
+SELECT model, f1 FROM m ORDER BY f1 DESC, model LIMIT 1"""
+
+
+@register("m13_best_model", M13_SQL)
+def m13_best_model(spark, sf_dir):
+    li = tbl(spark, sf_dir, "lineitem")
+    lab = F.col("l_returnflag").alias("label")
+    p = (li.select(F.lit("by_status").alias("model"), lab,
+                   F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("prediction"))
+         .unionByName(li.select(F.lit("always_n").alias("model"), lab, F.lit("N").alias("prediction")))
+         .unionByName(li.select(F.lit("by_quantity").alias("model"), lab,
+                                F.when(F.col("l_quantity") > 25, "R").otherwise("N").alias("prediction"))))
+    return L.best_model(L.classification_metrics(p, by=["model"]))
+
+
+# The return flags of the driver tables (oracle side only).
+FLAGS = ["A", "N", "R"]
+M14_SQL = (f"WITH p AS ({PRED_SQL}) SELECT label, " + ", ".join(
+    f"count(*) FILTER (WHERE prediction = '{f}') AS \"{f}\"" for f in FLAGS) + " FROM p GROUP BY label")
+
+
+@register("m14_confusion", M14_SQL)
+def m14_confusion(spark, sf_dir):
+    return L.confusion(line_predictions(spark, sf_dir), FLAGS)
+
+
+M15_SQL = """WITH p AS (SELECT l_extendedprice AS label, l_quantity * p_retailprice AS prediction
+                   FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT round(sqrt(avg(power(label - prediction, 2))), 4) AS rmse,
+       round(1 - sum(power(label - prediction, 2)) / nullif(sum(power(label - (SELECT avg(label) FROM p), 2)), 0), 6) AS r2
+FROM p"""
+
+
+@register("m15_regression_metrics", M15_SQL)
+def m15_regression_metrics(spark, sf_dir):
+    li, pt = tbl(spark, sf_dir, "lineitem"), tbl(spark, sf_dir, "part")
+    p = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"))
+    r = L.regression_metrics(p)
+    return r.select(F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+M16_SQL = """SELECT c_custkey, """ + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM customer)) / coalesce(nullif((SELECT stddev_pop({c}) FROM customer), 0), 1), 6) AS z_{c}"
+    for c in ["c_custkey", "c_nationkey", "c_acctbal"]) + " FROM customer"
+
+
+@register("m16_standardize", M16_SQL)
+def m16_standardize(spark, sf_dir):
+    c = tbl(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    d, cols = L.standardize(c)
+    return round_doubles(d.select("c_custkey", *cols), 6)
+
+
+def _vectors(spark, sf_dir):
+    e = tbl(spark, sf_dir, "embeddings")
+    return L.vectors_from_array(e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v")
+
+
+@register("m17_kmeans")
+def m17_kmeans(spark, sf_dir):
+    _, pred, _ = L.kmeans(_vectors(spark, sf_dir), k=3, n_init=10)
+    return pred.select("vec_id", "Cluster")
+
+
+@register("m18_silhouette")
+def m18_silhouette(spark, sf_dir):
+    _, pred, cost = L.kmeans(_vectors(spark, sf_dir), k=3, n_init=10)
+    return spark.createDataFrame([(L.silhouette(pred), float(cost))], "silhouette double, inertia double")
+
+
+M19_SQL = """SELECT label AS "Cluster", count(*) AS "count", round(count(*) * 100.0 / (SELECT count(*) FROM embeddings), 2) AS share_pct
+FROM embeddings GROUP BY label"""
+
+
+@register("m19_cluster_sizes", M19_SQL)
+def m19_cluster_sizes(spark, sf_dir):
+    e = tbl(spark, sf_dir, "embeddings").withColumnRenamed("label", "Cluster")
+    return L.cluster_sizes(e)
+
+
+@register("m20_elbow")
+def m20_elbow(spark, sf_dir):
+    return L.elbow(_vectors(spark, sf_dir), k_max=10, n_init=10)
+
+
+@register("m21_pca")
+def m21_pca(spark, sf_dir):
+    proj, _, ratios = L.pca(_vectors(spark, sf_dir), k=2)
+    return proj.select("vec_id", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2"))
+
+
+@register("m22_cumulative_variance")
+def m22_cumulative_variance(spark, sf_dir):
+    return L.cumulative_variance(_vectors(spark, sf_dir), target=0.9)
