@@ -41,13 +41,26 @@ def clean_column(col, options) -> Column:
     return c
 
 
+def computed_once(df: DataFrame, exprs: dict) -> DataFrame:
+    """Replace columns by expressions evaluated exactly once per row.
+
+    The expressions are produced by a one-element ``inline`` (a Generate), so a
+    later filter on them cannot be pushed below and re-evaluate them (plain
+    projections get inlined into pushed-down filters by the optimizer)."""
+    if not exprs:
+        return df
+    keep = [c for c in df.columns if c not in exprs]
+    gen = F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()])))
+    return df.select(*[_q(c) for c in keep], gen).select(*[_q(c) for c in df.columns])
+
+
 def clean_records(df: DataFrame, options=CLEAN_ORDER, fields=TEXT_FIELDS, keep_kinds=None,
                   kind_col: str = "tipo") -> DataFrame:
     """Clean the text fields present, optionally drop duplicates (``"duplicates"``
     in options), then always drop records whose text fields are all empty (T8)."""
     opts = set(options)
     present = [f for f in fields if f in df.columns and isinstance(df.schema[f].dataType, T.StringType)]
-    out = df.withColumns({f: clean_column(_q(f), opts) for f in present}) if present else df
+    out = computed_once(df, {f: clean_column(_q(f), opts) for f in present})
     if "duplicates" in opts:
         out = drop_duplicate_records(out)
     return drop_empty_records(out, fields=present, keep_kinds=keep_kinds, kind_col=kind_col)

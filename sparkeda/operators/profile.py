@@ -283,45 +283,58 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, exac
     Edges split [min, max] evenly (a constant column uses [v-0.5, v+0.5]); the
     last bin is closed.  Bin index follows numpy: scaled index, then one-step
     corrections against the exact edges.  Every bin is returned, empty ones
-    with count 0.  Output: column, bin, lower, upper, count, mean, median."""
+    with count 0.  Output: column_name, bin, lower, upper, count, mean, median.
+
+    Passes: one small aggregate for min/max/mean per column, then one
+    aggregate of (column, bin) counts with the bounds as literals; the result
+    is at most ``columns x bins`` rows."""
     spark = df.sparkSession
     cols = cols or numeric_columns(df)
+    schema = ("column_name string, bin int, lower double, upper double, count long, mean double, median double")
+    if not cols:
+        return spark.createDataFrame([], schema)
     long = _long_doubles(df, cols)
-    st = long.groupBy("column_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mean"),
-                                    F.count("x").alias("n"))
-    st = st.select("column_name", "mean",
-                   F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                   F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # one row per column: bounded, broadcast
-    j = long.join(F.broadcast(st.select("column_name", "lo", "hi")), "column_name")
+    st = {r["column_name"]: r for r in long.groupBy("column_name").agg(
+        F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mean")).collect()}
+    cols = [c for c in cols if c in st]
+    if not cols:
+        return spark.createDataFrame([], schema)
+    bounds = {}
+    for c in cols:
+        mn, mx = st[c]["mn"], st[c]["mx"]
+        bounds[c] = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
+    if exact_median:
+        med = exact_quantiles(df, cols, (0.5,), stats={c: (st[c]["n"], st[c]["mn"], st[c]["mx"]) for c in cols})
+        medians = {c: med[c][0.5] for c in cols}
+    else:
+        medians = {r["column_name"]: r["m"] for r in long.groupBy("column_name").agg(
+            F.percentile_approx("x", 0.5, 10000).alias("m")).collect()}
+    lo = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(float(bounds[c][0])))]),
+                      F.col("column_name"))
+    hi = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(float(bounds[c][1])))]),
+                      F.col("column_name"))
+    j = long.select("column_name", "x", lo.alias("lo"), hi.alias("hi"))
     step = (F.col("hi") - F.col("lo")) / bins
 
     def edge(i: Column) -> Column:
         return F.when(i >= bins, F.col("hi")).otherwise(F.col("lo") + i * step)
 
     idx0 = F.floor((F.col("x") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))).cast("int")
-    idx1 = F.when(idx0 >= bins, bins - 1).otherwise(idx0)
-    j = j.select("column_name", "x", "lo", "hi", idx1.alias("i1"))
-    idx2 = F.when(F.col("x") < edge(F.col("i1")), F.col("i1") - 1).otherwise(F.col("i1"))
-    j = j.select("column_name", "x", "lo", "hi", idx2.alias("i2"))
+    j = j.select("column_name", "x", "lo", "hi", F.when(idx0 >= bins, bins - 1).otherwise(idx0).alias("i1"))
+    j = j.select("column_name", "x", "lo", "hi",
+                 F.when(F.col("x") < edge(F.col("i1")), F.col("i1") - 1).otherwise(F.col("i1")).alias("i2"))
     idx3 = F.when((F.col("x") >= edge(F.col("i2") + 1)) & (F.col("i2") != bins - 1), F.col("i2") + 1) \
         .otherwise(F.col("i2"))
-    counts = j.groupBy("column_name", idx3.alias("bin")).agg(F.count("*").alias("count"))
-    grid = st.select("column_name", "mean", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    if exact_median:
-        med = exact_quantiles(df, cols, (0.5,))
-        med_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(med[c][0.5]).cast("double"))])
-    else:
-        med_rows = long.groupBy("column_name").agg(F.percentile_approx("x", 0.5, 10000).alias("m")).collect()
-        med_map = F.create_map(*[x for r in med_rows for x in (F.lit(r["column_name"]), F.lit(r["m"]).cast("double"))]) \
-            if med_rows else F.create_map().cast("map<string,double>")
-    return (grid.join(counts, ["column_name", "bin"], "left")
-            .select("column_name", "bin",
-                    (F.col("lo") + F.col("bin") * ((F.col("hi") - F.col("lo")) / bins)).alias("lower"),
-                    F.when(F.col("bin") == bins - 1, F.col("hi"))
-                     .otherwise(F.col("lo") + (F.col("bin") + 1) * ((F.col("hi") - F.col("lo")) / bins)).alias("upper"),
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean",
-                    F.element_at(med_map, F.col("column_name")).alias("median")))
+    counts = {(r["column_name"], r["bin"]): r["count"] for r in
+              j.groupBy("column_name", idx3.alias("bin")).agg(F.count("*").alias("count")).collect()}
+    rows = []
+    for c in cols:
+        a, b = bounds[c]
+        w = (b - a) / bins
+        for i in range(bins):
+            rows.append((c, i, a + i * w, b if i == bins - 1 else a + (i + 1) * w, int(counts.get((c, i), 0)),
+                         st[c]["mean"], None if medians.get(c) is None else float(medians[c])))
+    return spark.createDataFrame(rows, schema)
 
 
 # --------------------------------------------------------------------------- A7
