@@ -44,13 +44,14 @@ def detect_records(df: DataFrame, body: str = "body", keep=()) -> DataFrame:
     first list-valued key in document order, else the object itself."""
     b = F.col(body)
     trimmed = F.ltrim(b)
-    m = F.from_json(b, "map<string,string>")
+    m = F.from_json(b, "map<string,string>")  # values keep their raw JSON text
     first_list_key = F.try_element_at(
         F.filter(F.json_object_keys(b), lambda k: F.ltrim(F.try_element_at(m, k)).startswith("[")), F.lit(1))
-    elems = (F.when(trimmed.startswith("["), F.from_json(b, "array<string>"))
-             .when(first_list_key.isNotNull(), F.from_json(F.try_element_at(m, first_list_key), "array<string>"))
-             .otherwise(F.array(b)))
-    return df.select(*keep, F.explode(elems).alias("_rec")).select(*keep, F.parse_json("_rec").alias("record"))
+    elems = (F.when(trimmed.startswith("["), F.variant_get(F.parse_json(b), "$", "array<variant>"))
+             .when(first_list_key.isNotNull(),
+                   F.variant_get(F.parse_json(F.try_element_at(m, first_list_key)), "$", "array<variant>"))
+             .otherwise(F.array(F.parse_json(b))))
+    return df.select(*keep, F.explode(elems).alias("record"))
 
 
 def require_records(df: DataFrame) -> DataFrame:
