@@ -257,6 +257,21 @@ def _parse_batches(batches, with_raw: bool, rows_per_batch: int = 20000):
             yield _emit(out)
 
 
+def element_table(pages: DataFrame, with_raw_text: bool = False, path: str | None = None,
+                  persist: bool = True) -> DataFrame:
+    """H0 for reuse by several extractors, so the Python parse runs once.
+
+    With ``path`` the table is written as parquet (a lineage cut that survives
+    lost executors; use a folder under ``spark.checkpoint.dir`` or the
+    warehouse) and read back; otherwise it is persisted in memory and disk."""
+    from pyspark import StorageLevel
+    el = parse_pages(pages, with_raw_text)
+    if path:
+        el.write.mode("overwrite").parquet(path)
+        return pages.sparkSession.read.parquet(path)
+    return el.persist(StorageLevel.MEMORY_AND_DISK) if persist else el
+
+
 def parse_pages(pages: DataFrame, with_raw_text: bool = False) -> DataFrame:
     """H0: the element table of ``pages(page_id, url, html)``.
 

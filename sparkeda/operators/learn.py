@@ -142,7 +142,9 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: in
     if not exact:
         return d.where(F.col("_u") >= test_size).drop("_u"), d.where(F.col("_u") < test_size).drop("_u")
     th = d.groupBy(_q(label).alias("_lab")).agg(F.percentile_approx("_u", test_size, 100000).alias("_t"))
-    j = d.join(F.broadcast(th), d[label].eqNullSafe(th["_lab"]))
+    n_classes = counts.count()
+    th = F.broadcast(th) if n_classes <= 100_000 else th  # one row per class: broadcast only when that is small
+    j = d.join(th, d[label].eqNullSafe(th["_lab"]))
     test = j.where(F.col("_u") <= F.col("_t")).drop("_u", "_t", "_lab")
     train = j.where(F.col("_u") > F.col("_t")).drop("_u", "_t", "_lab")
     return train, test
@@ -259,7 +261,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
     """Precision, recall, F1, support per class plus macro and weighted averages."""
-    pc = _per_class(_conf(pred, label, prediction))
+    pc = _per_class(_conf(pred, label, prediction)).persist()  # one row per class, read three times
     per = pc.select(F.col("cls").alias("class"), "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
     tot = pc.agg(F.sum("support").alias("n"), F.count("*").alias("k"),
                  F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),

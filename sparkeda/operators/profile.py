@@ -419,13 +419,15 @@ def quality_report(records: DataFrame, kind_col: str = "tipo", content_col: str
          if "src" in cols else F.lit(0)).cast("long").alias("images_without_src"))
     distinct_rows = records.groupBy(*[_q(c) for c in cols]).agg(F.lit(1).alias("one")).agg(
         F.count("*").alias("distinct_rows"))
+    def metric(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric"), F.lit(None).cast("string").alias("kind"),
+                        value.cast("long").alias("value"))
+
     summary = totals.crossJoin(distinct_rows).select(
         F.explode(F.array(
-            F.struct(F.lit("total").alias("metric"), F.lit(None).cast("string").alias("kind"),
-                     F.col("total").alias("value")),
-            F.struct(F.lit("empty_content"), F.lit(None).cast("string"), F.col("empty_content")),
-            F.struct(F.lit("duplicates"), F.lit(None).cast("string"), F.col("total") - F.col("distinct_rows")),
-            F.struct(F.lit("images_without_src"), F.lit(None).cast("string"), F.col("images_without_src")),
+            metric("total", F.col("total")), metric("empty_content", F.col("empty_content")),
+            metric("duplicates", F.col("total") - F.col("distinct_rows")),
+            metric("images_without_src", F.col("images_without_src")),
         )).alias("m")).select("m.*")
     per_kind = records.groupBy(kind_col).agg(F.count("*").alias("value")).select(
         F.lit("records_per_kind").alias("metric"), F.col(kind_col).cast("string").alias("kind"), "value")

@@ -202,3 +202,22 @@ A13_SQL = 'SELECT quality, count(*) AS "count" FROM labels GROUP BY quality'
 @register("a13_class_counts", A13_SQL)
 def a13_class_counts(spark, sf_dir):
     return P.class_counts(tbl(spark, sf_dir, "labels"), "quality")
+
+
+@register("a9_eda_sections")
+def a9_eda_sections(spark, sf_dir):
+    from functools import reduce
+    from sparkeda.plans.eda import eda
+    parts = eda(tbl(spark, sf_dir, "orders"))
+    rows = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows") for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+S9_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+S9_SQL = f"SELECT * FROM lineitem ORDER BY {', '.join(S9_KEYS)} LIMIT 5"
+
+
+@register("s9_preview", S9_SQL)
+def s9_preview(spark, sf_dir):
+    from sparkeda.sources.files import preview
+    return preview(tbl(spark, sf_dir, "lineitem").orderBy(*S9_KEYS), 5)

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from sparkeda.functions import text as X
 from sparkeda.operators import graph as G
 from sparkeda.operators import web as W
-from sparkeda.operators.html import parse_pages
+from sparkeda.operators.html import element_table, parse_pages
 from sparkeda.plans.catalog import register, tbl
 from sparkeda.plans.q_clean import lit
 
 
 def _el(spark, sf_dir, raw=False):
-    return parse_pages(tbl(spark, sf_dir, "pages"), with_raw_text=raw)
+    """The element table, persisted: several extractors read it in one plan."""
+    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw)
 
 
 @register("h0_parse_pages")
 def h0_parse_pages(spark, sf_dir):
-    return _el(spark, sf_dir).drop("attrs")
+    return parse_pages(tbl(spark, sf_dir, "pages")).drop("attrs")
 
 
 for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs), ("h3_visible_text", W.visible_text),
@@ -45,13 +46,13 @@ def h12_by_tags(spark, sf_dir):
 def h13_select_path(spark, sf_dir):
     steps = [W.Step(tag="article"), W.Step(tag="p", axis="child")]
     pages = tbl(spark, sf_dir, "pages")
-    return W.select_path(parse_pages(pages), steps, pages=pages)
+    return W.select_path(element_table(pages), steps, pages=pages)
 
 
 @register("h17_page_kind")
 def h17_page_kind(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    return W.page_kind(pages, parse_pages(pages))
+    return W.page_kind(pages, element_table(pages))
 
 
 # SQL-checkable parts -----------------------------------------------------------
@@ -128,11 +129,25 @@ def _host_seeds(pages):
 @register("g2_reachable")
 def g2_reachable(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    el = parse_pages(pages)
+    el = element_table(pages)
     return G.reachable(pages, G.link_edges(el), _host_seeds(pages), depth=5)
 
 
 @register("g3_page_chain")
 def g3_page_chain(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    return G.page_chain(pages, G.next_page(parse_pages(pages)), _host_seeds(pages), max_pages=10)
+    return G.page_chain(pages, G.next_page(element_table(pages)), _host_seeds(pages), max_pages=10)
+
+
+@register("a12_quality_report")
+def a12_quality_report(spark, sf_dir):
+    from sparkeda.operators.profile import quality_report
+    recs = W.everything(_el(spark, sf_dir))
+    return quality_report(recs.select("tipo", "contenido", "src", "texto", "href"))
+
+
+@register("s12_read_pages")
+def s12_read_pages(spark, sf_dir):
+    import os
+    from sparkeda.sources.files import read_pages
+    return read_pages(spark, os.path.join(sf_dir, "pages.parquet")).select("page_id", "url", F.length("html").alias("bytes"))
