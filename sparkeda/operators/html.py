@@ -278,5 +278,7 @@ def parse_pages(pages: DataFrame, with_raw_text: bool = False) -> DataFrame:
     Parsing is embarrassingly parallel (no shuffle); output rows stream out in
     bounded Arrow batches.  Persist or write the result when several
     extractors read it."""
-    src = pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string"))
+    from sparkeda.session import spread
+    src = spread(pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"),
+                              pages["html"].cast("string")))
     return src.mapInArrow(lambda it: _parse_batches(it, with_raw_text), ELEMENT_SCHEMA)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkeda.session import read_table
+from sparkeda.session import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,8 +28,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# tables whose rows carry whole texts: regex work per row is CPU-heavy
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from sparkeda.operators import nested as N
 from sparkeda.plans.catalog import register, tbl
+from sparkeda.session import spread
 from sparkeda.sources.api import read_api_payloads
 
 
 def event_payloads(spark, sf_dir):
     """One API-style payload per event: ``{"data": {"items": [ {...} ]}}``."""
-    e = tbl(spark, sf_dir, "events")
+    e = spread(tbl(spark, sf_dir, "events"))
     item = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"),
                     F.get_json_object("props", "$.k").cast("long").alias("k"),
                     F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("tags"),

@@ -72,3 +72,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the driver tables as temp views under their own names."""
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition before CPU-heavy row-local work, but only when the
+    input has fewer partitions than the cluster can run at once (small or
+    unsplittable inputs).  Large multi-file inputs are returned unchanged, so
+    no shuffle is added at scale."""
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
