@@ -31,15 +31,19 @@ def _q(c: str) -> Column:
 
 
 # ------------------------------------------------------------------ M1-M4
-def candidate_targets(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def candidate_targets(df: DataFrame, profile: list | None = None) -> DataFrame:
     """M1: columns whose distinct count is <= max(20, 10 % of rows); all columns when
-    none qualifies.  Output: column_name, distinct, candidate."""
-    prof = profile if profile is not None else column_profile(df)
-    rows = df.count()
+    none qualifies.  One profile pass; the result has one row per column.
+    Output: column_name, distinct, candidate."""
+    prof = profile if profile is not None else column_profile(df, with_rows=True).collect()
+    rows = max((r["rows"] for r in prof), default=0)
     limit = max(20, rows * 0.1)
-    p = prof.select("column_name", "distinct", (F.col("distinct") <= F.lit(limit)).alias("ok"))
-    any_ok = p.agg(F.max(F.col("ok").cast("int")).alias("any")).first()["any"]
-    return p.select("column_name", "distinct", (F.col("ok") if any_ok else F.lit(True)).alias("candidate"))
+    ok = {r["column_name"]: r["distinct"] <= limit for r in prof}
+    any_ok = any(ok.values())
+    order = {f.name: i for i, f in enumerate(df.schema.fields)}
+    out = [(r["column_name"], r["distinct"], ok[r["column_name"]] if any_ok else True)
+           for r in sorted(prof, key=lambda r: order.get(r["column_name"], 0))]
+    return df.sparkSession.createDataFrame(out, "column_name string, distinct long, candidate boolean")
 
 
 def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, list | None]:
@@ -54,13 +58,14 @@ def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame
     return df.withColumn(out, F.element_at(mapping, _q(col).cast("string"))), classes
 
 
-def usable_features(df: DataFrame, target: str, exclude=(), profile: DataFrame | None = None) -> DataFrame:
-    """M3: which columns can feed a classifier.
+def usable_features(df: DataFrame, target: str, exclude=(), profile: list | None = None) -> DataFrame:
+    """M3: which columns can feed a classifier (one profile pass).
 
     Output: column_name, role (numeric | categorical | excluded), reason."""
-    rows = df.count()
+    rows_ = profile if profile is not None else column_profile(df, with_rows=True).collect()
+    prof = {r["column_name"]: r for r in rows_}
+    rows = max((r["rows"] for r in rows_), default=0)
     limit = max(20, rows * 0.1)
-    prof = {r["column_name"]: r for r in (profile if profile is not None else column_profile(df)).collect()}
     out = []
     for f in df.schema.fields:
         c = f.name
@@ -82,7 +87,8 @@ def usable_features(df: DataFrame, target: str, exclude=(), profile: DataFrame |
     return df.sparkSession.createDataFrame(out, "column_name string, role string, reason string")
 
 
-def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000, sep: str = "_") -> tuple[DataFrame, list[str]]:
+def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000, sep: str = "_",
+            distinct_counts: dict | None = None) -> tuple[DataFrame, list[str]]:
     """M4: 0/1 columns per category, the alphabetically first dropped; a null row is
     all zeros.  Columns above ``max_categories`` are skipped with a warning.
     Returns the frame and the new column names."""
@@ -91,7 +97,8 @@ def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000, sep: str
     cats = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).cast("string").alias("v"))
                                           for c in cols])).alias("x")).select("x.c", "x.v")
             .where("v IS NOT NULL").distinct())
-    counts = {r["c"]: r["n"] for r in cats.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    counts = distinct_counts if distinct_counts is not None else \
+        {r["c"]: r["n"] for r in cats.groupBy("c").agg(F.count("*").alias("n")).collect()}
     keep = [c for c in cols if counts.get(c, 0) <= max_categories]
     for c in cols:
         if c not in keep:
@@ -156,12 +163,18 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 def prepare_classification(df: DataFrame, target: str, exclude=(), max_categories: int = 1000):
-    """M2 + M3 + M4 + assembly: (frame with label/features, feature names, classes)."""
-    roles = {r["column_name"]: r["role"] for r in usable_features(df, target, exclude).collect()}
+    """M2 + M3 + M4 + assembly: (frame with label/features, feature names, classes).
+
+    The input is persisted once (memory and disk): the profile, class and
+    category passes all read it."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    prof = column_profile(df, with_rows=True).collect()
+    roles = {r["column_name"]: r["role"] for r in usable_features(df, target, exclude, profile=prof).collect()}
     num = [c for c, r in roles.items() if r == "numeric"]
     cat = [c for c, r in roles.items() if r == "categorical"]
     d, classes = encode_label(df, target)
-    d, dummies = one_hot(d, cat, max_categories)
+    d, dummies = one_hot(d, cat, max_categories, distinct_counts={r["column_name"]: r["distinct"] for r in prof})
     feats = num + dummies
     if not feats:
         raise ValueError("no usable input columns to train on")
@@ -299,7 +312,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 
 def compare_models(train: DataFrame, test: DataFrame, estimators: dict | None = None,
-                   digits: int = 4) -> tuple[DataFrame, dict, list]:
+                   digits: int = 4, parallelism: int = 3) -> tuple[DataFrame, dict, list]:
     """Fit each estimator on ``train`` (features/label), score on ``test``.
     Returns (metrics sorted by F1 desc, predictions per model, failures)."""
     spark = train.sparkSession
@@ -308,15 +321,24 @@ def compare_models(train: DataFrame, test: DataFrame, estimators: dict | None =
         n = train.count()
         estimators = {"decision_tree": decision_tree(), "logistic_regression": logistic_regression(n),
                       "random_forest": random_forest()}
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit_score(name, est):
+        p = est.fit(train).transform(test).select("label", "prediction").persist()
+        r = classification_metrics(p, digits=digits).first()
+        return p, (name, r["accuracy"], r["precision"], r["recall"], r["f1"])
+
     rows, preds, failures = [], {}, []
-    for name, est in estimators.items():
-        try:
-            p = est.fit(train).transform(test).select("label", "prediction")
-            preds[name] = p
-            r = classification_metrics(p, digits=digits).first()
-            rows.append((name, r["accuracy"], r["precision"], r["recall"], r["f1"]))
-        except Exception as e:  # noqa: BLE001 -- a failing model is reported and skipped
-            failures.append((name, f"{type(e).__name__}: {e}"))
+    # independent fits: submitted as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(estimators)))) as pool:
+        futs = [(name, pool.submit(fit_score, name, est)) for name, est in estimators.items()]
+        for name, fut in futs:
+            try:
+                p, row = fut.result()
+                preds[name] = p
+                rows.append(row)
+            except Exception as e:  # noqa: BLE001 -- a failing model is reported and skipped
+                failures.append((name, f"{type(e).__name__}: {e}"))
     table = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
     return table.orderBy(F.col("f1").desc(), "model"), preds, failures
 

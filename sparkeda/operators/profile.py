@@ -248,8 +248,9 @@ def null_profile(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A3
-def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """A3: column, type, nulls, distinct (nulls excluded, like ``nunique``).
+def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False) -> DataFrame:
+    """A3: column, type, nulls, distinct (nulls excluded, like ``nunique``);
+    ``with_rows`` adds the table's row count to each row (same pass).
 
     Unpivot then group: (column, value) pairs are combined map-side, so a
     hot value costs one row per task, and no wide ``Expand`` is built."""
@@ -262,9 +263,12 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     else:
         g = long.groupBy("column_name", "value").agg(F.count("*").alias("cnt"))
         out = g.groupBy("column_name").agg(F.sum(F.when(F.col("value").isNull(), F.col("cnt")).otherwise(0)).alias("nulls"),
-                                      F.count("value").alias("distinct"))
-    return out.select("column_name", F.element_at(types, F.col("column_name")).alias("type"),
-                      F.col("nulls").cast("long").alias("nulls"), F.col("distinct").cast("long").alias("distinct"))
+                                      F.count("value").alias("distinct"), F.sum("cnt").alias("rows"))
+    cols = [F.col("column_name"), F.element_at(types, F.col("column_name")).alias("type"),
+            F.col("nulls").cast("long").alias("nulls"), F.col("distinct").cast("long").alias("distinct")]
+    if with_rows and not approx:
+        cols.append(F.col("rows").cast("long").alias("rows"))
+    return out.select(*cols)
 
 
 # --------------------------------------------------------------------------- A4
