@@ -46,14 +46,17 @@ def candidate_targets(df: DataFrame, profile: list | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column_name string, distinct long, candidate boolean")
 
 
-def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, list | None]:
+def encode_label(df: DataFrame, col: str, out: str = "label",
+                 max_classes: int = 100_000) -> tuple[DataFrame, list | None]:
     """M2: text classes -> 0..k-1 in sorted order (``alphabetAsc``); numeric as is.
     Returns the frame and the class list (None for numeric)."""
     dt = df.schema[col].dataType
     if isinstance(dt, NUMERIC_TYPES):
         return df.withColumn(out, _q(col).cast("double")), None
-    classes = [r[0] for r in df.select(_q(col).cast("string").alias("v")).where("v IS NOT NULL")
-               .distinct().orderBy("v").collect()]
+    distinct = df.select(_q(col).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+    classes = [r[0] for r in distinct.orderBy("v").limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError(f"'{col}' has more than {max_classes} classes; not a classification target")
     mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
     return df.withColumn(out, F.element_at(mapping, _q(col).cast("string"))), classes
 
@@ -390,10 +393,12 @@ def _best_fits(data: DataFrame, jobs: list[tuple[int, int]], features: str, out:
 
 
 def kmeans(df: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, features: str = "features",
-           out: str = "Cluster", max_iter: int = 300, parallelism: int = 4):
+           out: str = "Cluster", max_iter: int = 300, parallelism: int | None = None):
     """Best of ``n_init`` starts by inertia (training cost); ties -> lower seed.
     Returns (model, frame + ``Cluster``, inertia)."""
     data = df.persist()
+    if parallelism is None:
+        parallelism = min(n_init, 4)
     best = _best_fits(data, [(k, s) for s in range(seed, seed + n_init)], features, out, max_iter, parallelism)
     model, cost = best[k]
     return model, model.transform(data), cost

@@ -20,22 +20,34 @@ def _json_path(path: str) -> str:
 
 
 # --------------------------------------------------------------------------- J1
-def records_at(df: DataFrame, path: str, body: str = "body", keep=()) -> DataFrame:
-    """Descend the dotted ``path`` in each payload and emit one row per record
-    (column ``record``, VARIANT).  A key missing from any payload is an error
-    naming that key (checked in one aggregate pass)."""
+def _check_path(df: DataFrame, path: str, body: str, extra_aggs=()):
+    """One aggregate: payloads missing each key prefix (+ any extra aggregates)."""
     keys = [p for p in path.split(".") if p]
-    v = F.parse_json(F.col(body))
     checks = [F.count_if(F.get_json_object(F.col(body), _json_path(".".join(keys[:i + 1]))).isNull()
                          & F.col(body).isNotNull()).alias(f"m{i}") for i in range(len(keys))]
-    row = df.agg(*checks).first()
+    row = df.agg(*checks, *extra_aggs).first()
     for i, k in enumerate(keys):
         if row[f"m{i}"]:
             raise KeyError(f"path '{path}' does not exist in the JSON (failed at key '{k}')")
-    node = F.variant_get(v, _json_path(path), "variant")
-    elems = F.when(F.schema_of_variant(node).startswith("ARRAY"), F.variant_get(node, "$", "array<variant>")) \
+    return row
+
+
+def _node(path: str, body: str) -> Column:
+    return F.variant_get(F.parse_json(F.col(body)), _json_path(path), "variant")
+
+
+def _elements(node: Column) -> Column:
+    return F.when(F.schema_of_variant(node).startswith("ARRAY"), F.variant_get(node, "$", "array<variant>")) \
         .otherwise(F.array(node))
-    return df.select(*keep, F.explode(elems).alias("record"))
+
+
+def records_at(df: DataFrame, path: str, body: str = "body", keep=(), checked: bool = False) -> DataFrame:
+    """Descend the dotted ``path`` in each payload and emit one row per record
+    (column ``record``, VARIANT).  A key missing from any payload is an error
+    naming that key (checked in one aggregate pass)."""
+    if not checked:
+        _check_path(df, path, body)
+    return df.select(*keep, F.explode(_elements(_node(path, body))).alias("record"))
 
 
 # --------------------------------------------------------------------------- J2
@@ -145,11 +157,24 @@ def flatten_complex_cells(df: DataFrame, empty_as_null: bool = True) -> DataFram
 
 def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None, keep=(),
                       check: bool = False) -> DataFrame:
-    """J1/J2 -> J3 -> J4/J5: payload column to a flat table of records."""
-    recs = records_at(df, path, body, keep) if path else detect_records(df, body, keep)
+    """J1/J2 -> J3 -> J4/J5: payload column to a flat table of records.
+
+    With a ``path`` the key check and the record schema come from one
+    aggregate over the payloads (the merged schema of the array nodes)."""
+    schema = None
+    if path:
+        row = _check_path(df, path, body, [F.schema_of_variant_agg(_node(path, body)).alias("_schema")])
+        s = row["_schema"] or ""
+        if s.startswith("ARRAY<") and s.endswith(">"):
+            inner = s[len("ARRAY<"):-1]
+            if inner.startswith("OBJECT<"):
+                schema = _DEC.sub("DOUBLE", inner).replace("OBJECT<", "STRUCT<")
+        recs = records_at(df, path, body, keep, checked=True)
+    else:
+        recs = detect_records(df, body, keep)
     if check:
         require_records(recs)
-    return flatten_complex_cells(flatten(records_to_struct(recs, "record", keep)))
+    return flatten_complex_cells(flatten(records_to_struct(recs, "record", keep, schema=schema)))
 
 
 # --------------------------------------------------------------------------- J6/J7

@@ -59,7 +59,7 @@ def _order_stat_plan(n: int, probs):
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
-                    bins: int = 1024, final_rows: int = 200_000, stats: dict | None = None) -> dict:
+                    bins: int = 1024, final_rows: int = 10_000, stats: dict | None = None) -> dict:
     """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
 
     No task ever holds a whole column: each pass is one distributed group-by
