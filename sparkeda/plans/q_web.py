@@ -151,3 +151,25 @@ def s12_read_pages(spark, sf_dir):
     import os
     from sparkeda.sources.files import read_pages
     return read_pages(spark, os.path.join(sf_dir, "pages.parquet")).select("page_id", "url", F.length("html").alias("bytes"))
+
+
+# Parser cross-check: element counts per page vs start tags counted in the raw html.
+TAG_COUNT_SQL = """SELECT page_id,
+  CAST(len(regexp_extract_all(html, '(?i)<h1[\\s>/]')) AS BIGINT) AS n_h1,
+  CAST(len(regexp_extract_all(html, '(?i)<p[\\s>/]')) AS BIGINT) AS n_p,
+  CAST(len(regexp_extract_all(html, '(?i)<li[\\s>/]')) AS BIGINT) AS n_li,
+  CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=')) AS BIGINT) AS n_links,
+  CAST(len(regexp_extract_all(html, '(?i)<script[\\s>/]')) AS BIGINT) AS n_script
+FROM pages"""
+
+
+@register("h0_tag_counts", TAG_COUNT_SQL)
+def h0_tag_counts(spark, sf_dir):
+    pages = tbl(spark, sf_dir, "pages")
+    e = W.elements(parse_pages(pages))
+    counts = e.groupBy("page_id").agg(
+        F.count_if(F.col("tag") == "h1").alias("n_h1"), F.count_if(F.col("tag") == "p").alias("n_p"),
+        F.count_if(F.col("tag") == "li").alias("n_li"),
+        F.count_if((F.col("tag") == "a") & W.has_attr("href")).alias("n_links"),
+        F.count_if(F.col("tag") == "script").alias("n_script"))
+    return pages.select("page_id").join(counts, "page_id", "left").na.fill(0)
