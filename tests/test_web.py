@@ -143,3 +143,10 @@ def test_fetch_log(spark):
     assert r == {"u1": ("ok", False), "u2": ("failed", False), "u3": ("warning", True), "u5": ("failed", False)}
     s = {x.status_class: x.fetches for x in W.fetch_log_summary(log).collect()}
     assert s == {"ok": 1, "failed": 2, "warning": 1}
+
+
+def test_crawl_limit(spark, el, pages):
+    e = G.link_edges(el)
+    r = G.reachable(pages, e, ["https://shop.example.com/catalog?x=1"], depth=5, max_pages=2).collect()
+    assert [x.url for x in sorted(r, key=lambda x: (x.level, x.order))] == [
+        "https://shop.example.com/catalog?x=1", "https://shop.example.com/page/2"]
