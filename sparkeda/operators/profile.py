@@ -58,39 +58,142 @@ def _order_stat_plan(n: int, probs):
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
-                    bins: int = 1024, final_rows: int = 10_000, stats: dict | None = None) -> dict:
-    """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
+def _merge_intervals(ivs):
+    out = []
+    for lo, hi in sorted(ivs):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [tuple(x) for x in out]
+
 
-    No task ever holds a whole column: each pass is one distributed group-by
-    over (column, interval, bin) whose result is at most
-    ``columns x targets x bins`` rows.  The interval holding each wanted order
-    statistic shrinks every pass (to the actual min/max of the chosen bin);
-    once it holds at most ``final_rows`` values they are grouped by value and
-    read exactly.  Typical data needs two or three passes.
+def _walk(pieces, want):
+    """Find the entry holding 0-based rank ``want`` in ordered (count, payload) pieces."""
+    acc = 0
+    for cnt, payload in pieces:
+        if acc + cnt > want:
+            return acc, cnt, payload
+        acc += cnt
+    return None
 
-    Returns ``{column: {p: value or None}}``.
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bins: int = 1024,
+                    final_rows: int = 10_000, accuracy: int = 10_000, moments: dict | None = None) -> dict:
+    """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
+
+    No task ever holds a whole column, and every pass is one distributed
+    group-by whose result is bounded (``columns x targets x max(bins,
+    final_rows)`` rows):
+
+    1. per column: count, min, max (and, if ``moments`` is a dict, mean and
+       sample std, filled in) plus ``percentile_approx`` brackets around each
+       wanted rank;
+    2. one bracket pass: values inside small brackets are counted per value,
+       large brackets per bin, and the gaps between brackets are counted too,
+       so every rank is located exactly even when a bracket misses;
+    3. only if a rank is still inside a large bin or gap: histogram narrowing
+       passes (each shrinks the interval ~``bins``-fold) and a final read of
+       at most ``final_rows`` values.
+
+    Typical data needs passes 1 and 2 only.  Returns ``{column: {p: value}}``.
     """
     if not cols:
         return {}
     long = _long_doubles(df, cols)
-    if stats is None:
-        rows = long.groupBy("column_name").agg(F.count("x").alias("n"), F.min("x").alias("lo"),
-                                          F.max("x").alias("hi")).collect()
-        stats = {r["column_name"]: (r["n"], r["lo"], r["hi"]) for r in rows}
+    eps = 1.0 / accuracy
+    margins = sorted({max(0.0, p - 4 * eps) for p in probs} | {min(1.0, p + 4 * eps) for p in probs})
+    # pass 1 on the wide table (no unpivot needed for per-column aggregates)
+    aggs = []
+    for i, c in enumerate(cols):
+        x = _q(c).cast("double")
+        x = F.when(~F.isnan(x), x)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 F.percentile_approx(x, margins, accuracy).alias(f"ap{i}")]
+        if moments is not None:
+            aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
+    one = df.agg(*aggs).first()
+    rows = {}
+    for i, c in enumerate(cols):
+        if one[f"n{i}"]:
+            rows[c] = {"n": one[f"n{i}"], "lo": one[f"lo{i}"], "hi": one[f"hi{i}"], "approx": one[f"ap{i}"],
+                       "mean": one[f"mean{i}"] if moments is not None else None,
+                       "std": one[f"std{i}"] if moments is not None else None}
+    if moments is not None:
+        for c, r in rows.items():
+            moments[c] = {"count": r["n"], "min": r["lo"], "max": r["hi"], "mean": r["mean"], "std": r["std"]}
     result = {c: {p: None for p in probs} for c in cols}
-    # target key: (column, k) -> resolved value
-    need: dict[tuple, list] = {}
-    plans = {}
+    plans, need, brackets = {}, {}, {}
     for c in cols:
-        n, lo, hi = stats.get(c, (0, None, None))
-        if not n:
+        r = rows.get(c)
+        if r is None or not r["n"]:
             continue
+        n, lo, hi = r["n"], r["lo"], r["hi"]
         plans[c] = _order_stat_plan(n, probs)
+        approx = dict(zip(margins, r["approx"]))
+        ivs = []
+        for p in probs:
+            a = approx[max(0.0, p - 4 * eps)]
+            b = approx[min(1.0, p + 4 * eps)]
+            ivs.append((max(lo, min(a, b)), min(hi, max(a, b))))
+        brackets[c] = _merge_intervals(ivs)
         for _, _, k0, k1 in plans[c]:
             for k in (k0, k1):
                 # state: [lo, hi, below, resolved, rows in interval]
-                need[(c, k)] = [lo, hi, 0, None, n]
+                need[(c, k)] = [lo, hi, 0, lo if lo == hi else None, n]
+
+    # pass 2: brackets + gaps, one group-by --------------------------------------
+    todo = [c for c in brackets if any(need[(c, k)][3] is None for k in
+                                       {k for _, _, k0, k1 in plans[c] for k in (k0, k1)})]
+    if todo:
+        small = {c: 8 * eps * rows[c]["n"] * len(brackets[c]) <= final_rows for c in todo}
+
+        def lit_map(values: dict, typ: str) -> Column:
+            return F.element_at(F.create_map(*[v for c, val in values.items() for v in (F.lit(c), F.lit(val))])
+                                .cast(f"map<string,{typ}>"), F.col("column_name"))
+
+        los = lit_map({c: [lo for lo, _ in brackets[c]] for c in todo}, "array<double>")
+        his = lit_map({c: [hi for _, hi in brackets[c]] for c in todo}, "array<double>")
+        sml = lit_map({c: small[c] for c in todo}, "boolean")
+        x = F.col("x")
+        # staged projections: the bracket position is computed once per row
+        st1 = (long.where(F.col("column_name").isin(todo))
+               .select("column_name", "x", los.alias("los"), his.alias("his"), sml.alias("sml")))
+        m_max = max(len(brackets[c]) for c in todo)
+        pos_e = reduce(lambda a, b: a + b, [
+            F.coalesce((F.try_element_at("los", F.lit(i + 1)) <= x).cast("int"), F.lit(0)) for i in range(m_max)])
+        st2 = st1.select("column_name", "x", "los", "his", "sml", pos_e.alias("pos"))
+        j = F.greatest(F.col("pos"), F.lit(1))
+        st3 = st2.select("column_name", "x", "sml", "pos", F.element_at("los", j).alias("blo"),
+                         F.element_at("his", j).alias("bhi"))
+        inside = (F.col("pos") >= 1) & (x <= F.col("bhi"))
+        width = F.col("bhi") - F.col("blo")
+        binned = F.when(width > 0, F.least(F.floor((x - F.col("blo")) / width * bins), F.lit(bins - 1))) \
+            .otherwise(F.lit(0)).cast("double")
+        st4 = st3.select("column_name", "x", F.when(inside, F.col("pos") * 2 - 1).otherwise(F.col("pos") * 2).alias("piece"),
+                         F.when(inside, F.when(F.col("sml"), x).otherwise(binned)).alias("sub"))
+        res = (st4.groupBy("column_name", "piece", "sub")
+               .agg(F.count("*").alias("cnt"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
+        per_col: dict = {}
+        for r in res:
+            per_col.setdefault(r["column_name"], []).append(r)
+        for c in todo:
+            ordered = sorted(per_col.get(c, []), key=lambda r: (r["piece"], r["sub"] if r["sub"] is not None else 0.0))
+            pieces = [(r["cnt"], r) for r in ordered]
+            for (cc, k), st in need.items():
+                if cc != c or st[3] is not None:
+                    continue
+                hit = _walk(pieces, k)
+                if hit is None:
+                    continue
+                before, cnt, r = hit
+                odd = r["piece"] % 2 == 1
+                if (odd and small[c]) or r["mn"] == r["mx"]:
+                    st[3] = r["mn"] if not (odd and small[c]) else r["sub"]
+                else:
+                    st[0], st[1], st[2], st[4] = r["mn"], r["mx"], before, cnt
+
+    # pass 3+: narrowing inside large bins / gaps ---------------------------------
     pending = {key: st for key, st in need.items() if st[3] is None}
     while pending:
         for key, st in pending.items():
@@ -99,7 +202,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
         pending = {key: st for key, st in pending.items() if st[3] is None}
         if not pending:
             break
-        # distinct intervals per column (disjoint or equal by construction)
         intervals: dict[str, list] = {}
         all_small = all(st[4] <= final_rows for st in pending.values())
         for (c, _), st in pending.items():
@@ -128,24 +230,21 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
         per_iv: dict[tuple, list] = {}
         for r in counts:
             per_iv.setdefault((r["column_name"], r["iid"]), []).append((r["bin"], r["cnt"], r["bmin"], r["bmax"]))
-        small = []
+        small_ivs = []
         for (c, k), st in pending.items():
             i = intervals[c].index((st[0], st[1]))
             blist = sorted(per_iv.get((c, i), []))
             total = st[4] if all_small else sum(b[1] for b in blist)
             if total <= final_rows:
-                small.append(((c, k), i))
+                small_ivs.append(((c, k), i))
                 continue
-            want = k - st[2]
-            acc = 0
-            for _, cnt, bmin, bmax in blist:
-                if acc + cnt > want:
-                    st[0], st[1], st[2], st[4] = bmin, bmax, st[2] + acc, cnt
-                    break
-                acc += cnt
-        if small:
+            hit = _walk([(b[1], b) for b in blist], k - st[2])
+            if hit is not None:
+                acc, cnt, b = hit
+                st[0], st[1], st[2], st[4] = b[2], b[3], st[2] + acc, cnt
+        if small_ivs:
             wanted = {}
-            for (c, k), i in small:
+            for (c, k), i in small_ivs:
                 wanted.setdefault(c, set()).add(i)
             cond = reduce(lambda a, b: a | b,
                           [(F.col("column_name") == c) & F.col("iid").isin(sorted(ids)) for c, ids in wanted.items()])
@@ -153,15 +252,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
             per = {}
             for r in vals:
                 per.setdefault((r["column_name"], r["iid"]), []).append((r["x"], r["cnt"]))
-            for (c, k), i in small:
+            for (c, k), i in small_ivs:
                 st = pending[(c, k)]
-                want = k - st[2]
-                acc = 0
-                for x, cnt in sorted(per.get((c, i), [])):
-                    if acc + cnt > want:
-                        st[3] = x
-                        break
-                    acc += cnt
+                hit = _walk([(cnt, x) for x, cnt in sorted(per.get((c, i), []))], k - st[2])
+                if hit is not None:
+                    st[3] = hit[2]
         pending = {key: st for key, st in pending.items() if st[3] is None}
     for c, plan in plans.items():
         for p, pos, k0, k1 in plan:
@@ -192,28 +287,32 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int | None =
               "p25 double, p50 double, p75 double, max double")
     if not cols:
         return spark.createDataFrame([], schema)
-    aggs = []
-    for c in cols:
-        x = _q(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if not exact:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
-    one = df.agg(*aggs).first()
-    if exact:
-        stats = {c: (one[f"{c}__count"], one[f"{c}__min"], one[f"{c}__max"]) for c in cols}
-        qs = exact_quantiles(df, cols, (0.25, 0.5, 0.75), stats=stats)
     rows = []
-    for c in cols:
-        if exact:
-            q = [qs[c][0.25], qs[c][0.5], qs[c][0.75]]
-        else:
+    if exact:
+        mom: dict = {}
+        qs = exact_quantiles(df, cols, (0.25, 0.5, 0.75), accuracy=accuracy, moments=mom)
+        for c in cols:
+            m = mom.get(c, {})
+            rows.append((c, m.get("count", 0), [m.get("mean"), m.get("std"), m.get("min"), qs[c][0.25],
+                                                qs[c][0.5], qs[c][0.75], m.get("max")]))
+    else:
+        aggs = []
+        for c in cols:
+            x = _q(c).cast("double")
+            aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+                     F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+                     F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q")]
+        one = df.agg(*aggs).first()
+        for c in cols:
             q = one[f"{c}__q"] or [None, None, None]
-        vals = [one[f"{c}__mean"], one[f"{c}__std"], one[f"{c}__min"], q[0], q[1], q[2], one[f"{c}__max"]]
+            rows.append((c, one[f"{c}__count"], [one[f"{c}__mean"], one[f"{c}__std"], one[f"{c}__min"], q[0], q[1],
+                                                 q[2], one[f"{c}__max"]]))
+    out = []
+    for c, n, vals in rows:
         if digits is not None:
             vals = [None if v is None else round(v, digits) for v in vals]
-        rows.append((c, one[f"{c}__count"], *[None if v is None else float(v) for v in vals]))
-    return spark.createDataFrame(rows, schema)
+        out.append((c, int(n or 0), *[None if v is None else float(v) for v in vals]))
+    return spark.createDataFrame(out, schema)
 
 
 # -------------------------------------------------------------------------- A1b
@@ -289,30 +388,32 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, exac
     corrections against the exact edges.  Every bin is returned, empty ones
     with count 0.  Output: column_name, bin, lower, upper, count, mean, median.
 
-    Passes: one small aggregate for min/max/mean per column, then one
-    aggregate of (column, bin) counts with the bounds as literals; the result
-    is at most ``columns x bins`` rows."""
+    Passes: the exact-median passes (whose first pass also yields min, max
+    and mean per column), then one aggregate of (column, bin) counts with the
+    bounds as literals; the result is at most ``columns x bins`` rows."""
     spark = df.sparkSession
     cols = cols or numeric_columns(df)
     schema = ("column_name string, bin int, lower double, upper double, count long, mean double, median double")
     if not cols:
         return spark.createDataFrame([], schema)
     long = _long_doubles(df, cols)
-    st = {r["column_name"]: r for r in long.groupBy("column_name").agg(
-        F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mean")).collect()}
-    cols = [c for c in cols if c in st]
+    if exact_median:
+        mom: dict = {}
+        med = exact_quantiles(df, cols, (0.5,), moments=mom)
+        st = {c: {"n": m["count"], "mn": m["min"], "mx": m["max"], "mean": m["mean"]} for c, m in mom.items()}
+        medians = {c: med[c][0.5] for c in cols}
+    else:
+        st = {r["column_name"]: r for r in long.groupBy("column_name").agg(
+            F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mean"),
+            F.percentile_approx("x", 0.5, 10000).alias("m")).collect()}
+        medians = {c: r["m"] for c, r in st.items()}
+    cols = [c for c in cols if c in st and st[c]["n"]]
     if not cols:
         return spark.createDataFrame([], schema)
     bounds = {}
     for c in cols:
         mn, mx = st[c]["mn"], st[c]["mx"]
         bounds[c] = (mn - 0.5, mx + 0.5) if mn == mx else (mn, mx)
-    if exact_median:
-        med = exact_quantiles(df, cols, (0.5,), stats={c: (st[c]["n"], st[c]["mn"], st[c]["mx"]) for c in cols})
-        medians = {c: med[c][0.5] for c in cols}
-    else:
-        medians = {r["column_name"]: r["m"] for r in long.groupBy("column_name").agg(
-            F.percentile_approx("x", 0.5, 10000).alias("m")).collect()}
     lo = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(float(bounds[c][0])))]),
                       F.col("column_name"))
     hi = F.element_at(F.create_map(*[v for c in cols for v in (F.lit(c), F.lit(float(bounds[c][1])))]),

@@ -8,13 +8,24 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 1.5), rng.integers(0, 5, 700).astype(float)])
     df = spark.createDataFrame([(float(v), float(v) * 2) for v in vals], "a double, b double")
-    for final_rows in (50, 200_000):
-        q = P.exact_quantiles(df, ["a", "b"], (0.1, 0.25, 0.5, 0.75, 0.9), final_rows=final_rows, bins=16)
+    for final_rows, accuracy, bins in ((50, 10_000, 16), (10_000, 10_000, 1024), (50, 100, 16), (40, 20, 4)):
+        q = P.exact_quantiles(df, ["a", "b"], (0.1, 0.25, 0.5, 0.75, 0.9), final_rows=final_rows, bins=bins,
+                              accuracy=accuracy)
         for p in (0.1, 0.25, 0.5, 0.75, 0.9):
             assert q["a"][p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12)
             assert q["b"][p] == pytest.approx(float(np.percentile(vals * 2, p * 100)), rel=1e-12, abs=1e-12)
 
 
+def test_exact_quantiles_edge_cases(spark):
+    df = spark.createDataFrame([(1.0, None, 5.0), (None, None, 5.0), (3.0, None, 5.0)], "a double, e double, k double")
+    q = P.exact_quantiles(df, ["a", "e", "k"], (0.0, 0.5, 1.0))
+    assert q["a"] == {0.0: 1.0, 0.5: 2.0, 1.0: 3.0}
+    assert q["e"] == {0.0: None, 0.5: None, 1.0: None}
+    assert q["k"] == {0.0: 5.0, 0.5: 5.0, 1.0: 5.0}
+    one = spark.createDataFrame([(7.0,)], "a double")
+    assert P.exact_quantiles(one, ["a"], (0.25,))["a"][0.25] == 7.0
+
+
 def test_histogram_matches_numpy(spark):
     vals = [0.0, 0.1, 0.1, 0.35, 0.5, 0.5, 0.99, 1.0, 2.0, 2.0]
     df = spark.createDataFrame([(v, 3.0) for v in vals], "x double, c double")
