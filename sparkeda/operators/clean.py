@@ -145,8 +145,12 @@ class Imputer(Transform):
         else:
             g = _long_strings(df, cols, keep_nulls=False).groupBy("column_name", "value").agg(
                 F.count("*").alias("cnt"))
+            # ties -> smallest value, compared as numbers for numeric columns
+            num_cols = [c for c in cols if _is_numeric(df, c)]
+            as_num = F.when(F.col("column_name").isin(num_cols), F.col("value").try_cast("double")) \
+                if num_cols else F.lit(None).cast("double")
             best = g.groupBy("column_name").agg(
-                F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("value").alias("v"))).alias("b"))
+                F.min(F.struct((-F.col("cnt")).alias("neg"), as_num.alias("num"), F.col("value").alias("v"))).alias("b"))
             found = {r["column_name"]: r["b"]["v"] for r in best.collect()}
             self.values_ = {c: found.get(c, "0") for c in cols}
         return self

@@ -276,10 +276,11 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
-    """Precision, recall, F1, support per class plus macro and weighted averages."""
+    """Precision, recall, F1, support per class; an ``accuracy`` row (F1 column,
+    support = all rows); macro and weighted averages."""
     pc = _per_class(_conf(pred, label, prediction)).persist()  # one row per class, read three times
     per = pc.select(F.col("cls").alias("class"), "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
-    tot = pc.agg(F.sum("support").alias("n"), F.count("*").alias("k"),
+    tot = pc.agg(F.sum("support").alias("n"), F.count("*").alias("k"), F.sum("tp").alias("tp_all"),
                  F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
                  F.sum(F.col("recall") * F.col("support")).alias("wr"), F.sum(F.col("f1") * F.col("support")).alias("wf"))
@@ -289,7 +290,11 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     weighted = tot.select(F.lit("weighted avg").alias("class"), F.try_divide(F.col("wp"), F.col("n")).alias("precision"),
                           F.try_divide(F.col("wr"), F.col("n")).alias("recall"),
                           F.try_divide(F.col("wf"), F.col("n")).alias("f1"), F.col("n").cast("long").alias("support"))
-    out = per.unionByName(macro).unionByName(weighted)
+    acc = tot.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
+                     F.lit(None).cast("double").alias("recall"),
+                     F.try_divide(F.col("tp_all").cast("double"), F.col("n")).alias("f1"),
+                     F.col("n").cast("long").alias("support"))
+    out = per.unionByName(acc).unionByName(macro).unionByName(weighted)
     return out.select("class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 

@@ -150,6 +150,8 @@ def m10_classification_metrics(spark, sf_dir):
 M11_SQL = f"""WITH p AS ({PRED_SQL}), {_PC}
 SELECT cls AS class, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support FROM pf
 UNION ALL
+SELECT 'accuracy', NULL, NULL, round(sum(tp) * 1.0 / sum(support), 4), sum(support)::BIGINT FROM pf
+UNION ALL
 SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support)::BIGINT FROM pf
 UNION ALL
 SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4), round(sum(recall * support) / sum(support), 4),

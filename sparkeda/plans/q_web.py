@@ -12,9 +12,14 @@ from sparkeda.plans.catalog import register, tbl
 from sparkeda.plans.q_clean import lit
 
 
-def _el(spark, sf_dir, raw=False):
-    """The element table, persisted: several extractors read it in one plan."""
-    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw)
+def _el(spark, sf_dir, raw=False, reused=True):
+    """The element table; persisted when the plan reads it more than once."""
+    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw, persist=reused)
+
+
+# extractors that read the element table once: no persist needed
+SINGLE_READ = {"h1_headings", "h2_paragraphs", "h3_visible_text", "h4_links", "h5_images", "h16_headings_table",
+               "h16_paragraphs_table", "g1_link_edges"}
 
 
 @register("h0_parse_pages")
@@ -29,7 +34,8 @@ for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs),
                    ("h15_page_summary", W.page_summary), ("h16_headings_table", W.headings_table),
                    ("h16_paragraphs_table", W.paragraphs_table), ("g1_link_edges", G.link_edges),
                    ("g3_next_page", G.next_page)]:
-    register(_name)((lambda f: (lambda spark, sf_dir: f(_el(spark, sf_dir))))(_fn))
+    register(_name)((lambda f, reused: (lambda spark, sf_dir: f(_el(spark, sf_dir, reused=reused))))(
+        _fn, _name not in SINGLE_READ))
 
 
 @register("h11_products")
@@ -39,7 +45,7 @@ def h11_products(spark, sf_dir):
 
 @register("h12_by_tags")
 def h12_by_tags(spark, sf_dir):
-    return W.by_tags(_el(spark, sf_dir), ["div", "li"], class_="ad")
+    return W.by_tags(_el(spark, sf_dir, reused=False), ["div", "li"], class_="ad")
 
 
 @register("h13_select_path")

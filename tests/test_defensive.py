@@ -47,6 +47,11 @@ def test_pipeline_reports_failing_step(spark):
     assert not res.ok and res.failed_step == "1:Broken" and "boom" in res.error
 
 
+def test_mode_ties_numeric_order(spark):
+    df = spark.createDataFrame([(10.0,), (9.0,), (10.0,), (9.0,), (None,)], "x double")
+    assert Imputer("mode", ["x"]).fit(df).values_ == {"x": "9.0"}
+
+
 def test_minmax_and_mode(spark):
     df = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, "b"), (5.0, None)], "x double, s string")
     out = Scaler("minmax").fit_transform(df).collect()
