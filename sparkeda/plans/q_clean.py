@@ -103,7 +103,7 @@ def t8_drop_empty_records(spark, sf_dir):
     return C.drop_empty_records(recs)
 
 
-T9_SQL = (f"SELECT doc_id, length(text) AS length, "
+T9_SQL = (f"SELECT doc_id, CAST(length(text) AS INTEGER) AS length, "
           f"CAST(len(regexp_extract_all(text, {lit('[^' + WS + ']+')})) AS INTEGER) AS words FROM documents")
 
 

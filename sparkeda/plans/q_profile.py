@@ -149,7 +149,8 @@ VC_COLS = ["p_brand", "p_type"]
 A7_SQL = f"""
 WITH long AS ({_union([f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM part WHERE {c} IS NOT NULL" for c in VC_COLS])}),
 g AS (SELECT column_name, value, count(*) AS "count" FROM long GROUP BY ALL)
-SELECT column_name, value, "count", row_number() OVER (PARTITION BY column_name ORDER BY "count" DESC, value) AS rank
+SELECT column_name, value, "count",
+       CAST(row_number() OVER (PARTITION BY column_name ORDER BY "count" DESC, value) AS INTEGER) AS rank
 FROM g QUALIFY rank <= 12
 """
 

@@ -78,7 +78,7 @@ WHERE rn = 1
 _q("q9_window_running", """
 SELECT event_id, user_id, value,
        lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value,
-       rank() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS value_rank,
+       CAST(rank() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INT) AS value_rank,
        round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running
 FROM events
@@ -117,9 +117,9 @@ SELECT upper(substring(c.c_name, 1, 8)) AS name8, year(o.o_orderdate) AS yr,
        round(o.o_totalprice / 1000, 1) AS k_price, length(c.c_mktsegment) AS seg_len
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """, """
-SELECT upper(substring(c.c_name, 1, 8)) AS name8, year(o.o_orderdate) AS yr,
+SELECT upper(substring(c.c_name, 1, 8)) AS name8, CAST(year(o.o_orderdate) AS INTEGER) AS yr,
        strftime(date_trunc('month', o.o_orderdate), '%Y-%m-%d') AS month_start,
-       round(o.o_totalprice / 1000, 1) AS k_price, length(c.c_mktsegment) AS seg_len
+       round(o.o_totalprice / 1000, 1) AS k_price, CAST(length(c.c_mktsegment) AS INTEGER) AS seg_len
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """)
 
@@ -128,7 +128,7 @@ SELECT CAST(get_json_object(props, '$.k') AS INT) DIV 10 AS k_decile, count(*) A
        round(avg(value), 4) AS avg_value
 FROM events GROUP BY 1
 """, """
-SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS k_decile, count(*) AS n,
+SELECT CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS BIGINT) AS k_decile, count(*) AS n,
        round(avg(value), 4) AS avg_value
 FROM events GROUP BY 1
 """)

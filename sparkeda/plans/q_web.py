@@ -152,7 +152,7 @@ def a12_quality_report(spark, sf_dir):
     return quality_report(recs.select("tipo", "contenido", "src", "texto", "href"))
 
 
-@register("s12_read_pages", "SELECT page_id, url, length(html) AS bytes FROM pages")
+@register("s12_read_pages", "SELECT page_id, url, CAST(length(html) AS INTEGER) AS bytes FROM pages")
 def s12_read_pages(spark, sf_dir):
     import os
     from sparkeda.sources.files import read_pages
