@@ -87,11 +87,11 @@ NEXT_LINK_TEXTS = ["Next", "Siguiente", "›", "»", "→"]
 def next_page_candidates(el: DataFrame) -> DataFrame:
     """(page_id, url, prio, node_id, href) for every ``a`` matching a priority test."""
     a = elements(el, ["a"]).select("page_id", "url", "node_id", "classes", "attrs", "is_last", "full_text",
-                                   F.posexplode("path").alias("pos", "anc"))
+                                   "own_string", F.posexplode("path").alias("pos", "anc"))
     info = elements(el).select("page_id", F.col("node_id").alias("anc"), F.col("tag").alias("atag"),
                                F.col("classes").alias("acls"), attr("class").alias("araw"))
     j = a.join(info, ["page_id", "anc"], "left")
-    agg = j.groupBy("page_id", "url", "node_id", "classes", "attrs", "is_last", "full_text").agg(
+    agg = j.groupBy("page_id", "url", "node_id", "classes", "attrs", "is_last", "full_text", "own_string").agg(
         F.max(F.array_contains("acls", "pagination").cast("int")).alias("in_pagination"),
         F.min(F.when(F.array_contains("acls", "pager"), F.col("pos"))).alias("pager_pos"),
         F.max(F.when(F.array_contains("acls", "next"), F.col("pos"))).alias("next_pos"),
@@ -110,7 +110,7 @@ def next_page_candidates(el: DataFrame) -> DataFrame:
         F.col("next_pos").isNotNull(),
         F.col("in_class_next") == 1,
     ] + [F.col("full_text").contains(t) for t in NEXT_TEXTS_CONTAINS] \
-      + [F.lower(F.col("full_text")).contains(t.lower()) for t in NEXT_LINK_TEXTS]
+      + [F.lower(F.col("own_string")).contains(t.lower()) for t in NEXT_LINK_TEXTS]
     prios = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(i)) for i, t in enumerate(tests)]))
     return agg.select("page_id", "url", "node_id", attr("href").alias("href"), F.explode(prios).alias("prio"))
 

@@ -14,7 +14,9 @@ Columns
   full_text (elements: stripped strings joined with no separator, as
   ``get_text(strip=True)``), raw_text (optional: unstripped ``get_text()``),
   src_start / src_end (character offsets of the element in ``html``),
-  tag_pos (1-based ordinal of the element among same-tag elements of the page).
+  tag_pos (1-based ordinal of the element among same-tag elements of the page),
+  own_string (the element's single string: set when its content reduces, through
+  single children, to one string node, else NULL).
   ``raw_text`` is always filled for the document node (``get_text()``).
 """
 
@@ -44,7 +46,7 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("full_text", T.StringType()),
     T.StructField("raw_text", T.StringType()),
     T.StructField("src_start", T.IntegerType()), T.StructField("src_end", T.IntegerType()),
-    T.StructField("tag_pos", T.IntegerType()),
+    T.StructField("tag_pos", T.IntegerType()), T.StructField("own_string", T.StringType()),
 ])
 
 _ARROW_SCHEMA = pa.schema([
@@ -53,7 +55,7 @@ _ARROW_SCHEMA = pa.schema([
     ("kind", pa.string()), ("tag", pa.string()), ("parent_tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
     ("is_last", pa.bool_()), ("text", pa.string()), ("full_text", pa.string()), ("raw_text", pa.string()),
-    ("src_start", pa.int32()), ("src_end", pa.int32()), ("tag_pos", pa.int32()),
+    ("src_start", pa.int32()), ("src_end", pa.int32()), ("tag_pos", pa.int32()), ("own_string", pa.string()),
 ])
 
 _PLAIN = "plain"
@@ -102,6 +104,7 @@ class _TreeBuilder(HTMLParser):
         node = {"node_id": len(self.nodes), "kind": kind, "tag": None, "attrs": None, "classes": None,
                 "parent": parent, "text": text, "src_start": None, "src_end": None, "children": None}
         self.nodes.append(node)
+        parent["children"].append(node)
         if kind in ("text", "cdata"):
             stype = self._container() if kind == "text" else "cdata"
             self.pieces.append((text.strip(), text, stype))
@@ -186,6 +189,17 @@ class _TreeBuilder(HTMLParser):
         self.stack = []
 
 
+def _single_string(node):
+    """The one string an element reduces to through single children, else None."""
+    while True:
+        ch = node["children"]
+        if not ch or len(ch) != 1:
+            return None
+        node = ch[0]
+        if node["kind"] != "element":
+            return node["text"]
+
+
 def _wanted_type(tag: str) -> set:
     return {tag} if tag in STRING_CONTAINERS else {_PLAIN, "cdata"}
 
@@ -226,10 +240,11 @@ def parse_html(page_id: int, url: str, html: str, with_raw: bool = False):
             is_last = bool(kids) and kids[-1] is node
             yield (page_id, url, node["node_id"], parent["node_id"] if parent else None, len(path), path, path_tags,
                    "element", node["tag"], parent["tag"] if parent else None, node["attrs"], node["classes"],
-                   is_last, None, full, raw, node["src_start"], node["src_end"], tag_seen[node["tag"]])
+                   is_last, None, full, raw, node["src_start"], node["src_end"], tag_seen[node["tag"]],
+                   _single_string(node))
         else:
             yield (page_id, url, node["node_id"], parent["node_id"], len(path), path, path_tags, node["kind"], None,
-                   parent["tag"], None, None, None, node["text"], None, None, None, None, None)
+                   parent["tag"], None, None, None, node["text"], None, None, None, None, None, None)
 
 
 def _emit(rows):

@@ -150,3 +150,11 @@ def test_crawl_limit(spark, el, pages):
     r = G.reachable(pages, e, ["https://shop.example.com/catalog?x=1"], depth=5, max_pages=2).collect()
     assert [x.url for x in sorted(r, key=lambda x: (x.level, x.order))] == [
         "https://shop.example.com/catalog?x=1", "https://shop.example.com/page/2"]
+
+
+def test_next_page_single_string_rule(spark):
+    rows = [(10, "https://n.example.com/a", '<a href="/x"><b>›</b> more</a><a href="/y">›</a>'),
+            (11, "https://n.example.com/b", '<a href="/x"><b>›</b> more</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nx = {r.page_id: r.next_url for r in G.next_page(parse_pages(pages)).collect()}
+    assert nx == {10: "https://n.example.com/y"}
