@@ -8,6 +8,7 @@ payload ever travels to the driver and no RDD is needed.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -155,12 +156,54 @@ def flatten_complex_cells(df: DataFrame, empty_as_null: bool = True) -> DataFram
     return join_maps(join_arrays(df, empty_as_null=empty_as_null))
 
 
+def _first_record_text(df: DataFrame, body: str, path: str | None) -> str | None:
+    """Raw JSON text of one record (key order as written), via one tiny job."""
+    b = F.col(body)
+    if path:
+        node = F.get_json_object(b, _json_path(path))
+        rec = F.when(F.ltrim(node).startswith("["), F.get_json_object(node, "$[0]")).otherwise(node)
+    else:
+        m = F.from_json(b, "map<string,string>")
+        key = F.try_element_at(
+            F.filter(F.json_object_keys(b), lambda k: F.ltrim(F.try_element_at(m, k)).startswith("[")), F.lit(1))
+        rec = (F.when(F.ltrim(b).startswith("["), F.get_json_object(b, "$[0]"))
+               .when(key.isNotNull(), F.get_json_object(F.try_element_at(m, key), "$[0]"))
+               .otherwise(b))
+    row = df.select(rec.alias("t")).where(F.col("t").isNotNull()).limit(1).collect()
+    return row[0]["t"] if row else None
+
+
+def _doc_order(text: str | None, sep: str = ".") -> list[str]:
+    """Flattened column names of one JSON record in document order."""
+    if not text:
+        return []
+    try:
+        obj = json.loads(text)
+    except ValueError:
+        return []
+    out: list[str] = []
+
+    def walk(prefix, v):
+        if isinstance(v, dict) and v:
+            for k, x in v.items():
+                walk(prefix + [k], x)
+        else:
+            out.append(sep.join(prefix))
+
+    if isinstance(obj, dict):
+        for k, v in obj.items():
+            walk([k], v)
+    return out
+
+
 def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None, keep=(),
-                      check: bool = False) -> DataFrame:
+                      check: bool = False, document_order: bool = True) -> DataFrame:
     """J1/J2 -> J3 -> J4/J5: payload column to a flat table of records.
 
     With a ``path`` the key check and the record schema come from one
-    aggregate over the payloads (the merged schema of the array nodes)."""
+    aggregate over the payloads (the merged schema of the array nodes).
+    Columns follow the key order of a record as written (``document_order``;
+    keys missing from that record follow alphabetically)."""
     schema = None
     if path:
         row = _check_path(df, path, body, [F.schema_of_variant_agg(_node(path, body)).alias("_schema")])
@@ -174,7 +217,13 @@ def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None
         recs = detect_records(df, body, keep)
     if check:
         require_records(recs)
-    return flatten_complex_cells(flatten(records_to_struct(recs, "record", keep, schema=schema)))
+    out = flatten_complex_cells(flatten(records_to_struct(recs, "record", keep, schema=schema)))
+    if document_order:
+        order = _doc_order(_first_record_text(df, body, path))
+        rest = [c for c in out.columns if c not in keep]
+        cols = list(keep) + [c for c in order if c in rest] + [c for c in rest if c not in order]
+        out = out.select(*[F.col(f"`{c}`") for c in cols])
+    return out
 
 
 # --------------------------------------------------------------------------- J6/J7

@@ -21,6 +21,12 @@ def test_detect_and_flatten(spark):
         ("/list", 1, "a, b", 1.5), ("/list", 2, None, 2.0), ("/wrapped", 3, "c", 0.5), ("/single", 4, None, 4.0)]
 
 
+def test_document_order(spark):
+    df = spark.createDataFrame([("e", json.dumps([{"zeta": 1, "alpha": {"y": 2, "b": 3}, "mid": "x"}]))],
+                               "endpoint string, body string")
+    assert N.payloads_to_table(df, keep=["endpoint"]).columns == ["endpoint", "zeta", "alpha.y", "alpha.b", "mid"]
+
+
 def test_first_list_key_wins(spark):
     df = spark.createDataFrame([("e", json.dumps({"id": 1, "tags": ["x", "y"]}))], "endpoint string, body string")
     recs = N.records_to_struct(N.detect_records(df))
