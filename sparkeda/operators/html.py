@@ -204,8 +204,13 @@ def _wanted_type(tag: str) -> set:
     return {tag} if tag in STRING_CONTAINERS else {_PLAIN, "cdata"}
 
 
-def parse_html(page_id: int, url: str, html: str, with_raw: bool = False):
-    """Yield node records (tuples in ``ELEMENT_SCHEMA`` order) for one page."""
+def parse_html(page_id: int, url: str, html: str, with_raw: bool = False, text_tags=None,
+               keep_strings: bool = True):
+    """Yield node records (tuples in ``ELEMENT_SCHEMA`` order) for one page.
+
+    ``text_tags``: compute ``full_text`` / ``raw_text`` only for these tags (the
+    document node always); None = every element.  ``keep_strings``: emit the
+    string nodes (needed by visible-text extraction only)."""
     b = _TreeBuilder(html or "", with_raw)
     try:
         b.feed(html or "")
@@ -229,12 +234,15 @@ def parse_html(page_id: int, url: str, html: str, with_raw: bool = False):
         path.reverse()
         path_tags.reverse()
         if node["kind"] == "element":
-            lo = node["open_piece"] or 0
-            hi = node.get("close_piece", len(pieces))
-            want = _wanted_type(node["tag"])
-            sel = [pc for pc in pieces[lo:hi] if pc[2] in want]
-            full = "".join(pc[0] for pc in sel)
-            raw = "".join(pc[1] for pc in sel) if (with_raw or parent is None) else None
+            if text_tags is None or parent is None or node["tag"] in text_tags:
+                lo = node["open_piece"] or 0
+                hi = node.get("close_piece", len(pieces))
+                want = _wanted_type(node["tag"])
+                sel = [pc for pc in pieces[lo:hi] if pc[2] in want]
+                full = "".join(pc[0] for pc in sel)
+                raw = "".join(pc[1] for pc in sel) if (with_raw or parent is None) else None
+            else:
+                full = raw = None
             tag_seen[node["tag"]] = tag_seen.get(node["tag"], 0) + 1
             kids = [c for c in (parent["children"] if parent else []) if c["kind"] == "element"]
             is_last = bool(kids) and kids[-1] is node
@@ -242,7 +250,7 @@ def parse_html(page_id: int, url: str, html: str, with_raw: bool = False):
                    "element", node["tag"], parent["tag"] if parent else None, node["attrs"], node["classes"],
                    is_last, None, full, raw, node["src_start"], node["src_end"], tag_seen[node["tag"]],
                    _single_string(node))
-        else:
+        elif keep_strings:
             yield (page_id, url, node["node_id"], parent["node_id"], len(path), path, path_tags, node["kind"], None,
                    parent["tag"], None, None, None, node["text"], None, None, None, None, None, None)
 
@@ -258,12 +266,12 @@ def _emit(rows):
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
-def _parse_batches(batches, with_raw: bool, rows_per_batch: int = 20000):
+def _parse_batches(batches, with_raw: bool, text_tags=None, keep_strings: bool = True, rows_per_batch: int = 20000):
     for batch in batches:
         d = batch.to_pydict()
         out = []
         for pid, url, html in zip(d["page_id"], d["url"], d["html"]):
-            for rec in parse_html(pid, url, html, with_raw):
+            for rec in parse_html(pid, url, html, with_raw, text_tags, keep_strings):
                 out.append(rec)
                 if len(out) >= rows_per_batch:
                     yield _emit(out)
@@ -273,27 +281,33 @@ def _parse_batches(batches, with_raw: bool, rows_per_batch: int = 20000):
 
 
 def element_table(pages: DataFrame, with_raw_text: bool = False, path: str | None = None,
-                  persist: bool = True) -> DataFrame:
+                  persist: bool = True, text_tags=None, keep_strings: bool = True) -> DataFrame:
     """H0 for reuse by several extractors, so the Python parse runs once.
 
     With ``path`` the table is written as parquet (a lineage cut that survives
     lost executors; use a folder under ``spark.checkpoint.dir`` or the
     warehouse) and read back; otherwise it is persisted in memory and disk."""
     from pyspark import StorageLevel
-    el = parse_pages(pages, with_raw_text)
+    el = parse_pages(pages, with_raw_text, text_tags=text_tags, keep_strings=keep_strings)
     if path:
         el.write.mode("overwrite").parquet(path)
         return pages.sparkSession.read.parquet(path)
     return el.persist(StorageLevel.MEMORY_AND_DISK) if persist else el
 
 
-def parse_pages(pages: DataFrame, with_raw_text: bool = False) -> DataFrame:
+def parse_pages(pages: DataFrame, with_raw_text: bool = False, text_tags=None,
+                keep_strings: bool = True) -> DataFrame:
     """H0: the element table of ``pages(page_id, url, html)``.
 
     Parsing is embarrassingly parallel (no shuffle); output rows stream out in
     bounded Arrow batches.  Persist or write the result when several
-    extractors read it."""
+    extractors read it.
+
+    At scale pass ``text_tags`` (the tags whose text the extractors read) and
+    ``keep_strings=False`` unless visible text is wanted: ancestors such as
+    ``body`` would otherwise each carry the page's whole text."""
     from sparkeda.session import spread
     src = spread(pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"),
                               pages["html"].cast("string")))
-    return src.mapInArrow(lambda it: _parse_batches(it, with_raw_text), ELEMENT_SCHEMA)
+    tt = None if text_tags is None else frozenset(text_tags)
+    return src.mapInArrow(lambda it: _parse_batches(it, with_raw_text, tt, keep_strings), ELEMENT_SCHEMA)

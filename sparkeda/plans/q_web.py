@@ -12,14 +12,17 @@ from sparkeda.plans.catalog import register, tbl
 from sparkeda.plans.q_clean import lit
 
 
-def _el(spark, sf_dir, raw=False, reused=True):
+def _el(spark, sf_dir, raw=False, reused=True, text_tags=None, keep_strings=True):
     """The element table; persisted when the plan reads it more than once."""
-    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw, persist=reused)
+    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw, persist=reused, text_tags=text_tags,
+                         keep_strings=keep_strings)
 
 
-# extractors that read the element table once: no persist needed
-SINGLE_READ = {"h1_headings", "h2_paragraphs", "h3_visible_text", "h4_links", "h5_images", "h16_headings_table",
-               "h16_paragraphs_table", "g1_link_edges"}
+# extractors that read the element table once: no persist; only the text they read
+SINGLE_READ = {"h1_headings": (W.HEADING_TAGS, False), "h2_paragraphs": (["p"], False),
+               "h3_visible_text": ([], True), "h4_links": (["a"], False), "h5_images": ([], False),
+               "h16_headings_table": (["h1", "h2", "h3"], False), "h16_paragraphs_table": (["p"], False),
+               "g1_link_edges": ([], False)}
 
 
 @register("h0_parse_pages")
@@ -34,8 +37,12 @@ for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs),
                    ("h15_page_summary", W.page_summary), ("h16_headings_table", W.headings_table),
                    ("h16_paragraphs_table", W.paragraphs_table), ("g1_link_edges", G.link_edges),
                    ("g3_next_page", G.next_page)]:
-    register(_name)((lambda f, reused: (lambda spark, sf_dir: f(_el(spark, sf_dir, reused=reused))))(
-        _fn, _name not in SINGLE_READ))
+    if _name in SINGLE_READ:
+        _tags, _strings = SINGLE_READ[_name]
+        register(_name)((lambda f, t, k: (lambda spark, sf_dir: f(
+            _el(spark, sf_dir, reused=False, text_tags=t, keep_strings=k))))(_fn, _tags, _strings))
+    else:
+        register(_name)((lambda f: (lambda spark, sf_dir: f(_el(spark, sf_dir))))(_fn))
 
 
 @register("h11_products")
@@ -45,7 +52,8 @@ def h11_products(spark, sf_dir):
 
 @register("h12_by_tags")
 def h12_by_tags(spark, sf_dir):
-    return W.by_tags(_el(spark, sf_dir, reused=False), ["div", "li"], class_="ad")
+    tags = ["div", "li"]
+    return W.by_tags(_el(spark, sf_dir, reused=False, text_tags=tags, keep_strings=False), tags, class_="ad")
 
 
 @register("h13_select_path")

@@ -83,3 +83,25 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
         return df
     target = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Make this package importable on executors (Python workers unpickle the
+    operators' functions, e.g. the HTML parser and Arrow helpers).
+
+    Zips the installed package on the driver and registers it with
+    ``addPyFile``; Spark copies it to every executor.  Not needed when the
+    package is installed on the cluster image or passed with ``--py-files``."""
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="sparkeda-pkg-")
+    zpath = os.path.join(out_dir, "sparkeda.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    spark.sparkContext.addPyFile(zpath)
+    return zpath
