@@ -104,49 +104,67 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
     eps = 1.0 / accuracy
     margins = sorted({max(0.0, p - 4 * eps) for p in probs} | {min(1.0, p + 4 * eps) for p in probs})
     # pass 1 on the wide table (no unpivot needed for per-column aggregates)
+    inf = float("inf")
     aggs = []
     for i, c in enumerate(cols):
         x = _q(c).cast("double")
         x = F.when(~F.isnan(x), x)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+        fin = F.when((x > -inf) & (x < inf), x)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(fin).alias(f"lo{i}"), F.max(fin).alias(f"hi{i}"),
+                 F.count_if(x == -inf).alias(f"ng{i}"), F.count_if(x == inf).alias(f"ps{i}"),
                  F.percentile_approx(x, margins, accuracy).alias(f"ap{i}")]
         if moments is not None:
-            aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}")]
+            aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                     F.min(x).alias(f"rmin{i}"), F.max(x).alias(f"rmax{i}")]
     one = df.agg(*aggs).first()
     rows = {}
     for i, c in enumerate(cols):
         if one[f"n{i}"]:
             rows[c] = {"n": one[f"n{i}"], "lo": one[f"lo{i}"], "hi": one[f"hi{i}"], "approx": one[f"ap{i}"],
+                       "neg": one[f"ng{i}"], "pos": one[f"ps{i}"],
                        "mean": one[f"mean{i}"] if moments is not None else None,
-                       "std": one[f"std{i}"] if moments is not None else None}
+                       "std": one[f"std{i}"] if moments is not None else None,
+                       "rmin": one[f"rmin{i}"] if moments is not None else None,
+                       "rmax": one[f"rmax{i}"] if moments is not None else None}
     if moments is not None:
         for c, r in rows.items():
-            moments[c] = {"count": r["n"], "min": r["lo"], "max": r["hi"], "mean": r["mean"], "std": r["std"]}
+            moments[c] = {"count": r["n"], "min": r["rmin"], "max": r["rmax"], "mean": r["mean"], "std": r["std"],
+                          "finite_min": r["lo"], "finite_max": r["hi"]}
+    # narrowing works on finite values only; ranks on infinities resolve directly
+    long = long.where((F.col("x") > -inf) & (F.col("x") < inf))
     result = {c: {p: None for p in probs} for c in cols}
     plans, need, brackets = {}, {}, {}
     for c in cols:
         r = rows.get(c)
         if r is None or not r["n"]:
             continue
-        n, lo, hi = r["n"], r["lo"], r["hi"]
+        n, lo, hi, neg, pos_inf = r["n"], r["lo"], r["hi"], r["neg"], r["pos"]
         plans[c] = _order_stat_plan(n, probs)
-        approx = dict(zip(margins, r["approx"]))
-        ivs = []
-        for p in probs:
-            a = approx[max(0.0, p - 4 * eps)]
-            b = approx[min(1.0, p + 4 * eps)]
-            ivs.append((max(lo, min(a, b)), min(hi, max(a, b))))
-        brackets[c] = _merge_intervals(ivs)
+        nf = n - neg - pos_inf
+        if nf > 0:
+            approx = dict(zip(margins, r["approx"]))
+            ivs = []
+            for p in probs:
+                a = approx[max(0.0, p - 4 * eps)]
+                b = approx[min(1.0, p + 4 * eps)]
+                ivs.append((max(lo, min(a, b, hi)), min(hi, max(a, b, lo))))
+            brackets[c] = _merge_intervals(ivs)
         for _, _, k0, k1 in plans[c]:
             for k in (k0, k1):
                 # state: [lo, hi, below, resolved, rows in interval]
-                need[(c, k)] = [lo, hi, 0, lo if lo == hi else None, n]
+                if k < neg:
+                    need[(c, k)] = [None, None, 0, -inf, 0]
+                elif k >= n - pos_inf:
+                    need[(c, k)] = [None, None, 0, inf, 0]
+                else:
+                    need[(c, k)] = [lo, hi, neg, lo if lo == hi else None, nf]
 
     # pass 2: brackets + gaps, one group-by --------------------------------------
     todo = [c for c in brackets if any(need[(c, k)][3] is None for k in
                                        {k for _, _, k0, k1 in plans[c] for k in (k0, k1)})]
+    todo_n = {c: rows[c]["n"] - rows[c]["neg"] - rows[c]["pos"] for c in todo}
     if todo:
-        small = {c: 8 * eps * rows[c]["n"] * len(brackets[c]) <= final_rows for c in todo}
+        small = {c: 8 * eps * todo_n[c] * len(brackets[c]) <= final_rows for c in todo}
 
         def lit_map(values: dict, typ: str) -> Column:
             return F.element_at(F.create_map(*[v for c, val in values.items() for v in (F.lit(c), F.lit(val))])
@@ -183,7 +201,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
             for (cc, k), st in need.items():
                 if cc != c or st[3] is not None:
                     continue
-                hit = _walk(pieces, k)
+                hit = _walk(pieces, k - st[2])
                 if hit is None:
                     continue
                 before, cnt, r = hit
@@ -191,7 +209,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
                 if (odd and small[c]) or r["mn"] == r["mx"]:
                     st[3] = r["mn"] if not (odd and small[c]) else r["sub"]
                 else:
-                    st[0], st[1], st[2], st[4] = r["mn"], r["mx"], before, cnt
+                    st[0], st[1], st[2], st[4] = r["mn"], r["mx"], st[2] + before, cnt
 
     # pass 3+: narrowing inside large bins / gaps ---------------------------------
     pending = {key: st for key, st in need.items() if st[3] is None}
@@ -261,7 +279,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
     for c, plan in plans.items():
         for p, pos, k0, k1 in plan:
             v0, v1 = need[(c, k0)][3], need[(c, k1)][3]
-            result[c][p] = v0 if k0 == k1 else (k1 - pos) * v0 + (pos - k0) * v1
+            if k0 == k1 or v0 == v1:
+                result[c][p] = v0
+            else:
+                result[c][p] = (k1 - pos) * v0 + (pos - k0) * v1
     return result
 
 
@@ -396,18 +417,20 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, exac
     schema = ("column_name string, bin int, lower double, upper double, count long, mean double, median double")
     if not cols:
         return spark.createDataFrame([], schema)
-    long = _long_doubles(df, cols)
+    # infinite values cannot be binned (numpy refuses an infinite range): finite values only
+    long = _long_doubles(df, cols).where((F.col("x") > float("-inf")) & (F.col("x") < float("inf")))
     if exact_median:
         mom: dict = {}
         med = exact_quantiles(df, cols, (0.5,), moments=mom)
-        st = {c: {"n": m["count"], "mn": m["min"], "mx": m["max"], "mean": m["mean"]} for c, m in mom.items()}
+        st = {c: {"n": m["count"], "mn": m["finite_min"], "mx": m["finite_max"], "mean": m["mean"]}
+              for c, m in mom.items()}
         medians = {c: med[c][0.5] for c in cols}
     else:
         st = {r["column_name"]: r for r in long.groupBy("column_name").agg(
             F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("mean"),
             F.percentile_approx("x", 0.5, 10000).alias("m")).collect()}
         medians = {c: r["m"] for c, r in st.items()}
-    cols = [c for c in cols if c in st and st[c]["n"]]
+    cols = [c for c in cols if c in st and st[c]["n"] and st[c]["mn"] is not None]
     if not cols:
         return spark.createDataFrame([], schema)
     bounds = {}

@@ -82,3 +82,14 @@ def test_class_counts_check(spark):
     df = spark.createDataFrame([(1,), (1,)], "y int")
     with pytest.raises(ValueError):
         P.class_counts(df, "y", check=True)
+
+
+def test_exact_quantiles_with_infinities(spark):
+    vals = [float("-inf"), 1.0, 2.0, 3.0, float("inf"), 5.0] + [float(i) for i in range(200)]
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    for kw in (dict(), dict(final_rows=3, accuracy=20, bins=4)):
+        q = P.exact_quantiles(df, ["a"], (0.0, 0.25, 0.5, 1.0), **kw)["a"]
+        assert q[0.0] == float("-inf") and q[1.0] == float("inf")
+        assert q[0.25] == pytest.approx(float(np.percentile(vals, 25))) and q[0.5] == pytest.approx(97.5)
+    h = P.histogram(df, ["a"], bins=4).collect()
+    assert sum(r["count"] for r in h) == len(vals) - 2
