@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sparkeda.operators import nested as N
@@ -18,7 +19,9 @@ def event_payloads(spark, sf_dir):
                     F.array(F.col("event_type"), F.col("user_id").cast("string")).alias("tags"),
                     F.struct(F.col("user_id").alias("user"), F.col("value").alias("value")).alias("meta"))
     body = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("data")))
-    return e.select(F.concat(F.lit("/events/"), F.col("event_type")).alias("endpoint"), body.alias("body"))
+    # derived input read by several passes (path check + schema, one record, records): persist once
+    return e.select(F.concat(F.lit("/events/"), F.col("event_type")).alias("endpoint"), body.alias("body")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 J1_SQL = """SELECT '/events/' || event_type AS endpoint, event_id AS id, event_type AS type,
