@@ -93,3 +93,19 @@ def test_exact_quantiles_with_infinities(spark):
         assert q[0.25] == pytest.approx(float(np.percentile(vals, 25))) and q[0.5] == pytest.approx(97.5)
     h = P.histogram(df, ["a"], bins=4).collect()
     assert sum(r["count"] for r in h) == len(vals) - 2
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False)),
+                min_size=1, max_size=300),
+       st.sampled_from([(16, 10, 20), (1024, 10_000, 10_000), (4, 5, 50)]))
+def test_exact_quantiles_property(spark, vals, params):
+    bins, final_rows, accuracy = params
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    probs = (0.0, 0.1, 0.5, 0.9, 1.0)
+    q = P.exact_quantiles(df, ["a"], probs, bins=bins, final_rows=final_rows, accuracy=accuracy)["a"]
+    for p in probs:
+        assert q[p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-9, abs=1e-9)
