@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sparkeda.session import spread
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -116,7 +118,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
         if moments is not None:
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"rmin{i}"), F.max(x).alias(f"rmax{i}")]
-    one = df.agg(*aggs).first()
+    # the sketch aggregate is CPU-heavy and not code-generated: give it enough tasks
+    one = spread(df.select(*[_q(c) for c in cols])).agg(*aggs).first()
     rows = {}
     for i, c in enumerate(cols):
         if one[f"n{i}"]:
