@@ -15,8 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from sparkeda.session import spread
-
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -60,16 +58,6 @@ def _order_stat_plan(n: int, probs):
     return out
 
 
-def _merge_intervals(ivs):
-    out = []
-    for lo, hi in sorted(ivs):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
-
-
 def _walk(pieces, want):
     """Find the entry holding 0-based rank ``want`` in ordered (count, payload) pieces."""
     acc = 0
@@ -80,32 +68,10 @@ def _walk(pieces, want):
     return None
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bins: int = 1024,
-                    final_rows: int = 10_000, accuracy: int = 10_000, moments: dict | None = None) -> dict:
-    """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
-
-    No task ever holds a whole column, and every pass is one distributed
-    group-by whose result is bounded (``columns x targets x max(bins,
-    final_rows)`` rows):
-
-    1. per column: count, min, max (and, if ``moments`` is a dict, mean and
-       sample std, filled in) plus ``percentile_approx`` brackets around each
-       wanted rank;
-    2. one bracket pass: values inside small brackets are counted per value,
-       large brackets per bin, and the gaps between brackets are counted too,
-       so every rank is located exactly even when a bracket misses;
-    3. only if a rank is still inside a large bin or gap: histogram narrowing
-       passes (each shrinks the interval ~``bins``-fold) and a final read of
-       at most ``final_rows`` values.
-
-    Typical data needs passes 1 and 2 only.  Returns ``{column: {p: value}}``.
-    """
-    if not cols:
-        return {}
-    long = _long_doubles(df, cols)
-    eps = 1.0 / accuracy
-    margins = sorted({max(0.0, p - 4 * eps) for p in probs} | {min(1.0, p + 4 * eps) for p in probs})
-    # pass 1 on the wide table (no unpivot needed for per-column aggregates)
+def column_stats(df: DataFrame, cols: list[str], moments: bool = False) -> dict:
+    """One wide, code-generated aggregate per table: per column the count of
+    non-null non-NaN values, finite min/max, counts of -inf / +inf and, with
+    ``moments``, mean, sample std and raw min/max."""
     inf = float("inf")
     aggs = []
     for i, c in enumerate(cols):
@@ -113,45 +79,54 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
         x = F.when(~F.isnan(x), x)
         fin = F.when((x > -inf) & (x < inf), x)
         aggs += [F.count(x).alias(f"n{i}"), F.min(fin).alias(f"lo{i}"), F.max(fin).alias(f"hi{i}"),
-                 F.count_if(x == -inf).alias(f"ng{i}"), F.count_if(x == inf).alias(f"ps{i}"),
-                 F.percentile_approx(x, margins, accuracy).alias(f"ap{i}")]
-        if moments is not None:
+                 F.count_if(x == -inf).alias(f"ng{i}"), F.count_if(x == inf).alias(f"ps{i}")]
+        if moments:
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"rmin{i}"), F.max(x).alias(f"rmax{i}")]
-    # the sketch aggregate is CPU-heavy and not code-generated: give it enough tasks
-    one = spread(df.select(*[_q(c) for c in cols])).agg(*aggs).first()
-    rows = {}
+    one = df.agg(*aggs).first()
+    out = {}
     for i, c in enumerate(cols):
-        if one[f"n{i}"]:
-            rows[c] = {"n": one[f"n{i}"], "lo": one[f"lo{i}"], "hi": one[f"hi{i}"], "approx": one[f"ap{i}"],
-                       "neg": one[f"ng{i}"], "pos": one[f"ps{i}"],
-                       "mean": one[f"mean{i}"] if moments is not None else None,
-                       "std": one[f"std{i}"] if moments is not None else None,
-                       "rmin": one[f"rmin{i}"] if moments is not None else None,
-                       "rmax": one[f"rmax{i}"] if moments is not None else None}
-    if moments is not None:
-        for c, r in rows.items():
-            moments[c] = {"count": r["n"], "min": r["rmin"], "max": r["rmax"], "mean": r["mean"], "std": r["std"],
-                          "finite_min": r["lo"], "finite_max": r["hi"]}
-    # narrowing works on finite values only; ranks on infinities resolve directly
-    long = long.where((F.col("x") > -inf) & (F.col("x") < inf))
+        d = {"n": one[f"n{i}"], "lo": one[f"lo{i}"], "hi": one[f"hi{i}"], "neg": one[f"ng{i}"], "pos": one[f"ps{i}"]}
+        if moments:
+            d.update(mean=one[f"mean{i}"], std=one[f"std{i}"], min=one[f"rmin{i}"], max=one[f"rmax{i}"])
+        out[c] = d
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bins: int = 1024,
+                    final_rows: int = 10_000, stats: dict | None = None) -> dict:
+    """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
+
+    No task ever holds a whole column, and every pass is one distributed
+    group-by whose result is bounded:
+
+    1. ``column_stats`` (one wide aggregate; pass ``stats`` to reuse it);
+    2. narrowing passes: one group-by of (column, interval, bin) counts with
+       the bin's min/max; the interval holding each wanted rank shrinks to the
+       actual min/max of its bin (~``bins``-fold per pass);
+    3. once an interval holds at most ``final_rows`` values they are grouped
+       by value and read exactly.
+
+    Ranks that fall on -inf / +inf resolve from the counts; narrowing runs on
+    finite values only, so it always terminates.  Typical data needs the
+    stats pass, one histogram pass and the final read (the histogram pass is
+    skipped when a column has at most ``final_rows`` values).
+    Returns ``{column: {p: value}}``.
+    """
+    if not cols:
+        return {}
+    inf = float("inf")
+    stats = stats if stats is not None else column_stats(df, cols)
+    long = _long_doubles(df, cols).where((F.col("x") > -inf) & (F.col("x") < inf))
     result = {c: {p: None for p in probs} for c in cols}
-    plans, need, brackets = {}, {}, {}
+    plans, need = {}, {}
     for c in cols:
-        r = rows.get(c)
+        r = stats.get(c)
         if r is None or not r["n"]:
             continue
         n, lo, hi, neg, pos_inf = r["n"], r["lo"], r["hi"], r["neg"], r["pos"]
         plans[c] = _order_stat_plan(n, probs)
         nf = n - neg - pos_inf
-        if nf > 0:
-            approx = dict(zip(margins, r["approx"]))
-            ivs = []
-            for p in probs:
-                a = approx[max(0.0, p - 4 * eps)]
-                b = approx[min(1.0, p + 4 * eps)]
-                ivs.append((max(lo, min(a, b, hi)), min(hi, max(a, b, lo))))
-            brackets[c] = _merge_intervals(ivs)
         for _, _, k0, k1 in plans[c]:
             for k in (k0, k1):
                 # state: [lo, hi, below, resolved, rows in interval]
@@ -162,59 +137,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
                 else:
                     need[(c, k)] = [lo, hi, neg, lo if lo == hi else None, nf]
 
-    # pass 2: brackets + gaps, one group-by --------------------------------------
-    todo = [c for c in brackets if any(need[(c, k)][3] is None for k in
-                                       {k for _, _, k0, k1 in plans[c] for k in (k0, k1)})]
-    todo_n = {c: rows[c]["n"] - rows[c]["neg"] - rows[c]["pos"] for c in todo}
-    if todo:
-        small = {c: 8 * eps * todo_n[c] * len(brackets[c]) <= final_rows for c in todo}
-
-        def lit_map(values: dict, typ: str) -> Column:
-            return F.element_at(F.create_map(*[v for c, val in values.items() for v in (F.lit(c), F.lit(val))])
-                                .cast(f"map<string,{typ}>"), F.col("column_name"))
-
-        los = lit_map({c: [lo for lo, _ in brackets[c]] for c in todo}, "array<double>")
-        his = lit_map({c: [hi for _, hi in brackets[c]] for c in todo}, "array<double>")
-        sml = lit_map({c: small[c] for c in todo}, "boolean")
-        x = F.col("x")
-        # staged projections: the bracket position is computed once per row
-        st1 = (long.where(F.col("column_name").isin(todo))
-               .select("column_name", "x", los.alias("los"), his.alias("his"), sml.alias("sml")))
-        m_max = max(len(brackets[c]) for c in todo)
-        pos_e = reduce(lambda a, b: a + b, [
-            F.coalesce((F.try_element_at("los", F.lit(i + 1)) <= x).cast("int"), F.lit(0)) for i in range(m_max)])
-        st2 = st1.select("column_name", "x", "los", "his", "sml", pos_e.alias("pos"))
-        j = F.greatest(F.col("pos"), F.lit(1))
-        st3 = st2.select("column_name", "x", "sml", "pos", F.element_at("los", j).alias("blo"),
-                         F.element_at("his", j).alias("bhi"))
-        inside = (F.col("pos") >= 1) & (x <= F.col("bhi"))
-        width = F.col("bhi") - F.col("blo")
-        binned = F.when(width > 0, F.least(F.floor((x - F.col("blo")) / width * bins), F.lit(bins - 1))) \
-            .otherwise(F.lit(0)).cast("double")
-        st4 = st3.select("column_name", "x", F.when(inside, F.col("pos") * 2 - 1).otherwise(F.col("pos") * 2).alias("piece"),
-                         F.when(inside, F.when(F.col("sml"), x).otherwise(binned)).alias("sub"))
-        res = (st4.groupBy("column_name", "piece", "sub")
-               .agg(F.count("*").alias("cnt"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
-        per_col: dict = {}
-        for r in res:
-            per_col.setdefault(r["column_name"], []).append(r)
-        for c in todo:
-            ordered = sorted(per_col.get(c, []), key=lambda r: (r["piece"], r["sub"] if r["sub"] is not None else 0.0))
-            pieces = [(r["cnt"], r) for r in ordered]
-            for (cc, k), st in need.items():
-                if cc != c or st[3] is not None:
-                    continue
-                hit = _walk(pieces, k - st[2])
-                if hit is None:
-                    continue
-                before, cnt, r = hit
-                odd = r["piece"] % 2 == 1
-                if (odd and small[c]) or r["mn"] == r["mx"]:
-                    st[3] = r["mn"] if not (odd and small[c]) else r["sub"]
-                else:
-                    st[0], st[1], st[2], st[4] = r["mn"], r["mx"], st[2] + before, cnt
-
-    # pass 3+: narrowing inside large bins / gaps ---------------------------------
+    # narrowing passes, then the final read --------------------------------------
     pending = {key: st for key, st in need.items() if st[3] is None}
     while pending:
         for key, st in pending.items():
@@ -313,12 +236,12 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int | None =
         return spark.createDataFrame([], schema)
     rows = []
     if exact:
-        mom: dict = {}
-        qs = exact_quantiles(df, cols, (0.25, 0.5, 0.75), accuracy=accuracy, moments=mom)
+        st = column_stats(df, cols, moments=True)
+        qs = exact_quantiles(df, cols, (0.25, 0.5, 0.75), stats=st)
         for c in cols:
-            m = mom.get(c, {})
-            rows.append((c, m.get("count", 0), [m.get("mean"), m.get("std"), m.get("min"), qs[c][0.25],
-                                                qs[c][0.5], qs[c][0.75], m.get("max")]))
+            m = st[c]
+            rows.append((c, m["n"] or 0, [m["mean"], m["std"], m["min"], qs[c][0.25], qs[c][0.5], qs[c][0.75],
+                                          m["max"]]))
     else:
         aggs = []
         for c in cols:
@@ -423,10 +346,9 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, exac
     # infinite values cannot be binned (numpy refuses an infinite range): finite values only
     long = _long_doubles(df, cols).where((F.col("x") > float("-inf")) & (F.col("x") < float("inf")))
     if exact_median:
-        mom: dict = {}
-        med = exact_quantiles(df, cols, (0.5,), moments=mom)
-        st = {c: {"n": m["count"], "mn": m["finite_min"], "mx": m["finite_max"], "mean": m["mean"]}
-              for c, m in mom.items()}
+        cs = column_stats(df, cols, moments=True)
+        med = exact_quantiles(df, cols, (0.5,), stats=cs)
+        st = {c: {"n": m["n"], "mn": m["lo"], "mx": m["hi"], "mean": m["mean"]} for c, m in cs.items()}
         medians = {c: med[c][0.5] for c in cols}
     else:
         st = {r["column_name"]: r for r in long.groupBy("column_name").agg(

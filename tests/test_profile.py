@@ -9,8 +9,7 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 1.5), rng.integers(0, 5, 700).astype(float)])
     df = spark.createDataFrame([(float(v), float(v) * 2) for v in vals], "a double, b double")
     for final_rows, accuracy, bins in ((50, 10_000, 16), (10_000, 10_000, 1024), (50, 100, 16), (40, 20, 4)):
-        q = P.exact_quantiles(df, ["a", "b"], (0.1, 0.25, 0.5, 0.75, 0.9), final_rows=final_rows, bins=bins,
-                              accuracy=accuracy)
+        q = P.exact_quantiles(df, ["a", "b"], (0.1, 0.25, 0.5, 0.75, 0.9), final_rows=final_rows, bins=bins)
         for p in (0.1, 0.25, 0.5, 0.75, 0.9):
             assert q["a"][p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12, abs=1e-12)
             assert q["b"][p] == pytest.approx(float(np.percentile(vals * 2, p * 100)), rel=1e-12, abs=1e-12)
@@ -87,7 +86,7 @@ def test_class_counts_check(spark):
 def test_exact_quantiles_with_infinities(spark):
     vals = [float("-inf"), 1.0, 2.0, 3.0, float("inf"), 5.0] + [float(i) for i in range(200)]
     df = spark.createDataFrame([(v,) for v in vals], "a double")
-    for kw in (dict(), dict(final_rows=3, accuracy=20, bins=4)):
+    for kw in (dict(), dict(final_rows=3, bins=4)):
         q = P.exact_quantiles(df, ["a"], (0.0, 0.25, 0.5, 1.0), **kw)["a"]
         assert q[0.0] == float("-inf") and q[1.0] == float("inf")
         assert q[0.25] == pytest.approx(float(np.percentile(vals, 25))) and q[0.5] == pytest.approx(97.5)
@@ -106,6 +105,6 @@ def test_exact_quantiles_property(spark, vals, params):
     bins, final_rows, accuracy = params
     df = spark.createDataFrame([(v,) for v in vals], "a double")
     probs = (0.0, 0.1, 0.5, 0.9, 1.0)
-    q = P.exact_quantiles(df, ["a"], probs, bins=bins, final_rows=final_rows, accuracy=accuracy)["a"]
+    q = P.exact_quantiles(df, ["a"], probs, bins=bins, final_rows=final_rows)["a"]
     for p in probs:
         assert q[p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-9, abs=1e-9)
