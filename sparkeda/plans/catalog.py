@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkeda.session import read_table, spread
+from sparkeda.session import ensure_shipped, read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,7 @@ TEXT_TABLES = {"documents", "conversations", "pages"}
 
 
 def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_shipped(spark)  # executors must import the package for the Python helpers
     df = read_table(spark, sf_dir, name)
     return spread(df) if name in TEXT_TABLES else df
 

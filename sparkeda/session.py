@@ -105,3 +105,14 @@ def ship_package(spark: SparkSession) -> str:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     spark.sparkContext.addPyFile(zpath)
     return zpath
+
+
+_SHIPPED: set = set()
+
+
+def ensure_shipped(spark: SparkSession) -> None:
+    """``ship_package`` once per SparkContext (harmless when already importable)."""
+    key = spark.sparkContext.applicationId
+    if key not in _SHIPPED:
+        ship_package(spark)
+        _SHIPPED.add(key)
