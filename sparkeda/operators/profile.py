@@ -392,13 +392,17 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20, exac
 
 # --------------------------------------------------------------------------- A7
 def value_counts(df: DataFrame, cols: list[str] | None = None, top: int = 12) -> DataFrame:
-    """The ``top`` most frequent non-null values per column (ties -> smaller value).
+    """The ``top`` most frequent non-null values per column (ties -> smaller value,
+    compared as numbers for numeric columns).
 
     ``row_number() <= top`` is planned as a WindowGroupLimit, so each map task
     forwards at most ``top`` rows per column to the final window."""
     cols = cols or text_columns(df)
     g = _long_strings(df, cols, keep_nulls=False).groupBy("column_name", "value").agg(F.count("*").alias("count"))
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
+    num = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
+    as_num = F.when(F.col("column_name").isin(num), F.col("value").try_cast("double")) if num \
+        else F.lit(None).cast("double")
+    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), as_num.asc_nulls_last(), F.col("value").asc())
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 

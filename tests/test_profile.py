@@ -44,6 +44,12 @@ def test_value_counts_ties_and_top(spark):
     assert [(r.value, r["count"]) for r in rows] == [("a", 2), ("b", 2), ("c", 1)]
 
 
+def test_value_counts_numeric_ties(spark):
+    df = spark.createDataFrame([(10,), (9,), (10,), (9,), (100,)], "n int")
+    rows = P.value_counts(df, ["n"], top=2).orderBy("rank").collect()
+    assert [r.value for r in rows] == ["9", "10"]
+
+
 def test_correlation_constant_and_nulls(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.1, 5.0), (3.0, None, 5.0), (4.0, 8.2, 5.0)],
                                "a double, b double, k double")
