@@ -114,3 +114,17 @@ def test_exact_quantiles_property(spark, vals, params):
     q = P.exact_quantiles(df, ["a"], probs, bins=bins, final_rows=final_rows)["a"]
     for p in probs:
         assert q[p] == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-9, abs=1e-9)
+
+
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.integers(-3, 3).map(lambda v: v / 4.0), st.floats(-1e3, 1e3, allow_nan=False,
+                                                                              allow_infinity=False)),
+                min_size=1, max_size=200),
+       st.sampled_from([3, 20]))
+def test_histogram_property(spark, vals, bins):
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    h = P.histogram(df, ["a"], bins=bins).orderBy("bin").collect()
+    lo, hi = min(vals), max(vals)
+    rng = (lo - 0.5, hi + 0.5) if lo == hi else None
+    counts, _ = np.histogram(vals, bins=bins, range=rng)
+    assert [r["count"] for r in h] == counts.tolist()
