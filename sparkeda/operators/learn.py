@@ -8,7 +8,6 @@ driver.
 
 from __future__ import annotations
 
-import math
 import warnings
 from abc import ABC, abstractmethod
 
@@ -21,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkeda.dataset import Dataset, DatasetSplit
-from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns, text_columns
+from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns
 
 ID_NAMES = ("id", "nombre", "name", "index")
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 

@@ -233,9 +233,6 @@ def products(el: DataFrame, base: str = "origin") -> DataFrame:
     tag must be non-empty, else the next tag is tried), cut to 200 chars;
     price: first price match in the container text; image: first img src."""
     els = elements(el)
-    rank = F.lit(None).cast("int")
-    for i in reversed(range(len(PRODUCT_PATTERNS))):
-        rank = F.when(_pattern_test(*PRODUCT_PATTERNS[i]), F.lit(i)).otherwise(rank)
     conts = (els.select("page_id", "url", F.col("node_id").alias("anc"), F.coalesce("raw_text", "full_text").alias("txt"),
                         F.array(*[F.when(_pattern_test(*p), F.lit(i)) for i, p in enumerate(PRODUCT_PATTERNS)]).alias("r"))
              .select("page_id", "url", "anc", "txt", F.explode(F.array_compact("r")).alias("rank")))
