@@ -242,6 +242,16 @@ class UnsupervisedModel(SparkModel):
     task = "clustering"
 
 
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
+    """Coalesce (no shuffle) to about one partition per ``rows_per_partition`` rows,
+    never increasing the count.  Iterative fits run one job per iteration over
+    every partition, so a small table spread thin pays per-task overhead
+    hundreds of times; a large table keeps its parallelism."""
+    import math
+    target = max(1, math.ceil(n_rows / rows_per_partition))
+    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
+
+
 # ------------------------------------------------------------------ M10-M15
 def _conf(pred: DataFrame, label: str, prediction: str, by=()) -> DataFrame:
     return pred.groupBy(*by, _q(label).cast("string").alias("y"), _q(prediction).cast("string").alias("p")) \
@@ -324,8 +334,9 @@ def compare_models(train: DataFrame, test: DataFrame, estimators: dict | None =
     Returns (metrics sorted by F1 desc, predictions per model, failures)."""
     spark = train.sparkSession
     train = train.persist()
+    n = train.count()
+    train = right_size(train, n).persist()
     if estimators is None:
-        n = train.count()
         estimators = {"decision_tree": decision_tree(), "logistic_regression": logistic_regression(n),
                       "random_forest": random_forest()}
     from concurrent.futures import ThreadPoolExecutor
@@ -401,6 +412,7 @@ def kmeans(df: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, features
     """Best of ``n_init`` starts by inertia (training cost); ties -> lower seed.
     Returns (model, frame + ``Cluster``, inertia)."""
     data = df.persist()
+    data = right_size(data, data.count()).persist()
     if parallelism is None:
         parallelism = min(n_init, 4)
     best = _best_fits(data, [(k, s) for s in range(seed, seed + n_init)], features, out, max_iter, parallelism)
@@ -427,6 +439,7 @@ def elbow(df: DataFrame, k_max: int = 10, n_init: int = 10, seed: int = 42, feat
     all (k, start) fits are independent and run concurrently."""
     data = df.select(features).persist()
     n = n_rows if n_rows is not None else data.count()
+    data = right_size(data, n).persist()
     ks = list(range(2, min(k_max + 1, n)))
     best = _best_fits(data, [(k, s) for k in ks for s in range(seed, seed + n_init)], features, "Cluster",
                       max_iter, parallelism)

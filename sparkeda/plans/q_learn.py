@@ -94,6 +94,8 @@ def _prepared(spark, sf_dir):
 
 def _fit_predict(spark, sf_dir, est_fn):
     train, test = _prepared(spark, sf_dir)
+    train = train.persist()
+    train = L.right_size(train, train.count()).persist()
     est = est_fn(train)
     return est.fit(train).transform(test).select("label", "prediction")
 
