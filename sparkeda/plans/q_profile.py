@@ -222,3 +222,17 @@ S9_SQL = f"SELECT * FROM lineitem ORDER BY {', '.join(S9_KEYS)} LIMIT 5"
 def s9_preview(spark, sf_dir):
     from sparkeda.sources.files import preview
     return preview(tbl(spark, sf_dir, "lineitem").orderBy(*S9_KEYS), 5)
+
+
+A5_SQL = """SELECT column_name,
+  data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' AS "numeric",
+  data_type = 'VARCHAR' AS "text"
+FROM information_schema.columns WHERE table_name = 'lineitem'"""
+
+
+@register("a5_column_kinds", A5_SQL)
+def a5_column_kinds(spark, sf_dir):
+    li = tbl(spark, sf_dir, "lineitem")
+    num, txt = set(P.numeric_columns(li)), set(P.text_columns(li))
+    return spark.createDataFrame([(c, c in num, c in txt) for c in li.columns],
+                                 "column_name string, numeric boolean, text boolean")
