@@ -86,7 +86,9 @@ NEXT_LINK_TEXTS = ["Next", "Siguiente", "›", "»", "→"]
 
 def next_page_candidates(el: DataFrame) -> DataFrame:
     """(page_id, url, prio, node_id, href) for every ``a`` matching a priority test."""
-    a = elements(el, ["a"]).select("page_id", "url", "node_id", "classes", "attrs", "is_last", "full_text",
+    # ':contains' reads the raw text when the element table carries it (with_raw_text=True)
+    a = elements(el, ["a"]).select("page_id", "url", "node_id", "classes", "attrs", "is_last",
+                                   F.coalesce("raw_text", "full_text").alias("full_text"),
                                    "own_string", F.posexplode("path").alias("pos", "anc"))
     info = elements(el).select("page_id", F.col("node_id").alias("anc"), F.col("tag").alias("atag"),
                                F.col("classes").alias("acls"), attr("class").alias("araw"))

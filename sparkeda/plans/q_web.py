@@ -35,8 +35,7 @@ for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs),
                    ("h6_table_cells", W.table_cells), ("h7_everything", W.everything), ("h8_emails_pages", W.emails),
                    ("h9_phones_pages", W.phones), ("h14_repeated_items", W.trending_items),
                    ("h15_page_summary", W.page_summary), ("h16_headings_table", W.headings_table),
-                   ("h16_paragraphs_table", W.paragraphs_table), ("g1_link_edges", G.link_edges),
-                   ("g3_next_page", G.next_page)]:
+                   ("h16_paragraphs_table", W.paragraphs_table), ("g1_link_edges", G.link_edges)]:
     if _name in SINGLE_READ:
         _tags, _strings = SINGLE_READ[_name]
         register(_name)((lambda f, t, k: (lambda spark, sf_dir: f(
@@ -45,6 +44,11 @@ for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs),
         register(_name)((lambda f: (lambda spark, sf_dir: f(_el(spark, sf_dir))))(_fn))
 
 
+@register("g3_next_page")
+def g3_next_page(spark, sf_dir):
+    return G.next_page(_el(spark, sf_dir, raw=True))
+
+
 @register("h11_products")
 def h11_products(spark, sf_dir):
     return W.products(_el(spark, sf_dir, raw=True))
@@ -150,7 +154,7 @@ def g2_reachable(spark, sf_dir):
 @register("g3_page_chain")
 def g3_page_chain(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    return G.page_chain(pages, G.next_page(element_table(pages)), _host_seeds(pages), max_pages=10)
+    return G.page_chain(pages, G.next_page(element_table(pages, with_raw_text=True)), _host_seeds(pages), max_pages=10)
 
 
 @register("a12_quality_report")
