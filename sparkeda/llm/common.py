@@ -57,3 +57,50 @@ def uniform(*cols, seed: int):
 def n_words(text):
     """Words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def spaced_words(text: str) -> list[str] | None:
+    """The words of a text that has one space or line feed between words and no other white space.
+
+    A word after a line feed, and the first one, begins with a line feed; other texts give None."""
+    if (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text):
+        return None
+    if not text.replace("\n", "").isprintable():  # white space other than a space isn't printable; look closer
+        n = len(words := text.split())
+        if len(text) - sum(map(len, words)) != n - 1 or text.count(" ") + text.count("\n") != n - 1:
+            return None
+    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+
+class WordCache:
+    """What words turn into, remembered up to ``size`` words; ``learn(words) -> values`` works new ones off."""
+
+    def __init__(self, size: int, learn):
+        self.size, self.learn, self.known = size, learn, {}
+
+    def texts(self, cut: list[list[str]]) -> list[bytes]:
+        """The values of the words of each text, joined."""
+        got = [list(map(self.known.get, c)) for c in cut]
+        open_ = [k for k, g in enumerate(got) if None in g]
+        new = {w for k in open_ for w, x in zip(cut[k], got[k]) if x is None}
+        if new:
+            if len(self.known) + len(new) > self.size:
+                self.known = {w: x for c, g in zip(cut, got) for w, x in zip(c, g) if x is not None}
+            new = list(new)
+            self.known.update(zip(new, self.learn(new)))
+            get = self.known.__getitem__
+            for k in open_:
+                got[k] = map(get, cut[k])
+        return list(map(b"".join, got))
+
+
+def runs(texts: list, most: int):
+    """Ranges ``(from, to)`` of texts of about ``most`` characters, so that little is held as lists of words."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkeda.llm.common import written
+from sparkeda.llm.common import runs, written
 from sparkeda.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,6 +40,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _sliding(best, x: np.ndarray, size: int) -> np.ndarray:
+    """``best`` over every ``size`` consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= size:
+        x, width = best(x[:-width], x[width:]), 2 * width
+    return best(x[:len(x) - (size - width)], x[size - width:])
+
+
 def paragraphs(text: str | None, words: int = WORDS, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, int]:
     """``(starts, shingles, size)``: word positions of the paragraphs, the hashes of the shingles of each
     (one row per paragraph) and their number of words.
@@ -59,9 +67,10 @@ def paragraphs(text: str | None, words: int = WORDS, spread: int = SPREAD) -> tu
     if len(g) <= spread:
         at = np.array([int(g.argmin())])
     else:
-        views = np.lib.stride_tricks.sliding_window_view(g, spread)
-        at = np.concatenate([np.unique(v.argmin(1) + np.arange(s, s + len(v))) for s, v in
-                             ((s, views[s:s + 65536]) for s in range(0, len(views), 65536))])
+        low = _sliding(np.minimum, g, spread)
+        edge = np.zeros(spread - 1, np.uint64)
+        # the smallest of some window: as large as the largest minimum of the windows that hold it
+        at = np.flatnonzero(g == _sliding(np.maximum, np.concatenate([edge, low, edge]), spread))
     at = np.unique(np.append(at[at + size <= n], n - size))  # the last words are a paragraph too
     return at, g[at[:, None] + np.arange(size - SHINGLE + 1)], size
 
@@ -84,17 +93,6 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _runs(texts, most: int = 4 << 20):
-    at = size = 0
-    for k in range(len(texts)):
-        size += len(texts[k] or "")
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``key, class, doc, pos, salt`` per paragraph and band.
 
@@ -103,7 +101,7 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for lo, hi in _runs(texts):
+            for lo, hi in runs(texts, 4 << 20):
                 parts = [paragraphs(t) for t in texts[lo:hi]]
                 doc = np.repeat(ids[lo:hi], [len(p[0]) for p in parts])
                 if not len(doc):
@@ -142,37 +140,30 @@ def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     rows_ = _band_rows(docs, bands, rows).repartition(F.col("key"), salt).sortWithinPartitions("key", salt)
 
     def run(batches):
-        wait, last, seen, hit = [], None, None, False  # a key's rows of the first document wait
+        names = ["key", "class", "doc", "pos"]
+        carry, open_key = [np.zeros(0, np.int64)] * 4, None  # rows of the last key; a key that is known to collide
 
         for b in batches:
-            key, cls, doc, meta = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            n = len(key)
-            if not n:
+            cols = [np.concatenate([c, b.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carry)]
+            key, _, doc, meta = cols
+            if not len(key):
                 continue
-            known, salt_ = (meta // 64) % 2 == 1, meta % 64
-            bound = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | ((salt_[1:] > 0) != (salt_[:-1] > 0))]))
-            take = np.zeros(n, bool)
-            front: list = []
-            for s, e in zip(bound.tolist(), np.append(bound[1:], n).tolist()):
-                if salt_[s] > 0:
-                    take[s:e] = True
-                    continue
-                if key[s] != last:
-                    wait, last, seen, hit = [], key[s], doc[s], False
-                if not hit and (known[s:e].any() or (doc[s:e] != seen).any()):
-                    hit = True
-                    front += wait
-                    wait = []
-                if hit:
-                    take[s:e] = True
-                elif e == n:  # may go on in the next batch
-                    wait += [(cls[k], doc[k], meta[k]) for k in range(s, e)]
-                    wait = [(last, *x[-3:]) for x in wait]
-            cols = [x[take] for x in (key, cls, doc, meta)]
-            if front:
-                cols = [np.concatenate([np.array([f[k] for f in front], np.int64), c]) for k, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3] // 128)],
-                                             names=["key", "class", "doc", "pos"])
+            take = meta % 64 > 0
+            meets = np.flatnonzero(~take)
+            carry = [c[:0] for c in cols]
+            if len(meets):
+                k, d, known = key[meets], doc[meets], meta[meets] // 64 % 2
+                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                hit = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+                hit |= (np.maximum.reduceat(known, first) > 0) | (k[first] == open_key)
+                size = np.diff(np.append(first, len(k)))
+                take[meets] = np.repeat(hit, size)
+                # the last key may go on: its rows go out if it collides already, else they wait (one document's rows)
+                open_key = k[-1] if hit[-1] else None
+                if not hit[-1]:
+                    carry = [c[meets[first[-1]:]] for c in cols]
+            out = [c[take] for c in cols]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:3]), pa.array(out[3] // 128)], names=names)
 
     return rows_.mapInArrow(run, "key long, class long, doc long, pos long")
 
@@ -181,6 +172,9 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     """Edges ``(class, class)`` that connect what is similar among the members, one less than members at most
     for each connected part."""
     n = len(members)
+    if n == 2:
+        a, b = (set(m[1].tolist()) for m in members)
+        return [(members[0][0], members[1][0])] if len(a & b) >= similarity * len(a | b) - 1e-6 else []
     codes = np.unique(np.concatenate([m[1] for m in members]), return_inverse=True)[1]
     size = np.array([len(m[1]) for m in members])
     has = np.zeros((n, int(codes.max()) + 1), np.float32)

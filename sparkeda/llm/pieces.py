@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sparkeda.llm.common import WordCache, runs, spaced_words
+
 SPACE = "▁"
 #: Words whose ids a worker remembers; more are encoded again.
-CACHE_SIZE = 300_000
+CACHE_SIZE = 1_000_000
 #: Longer words merge one by one with a heap; the result is the same.
 LONG_WORD = 48
 UNK_PENALTY = 10.0
@@ -60,7 +62,7 @@ class Model:
         # what an id reads back as
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL
                     else m.trainer_spec.unk_surface.encode() if p.type == kinds.UNKNOWN else p.piece.encode() for p in m.pieces]
-        by_hash = sorted((int(_hashes(np.array([[ord(c) for c in p]], np.uint64))[0, -1]), p, k, s) for p, k, s in normal)
+        by_hash = sorted((int(_spread(_hashes(np.array([[ord(c) for c in p]], np.uint64))[0, -1:])[0]), p, k, s) for p, k, s in normal)
         self.keys = np.array([h for h, *_ in by_hash], np.uint64)
         if len(set(self.keys.tolist())) < len(self.keys):
             raise ValueError("two pieces have one hash")
@@ -71,6 +73,9 @@ class Model:
         for r, (_, p, _, _) in enumerate(by_hash):
             self.key_chars[r, :len(p)] = [ord(c) for c in p]
         self.key_len = np.array([len(p) for _, p, _, _ in by_hash], np.int32)
+        # where the sorted hashes with each leading 16 bits begin
+        self.key_from = np.searchsorted(self.keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most_alike = int(np.diff(self.key_from).max())
 
 
 def _hashes(chars: np.ndarray) -> np.ndarray:
@@ -81,6 +86,12 @@ def _hashes(chars: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """The hashes of short words over all 64 bits; different ones stay different."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def probe(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length: id and score of the piece at ``[word, start, length - 1]`` (id -1: none)."""
     n, size = chars.shape
@@ -91,10 +102,15 @@ def probe(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prefix, power = _hashes(chars), 1
     for length in range(1, most + 1):
         power = power * int(_BASE) % (1 << 64)
-        h = prefix[:, length:] - prefix[:, :-length] * np.uint64(power)
-        at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
-        w, s = np.nonzero((model.keys[at] == h) & (model.key_len[at] == length))
-        at = at[w, s]
+        h = _spread(prefix[:, length:] - prefix[:, :-length] * np.uint64(power))
+        lead = (h >> np.uint64(48)).astype(np.int32)
+        first, end = model.key_from[lead], model.key_from[lead + 1]
+        w, s = np.nonzero(first < end)
+        h, at, end = h[w, s], first[w, s], end[w, s]
+        for _ in range(model.most_alike - 1):  # on to the key itself or the last of its lead
+            at += (at + 1 < end) & (model.keys[at] != h)
+        hit = (model.keys[at] == h) & (model.key_len[at] == length)
+        w, s, at = w[hit], s[hit], at[hit]
         same = np.ones(len(at), bool)  # the characters decide, not the hash
         for c in range(length):
             same &= model.key_chars[at, c] == chars[w, s + c]
@@ -103,45 +119,39 @@ def probe(model: Model, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, scores
 
 
-def viterbi(model: Model, ids: np.ndarray, scores: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Best paths of words of one length: per word ``(start, length, id)``; id -1 is an unknown character."""
+def viterbi(model: Model, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Best paths of words of one length: at ``[word, start]`` the length of the piece that starts there (0: none)."""
     n, size, most = scores.shape
-    scores = scores.copy()
-    missing = ids[:, :, 0] < 0
-    scores[:, :, 0][missing] = model.unk_score
-    best, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int32)
+    scores = scores.astype(np.float32)  # as the library adds, so that equal sums are equal there too
+    scores[:, :, 0][ids[:, :, 0] < 0] = model.unk_score
+    best, back, rows = np.full((n, size + 1), -np.inf, np.float32), np.zeros((n, size + 1), np.int32), np.arange(n)
     best[:, 0] = 0
     for end in range(1, size + 1):
         reach = min(end, most)
         options = np.stack([best[:, end - k] + scores[:, end - k, k - 1] for k in range(1, reach + 1)], axis=1)
         # of equal paths the one with the longer last piece
         at = reach - 1 - np.argmax(options[:, ::-1], axis=1)
-        best[:, end], back[:, end] = options[np.arange(n), at], at + 1
-    return [_path(ids[r], back[r], size) for r in range(n)]
-
-
-def _path(ids, back, size):
-    out, end = [], size
-    while end:
-        k = int(back[end])
-        out.append((end - k, k, int(ids[end - k, k - 1])))
-        end -= k
-    return out[::-1]
-
-
-def merge(model: Model, ids: np.ndarray, scores: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """BPE merges of words of one length, as ``viterbi`` gives paths."""
+        best[:, end], back[:, end] = options[rows, at], at + 1
+    length, end = np.zeros((n, size), np.int32), np.full(n, size)
+    while len(rows):  # follow the back pointers, all words at once
+        k = back[rows, end[rows]]
+        end[rows] -= k
+        length[rows, end[rows]] = k
+        rows = rows[end[rows] > 0]
+    return length
+
+
+def merge(model: Model, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """BPE merges of words of one length, given as ``viterbi`` gives paths."""
     n, size, most = scores.shape
     length = np.ones((n, size), np.int32)  # of the symbol that starts here; 0 inside a symbol
-    rows = np.arange(n)
-    flat = scores.reshape(n, -1)
-    live = rows if size > 1 else rows[:0]
+    flat, starts = scores.reshape(n, -1), np.arange(size)[None, :]
+    live = np.arange(n if size > 1 else 0)
     while len(live):
         here = length[live]
-        starts = np.arange(size)[None, :]
         after = starts + here  # where the next symbol starts
         inside = (here > 0) & (after < size)
-        total = here + np.where(inside, np.take_along_axis(here, np.minimum(after, size - 1), 1), 0)
+        total = here + np.take_along_axis(here, np.minimum(after, size - 1), 1)
         fits = inside & (total <= most)
         options = np.where(fits, np.take_along_axis(flat[live], starts * most + np.clip(total, 1, most) - 1, 1), -np.inf)
         at = np.argmax(options, axis=1)  # of equal scores the leftmost
@@ -149,11 +159,12 @@ def merge(model: Model, ids: np.ndarray, scores: np.ndarray) -> list[list[tuple[
         go = options[pick, at] > -np.inf
         live, at, total, after = live[go], at[go], total[pick, at][go], after[pick, at][go]
         length[live, at], length[live, after] = total, 0
-    out = []
-    for r in range(n):
-        starts = np.flatnonzero(length[r])
-        out.append([(int(s), int(length[r, s]), int(ids[r, s, length[r, s] - 1])) for s in starts])
-    return out
+    return length
+
+
+def path(ids: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(start, length, id)`` of the pieces of one word; id -1 is an unknown character."""
+    return [(int(s), int(length[s]), int(ids[s, length[s] - 1])) for s in np.flatnonzero(length)]
 
 
 def merge_long(model: Model, word: str) -> list[tuple[int, int, int]]:
@@ -194,26 +205,28 @@ class Codec:
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         with open(path, "rb") as f:
-            self.model = Model(f.read())
-        self.known: dict[str, bytes] = {}
-        self.cache_size = cache_size
-
-    def words(self, text: str) -> list[str]:
-        """The escaped text cut before each run of spaces; one word where pieces hold inner spaces."""
+            self.model = m = Model(f.read())
+        # words between single spaces or line feeds (which then begin them), and words with their escaped spaces
+        self.plain_words = WordCache(cache_size, lambda ws: self.encode_words([w if w[0] == "\n" else SPACE + w for w in ws]))
+        self.odd_words = WordCache(cache_size // 4, self.encode_words)
+        self.plain = m.dummy_prefix and not m.crossing and not any("\n" in p for p in m.scores)
+        self.ascii = np.array([m.bytes.get(b, -1) for b in range(128)], np.int32)
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The words of a text, and whether they are those between single spaces and line feeds."""
+        if self.plain and SPACE not in text:
+            words = spaced_words(text)
+            if words:
+                words[0] = words[0][1:]
+                return words, True
         if not text:
-            return []
-        m = self.model
-        if m.dummy_prefix and not m.crossing and "  " not in text and text[0] != " " and text[-1] != " ":
-            return [SPACE + w for w in text.replace(SPACE, " ").split(" ")] if SPACE not in text else self._slow(text)
-        return self._slow(text)
-
-    def _slow(self, text: str) -> list[str]:
+            return [], False
         text = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-        return [text] if self.model.crossing else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
+        return [text] if self.model.crossing else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text), False
 
-    def _ids(self, word: str, path: list[tuple[int, int, int]]) -> bytes:
+    def _ids(self, word: str, pieces: list[tuple[int, int, int]]) -> bytes:
         m, out = self.model, []
-        for s, k, i in path:
+        for s, k, i in pieces:
             if i >= 0:
                 out.append(i)
             elif m.bytes:
@@ -223,36 +236,40 @@ class Codec:
         return np.array(out, "<i4").tobytes()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words, those of equal length together."""
-        m, out = self.model, {}
+        """The ids of words, those of equal length together."""
+        m, out = self.model, [b""] * len(words)
         by_length = defaultdict(list)
-        for w in words:
-            by_length[len(w)].append(w)
+        for k, w in enumerate(words):
+            by_length[len(w)].append(k)
         for size, same in by_length.items():
             if size > LONG_WORD and not m.unigram:
-                out.update((w, self._ids(w, merge_long(m, w))) for w in same)
+                for k in same:
+                    out[k] = self._ids(words[k], merge_long(m, words[k]))
                 continue
             rows = max(1, 400_000 // (size * min(size, m.longest)))
             for at in range(0, len(same), rows):
-                part = same[at:at + rows]
+                part = [words[k] for k in same[at:at + rows]]
                 chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
                 ids, scores = probe(m, chars)
-                paths = viterbi(m, ids, scores) if m.unigram else merge(m, ids, scores)
-                out.update((w, self._ids(w, p)) for w, p in zip(part, paths))
-        return [out[w] for w in words]
+                length = viterbi(m, ids, scores) if m.unigram else merge(m, ids, scores)
+                r, s = np.nonzero(length)
+                got = ids[r, s, length[r, s] - 1]
+                low = np.flatnonzero(got < 0)  # unknown characters: of ASCII one byte each, others later
+                code = chars[r[low], s[low]]
+                got[low] = np.where(code < 128, self.ascii[np.minimum(code, 127)], -1)
+                data, ends = got.astype("<i4").tobytes(), (4 * np.cumsum(np.bincount(r, minlength=len(part)))).tolist()
+                for k, i, j in zip(same[at:at + rows], [0, *ends], ends):
+                    out[k] = data[i:j]
+                for w in np.unique(r[got < 0]).tolist():
+                    out[same[at + w]] = self._ids(part[w], path(ids[w], length[w]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        known, new = self.known, set()
-        for c in cut:
-            new.update(x for x in c if x not in known)
-        if len(known) + len(new) > self.cache_size:
-            kept = {x for c in cut for x in c if x in known}
-            self.known = known = {x: known[x] for x in kept}
-        new = list(new)
-        known.update(zip(new, self.encode_words(new)))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = [self._cut(t) for t in texts]
+        plain = iter(self.plain_words.texts([c for c, p in cut if p]))
+        odd = iter(self.odd_words.texts([c for c, p in cut if not p]))
+        out = [next(plain if p else odd) for _, p in cut]
         return out if self.model.bytes else [self._one_unk(x) for x in out]
 
     def _one_unk(self, ids: bytes) -> bytes:
@@ -272,17 +289,6 @@ def _codec(path: str) -> Codec:
     return _WORKER[path]
 
 
-def _runs(texts: list, most: int = 2 << 20):
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all but the text), ``n_tokens`` and ``token_ids`` per row.
 
@@ -300,7 +306,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
         codec = _codec(model)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in _runs(texts):
+            for lo, hi in runs(texts, 2 << 20):
                 ids = codec.encode(texts[lo:hi])
                 counts = np.fromiter((len(x) // 4 for x in ids), np.int64, hi - lo)
                 if digest:

@@ -76,6 +76,8 @@ def links(fps: DataFrame, distance: int = 2, segments: int | None = None) -> Dat
     ``segments ** 2 / 5`` anchors at distance 2."""
     if segments is None:
         segments = min(32, max(6, math.ceil(math.log2(max(2, fps.count()))) - 4))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(tasks, "fp")  # few bytes, but each row becomes many: not for a few tasks
     home, costs = F.lit(0).cast("long"), []
     for k, mask in enumerate(_segments(segments)):
         ones, need = F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask)))), mask.bit_count() // 2 + 1

@@ -12,6 +12,7 @@ have equal surrogates everywhere and different ones different surrogates.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -29,51 +30,46 @@ NAME_ENDS = {"LATIN": {"m": "onrs", "f": "ae"}, "CYRILLIC": {"m": "нрвм", "f
 _NAME = r"[^\W\d_]{2,40}"
 #: Types in order of precedence; the group that holds the entity has the type's name.
 PATTERNS = (
-    ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
-    ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?)(?P<_secret>[A-Za-z0-9_+/.-]{8,256})"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
-    ("card", r"(?<![\d.+-])[2-6]\d{3}([ -]?)\d{4}\g<sep>\d{4}\g<sep>\d{3,4}(?!\d)"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)"),
-    ("name", r"(?<!\w)(?P<_title>" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + rf")[  ](?P<_name>{_NAME}(?:[  -]{_NAME}){{0,2}})"),
+    ("email", r"[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
+    ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("secret", r"(?:[A-Za-z0-9]{1,32}_)?(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<_secret>[A-Za-z0-9_+/.-]{8,256})"),
+    ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ip", r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
+    ("card", r"(?<![.+-])[2-6]\d{3}(?P<_sep>[ -]?)\d{4}(?P=_sep)\d{4}(?P=_sep)\d{3,4}(?!\d)"),
+    ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("phone", r"(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)"),
+    ("name", r"(?P<_title>" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + rf")[  ](?P<_name>{_NAME}(?:[  -]{_NAME}){{0,2}})"),
 )
 _FOUND: list = []
 
 
 def _pattern() -> re.Pattern:
+    """All types at once; an entity begins where no word character stands before it."""
     if not _FOUND:
-        parts = [f"(?P<{kind}>{p})" for kind, p in PATTERNS]
-        _FOUND.append(re.compile("|".join(parts).replace("([ -]?)", "(?P<sep>[ -]?)").replace(r"\g<sep>", "(?P=sep)")))
+        _FOUND.append(re.compile(r"(?<!\w)(?:" + "|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS) + ")"))
     return _FOUND[0]
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, type)`` of the entities of a text, in order, without overlap."""
+    """``(start, end, type)`` of the entities of a text, in order, without overlap.  Names have the types
+    ``name_m`` and ``name_f``; of the words after a title the capitalised ones count."""
     out = []
     if not re.search(r"[0-9@=:]", text) and not any(t in text for t in TITLES):
         return out
     for m in _pattern().finditer(text):
-        kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m[k] is not None)
-        inner = {"secret": "_secret", "name": "_name"}.get(kind, kind)
+        kind = next(k for k, _ in PATTERNS if m[k] is not None)
         if kind == "name":
-            words = re.match(r"[^\W\d_]+(?:[  -][^\W\d_]+)*", m[inner])[0]
-            words = re.match(r"(?:[^\W\d_]+)(?:[  -](?=[^\W\d_])[^\W\d_]+)*", words)[0]
-            upper = [w for w in re.split(r"[  -]", words)]
-            k = 0
-            while k < len(upper) and upper[k][0].isupper():
-                k += 1
-            if not k:
-                continue
-            size = sum(map(len, upper[:k])) + k - 1
-            out.append((m.start(inner), m.start(inner) + size, "name_" + TITLES[m["_title"]]))
+            words = re.split(r"[  -]", m["_name"])
+            upper = list(itertools.takewhile(lambda w: w[0].isupper(), words))
+            if upper:
+                start = m.start("_name")
+                out.append((start, start + sum(map(len, upper)) + len(upper) - 1, "name_" + TITLES[m["_title"]]))
         else:
-            out.append((m.start(inner), m.end(inner), kind))
+            group = "_secret" if kind == "secret" else kind
+            out.append((m.start(group), m.end(group), kind))
     return out
 
 
-_KINDS = [k for k, _ in PATTERNS]
 _DIGITS_ONLY = ("card", "ssn", "phone", "iban")
 
 

@@ -17,16 +17,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-#: Pieces of text whose ids a worker remembers; more are encoded again.
-CACHE_SIZE = 400_000
+from sparkeda.llm.common import WordCache, runs, spaced_words
+
+#: Words whose ids a worker remembers; more are encoded again.
+CACHE_SIZE = 1_000_000
 _WORKER: dict = {}
 
 
 class Encoder:
-    """``tokenizers`` encoding that works each distinct piece between single spaces off once.
+    """``tokenizers`` encoding with a byte-level pre-tokenizer that works each distinct word off once.
 
-    With a byte-level pre-tokenizer a space between two characters that are not white space always
-    begins a new pre-token, so a text's ids are those of its pieces, in order."""
+    Where words stand between single spaces or line feeds, a word with the space before it is a run of
+    whole pre-tokens, and a line feed before a word is one of its own; so a text's ids are those of its
+    words, in order.  Other texts are encoded as they are."""
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,39 +37,37 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.cache_size = cache_size
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before every space that stands between two characters that are not white space."""
-        cut = text.split(" ")
-        out = [cut[0]]
-        for a, b in zip(cut, cut[1:]):
-            if a and b and not a[-1].isspace() and not b[0].isspace():
-                out.append(" " + b)
-            else:
-                out[-1] += " " + b
+        self.words = WordCache(cache_size, self._learn)
+        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of each word after ``before``: one text of lines, cut at the line feeds' id."""
+        (ids,) = self._whole(["\n".join(before + w for w in words)])
+        a = np.frombuffer(ids, "<u4")
+        cuts = np.flatnonzero(a == self.feed)
+        if len(cuts) != len(words) - 1:
+            raise ValueError("the tokenizer does not keep line feeds apart")
+        return [ids[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(ids)])]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        out, feed = [b""] * len(new), np.array([self.feed], "<u4").tobytes()
+        for before, first in ((" ", b""), ("", feed)):  # words after a space, words after a line feed
+            same = [k for k, w in enumerate(new) if (w[0] == "\n") == (not before)]
+            for at in range(0, len(same), 5000):
+                part = same[at:at + 5000]
+                for k, x in zip(part, self._words([new[k].lstrip("\n") for k in part], before)):
+                    out[k] = first + x
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        known, new = self.known, set()
-        for c in cut:
-            new.update(x for x in c if x not in known)
-        if len(known) + len(new) > self.cache_size:
-            kept, self.known = {x for c in cut for x in c if x in known}, {}
-            self.known = known = {x: known[x] for x in kept}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            known.update(zip(part, self._encode(part)))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut = [spaced_words(t) for t in texts]
+        odd = iter(self._whole([t for t, c in zip(texts, cut) if not c]))
+        plain = iter(self.words.texts([c for c in cut if c]))
+        return [next(plain)[4:] if c else next(odd) for c in cut]  # without the first word's line feed
 
 
 def _encoder(path: str) -> Encoder:
@@ -76,18 +77,6 @@ def _encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def _runs(texts: list, most: int = 4 << 20):
-    """Ranges of texts of about ``most`` characters, so that little is held as lists of pieces."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
                       row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000,
                       partitions: int | None = None) -> None:
@@ -108,7 +97,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part, pos, before = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in _runs(texts):
+            for lo, hi in runs(texts, 4 << 20):
                 ids = [x + end for x in _encoder(tokenizer).encode(texts[lo:hi])]
                 counts = np.fromiter((len(x) // 4 for x in ids), np.int64, hi - lo)
                 ends = np.cumsum(counts)
