@@ -27,6 +27,7 @@ WS_CLASS = (r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{20
 # underscore and whitespace.
 KEEP_PUNCT = r".,;:!?¿¡\-()@#$%&/=+'\"áéíóúñüÁÉÍÓÚÑÜ"
 
+# Fixed value: a tag.
 TAG_PATTERN = r"<[^>]+>"
 # day/month/year patterns, slash form first, rewritten to year-month-day.
 DATE_PATTERNS = [r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})"]
@@ -144,13 +145,22 @@ def origin(col) -> Column:
     return F.concat(url_scheme(col), F.lit("://"), url_netloc(col))
 
 
+def _joined(base, ref):
+    """The absolute URL, or None where the reference is none (``http://[bad``)."""
+    try:
+        return None if ref is None else _urljoin(base or "", ref)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def _urljoin_udf(base: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else _urljoin(b or "", r) for b, r in zip(base, ref)], dtype=object)
+    return pd.Series([_joined(b, r) for b, r in zip(base, ref)], dtype=object)
 
 
 def url_join(base, ref) -> Column:
-    """Absolute URL of ``ref`` against ``base`` (RFC 3986 via ``urllib``), Arrow-batched."""
+    """Absolute URL of ``ref`` against ``base`` (RFC 3986 via ``urllib``), Arrow-batched; null for a
+    reference that cannot be read."""
     return _urljoin_udf(_c(base), _c(ref))
 
 

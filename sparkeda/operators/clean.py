@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkeda.functions import text as X
-from sparkeda.operators.profile import NUMERIC_TYPES, _long_strings, exact_quantiles, numeric_columns
+from sparkeda.operators.profile import NUMERIC_TYPES, _long_strings, exact_quantiles, numeric_columns, present
 
 TEXT_FIELDS = ("contenido", "texto", "nombre", "alt", "titulo")
 CLEAN_ORDER = ("html", "spaces", "chars", "lower", "dates")
@@ -137,7 +137,7 @@ class Imputer(Transform):
         if not cols:
             return self
         if self.strategy == "mean":
-            row = df.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+            row = df.agg(*[F.avg(present(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
             self.values_ = {c: row[f"m{i}"] for i, c in enumerate(cols)}
         elif self.strategy == "median":
             q = exact_quantiles(df, cols, (0.5,))
@@ -165,8 +165,8 @@ class Imputer(Transform):
             dt = df.schema[c].dataType
             lit = F.lit(v).cast(dt) if self.strategy == "mode" else F.lit(float(v)).cast(
                 dt if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)) else T.DoubleType())
-            fills[c] = F.coalesce(_q(c), lit) if self.strategy == "mode" or isinstance(
-                dt, (T.DoubleType, T.FloatType, T.DecimalType)) else F.coalesce(_q(c).cast("double"), lit)
+            fills[c] = F.coalesce(present(df, c), lit) if self.strategy == "mode" or isinstance(
+                dt, (T.DoubleType, T.FloatType, T.DecimalType)) else F.coalesce(present(df, c).cast("double"), lit)
         return df.withColumns(fills) if fills else df
 
 
@@ -201,7 +201,7 @@ class Scaler(Transform):
             return self
         aggs = []
         for i, c in enumerate(cols):
-            x = _q(c).cast("double")
+            x = present(df, c).cast("double")
             if self.method == "zscore":
                 aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"b{i}")]
             else:
@@ -227,7 +227,7 @@ class Scaler(Transform):
                 shift = p["min"] if p["min"] is not None else 0.0
                 rng = None if p["min"] is None or p["max"] is None else p["max"] - p["min"]
                 scale = rng if rng not in (None, 0) else 1.0
-            exprs[c] = (_q(c).cast("double") - F.lit(float(shift))) / F.lit(float(scale))
+            exprs[c] = (present(df, c).cast("double") - F.lit(float(shift))) / F.lit(float(scale))
         return df.withColumns(exprs) if exprs else df
 
 

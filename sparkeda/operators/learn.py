@@ -8,19 +8,18 @@ driver.
 
 from __future__ import annotations
 
-import warnings
 from abc import ABC, abstractmethod
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkeda.dataset import Dataset, DatasetSplit
-from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns
+from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns, present
 
 ID_NAMES = ("id", "nombre", "name", "index")
 
@@ -45,19 +44,21 @@ def candidate_targets(df: DataFrame, profile: list | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column_name string, distinct long, candidate boolean")
 
 
-def encode_label(df: DataFrame, col: str, out: str = "label",
-                 max_classes: int = 100_000) -> tuple[DataFrame, list | None]:
-    """M2: text classes -> 0..k-1 in sorted order (``alphabetAsc``); numeric as is.
-    Returns the frame and the class list (None for numeric)."""
-    dt = df.schema[col].dataType
-    if isinstance(dt, NUMERIC_TYPES):
-        return df.withColumn(out, _q(col).cast("double")), None
-    distinct = df.select(_q(col).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-    classes = [r[0] for r in distinct.orderBy("v").limit(max_classes + 1).collect()]
-    if len(classes) > max_classes:
-        raise ValueError(f"'{col}' has more than {max_classes} classes; not a classification target")
-    mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    return df.withColumn(out, F.element_at(mapping, _q(col).cast("string"))), classes
+def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, list]:
+    """M2: classes -> 0..k-1 in sorted order, whatever the classes are; returns the frame and the
+    class list, which maps predictions back.
+
+    A null text is a class of its own (``"nan"``), a whole number of any size or sign is a class;
+    rows whose numeric label is missing have nothing to learn from and are dropped."""
+    numeric = isinstance(df.schema[col].dataType, NUMERIC_TYPES)
+    key = _q(col).cast("double") if numeric else F.coalesce(_q(col).cast("string"), F.lit("nan"))
+    if numeric:
+        key = F.when(~F.isnan(key), key)
+    found = df.select(key.alias("k"), key.cast("string").alias("s")).where("k IS NOT NULL").distinct().collect()
+    found.sort(key=lambda r: r["k"])
+    model = StringIndexerModel.from_labels([r["s"] for r in found], inputCol="_label_key", outputCol=out, handleInvalid="skip")
+    d = model.transform(df.withColumn("_label_key", key.cast("string"))).drop("_label_key")
+    return d, [r["k"] for r in found]
 
 
 def usable_features(df: DataFrame, target: str, exclude=(), profile: list | None = None) -> DataFrame:
@@ -89,37 +90,50 @@ def usable_features(df: DataFrame, target: str, exclude=(), profile: list | None
     return df.sparkSession.createDataFrame(out, "column_name string, role string, reason string")
 
 
-def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000, sep: str = "_",
-            distinct_counts: dict | None = None) -> tuple[DataFrame, list[str]]:
+def _categories(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """The sorted non-null values of each column, in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).cast("string").alias("v")) for c in cols])).alias("x")
+    values: dict[str, list] = {c: [] for c in cols}
+    for r in df.select(cells).select("x.c", "x.v").where("v IS NOT NULL").distinct().collect():
+        values[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in values.items()}
+
+
+def one_hot(df: DataFrame, cols: list[str], sep: str = "_") -> tuple[DataFrame, list[str]]:
     """M4: 0/1 columns per category, the alphabetically first dropped; a null row is
-    all zeros.  Columns above ``max_categories`` are skipped with a warning.
+    all zeros.  Every category counts; M3's rule is the only filter on columns.
     Returns the frame and the new column names."""
     if not cols:
         return df, []
-    cats = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).cast("string").alias("v"))
-                                          for c in cols])).alias("x")).select("x.c", "x.v")
-            .where("v IS NOT NULL").distinct())
-    counts = distinct_counts if distinct_counts is not None else \
-        {r["c"]: r["n"] for r in cats.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    keep = [c for c in cols if counts.get(c, 0) <= max_categories]
-    for c in cols:
-        if c not in keep:
-            warnings.warn(f"one_hot: '{c}' has {counts[c]} categories (> {max_categories}); skipped")
-    values: dict[str, list] = {c: [] for c in keep}
-    if keep:
-        for r in cats.where(F.col("c").isin(keep)).collect():
-            values[r["c"]].append(r["v"])
-    new = {}
-    for c in keep:
-        for v in sorted(values[c])[1:]:
-            new[f"{c}{sep}{v}"] = F.coalesce((_q(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+    new = {f"{c}{sep}{v}": F.coalesce((_q(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+           for c, vs in _categories(df, cols).items() for v in vs[1:]}
     return (df.withColumns(new) if new else df), list(new)
 
 
+def one_hot_vectors(df: DataFrame, cols: list[str], sep: str = "_") -> tuple[DataFrame, list[str], list[str]]:
+    """M4 for models: one sparse vector column per category column, however many categories it has.
+
+    The alphabetically first category and null are the zero vector.  Returns the frame, the vector columns
+    and the names of their places."""
+    vectors, names = [], []
+    for k, (c, vs) in enumerate((_categories(df, cols) if cols else {}).items()):
+        if len(vs) < 2:
+            continue
+        index, vec = f"_index{k}", f"_hot{k}"
+        # what is not among the labels (null, the first) gets the last index, which the encoder drops
+        df = StringIndexerModel.from_labels(vs[1:], inputCol="_category", outputCol=index, handleInvalid="keep").transform(
+            df.withColumn("_category", F.coalesce(_q(c).cast("string"), F.lit(vs[0])))).drop("_category")
+        df = OneHotEncoder(inputCol=index, outputCol=vec, dropLast=True).fit(df).transform(df).drop(index)
+        vectors.append(vec)
+        names += [f"{c}{sep}{v}" for v in vs[1:]]
+    return df, vectors, names
+
+
 # ------------------------------------------------------------------ M5, M6
 def _hash01(cols, seed: int) -> Column:
-    h = F.xxhash64(*[_q(c) for c in cols], F.lit(seed))
-    return F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
+    """A number in [0, 1) from the md5 of the columns and the seed, the same in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(_q(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
 def split(df, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None):
@@ -134,54 +148,38 @@ def split(df, test_size: float = 0.2, seed: int = 42, key: list[str] | None = No
     return train, test
 
 
-def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42,
-                     key: list[str] | None = None, exact: bool = False):
-    """M6: split keeping each class's share.  Only when every class has >= 2 rows
-    (otherwise a plain split, as the reference does).
-
-    Default: hash threshold salted by class (each class keeps its share within
-    sampling error; no shuffle).  ``exact=True``: per-class threshold at the
-    class's ``test_size`` quantile of the hash (one grouped aggregate with a
-    bounded sketch per class, broadcast back)."""
-    counts = df.groupBy(_q(label)).count()
-    if counts.agg(F.min("count")).first()[0] is None or counts.agg(F.min("count")).first()[0] < 2:
+def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None):
+    """M6: split keeping each class's share, within sampling error, by a hash that is
+    salted with the class: no shuffle, no threshold to look up.  Only when every class has
+    2 rows or more (otherwise a plain split, as the reference does)."""
+    least = df.groupBy(_q(label)).count().agg(F.min("count")).first()[0]
+    if least is None or least < 2:
         return split(df, test_size, seed, key)
-    u = _hash01((key or df.columns) + [label], seed)
-    d = df.withColumn("_u", u)
-    if not exact:
-        return d.where(F.col("_u") >= test_size).drop("_u"), d.where(F.col("_u") < test_size).drop("_u")
-    th = d.groupBy(_q(label).alias("_lab")).agg(F.percentile_approx("_u", test_size, 100000).alias("_t"))
-    n_classes = counts.count()
-    th = F.broadcast(th) if n_classes <= 100_000 else th  # one row per class: broadcast only when that is small
-    j = d.join(th, d[label].eqNullSafe(th["_lab"]))
-    test = j.where(F.col("_u") <= F.col("_t")).drop("_u", "_t", "_lab")
-    train = j.where(F.col("_u") > F.col("_t")).drop("_u", "_t", "_lab")
-    return train, test
+    u = _hash01([*(key or [c for c in df.columns if c != label]), label], seed)
+    return df.where(u >= test_size), df.where(u < test_size)
 
 
 # ------------------------------------------------------------------ features
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
+    """One vector column from numeric and vector columns; dots in names are no path here."""
+    safe = {f"_in{i}": _q(c) for i, c in enumerate(cols)}
+    d = df.withColumns(safe)
+    return VectorAssembler(inputCols=list(safe), outputCol=out, handleInvalid="keep").transform(d).drop(*safe)
 
 
-def prepare_classification(df: DataFrame, target: str, exclude=(), max_categories: int = 1000):
-    """M2 + M3 + M4 + assembly: (frame with label/features, feature names, classes).
-
-    The input is persisted once (memory and disk): the profile, class and
-    category passes all read it."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+def prepare_classification(df: DataFrame, target: str, exclude=(), key: list[str] | None = None):
+    """M2 + M3 + M4 + assembly: (frame with features, label and the ``key`` columns, feature names, classes)."""
     prof = column_profile(df, with_rows=True).collect()
-    roles = {r["column_name"]: r["role"] for r in usable_features(df, target, exclude, profile=prof).collect()}
+    skip = [*exclude, *(key or [])]
+    roles = {r["column_name"]: r["role"] for r in usable_features(df, target, skip, profile=prof).collect()}
     num = [c for c, r in roles.items() if r == "numeric"]
     cat = [c for c, r in roles.items() if r == "categorical"]
     d, classes = encode_label(df, target)
-    d, dummies = one_hot(d, cat, max_categories, distinct_counts={r["column_name"]: r["distinct"] for r in prof})
-    feats = num + dummies
-    if not feats:
+    d, vectors, names = one_hot_vectors(d, cat)
+    if not num and not names:
         raise ValueError("no usable input columns to train on")
-    d = assemble(d.select(*[_q(c) for c in num + dummies], "label"), feats)
-    return d.select("features", "label"), feats, classes
+    d = assemble(d, num + vectors)
+    return d.select("features", "label", *[_q(c) for c in key or []]), num + names, classes
 
 
 # ------------------------------------------------------------------ M7-M9, U2
@@ -242,16 +240,6 @@ class UnsupervisedModel(SparkModel):
     task = "clustering"
 
 
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 100_000) -> DataFrame:
-    """Coalesce (no shuffle) to about one partition per ``rows_per_partition`` rows,
-    never increasing the count.  Iterative fits run one job per iteration over
-    every partition, so a small table spread thin pays per-task overhead
-    hundreds of times; a large table keeps its parallelism."""
-    import math
-    target = max(1, math.ceil(n_rows / rows_per_partition))
-    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
-
-
 # ------------------------------------------------------------------ M10-M15
 def _conf(pred: DataFrame, label: str, prediction: str, by=()) -> DataFrame:
     return pred.groupBy(*by, _q(label).cast("string").alias("y"), _q(prediction).cast("string").alias("p")) \
@@ -287,7 +275,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
     """Precision, recall, F1, support per class; an ``accuracy`` row (F1 column,
     support = all rows); macro and weighted averages."""
-    pc = _per_class(_conf(pred, label, prediction)).persist()  # one row per class, read three times
+    pc = _per_class(_conf(pred, label, prediction))  # one row per class
     per = pc.select(F.col("cls").alias("class"), "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
     tot = pc.agg(F.sum("support").alias("n"), F.count("*").alias("k"), F.sum("tp").alias("tp_all"),
                  F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
@@ -313,38 +301,44 @@ def best_model(table: DataFrame, metric: str = "f1", model_col: str = "model") -
         .select(F.col("b.m").alias(model_col), (-F.col("b.neg")).alias(metric))
 
 
-def confusion(pred: DataFrame, classes: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Confusion matrix, one row per true class, one column per predicted class."""
-    return (pred.select(_q(label).cast("string").alias("label"), _q(prediction).cast("string").alias("p"))
-            .groupBy("label").pivot("p", classes).agg(F.count(F.lit(1))).na.fill(0, subset=classes))
+def confusion(pred: DataFrame, classes: list[str], label: str = "label", prediction: str = "prediction",
+              other: str = "(other)") -> DataFrame:
+    """Confusion matrix, one row per true class, one column per predicted class; ``other`` counts
+    predictions that are none of ``classes``."""
+    p = _q(prediction).cast("string")
+    known = F.when(p.isin(list(classes)), p).otherwise(F.lit(other))
+    columns = [*classes, other]
+    return (pred.select(_q(label).cast("string").alias("label"), known.alias("p"))
+            .groupBy("label").pivot("p", columns).agg(F.count(F.lit(1))).na.fill(0, subset=columns))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """RMSE and R^2 (``1 - SSE/SST``, NULL when SST is 0)."""
-    y, p = _q(label).cast("double"), _q(prediction).cast("double")
-    m = pred.agg(F.avg(y).alias("ybar"), F.count(y).alias("n"))
-    j = pred.crossJoin(F.broadcast(m))
-    return j.agg(F.sqrt(F.avg(F.pow(y - p, 2))).alias("rmse"),
-                 (F.lit(1.0) - F.try_divide(F.sum(F.pow(y - p, 2)), F.sum(F.pow(y - F.col("ybar"), 2)))).alias("r2"))
+    """RMSE and R^2 (``1 - SSE/SST``, NULL when SST is 0) over the rows that have both
+    numbers, in one pass: SST is the population variance times the rows."""
+    d = pred.select(_q(label).cast("double").alias("y"), _q(prediction).cast("double").alias("p")).where(
+        "y IS NOT NULL AND p IS NOT NULL AND NOT isnan(y) AND NOT isnan(p)")
+    sse = F.sum(F.pow(F.col("y") - F.col("p"), 2))
+    return d.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), 2))).alias("rmse"),
+                 (F.lit(1.0) - F.try_divide(sse, F.var_pop("y") * F.count("y"))).alias("r2"))
 
 
 def compare_models(train: DataFrame, test: DataFrame, estimators: dict | None = None,
                    digits: int = 4, parallelism: int = 3) -> tuple[DataFrame, dict, list]:
     """Fit each estimator on ``train`` (features/label), score on ``test``.
-    Returns (metrics sorted by F1 desc, predictions per model, failures)."""
+    Returns (metrics sorted by F1 desc, predictions per model, failures); a model that failed is a row
+    of the table too, with its error and without metrics."""
     spark = train.sparkSession
     train = train.persist()
     n = train.count()
-    train = right_size(train, n).persist()
     if estimators is None:
         estimators = {"decision_tree": decision_tree(), "logistic_regression": logistic_regression(n),
                       "random_forest": random_forest()}
     from concurrent.futures import ThreadPoolExecutor
 
     def fit_score(name, est):
-        p = est.fit(train).transform(test).select("label", "prediction").persist()
+        p = est.fit(train).transform(test)
         r = classification_metrics(p, digits=digits).first()
-        return p, (name, r["accuracy"], r["precision"], r["recall"], r["f1"])
+        return p, (name, r["accuracy"], r["precision"], r["recall"], r["f1"], None)
 
     rows, preds, failures = [], {}, []
     # independent fits: submitted as concurrent Spark jobs
@@ -357,8 +351,10 @@ def compare_models(train: DataFrame, test: DataFrame, estimators: dict | None =
                 rows.append(row)
             except Exception as e:  # noqa: BLE001 -- a failing model is reported and skipped
                 failures.append((name, f"{type(e).__name__}: {e}"))
-    table = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
-    return table.orderBy(F.col("f1").desc(), "model"), preds, failures
+                rows.append((name, None, None, None, None, failures[-1][1]))
+    train.unpersist()
+    table = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, error string")
+    return table.orderBy(F.col("f1").desc_nulls_last(), "model"), preds, failures
 
 
 # ------------------------------------------------------------------ M16-M22
@@ -370,7 +366,7 @@ def standardize(df: DataFrame, cols: list[str] | None = None, exclude=(), prefix
         raise ValueError("the dataset needs at least 2 numeric columns")
     aggs = []
     for i, c in enumerate(cand):
-        x = _q(c).cast("double")
+        x = present(df, c).cast("double")
         aggs += [F.count_if(x.isNull()).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     r = df.agg(*aggs).first()
     use = [(c, r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(cand) if r[f"n{i}"] == 0]
@@ -412,12 +408,12 @@ def kmeans(df: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, features
     """Best of ``n_init`` starts by inertia (training cost); ties -> lower seed.
     Returns (model, frame + ``Cluster``, inertia)."""
     data = df.persist()
-    data = right_size(data, data.count()).persist()
     if parallelism is None:
         parallelism = min(n_init, 4)
     best = _best_fits(data, [(k, s) for s in range(seed, seed + n_init)], features, out, max_iter, parallelism)
     model, cost = best[k]
-    return model, model.transform(data), cost
+    data.unpersist()
+    return model, model.transform(df), cost
 
 
 def silhouette(pred: DataFrame, features: str = "features", cluster: str = "Cluster") -> float:
@@ -439,17 +435,18 @@ def elbow(df: DataFrame, k_max: int = 10, n_init: int = 10, seed: int = 42, feat
     all (k, start) fits are independent and run concurrently."""
     data = df.select(features).persist()
     n = n_rows if n_rows is not None else data.count()
-    data = right_size(data, n).persist()
     ks = list(range(2, min(k_max + 1, n)))
     best = _best_fits(data, [(k, s) for k in ks for s in range(seed, seed + n_init)], features, "Cluster",
                       max_iter, parallelism)
+    data.unpersist()
     rows = [(k, float(best[k][1])) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
 def pca(df: DataFrame, k: int = 2, features: str = "features", n_features: int | None = None,
         n_rows: int | None = None):
-    """``k`` components (capped by columns and rows) of centred data.
+    """``k`` components (capped by columns and rows); the data is centred here, so every
+    component has mean 0.
 
     Signs are fixed so each component's largest-magnitude loading is positive.
     Returns (projection frame with ``pca`` array, components (list of lists),
@@ -457,8 +454,9 @@ def pca(df: DataFrame, k: int = 2, features: str = "features", n_features: int |
     if n_features is None:
         n_features = len(df.select(features).first()[0])
     k = min(k, n_features, n_rows if n_rows is not None else df.count())
-    model = PCA(k=k, inputCol=features, outputCol="_pc").fit(df)
-    projected = model.transform(df)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="_centred").fit(df).transform(df)
+    model = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(centred)
+    projected = model.transform(centred).drop("_centred")
     comps = model.pc.toArray().T.tolist()
     signs = []
     for comp in comps:

@@ -16,53 +16,66 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 def _json_path(path: str) -> str:
     parts = [p for p in path.split(".") if p]
-    return "$" + "".join(f"['{p}']" for p in parts)
+    return "$" + "".join(f".{p}" if "'" in p else f"['{p}']" for p in parts)
 
 
 # --------------------------------------------------------------------------- J1
-def _check_path(df: DataFrame, path: str, body: str, extra_aggs=()):
-    """One aggregate: payloads missing each key prefix (+ any extra aggregates)."""
+def _check_path(df: DataFrame, path: str, body: str, extra_aggs=(), strict: bool = True):
+    """One aggregate: payloads missing each key prefix (+ any extra aggregates).  A missing key is an error in
+    any payload if ``strict``, else only if no payload has it."""
     keys = [p for p in path.split(".") if p]
     checks = [F.count_if(F.get_json_object(F.col(body), _json_path(".".join(keys[:i + 1]))).isNull()
                          & F.col(body).isNotNull()).alias(f"m{i}") for i in range(len(keys))]
-    row = df.agg(*checks, *extra_aggs).first()
+    row = df.agg(*checks, F.count(body).alias("_bodies"), *extra_aggs).first()
     for i, k in enumerate(keys):
-        if row[f"m{i}"]:
+        if row[f"m{i}"] and (strict or row[f"m{i}"] == row["_bodies"]):
             raise KeyError(f"path '{path}' does not exist in the JSON (failed at key '{k}')")
     return row
 
 
 def _node(path: str, body: str) -> Column:
-    return F.variant_get(F.parse_json(F.col(body)), _json_path(path), "variant")
+    return F.variant_get(F.try_parse_json(F.col(body)), _json_path(path), "variant")
 
 
 def _elements(node: Column) -> Column:
+    """The records of a node; a payload that is no JSON or lacks the node has none."""
     return F.when(F.schema_of_variant(node).startswith("ARRAY"), F.variant_get(node, "$", "array<variant>")) \
-        .otherwise(F.array(node))
+        .when(node.isNotNull(), F.array(node))
 
 
-def records_at(df: DataFrame, path: str, body: str = "body", keep=(), checked: bool = False) -> DataFrame:
+def bad_payloads(df: DataFrame, body: str = "body", path: str | None = None) -> DataFrame:
+    """One row: payloads that are no JSON (``malformed``) and, with a path, JSON that lacks it (``without_path``)."""
+    parsed = F.try_parse_json(F.col(body))
+    lacks = F.variant_get(parsed, _json_path(path), "variant").isNull() if path else F.lit(False)
+    return df.where(F.col(body).isNotNull()).agg(F.count_if(parsed.isNull()).alias("malformed"),
+                                                 F.count_if(parsed.isNotNull() & lacks).alias("without_path"))
+
+
+def records_at(df: DataFrame, path: str, body: str = "body", keep=(), checked: bool = False, strict: bool = True) -> DataFrame:
     """Descend the dotted ``path`` in each payload and emit one row per record
     (column ``record``, VARIANT).  A key missing from any payload is an error
-    naming that key (checked in one aggregate pass)."""
+    naming that key (checked in one aggregate pass); without ``strict`` only one that no payload has,
+    and payloads without records are counted by ``bad_payloads``."""
     if not checked:
-        _check_path(df, path, body)
+        _check_path(df, path, body, strict=strict)
     return df.select(*keep, F.explode(_elements(_node(path, body))).alias("record"))
 
 
 # --------------------------------------------------------------------------- J2
 def detect_records(df: DataFrame, body: str = "body", keep=()) -> DataFrame:
     """A top-level array gives its elements; an object gives the elements of its
-    first list-valued key in document order, else the object itself."""
+    first list-valued key in document order, else the object itself.  Malformed payloads have no records."""
     b = F.col(body)
+    parsed = F.try_parse_json(b)
     trimmed = F.ltrim(b)
     m = F.from_json(b, "map<string,string>")  # values keep their raw JSON text
     first_list_key = F.try_element_at(
         F.filter(F.json_object_keys(b), lambda k: F.ltrim(F.try_element_at(m, k)).startswith("[")), F.lit(1))
-    elems = (F.when(trimmed.startswith("["), F.variant_get(F.parse_json(b), "$", "array<variant>"))
+    elems = (F.when(parsed.isNull(), F.lit(None))
+             .when(trimmed.startswith("["), F.variant_get(parsed, "$", "array<variant>"))
              .when(first_list_key.isNotNull(),
-                   F.variant_get(F.parse_json(F.try_element_at(m, first_list_key)), "$", "array<variant>"))
-             .otherwise(F.array(F.parse_json(b))))
+                   F.variant_get(F.try_parse_json(F.try_element_at(m, first_list_key)), "$", "array<variant>"))
+             .otherwise(F.array(parsed)))
     return df.select(*keep, F.explode(elems).alias("record"))
 
 
@@ -74,7 +87,7 @@ def require_records(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- J3
-_DEC = re.compile(r"DECIMAL\(\d+,\s*\d+\)")
+_DEC = re.compile(r"DECIMAL\(\d+,\s*[1-9]\d*\)")  # with a fraction; whole numbers of any size stay exact
 
 
 def record_schema(records: DataFrame, record: str = "record") -> str:
@@ -156,7 +169,7 @@ def flatten_complex_cells(df: DataFrame, empty_as_null: bool = True) -> DataFram
 
 
 def _first_record_text(df: DataFrame, body: str, path: str | None) -> str | None:
-    """Raw JSON text of one record (key order as written), via one tiny job."""
+    """Raw JSON text of the record with the most keys (ties: the greatest text), in one aggregate."""
     b = F.col(body)
     if path:
         node = F.get_json_object(b, _json_path(path))
@@ -168,8 +181,9 @@ def _first_record_text(df: DataFrame, body: str, path: str | None) -> str | None
         rec = (F.when(F.ltrim(b).startswith("["), F.get_json_object(b, "$[0]"))
                .when(key.isNotNull(), F.get_json_object(F.try_element_at(m, key), "$[0]"))
                .otherwise(b))
-    row = df.select(rec.alias("t")).where(F.col("t").isNotNull()).limit(1).collect()
-    return row[0]["t"] if row else None
+    t = df.select(rec.alias("t")).where(F.col("t").isNotNull())
+    rank = F.struct(F.coalesce(F.size(F.json_object_keys("t")), F.lit(0)), F.col("t"))
+    return t.agg(F.max_by("t", rank)).first()[0]
 
 
 def _doc_order(text: str | None, sep: str = ".") -> list[str]:
@@ -196,7 +210,7 @@ def _doc_order(text: str | None, sep: str = ".") -> list[str]:
 
 
 def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None, keep=(),
-                      check: bool = False, document_order: bool = True) -> DataFrame:
+                      check: bool = False, document_order: bool = True, strict: bool = True) -> DataFrame:
     """J1/J2 -> J3 -> J4/J5: payload column to a flat table of records.
 
     With a ``path`` the key check and the record schema come from one
@@ -205,7 +219,7 @@ def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None
     keys missing from that record follow alphabetically)."""
     schema = None
     if path:
-        row = _check_path(df, path, body, [F.schema_of_variant_agg(_node(path, body)).alias("_schema")])
+        row = _check_path(df, path, body, [F.schema_of_variant_agg(_node(path, body)).alias("_schema")], strict)
         s = row["_schema"] or ""
         if s.startswith("ARRAY<") and s.endswith(">"):
             inner = s[len("ARRAY<"):-1]

@@ -33,9 +33,15 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null: a missing number is missing however it is written."""
+    c = _q(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def _long_strings(df: DataFrame, cols: list[str], keep_nulls: bool = True) -> DataFrame:
     """Unpivot ``cols`` into (column, value string).  One row per cell."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), present(df, c).cast("string").alias("value"))
                                 for c in cols])).alias("cell")
     out = df.select(cells).select("cell.column_name", "cell.value")
     return out if keep_nulls else out.where(F.col("value").isNotNull())
@@ -280,7 +286,7 @@ def null_profile(df: DataFrame, digits: int = 2) -> DataFrame:
     cols = df.columns
     if not cols:
         return spark.createDataFrame([], "column_name string, nulls long, pct double")
-    aggs = [F.count("*").alias("__rows")] + [F.count_if(_q(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs = [F.count("*").alias("__rows")] + [F.count_if(present(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("nulls"))
                                 for i, c in enumerate(cols)])).alias("s")
@@ -302,7 +308,11 @@ def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False)
     hot value costs one row per task, and no wide ``Expand`` is built."""
     fields = df.schema.fields
     types = F.create_map(*[x for f in fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])
-    long = _long_strings(df, [f.name for f in fields])
+    # only a digest of a text travels: distinct texts are counted, not carried
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), (
+        F.unhex(F.sha2(_q(f.name), 256)) if isinstance(f.dataType, T.StringType)
+        else present(df, f.name).cast("string").cast("binary")).alias("value")) for f in fields])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.column_name", "cell.value")
     if approx:
         out = long.groupBy("column_name").agg(F.count_if(F.col("value").isNull()).alias("nulls"),
                                          F.approx_count_distinct("value").alias("distinct"))
@@ -321,7 +331,7 @@ def column_profile(df: DataFrame, approx: bool = False, with_rows: bool = False)
 def shape_metrics(df: DataFrame) -> DataFrame:
     """A4: rows, columns, null cells, numeric columns (one row)."""
     cols = df.columns
-    nulls = reduce(lambda a, b: a + b, [F.count_if(_q(c).isNull()) for c in cols], F.lit(0).cast("long"))
+    nulls = reduce(lambda a, b: a + b, [F.count_if(present(df, c).isNull()) for c in cols], F.lit(0).cast("long"))
     return df.agg(F.count("*").alias("rows"), nulls.cast("long").alias("nulls")).select(
         "rows", F.lit(len(cols)).alias("columns"), "nulls", F.lit(len(numeric_columns(df))).alias("numeric_columns"))
 
@@ -468,27 +478,22 @@ def quality_report(records: DataFrame, kind_col: str = "tipo", content_col: str
 
     Output long form: metric, kind, value."""
     cols = records.columns
-    totals = records.agg(
-        F.count("*").alias("total"),
-        (F.count_if(F.col(content_col).isNull() | (F.trim(F.col(content_col)) == "")) if content_col in cols
-         else F.lit(0)).cast("long").alias("empty_content"),
-        (F.count_if((F.col(kind_col) == "imagen") & (F.col("src").isNull() | (F.col("src") == "")))
-         if "src" in cols else F.lit(0)).cast("long").alias("images_without_src"))
-    distinct_rows = records.groupBy(*[_q(c) for c in cols]).agg(F.lit(1).alias("one")).agg(
-        F.count("*").alias("distinct_rows"))
+    empty = F.col(content_col).isNull() | (F.col(content_col) == "") if content_col in cols else F.lit(False)
+    no_src = (F.col(kind_col) == "imagen") & (F.col("src").isNull() | (F.col("src") == "")) if "src" in cols else F.lit(False)
+    rows = records.groupBy(*[_q(c) for c in cols]).agg(F.count("*").alias("_n"))
+    kinds = rows.groupBy(kind_col).agg(
+        F.sum("_n").alias("total"), F.count("*").alias("distinct"), F.sum(F.when(empty, F.col("_n")).otherwise(0)).alias("empty"),
+        F.sum(F.when(no_src, F.col("_n")).otherwise(0)).alias("no_src"))
+
     def metric(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("metric"), F.lit(None).cast("string").alias("kind"),
-                        value.cast("long").alias("value"))
-
-    summary = totals.crossJoin(distinct_rows).select(
-        F.explode(F.array(
-            metric("total", F.col("total")), metric("empty_content", F.col("empty_content")),
-            metric("duplicates", F.col("total") - F.col("distinct_rows")),
-            metric("images_without_src", F.col("images_without_src")),
-        )).alias("m")).select("m.*")
-    per_kind = records.groupBy(kind_col).agg(F.count("*").alias("value")).select(
-        F.lit("records_per_kind").alias("metric"), F.col(kind_col).cast("string").alias("kind"), "value")
-    return summary.unionByName(per_kind)
+                        F.coalesce(value, F.lit(0)).cast("long").alias("value"))
+
+    summary = kinds.agg(*[F.sum(c).alias(c) for c in ("total", "distinct", "empty", "no_src")]).select(F.explode(F.array(
+        metric("total", F.col("total")), metric("empty_content", F.col("empty")),
+        metric("duplicates", F.col("total") - F.col("distinct")), metric("images_without_src", F.col("no_src")))).alias("m")).select("m.*")
+    return summary.unionByName(kinds.select(F.lit("records_per_kind").alias("metric"), F.col(kind_col).cast("string").alias("kind"),
+                                            F.col("total").alias("value")))
 
 
 # -------------------------------------------------------------------------- A13

@@ -70,7 +70,9 @@ class Pipeline:
                 else:
                     pred = self.model.fit(tr).transform(te)
                 res.predictions = pred
-                res.metrics = classification_metrics(pred)
+                metrics = classification_metrics(pred)
+                # evaluated here: a failure is this step's failure
+                res.metrics = df.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
                 res.log.append("model ok")
             except Exception as e:  # noqa: BLE001
                 return PipelineResult(ok=False, failed_step="model", error=f"{type(e).__name__}: {e}", log=res.log,

@@ -61,14 +61,23 @@ def m4_one_hot(spark, sf_dir):
     return d
 
 
-@register("m5_split")
+def _u(cols: str, seed: int = 42) -> str:
+    """The split's hash in DuckDB."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {cols}, '{seed}')), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@register("m5_split", f"SELECT *, CASE WHEN {_u('o_orderkey')} < 0.2 THEN 'test' ELSE 'train' END AS part FROM orders")
 def m5_split(spark, sf_dir):
     o = tbl(spark, sf_dir, "orders")
     train, test = L.split(o, 0.2, 42, key=["o_orderkey"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@register("m6_stratified_split")
+M6_SQL = f"""SELECT o_orderpriority, CASE WHEN {_u('o_orderkey, o_orderpriority')} < 0.2 THEN 'test' ELSE 'train' END AS part,
+  count(*) AS "count" FROM orders GROUP BY ALL"""
+
+
+@register("m6_stratified_split", M6_SQL)
 def m6_stratified_split(spark, sf_dir):
     o = tbl(spark, sf_dir, "orders")
     train, test = L.stratified_split(o, "o_orderpriority", 0.2, 42, key=["o_orderkey"])
@@ -76,46 +85,54 @@ def m6_stratified_split(spark, sf_dir):
     return both.groupBy("o_orderpriority", "part").count()
 
 
-def doc_features(spark, sf_dir):
-    """Labelled documents with simple text features (labels joined to documents)."""
-    d = tbl(spark, sf_dir, "documents")
-    lab = tbl(spark, sf_dir, "labels")
-    j = lab.join(d, "doc_id")
-    return j.select("quality", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
-                    F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-                    F.regexp_count("text", F.lit(r"[^\s]+")).cast("double").alias("n_words"),
-                    F.regexp_count("text", F.lit(r"[0-9]")).cast("double").alias("n_digits"))
+def planted(spark, sf_dir):
+    """Lines labelled by a rule that the models can find, beside a column that says nothing."""
+    li = tbl(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.col("l_tax"), (F.col("l_linenumber") >= 4).cast("int").alias("late"),
+                     F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("line"))
+
+
+PLANTED_TEST = f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 4 THEN 1 ELSE 0 END AS late FROM lineitem
+WHERE {_u("l_orderkey || '-' || l_linenumber, CASE WHEN l_linenumber >= 4 THEN '1.0' ELSE '0.0' END")} < 0.2"""
+PLANTED_SQL = f"SELECT l_orderkey, l_linenumber, CAST(late AS DOUBLE) AS prediction FROM ({PLANTED_TEST})"
 
 
 def _prepared(spark, sf_dir):
-    data, feats, classes = L.prepare_classification(doc_features(spark, sf_dir), "quality")
-    return L.split(data, 0.2, 42)
+    """Stratified parts (M6) of the prepared lines."""
+    d = planted(spark, sf_dir)
+    data, _, _ = L.prepare_classification(d.withColumnRenamed("l_linenumber", "number").withColumn("l_linenumber", F.col("number")),
+                                          "late", exclude=("l_orderkey",), key=["line", "l_linenumber"])
+    return L.stratified_split(data, "label", 0.2, 42, key=["line"])
 
 
 def _fit_predict(spark, sf_dir, est_fn):
     train, test = _prepared(spark, sf_dir)
-    train = train.persist()
-    train = L.right_size(train, train.count()).persist()
-    est = est_fn(train)
-    return est.fit(train).transform(test).select("label", "prediction")
+    p = est_fn(train).fit(train).transform(test)
+    return p.select(F.split("line", "-")[0].cast("long").alias("l_orderkey"), "l_linenumber", "prediction")
 
 
-@register("m7_decision_tree")
+@register("m7_decision_tree", PLANTED_SQL)
 def m7_decision_tree(spark, sf_dir):
     return _fit_predict(spark, sf_dir, lambda tr: L.decision_tree())
 
 
-@register("m8_logistic_regression")
+@register("m8_logistic_regression", PLANTED_SQL)
 def m8_logistic_regression(spark, sf_dir):
     return _fit_predict(spark, sf_dir, lambda tr: L.logistic_regression(tr.count()))
 
 
-@register("m9_random_forest")
+@register("m9_random_forest", PLANTED_SQL)
 def m9_random_forest(spark, sf_dir):
     return _fit_predict(spark, sf_dir, lambda tr: L.random_forest())
 
 
-@register("m12_compare_models")
+M12_SQL = f"""WITH t AS ({PLANTED_TEST})
+SELECT model, round(avg(CASE WHEN late = guess THEN 1.0 ELSE 0.0 END), 4) AS accuracy, 1.0 AS precision, 1.0 AS recall, 1.0 AS f1,
+  CAST(NULL AS VARCHAR) AS error
+FROM (SELECT unnest(['decision_tree', 'logistic_regression', 'random_forest']) AS model, late, late AS guess FROM t) GROUP BY model"""
+
+
+@register("m12_compare_models", M12_SQL)
 def m12_compare_models(spark, sf_dir):
     train, test = _prepared(spark, sf_dir)
     table, _, _ = L.compare_models(train, test)
@@ -194,7 +211,7 @@ def m13_best_model(spark, sf_dir):
 # The return flags of the driver tables (oracle side only).
 FLAGS = ["A", "N", "R"]
 M14_SQL = (f"WITH p AS ({PRED_SQL}) SELECT label, " + ", ".join(
-    f"count(*) FILTER (WHERE prediction = '{f}') AS \"{f}\"" for f in FLAGS) + " FROM p GROUP BY label")
+    f"count(*) FILTER (WHERE prediction = '{f}') AS \"{f}\"" for f in FLAGS) + ", count(*) FILTER (WHERE prediction NOT IN ('A', 'N', 'R')) AS \"(other)\" FROM p GROUP BY label")
 
 
 @register("m14_confusion", M14_SQL)
@@ -232,7 +249,22 @@ def m16_standardize(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = tbl(spark, sf_dir, "embeddings")
-    return L.vectors_from_array(e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "v")
+    n = len(e.select("embedding").first()[0])
+    wide = e.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(n)])
+    z, cols = L.standardize(wide, [f"e{k}" for k in range(n)])  # M16 first, as the reference does
+    return L.assemble(z, cols).select("vec_id", "label", "features")
+
+
+def _two(spark, sf_dir):
+    """Two standardised columns: the components are their sum and difference over the square root of 2."""
+    li = tbl(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                               (F.col("l_quantity") + 2 * F.col("l_linenumber")).alias("more"))
+    z, cols = L.standardize(li, ["l_quantity", "more"])
+    return L.assemble(z, cols)
+
+
+TWO_SQL = """z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a,
+    (more - avg(more) OVER ()) / stddev_pop(more) OVER () AS b FROM (SELECT *, l_quantity + 2 * l_linenumber AS more FROM lineitem))"""
 
 
 @register("m17_kmeans")
@@ -262,12 +294,21 @@ def m20_elbow(spark, sf_dir):
     return L.elbow(_vectors(spark, sf_dir), k_max=10, n_init=10)
 
 
-@register("m21_pca")
+M21_SQL = f"""WITH {TWO_SQL}
+SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2), 4) AS pc1, round(abs(a - b) / sqrt(2), 4) AS pc2 FROM z"""
+
+
+@register("m21_pca", M21_SQL)
 def m21_pca(spark, sf_dir):
-    proj, _, ratios = L.pca(_vectors(spark, sf_dir), k=2)
-    return proj.select("vec_id", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2"))
+    proj, _, _ = L.pca(_two(spark, sf_dir), k=2)  # the second component's sign is a tie: its size is compared
+    return proj.select("l_orderkey", "l_linenumber", F.round(F.col("pca")[0], 4).alias("pc1"), F.round(F.abs(F.col("pca")[1]), 4).alias("pc2"))
+
+
+M22_SQL = f"""WITH {TWO_SQL}, r AS (SELECT avg(a * b) AS r FROM z)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio, round((1 + r) / 2, 6) AS cumulative, (1 + r) / 2 >= 0.9 AS reaches_target FROM r
+UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0, (1 + r) / 2 < 0.9 FROM r"""
 
 
-@register("m22_cumulative_variance")
+@register("m22_cumulative_variance", M22_SQL)
 def m22_cumulative_variance(spark, sf_dir):
-    return L.cumulative_variance(_vectors(spark, sf_dir), target=0.9)
+    return round_doubles(L.cumulative_variance(_two(spark, sf_dir), target=0.9), 6)

@@ -224,15 +224,18 @@ def s9_preview(spark, sf_dir):
     return preview(tbl(spark, sf_dir, "lineitem").orderBy(*S9_KEYS), 5)
 
 
-A5_SQL = """SELECT column_name,
-  data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR data_type LIKE 'DECIMAL%' AS "numeric",
-  data_type = 'VARCHAR' AS "text"
-FROM information_schema.columns WHERE table_name = 'lineitem'"""
+A5_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+A5_SQL = _union([f"""SELECT '{c}' AS column_name,
+  typeof(any_value({c})) IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') OR typeof(any_value({c})) LIKE 'DECIMAL%' AS "numeric",
+  typeof(any_value({c})) = 'VARCHAR' AS "text", count({c}) AS "present" FROM lineitem""" for c in A5_COLUMNS])
 
 
 @register("a5_column_kinds", A5_SQL)
 def a5_column_kinds(spark, sf_dir):
+    """Kinds of the columns and how many values each has."""
     li = tbl(spark, sf_dir, "lineitem")
-    num, txt = set(P.numeric_columns(li)), set(P.text_columns(li))
-    return spark.createDataFrame([(c, c in num, c in txt) for c in li.columns],
-                                 "column_name string, numeric boolean, text boolean")
+    num, txt = P.numeric_columns(li), P.text_columns(li)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in num).alias("numeric"), F.lit(c in txt).alias("text"),
+                                         F.col(f"n_{c}").alias("present")) for c in li.columns])).alias("c")
+    return li.agg(*[F.count(c).alias(f"n_{c}") for c in li.columns]).select(cells).select("c.*")

@@ -35,7 +35,7 @@ GROUP BY n_name
 
 _q("q3_join_anti", """
 SELECT c_custkey, c_name FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
 """)
 
 _q("q4_join_semi", """

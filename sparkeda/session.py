@@ -49,8 +49,8 @@ def get_spark(app: str = "sparkeda", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it; only when it is unset (local tests) is a scratch
-    folder created and registered, so lineage cuts still work.
+    The cluster sets it; where it is unset a local session gets a scratch folder, so lineage
+    cuts still work, and any other session an error: no local folder is shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="sparkeda-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -74,15 +76,13 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin repartition before CPU-heavy row-local work, but only when the
-    input has fewer partitions than the cluster can run at once (small or
-    unsplittable inputs).  Large multi-file inputs are returned unchanged, so
-    no shuffle is added at scale."""
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition before CPU-heavy row-local work, for inputs of few files.
+
+    ``partitions`` defaults to twice the cores; an input of that many files or more is returned
+    as it is.  Only the file list is looked at, no job runs, and rows and results are the same either way."""
+    target = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    return df if df.isStreaming or len(df.inputFiles()) >= target else df.repartition(target)
 
 
 def ship_package(spark: SparkSession) -> str:

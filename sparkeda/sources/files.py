@@ -45,22 +45,53 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def _wrap(df: DataFrame, path: str, name: str | None, fmt: str, as_dataset: bool, **meta):
-    df = normalize_missing(df)
+    df = df if fmt in ("csv", "tsv") else normalize_missing(df)
     if not as_dataset:
         return df
     base = name or os.path.splitext(os.path.basename(path.rstrip("/")))[0]
     return Dataset(name=base, df=df, origin=path, metadata={"format": fmt, **meta})
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns become whole numbers, numbers, booleans, dates or timestamps where every
+    value that is there reads as one; one aggregate over the table."""
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    aggs = []
+    for i, c in enumerate(texts):
+        v = F.trim(F.col(f"`{c}`"))
+        fits = {k: v.try_cast(k).isNotNull() for k in kinds}
+        fits["boolean"] = F.lower(v).isin("true", "false")
+        fits["date"] = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & v.try_cast("date").isNotNull()
+        fits["timestamp"] = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d") & v.try_cast("timestamp").isNotNull()
+        aggs += [F.count(v).alias(f"n{i}"), *[F.count_if(fits[k]).alias(f"{k}{i}") for k in kinds]]
+    r = df.agg(*aggs).first()
+    to = {}
+    for i, c in enumerate(texts):
+        kind = next((k for k in kinds if r[f"n{i}"] and r[f"{k}{i}"] == r[f"n{i}"]), None)
+        if kind:
+            to[c] = F.trim(F.col(f"`{c}`")).cast(kind)
+    return df.select(*[to.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def read_csv(spark: SparkSession, path: str, name: str | None = None, schema=None,
-             sep: str = ",", as_dataset: bool = False, **opts):
-    """Header row, UTF-8 (a BOM is dropped by the reader); missing path is an error."""
+             sep: str = ",", as_dataset: bool = False, multi_line: bool = True, **opts):
+    """Header row, UTF-8 (a BOM is dropped by the reader); missing path is an error.
+
+    A quote inside quotes is doubled, and quoted fields may hold line breaks; files without such can
+    be read in splits with ``multi_line=False``.  NA tokens are missing before types are inferred, so
+    a column of numbers and ``NA`` is one of numbers."""
     _require(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("quote", '"')
+              .option("escape", '"').option("multiLine", multi_line))
+    if schema is not None:
+        reader = reader.schema(schema)
     for k, v in opts.items():
         reader = reader.option(k, v)
-    return _wrap(reader.csv(path), path, name, "csv" if sep == "," else "tsv", as_dataset)
+    df = normalize_missing(reader.csv(path))
+    return _wrap(df if schema is not None else infer_types(df), path, name, "csv" if sep == "," else "tsv", as_dataset)
 
 
 def read_tsv(spark: SparkSession, path: str, name: str | None = None, schema=None,
@@ -70,14 +101,13 @@ def read_tsv(spark: SparkSession, path: str, name: str | None = None, schema=Non
 
 
 def read_json(spark: SparkSession, path: str, name: str | None = None, schema=None,
-              multi_line: bool | None = None, as_dataset: bool = False, **opts):
-    """S3: JSON records.  A file holding one JSON array needs ``multiLine``;
-    JSON-lines (the scalable layout, splittable) is read otherwise.  When
-    ``multi_line`` is None the first byte of the first file decides."""
+              multi_line: bool = False, as_dataset: bool = False, **opts):
+    """S3: JSON records: one record, or an array of records, per line (the layout that splits).
+
+    ``multi_line=True`` reads files that each are one value over several lines.  The reader does not
+    guess: what it cannot read as told is an error."""
     _require(spark, path)
-    if multi_line is None:
-        multi_line = _starts_with_array(spark, path)
-    reader = spark.read.option("multiLine", multi_line)
+    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in opts.items():
@@ -85,38 +115,13 @@ def read_json(spark: SparkSession, path: str, name: str | None = None, schema=No
     return _wrap(reader.json(path), path, name, "json", as_dataset)
 
 
-def _starts_with_array(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(jpath)
-    files = []
-    for st in statuses:
-        if st.isDirectory():
-            files.extend(s for s in fs.listStatus(st.getPath()) if s.isFile()
-                         and not s.getPath().getName().startswith(("_", ".")))
-        else:
-            files.append(st)
-    if not files:
-        return False
-    stream = fs.open(files[0].getPath())
-    try:
-        for _ in range(4096):
-            b = stream.read()
-            if b < 0:
-                return False
-            ch = chr(b)
-            if ch in " \t\r\n﻿" or b in (0xEF, 0xBB, 0xBF):
-                continue
-            return ch == "["
-    finally:
-        stream.close()
-    return False
-
-
 def read_parquet(spark: SparkSession, path: str, name: str | None = None, as_dataset: bool = False):
+    """Parquet; NaN is missing here as in every source."""
     _require(spark, path)
     df = spark.read.parquet(path)
+    if any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in df.schema.fields):
+        df = df.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit(float("nan")).cast(f.dataType)).alias(f.name)
+                         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
     if not as_dataset:
         return df
     base = name or os.path.splitext(os.path.basename(path.rstrip("/")))[0]
@@ -166,13 +171,13 @@ def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrit
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt in ("tsv", "txt"):
-        w.option("header", True).option("sep", "\t").csv(path)
+        w.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
     elif fmt == "json":
-        w.json(path)
+        w.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     return path
 
 

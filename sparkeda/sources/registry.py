@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkeda.dataset import Dataset
 
@@ -10,14 +13,21 @@ from sparkeda.dataset import Dataset
 def make_key(name: str, taken) -> str:
     """Lower-case, spaces to ``_``; on collision append ``_2``, ``_3``, ..."""
     key = name.lower().replace(" ", "_")
-    if key in taken:
+    views = {view_name(t) for t in taken}  # two keys must not share a view either
+    if view_name(key) in views:
         i = 2
-        while f"{key}_{i}" in taken:
+        while view_name(f"{key}_{i}") in views:
             i += 1
         key = f"{key}_{i}"
     return key
 
 
+def view_name(key: str) -> str:
+    """The key as a name that SQL takes: ``ventas-2024.csv`` -> ``ventas_2024_csv``; a leading digit gets ``_``."""
+    name = re.sub(r"\W", "_", key)
+    return f"_{name}" if name[:1].isdigit() else name
+
+
 class Registry:
     """Named datasets; each is also a temp view so SQL (Q1) can reach it."""
 
@@ -30,7 +40,7 @@ class Registry:
             item = Dataset(name=name or "dataset", df=item, origin="dataframe")
         key = make_key(name or item.name, self._items)
         self._items[key] = item
-        item.df.createOrReplaceTempView(key)
+        item.df.createOrReplaceTempView(view_name(key))
         return key
 
     def get(self, key: str) -> Dataset:
@@ -43,14 +53,13 @@ class Registry:
 
     def drop(self, key: str) -> None:
         self._items.pop(key)
-        self.spark.catalog.dropTempView(key)
+        self.spark.catalog.dropTempView(view_name(key))
 
     def list(self, with_counts: bool = True) -> DataFrame:
         """key, rows, columns, origin for each registered dataset."""
-        rows = []
-        for key, ds in self._items.items():
-            n = ds.df.count() if with_counts else None
-            rows.append((key, n, len(ds.df.columns), ds.origin))
+        counts = [ds.df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, ds in self._items.items()] if with_counts else []
+        counts = {r["k"]: r["n"] for r in reduce(DataFrame.unionByName, counts).collect()} if counts else {}  # one job
+        rows = [(k, counts.get(k), len(ds.df.columns), ds.origin) for k, ds in self._items.items()]
         return self.spark.createDataFrame(rows, "key string, rows long, columns int, origin string")
 
     def __contains__(self, key):

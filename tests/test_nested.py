@@ -69,13 +69,25 @@ def test_flatten_documents(spark, tmpdir_path):
     p1, p2 = f"{tmpdir_path}/est.json", f"{tmpdir_path}/cur.json"
     open(p1, "w").write(json.dumps([STUDENT], indent=2))
     open(p2, "w").write(json.dumps([COURSE], indent=2))
-    s = N.flatten_students(read_json(spark, p1))
+    s = N.flatten_students(read_json(spark, p1, multi_line=True))
     assert len(s.columns) == 15
     r = s.first()
     assert (r.num_materias, r.materias, r.ciudad, r.edad) == (2, "BD, IA", "CDMX", 21)
-    c = N.flatten_courses(read_json(spark, p2))
+    c = N.flatten_courses(read_json(spark, p2, multi_line=True))
     assert len(c.columns) == 11
     r = c.first()
     assert (r.dias, r.horario, r.ocupacion_pct) == ("Lunes, Jueves", "Lunes 07:00-08:30; Jueves 10:00-11:30", 83.3)
-    flat = N.flatten(read_json(spark, p1))
+    flat = N.flatten(read_json(spark, p1, multi_line=True))
     assert "contacto.direccion.ciudad" in flat.columns
+
+
+def test_bad_payloads_do_not_stop_a_load(spark):
+    bodies = ['{"data": {"o\'k": [{"id": 12345678901234567890123, "x": 1.5}]}}', '{"error": "busy"}', "{broken", None]
+    df = spark.createDataFrame([("e", b) for b in bodies], "endpoint string, body string")
+    ds = read_api_payloads(spark, df, path="data.o'k")
+    rows = ds.df.collect()
+    assert len(rows) == 1 and int(rows[0].id) == 12345678901234567890123 and rows[0].x == 1.5
+    assert ds.metadata["malformed"] == 1 and ds.metadata["without_path"] == 1
+    with pytest.raises(KeyError):
+        read_api_payloads(spark, df, path="data.o'k", strict=True)
+    assert N.detect_records(df).count() == 2

@@ -49,7 +49,6 @@ def test_no_cartesian_products(spark, name):
 
 def test_spread_only_when_needed(spark):
     from sparkeda.session import spread
-    small = spark.range(10).coalesce(1)
+    small = spark.read.parquet(f"{SF}/documents.parquet")
     assert spread(small).rdd.getNumPartitions() > 1
-    big = spark.range(10).repartition(spark.sparkContext.defaultParallelism * 4)
-    assert spread(big) is big
+    assert spread(small, partitions=1) is small

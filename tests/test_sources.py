@@ -77,3 +77,49 @@ def test_jdbc_derby_roundtrip(spark, tmpdir_path):
     reg = Registry(spark)
     keys = J.load_many(spark, reg, url, ["STUDENTS"], properties=props)
     assert keys == ["sql_students"]
+
+
+def test_csv_round_trip_with_quotes_breaks_and_na(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "q.csv")
+    with open(p, "w", newline="") as f:
+        f.write('id,text,n,d,b\n1,"he said ""hi"", ok",1,2024-01-02,true\n2,"two\nlines",NA,2024-02-03,false\n3,NA,3,,true\n')
+    df = S.load(spark, p)
+    assert dict(df.dtypes) == {"id": "int", "text": "string", "n": "int", "d": "date", "b": "boolean"}
+    rows = df.orderBy("id").collect()
+    assert [r.text for r in rows] == ['he said "hi", ok', "two\nlines", None] and [r.n for r in rows] == [1, None, 3]
+    out = os.path.join(tmpdir_path, "out.csv")
+    S.save(df, out)
+    assert sorted(map(str, S.load(spark, out).collect())) == sorted(map(str, rows))
+
+
+def test_json_is_not_guessed_and_keeps_nulls(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "p.json")
+    open(p, "w").write('{\n "a": 1\n}')
+    assert S.read_json(spark, p, multi_line=True).first().a == 1
+    with pytest.raises(Exception):
+        S.read_json(spark, p).collect()
+    out = os.path.join(tmpdir_path, "n.json")
+    S.save(spark.createDataFrame([(1, None)], "x int, y string"), out)
+    assert S.load(spark, out).columns == ["x", "y"]
+
+
+def test_nan_is_missing_everywhere(spark, tmpdir_path):
+    from sparkeda.operators import clean as C, profile as P
+    nan, p = float("nan"), os.path.join(tmpdir_path, "n.parquet")
+    raw = spark.createDataFrame([(1.0, "a"), (nan, "b"), (3.0, None)], "v double, s string")
+    raw.write.parquet(p)
+    assert S.load(spark, p).where("v IS NULL").count() == 1
+    assert {r.column_name: r.nulls for r in P.null_profile(raw).collect()} == {"v": 1, "s": 1, "(total)": 2}
+    assert {r.column_name: (r.nulls, r.distinct) for r in P.column_profile(raw).collect()} == {"v": (1, 2), "s": (1, 2)}
+    assert P.shape_metrics(raw).first().nulls == 2
+    assert sorted(r.v for r in C.Imputer("mean").fit_transform(raw).collect()) == [1.0, 2.0, 3.0]
+    for method in ("zscore", "minmax"):
+        got = [r.v for r in C.Scaler(method).fit_transform(raw).collect()]
+        assert got[1] is None and got[0] == pytest.approx(-0.7071 if method == "zscore" else 0.0, abs=1e-4)
+
+
+def test_registry_takes_any_file_name(spark):
+    r = Registry(spark)
+    assert r.register(spark.range(2), "ventas-2024.csv") == "ventas-2024.csv" and spark.table("ventas_2024_csv").count() == 2
+    assert r.register(spark.range(4), "ventas 2024.csv") == "ventas_2024.csv_2"
+    r.drop("ventas-2024.csv")

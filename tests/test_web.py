@@ -158,3 +158,9 @@ def test_next_page_single_string_rule(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     nx = {r.page_id: r.next_url for r in G.next_page(parse_pages(pages)).collect()}
     assert nx == {10: "https://n.example.com/y"}
+
+
+def test_bad_reference_gives_null(spark):
+    from sparkeda.functions.text import url_join
+    df = spark.createDataFrame([("http://a/b/", "c"), ("http://a/", "http://[bad"), ("http://a/", None)], "b string, r string")
+    assert [r[0] for r in df.select(url_join("b", "r")).collect()] == ["http://a/b/c", None, None]
