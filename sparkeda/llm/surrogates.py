@@ -94,7 +94,8 @@ def draw(key: bytes, kind: str, value: str, attempt: int) -> str:
         parts = value.split(".")
         if extra:  # all addresses of the form are taken: a form of its own
             parts += ["0"] * extra
-        return ".".join(str(1 + next(stream) % 254) for _ in parts)
+        room = {1: (1, 9), 2: (10, 90), 3: (100, 155)}  # as many digits as before: the least number, how many
+        return ".".join(str(room[len(x)][0] + next(stream) % room[len(x)][1]) for x in parts)
     if kind == "email":
         name, _, domain = value.rpartition("@")
         labels = domain.split(".")
@@ -140,7 +141,7 @@ def _stream(key: bytes, text: str):
 
 def _like(stream, text: str) -> str:
     """Letters and digits replaced by others of their class; hexadecimal words stay hexadecimal."""
-    hexa = len(text) >= 12 and re.fullmatch(r"[0-9a-f]+", text)
+    hexa = len(text) >= 12 and not text.isdigit() and re.fullmatch(r"[0-9a-f]+", text)
     out = []
     for c in text:
         if hexa:

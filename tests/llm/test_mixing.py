@@ -69,9 +69,9 @@ def test_expectation_is_kept(spark):
         for r in mixing.mix(df, ratio=0.9, seed=seed * 1000, fan_in=4).collect():
             count[r["id"]] += r["copies"]
             share[r["id"]] = r["target"] / r["source_size"]
-        if seed == 11:
+        if seed == 4:
             break
-    assert sum(count.values()) / 12 == pytest.approx(sum(share.values()), rel=0.12)
+    assert sum(count.values()) / 5 == pytest.approx(sum(share.values()), rel=0.12)
 
 
 def test_edges(spark):

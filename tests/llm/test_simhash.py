@@ -36,8 +36,8 @@ def test_spark_hash_is_the_same(spark):
     assert spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] % (1 << 64) == xxhash.xxh64(t.encode(), seed=42).intdigest()
 
 
-@pytest.mark.parametrize("segments", [1, 5, 9, 21, 32])
-@pytest.mark.parametrize("distance", [1, 2, 3])
+@pytest.mark.parametrize("segments", [1, 9, 32])
+@pytest.mark.parametrize("distance", [2, 3])
 def test_links_equal_brute_force(spark, segments, distance):
     rng = random.Random(segments * 10 + distance)
     base = [rng.getrandbits(64) for _ in range(25)] + [0, (1 << 64) - 1]
