@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sparkeda.llm.common import WordCache, runs, spaced_words
 
 #: Words whose ids a worker remembers; more are encoded again.
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 1_200_000
+#: Closing punctuation, and the first character after the Latin letters that every Unicode version agrees on.
+TAIL, LATIN_END = ".,;:!?", "\u0250"
 _WORKER: dict = {}
 
 
@@ -37,7 +39,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.words = WordCache(cache_size, self._learn)
+        self.words, self.tails = WordCache(cache_size, self._learn), {}
         (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -53,6 +55,24 @@ class Encoder:
         return [ids[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(ids)])]
 
     def _learn(self, new: list[str]) -> list[bytes]:
+        """A Latin word with closing punctuation is two pre-tokens: the word's ids, known or not, and the punctuation's."""
+        known, split, plain = self.words.known, {}, {}
+        for w in new:
+            core = w.rstrip(TAIL)
+            if core != w and core.lstrip("\n").isalpha() and max(core) < LATIN_END:
+                split[w] = core
+                w = core
+            if w not in known:
+                plain[w] = None
+        plain.update(zip(plain, self._encode(list(plain))))
+        for tail in {w[len(core):] for w, core in split.items()} - self.tails.keys():
+            self.tails[tail] = self._whole([tail])[0]
+        for core in split.values():
+            if core not in known:
+                known[core] = plain[core]
+        return [known[split[w]] + self.tails[w[len(split[w]):]] if w in split else plain[w] for w in new]
+
+    def _encode(self, new: list[str]) -> list[bytes]:
         out, feed = [b""] * len(new), np.array([self.feed], "<u4").tobytes()
         for before, first in ((" ", b""), ("", feed)):  # words after a space, words after a line feed
             same = [k for k, w in enumerate(new) if (w[0] == "\n") == (not before)]
@@ -126,7 +146,8 @@ def read_token_files(spark: SparkSession, path: str, tokens: bool = True) -> Dat
     totals = d.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     offsets = totals.select("part", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("offset"))
-    return d.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens",
+    # one row per file, whose number the writer set: broadcast, so that the tokens are not shuffled
+    return d.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens",
                                           *(["tokens"] if tokens else []))
 
 

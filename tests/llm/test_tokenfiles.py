@@ -23,7 +23,7 @@ def direct(texts):
 
 
 def test_pieces_give_the_library_ids():
-    texts = [*ODD, *(a + " " + b for a in ODD for b in ODD), edge.text(500)]
+    texts = [*ODD, *(a + " " + b for a in ODD for b in ODD), edge.text(500), "ther, ther. ther Ther.\nther, ther., été! über; naïve: x1. x_. a'. it's. ʼn. ǆ, 漢. a..b, ...\nFin."]
     for size in (tokenfiles.CACHE_SIZE, 3):
         enc = tokenfiles.Encoder(PATH, size)
         for _ in range(2):
