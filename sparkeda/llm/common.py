@@ -80,18 +80,16 @@ class WordCache:
 
     def texts(self, cut: list[list[str]]) -> list[bytes]:
         """The values of the words of each text, joined."""
-        got = [list(map(self.known.get, c)) for c in cut]
-        open_ = [k for k, g in enumerate(got) if None in g]
-        new = {w for k in open_ for w, x in zip(cut[k], got[k]) if x is None}
+        got = {w: self.known.get(w) for w in set().union(*cut)}
+        new = [w for w, x in got.items() if x is None]
         if new:
             if len(self.known) + len(new) > self.size:
-                self.known = {w: x for c, g in zip(cut, got) for w, x in zip(c, g) if x is not None}
-            new = list(new)
-            self.known.update(zip(new, self.learn(new)))
-            get = self.known.__getitem__
-            for k in open_:
-                got[k] = map(get, cut[k])
-        return list(map(b"".join, got))
+                self.known = {w: x for w, x in got.items() if x is not None}
+            learnt = list(zip(new, self.learn(new)))
+            self.known.update(learnt)
+            got.update(learnt)
+        value = got.__getitem__
+        return [b"".join(map(value, c)) for c in cut]
 
 
 def runs(texts: list, most: int):

@@ -10,6 +10,7 @@ range of ids reads the pages that hold it.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 
 import numpy as np
@@ -22,55 +23,75 @@ from sparkeda.llm.common import WordCache, runs, spaced_words
 #: Words whose ids a worker remembers; more are encoded again.
 CACHE_SIZE = 1_200_000
 #: Closing punctuation, and the first character after the Latin letters that every Unicode version agrees on.
-TAIL, LATIN_END = ".,;:!?", "\u0250"
+TAIL, LATIN_END = string.punctuation, "\u0250"
 _WORKER: dict = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The letters that a byte-level vocabulary has for the bytes that don't print, numbered from 256 on; line feeds stay."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letters = dict(zip([b for b in range(256) if b not in prints], range(256, 512)))
+    del letters[10]
+    return letters
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Encoder:
-    """``tokenizers`` encoding with a byte-level pre-tokenizer that works each distinct word off once.
+    """``tokenizers`` encoding that works each distinct word off once where the pre-tokenizer is byte-level.
 
     Where words stand between single spaces or line feeds, a word with the space before it is a run of
     whole pre-tokens, and a line feed before a word is one of its own; so a text's ids are those of its
-    words, in order.  Other texts are encoded as they are."""
+    words, in order.  Words whose pre-tokens are plain go straight to the tokenizer's model; other words
+    pass its pre-tokenizer.  Other texts, and all texts of other tokenizers, are encoded as they are."""
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.words, self.tails = WordCache(cache_size, self._learn), {}
-        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+        model, pre = self.tok.model, self.tok.pre_tokenizer
+        self.by_word = (self.tok.normalizer is None and isinstance(model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
+                        and pre.use_regex and not pre.add_prefix_space and not model.dropout
+                        and not model.continuing_subword_prefix and not model.end_of_word_suffix)
+        if self.by_word:
+            (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+            self.model = model
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], before: str) -> list[bytes]:
-        """The ids of each word after ``before``: one text of lines, cut at the line feeds' id."""
-        (ids,) = self._whole(["\n".join(before + w for w in words)])
-        a = np.frombuffer(ids, "<u4")
-        cuts = np.flatnonzero(a == self.feed)
-        if len(cuts) != len(words) - 1:
-            raise ValueError("the tokenizer does not keep line feeds apart")
-        return [ids[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(ids)])]
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """The ids of words of Latin letters, after a space or after a line feed."""
+        lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
+        letters = lines.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS).split("\n") if words else []
+        tokens, feed = list(map(self.model.tokenize, letters)), np.array([self.feed], "<u4").tobytes()
+        ids = np.fromiter((t.id for ts in tokens for t in ts), "<u4").tobytes()
+        ends = (4 * np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))).tolist()
+        return [feed + ids[i:j] if w[0] == "\n" else ids[i:j] for w, i, j in zip(words, [0, *ends], ends)]
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        """A Latin word with closing punctuation is two pre-tokens: the word's ids, known or not, and the punctuation's."""
-        known, split, plain = self.words.known, {}, {}
+        """After a space or a line feed, a word of Latin letters is one pre-token and punctuation that closes it
+        another: the ids of the two, known or not, are the word's.  Other words as they are."""
+        known, split, fresh, other = self.words.known, [], {}, []
         for w in new:
             core = w.rstrip(TAIL)
-            if core != w and core.lstrip("\n").isalpha() and max(core) < LATIN_END:
-                split[w] = core
-                w = core
-            if w not in known:
-                plain[w] = None
-        plain.update(zip(plain, self._encode(list(plain))))
-        for tail in {w[len(core):] for w, core in split.items()} - self.tails.keys():
-            self.tails[tail] = self._whole([tail])[0]
-        for core in split.values():
-            if core not in known:
-                known[core] = plain[core]
-        return [known[split[w]] + self.tails[w[len(split[w]):]] if w in split else plain[w] for w in new]
+            bare = core.lstrip("\n")
+            if bare.isalpha() and (bare.isascii() or max(bare) < LATIN_END):
+                split.append((core, w[len(core):]))
+                if core not in known:
+                    fresh[core] = None
+            else:
+                split.append(None)
+                other.append(w)
+        fresh = dict(zip(fresh, self._plain(list(fresh))))
+        for tail in {c[1] for c in split if c} - self.tails.keys():
+            (self.tails[tail],) = self._whole([tail])
+        tails, other = self.tails, iter(self._encode(other))
+        return [(fresh.get(c[0]) or known[c[0]]) + tails[c[1]] if c else next(other) for c in split]
 
     def _encode(self, new: list[str]) -> list[bytes]:
         out, feed = [b""] * len(new), np.array([self.feed], "<u4").tobytes()
@@ -78,12 +99,18 @@ class Encoder:
             same = [k for k, w in enumerate(new) if (w[0] == "\n") == (not before)]
             for at in range(0, len(same), 5000):
                 part = same[at:at + 5000]
-                for k, x in zip(part, self._words([new[k].lstrip("\n") for k in part], before)):
-                    out[k] = first + x
+                (ids,) = self._whole(["\n".join([before + new[k].lstrip("\n") for k in part])])
+                cuts = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.feed)
+                if len(cuts) != len(part) - 1:
+                    raise ValueError("the tokenizer does not keep line feeds apart")
+                for k, i, j in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)]):
+                    out[k] = first + ids[i:j]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return self._whole(texts)
         cut = [spaced_words(t) for t in texts]
         odd = iter(self._whole([t for t, c in zip(texts, cut) if not c]))
         plain = iter(self.words.texts([c for c in cut if c]))
