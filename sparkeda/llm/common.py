@@ -85,9 +85,9 @@ class WordCache:
         if new:
             if len(self.known) + len(new) > self.size:
                 self.known = {w: x for w, x in got.items() if x is not None}
-            learnt = list(zip(new, self.learn(new)))
-            self.known.update(learnt)
-            got.update(learnt)
+            values = self.learn(new)
+            self.known.update(zip(new, values))
+            got.update(zip(new, values))
         value = got.__getitem__
         return [b"".join(map(value, c)) for c in cut]
 

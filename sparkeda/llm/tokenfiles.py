@@ -68,30 +68,34 @@ class Encoder:
         """The ids of words of Latin letters, after a space or after a line feed."""
         lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
         letters = lines.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS).split("\n") if words else []
-        tokens, feed = list(map(self.model.tokenize, letters)), np.array([self.feed], "<u4").tobytes()
-        ids = np.fromiter((t.id for ts in tokens for t in ts), "<u4").tobytes()
-        ends = (4 * np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))).tolist()
+        tokenize, feed, ids, ends = self.model.tokenize, np.array([self.feed], "<u4").tobytes(), [], []
+        for x in letters:
+            ids += [t.id for t in tokenize(x)]
+            ends.append(4 * len(ids))
+        ids = np.array(ids, "<u4").tobytes()
         return [feed + ids[i:j] if w[0] == "\n" else ids[i:j] for w, i, j in zip(words, [0, *ends], ends)]
 
     def _learn(self, new: list[str]) -> list[bytes]:
         """After a space or a line feed, a word of Latin letters is one pre-token and punctuation that closes it
         another: the ids of the two, known or not, are the word's.  Other words as they are."""
-        known, split, fresh, other = self.words.known, [], {}, []
+        known, cores, ends, fresh, other = self.words.known, [], [], {}, []
         for w in new:
             core = w.rstrip(TAIL)
             bare = core.lstrip("\n")
             if bare.isalpha() and (bare.isascii() or max(bare) < LATIN_END):
-                split.append((core, w[len(core):]))
+                cores.append(core)
+                ends.append(w[len(core):])
                 if core not in known:
                     fresh[core] = None
             else:
-                split.append(None)
+                cores.append(None)
+                ends.append("")
                 other.append(w)
         fresh = dict(zip(fresh, self._plain(list(fresh))))
-        for tail in {c[1] for c in split if c} - self.tails.keys():
+        for tail in set(ends) - self.tails.keys():
             (self.tails[tail],) = self._whole([tail])
         tails, other = self.tails, iter(self._encode(other))
-        return [(fresh.get(c[0]) or known[c[0]]) + tails[c[1]] if c else next(other) for c in split]
+        return [next(other) if c is None else (fresh.get(c) or known[c]) + tails[t] for c, t in zip(cores, ends)]
 
     def _encode(self, new: list[str]) -> list[bytes]:
         out, feed = [b""] * len(new), np.array([self.feed], "<u4").tobytes()
