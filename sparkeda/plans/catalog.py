@@ -47,4 +47,4 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module so its ``register`` calls run."""
-    from sparkeda.plans import (q_sql, q_profile, q_clean, q_nested, q_web, q_learn)  # noqa: F401
+    from sparkeda.plans import (q_sql, q_profile, q_clean, q_nested, q_web, q_pages, q_learn)  # noqa: F401
