@@ -1,11 +1,13 @@
-"""Substring dedup by paragraph MinHash banding (operator 6).
-
-Repeated passages keep no line breaks, so paragraphs are defined by content: of every ``spread``
-consecutive shingles the one with the smallest hash starts a paragraph of ``words`` words.
-Two texts that share ``spread + words`` words or more therefore share a whole paragraph, wherever
-the passage stands in them.  Bands of MinHash values over a paragraph's five-word shingles meet
-in a shuffle; paragraphs that collide across documents are verified by exact Jaccard similarity,
-and connected ones form a component, of which the smallest document keeps its paragraphs.
+"""Substring dedup by paragraph MinHash banding and exact windows (operator 6).
+
+The units of a text are its paragraphs (lines, and blocks of lines between blank lines) and windows of ``words``
+words.  Bands of MinHash values over a paragraph's five-word shingles meet in a shuffle; paragraphs that collide
+across documents are verified by exact Jaccard similarity, and connected ones form a component.  Windows take care
+of passages that are no paragraph of their own: of every ``spread`` consecutive shingles the one with the smallest hash
+starts a window, and equal windows meet by their hash.  So texts that share ``words + spread - 1`` words share a
+window, and a passage of 26 words or more that is similar at 0.8 holds as long an exact run.  Around the windows found,
+all window positions are compared, which takes each exact run to its ends; runs that lie in the same
+order in two documents join over edits while the whole stays similar.  The smallest document keeps its words.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from sparkeda.llm.common import runs, written
 from sparkeda.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-WORDS, SPREAD = 20, 32
+WORDS, SPREAD = 20, 5
 LEAST_WORDS = 8
-#: Members of a bucket that one task compares with each other at a time.
-BLOCK = 256
+#: Members of a bucket that one task compares with each other at a time, and shingles of theirs.
+BLOCK, COLUMNS = 256, 1 << 14
 _ROLL, _SEQ = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C55)
+_SEQ_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _SALTS = 63
 
 
@@ -48,53 +51,98 @@ def _sliding(best, x: np.ndarray, size: int) -> np.ndarray:
     return best(x[:len(x) - (size - width)], x[size - width:])
 
 
-def paragraphs(text: str | None, words: int = WORDS, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(starts, shingles, size)``: word positions of the paragraphs, the hashes of the shingles of each
-    (one row per paragraph) and their number of words.
-
-    Words are between ASCII white space, A-Z lower-cased.  A text of fewer than ``words`` words is one
-    paragraph, of fewer than ``LEAST_WORDS`` none."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(w)
-    if n < LEAST_WORDS:
-        return np.zeros(0, np.int64), np.zeros((0, 1), np.uint64), 0
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, n)
-    g = h[:n - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        g = g * _ROLL + h[k:n - SHINGLE + 1 + k]
-    g = _mix(g)
-    size = min(words, n)
-    if len(g) <= spread:
-        at = np.array([int(g.argmin())])
-    else:
-        low = _sliding(np.minimum, g, spread)
-        edge = np.zeros(spread - 1, np.uint64)
+class Units:
+    """The units of some texts, as ranges of words of all texts in a row.
+
+    Words are between ASCII white space, A-Z lower-cased.  Paragraphs have ``LEAST_WORDS`` words or more; a text of fewer
+    than ``words`` words is one too.  ``first`` has the first word of each text and, at the end, the number of words."""
+
+    def __init__(self, texts: list[str | None], words: int = WORDS, spread: int = SPREAD):
+        self.words, self.spread = words, spread
+        flat, lines, first = [], [], [0]  # lines: the words of each line, -1 after a text
+        for t in texts:
+            for line in (t or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+                w = line.split()
+                flat += w
+                lines.append(len(w))
+            lines.append(-1)
+            first.append(len(flat))
+        n = len(flat)
+        self.first = np.array(first)
+        h = np.zeros(n + SHINGLE, np.uint64)
+        h[:n] = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, n)
+        g = h[:n + 1].copy()
+        for k in range(1, SHINGLE):
+            g = g * _ROLL + h[k:n + 1 + k]
+        self.shingles = g = _mix(g)  # those that reach over a text's end are in no unit
+        with np.errstate(over="ignore"):
+            self._power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, _SEQ)]))
+            down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _SEQ_INVERSE)]))
+            self._sums = np.concatenate([[np.uint64(0)], np.cumsum(g * down)])
+        size = np.array(lines, np.int64)
+        ends = np.cumsum(np.maximum(size, 0))
+        starts = ends - np.maximum(size, 0)
+        open_ = np.concatenate([[False], size > 0, [False]])
+        block = np.flatnonzero(open_[1:] != open_[:-1])
+        short = np.flatnonzero(np.diff(self.first) < words)
+        spans = np.concatenate([np.stack([starts, ends], 1), np.stack([starts[block[::2]], ends[block[1::2] - 1]], 1),
+                                np.stack([self.first[short], self.first[short + 1]], 1)])
+        self.paragraphs = np.unique(spans[spans[:, 1] - spans[:, 0] >= LEAST_WORDS], axis=0)
+
+    def hashes(self, spans: np.ndarray) -> np.ndarray:
+        """One hash per span, of its shingles in order (``sum of shingle[i] * SEQ ** (last - i)``)."""
+        a, b = spans[:, 0], spans[:, 1] - (SHINGLE - 1)
+        return _mix(self._power[b - 1] * (self._sums[b] - self._sums[a]))
+
+    def texts(self, spans: np.ndarray) -> np.ndarray:
+        """The number of the text of each span."""
+        return np.searchsorted(self.first, spans[:, 0], "right") - 1
+
+    def fits(self) -> np.ndarray:
+        """For each word: whether a window may begin there."""
+        out = np.zeros(len(self.shingles), bool)
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            out[a:max(a, b - self.words + 1)] = True
+        return out
+
+    def windows(self) -> np.ndarray:
+        """The windows whose first shingle is the smallest of some ``spread`` in a row, and the last of each text."""
+        top = np.full(self.spread - 1, ~np.uint64(0))
+        rank = np.concatenate([top, np.where(self.fits(), self.shingles, ~np.uint64(0)), top])
+        low = _sliding(np.minimum, rank, self.spread)
         # the smallest of some window: as large as the largest minimum of the windows that hold it
-        at = np.flatnonzero(g == _sliding(np.maximum, np.concatenate([edge, low, edge]), spread))
-    at = np.unique(np.append(at[at + size <= n], n - size))  # the last words are a paragraph too
-    return at, g[at[:, None] + np.arange(size - SHINGLE + 1)], size
-
-
-def sequence_hash(shingles: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(shingles), np.uint64)
-    for k in range(shingles.shape[1]):
-        out = out * _SEQ + shingles[:, k]
-    return _mix(out)
-
-
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per paragraph and band (columns)."""
+        rank = rank[len(top):len(rank) - len(top)]
+        chosen = (rank == _sliding(np.maximum, low, self.spread)) & self.fits()
+        chosen[self.first[1:][np.diff(self.first) >= self.words] - self.words] = True
+        at = np.flatnonzero(chosen)
+        return np.stack([at, at + self.words], 1)
+
+    def near(self, at: np.ndarray) -> np.ndarray:
+        """The windows that begin less than ``spread`` words from one that begins in ``at``, without those."""
+        d = np.arange(1 - self.spread, self.spread)
+        near = np.unique((at[:, None] + d).ravel())
+        near = near[(near >= 0) & (near < len(self.shingles))]
+        mine = np.searchsorted(self.first, near, "right") - 1
+        near = np.setdiff1d(near[near + self.words <= self.first[np.minimum(mine + 1, len(self.first) - 1)]], at)
+        return np.stack([near, near + self.words], 1)
+
+
+def band_keys(shingles: np.ndarray, spans: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per span of words and band (columns)."""
     rng = np.random.default_rng(6)
     xor, odd = rng.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
-    out = np.zeros((len(shingles), bands), np.uint64)
+    out = np.zeros((len(spans), bands), np.uint64)
+    if not len(spans):
+        return out
+    ranges = (spans - [0, SHINGLE - 1]).ravel()
     for k in range(bands * rows):
-        low = _mix((shingles ^ xor[k]) * (odd[k] | np.uint64(1))).min(1) if len(shingles) else out[:, 0]
+        low = np.minimum.reduceat(_mix((shingles ^ xor[k]) * (odd[k] | np.uint64(1))), ranges)[::2]
         out[:, k // rows] = _mix(out[:, k // rows] * _SEQ + low + np.uint64(k))
     return out
 
 
 def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, class, doc, pos, salt`` per paragraph and band.
+    """``key, class, doc, meta, size`` per window, and per paragraph and band; the key of a window is its class.
 
     Rows of a key that several documents share within one run of texts are known to collide: one of them keeps
     salt 0 and meets the key's other rows, the rest (salt > 0) need no meeting and are dealt out evenly."""
@@ -102,22 +150,17 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for lo, hi in runs(texts, 4 << 20):
-                parts = [paragraphs(t) for t in texts[lo:hi]]
-                doc = np.repeat(ids[lo:hi], [len(p[0]) for p in parts])
-                if not len(doc):
+                units = Units(texts[lo:hi])
+                windows, blocks = units.windows(), units.paragraphs
+                spans = np.concatenate([windows, np.repeat(blocks, bands, 0)])
+                if not len(spans):
                     continue
-                pos = np.concatenate([p[0] for p in parts])
-                cls = np.concatenate([sequence_hash(p[1]) for p in parts])
-                full = [k for k, p in enumerate(parts) if len(p[0])]
-                keys = np.zeros((len(doc), bands), np.uint64)
-                at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-                for width in {parts[k][1].shape[1] for k in full}:  # paragraphs of one length together
-                    same = [k for k in full if parts[k][1].shape[1] == width]
-                    where = np.concatenate([np.arange(at[k], at[k + 1]) for k in same])
-                    keys[where] = band_keys(np.concatenate([parts[k][1] for k in same]), bands, rows)
-                key, cls, doc, pos = keys.ravel(), np.repeat(cls, bands), np.repeat(doc, bands), np.repeat(pos, bands)
+                cls = units.hashes(spans)
+                key = np.concatenate([cls[:len(windows)], band_keys(units.shingles, blocks, bands, rows).ravel()])
+                text = units.texts(spans)
+                doc, pos, size = ids[lo:hi][text], spans[:, 0] - units.first[text], spans[:, 1] - spans[:, 0]
                 order = np.lexsort((doc, key))
-                key, cls, doc, pos = key[order], cls[order], doc[order], pos[order]
+                key, cls, doc, pos, size = key[order], cls[order], doc[order], pos[order], size[order]
                 first = np.concatenate([[True], key[1:] != key[:-1]])
                 group = np.cumsum(first) - 1
                 starts = np.flatnonzero(first)
@@ -126,13 +169,13 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 place = np.arange(len(key)) - starts[group]
                 salt = np.where(known, np.where(place == 0, 0, 1 + place % _SALTS), 0) + np.where(known, 64, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(doc),
-                                                  pa.array(pos * 128 + salt)], names=["key", "class", "doc", "meta"])
+                                                  pa.array(pos * 128 + salt), pa.array(size)], names=["key", "class", "doc", "meta", "size"])
 
-    return docs.mapInArrow(run, "key long, class long, doc long, meta long")
+    return docs.mapInArrow(run, "key long, class long, doc long, meta long, size long")
 
 
 def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, class, doc, pos`` of the paragraphs whose band key occurs in two documents or more.
+    """``key, class, doc, size, pos`` of the units whose key occurs in two documents or more.
 
     ``docs`` has ``doc`` and ``text``.  One shuffle by key; rows stream in order of the key and only the first
     row of a key waits for a second document."""
@@ -140,12 +183,12 @@ def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     rows_ = _band_rows(docs, bands, rows).repartition(F.col("key"), salt).sortWithinPartitions("key", salt)
 
     def run(batches):
-        names = ["key", "class", "doc", "pos"]
-        carry, open_key = [np.zeros(0, np.int64)] * 4, None  # rows of the last key; a key that is known to collide
+        names = ["key", "class", "doc", "size", "pos"]
+        carry, open_key = [np.zeros(0, np.int64)] * 5, None  # rows of the last key; a key that is known to collide
 
         for b in batches:
             cols = [np.concatenate([c, b.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carry)]
-            key, _, doc, meta = cols
+            key, _, doc, meta, _ = cols
             if not len(key):
                 continue
             take = meta % 64 > 0
@@ -163,9 +206,9 @@ def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if not hit[-1]:
                     carry = [c[meets[first[-1]:]] for c in cols]
             out = [c[take] for c in cols]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:3]), pa.array(out[3] // 128)], names=names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:3]), pa.array(out[4]), pa.array(out[3] // 128)], names=names)
 
-    return rows_.mapInArrow(run, "key long, class long, doc long, pos long")
+    return rows_.mapInArrow(run, "key long, class long, doc long, size long, pos long")
 
 
 def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
@@ -177,10 +220,15 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
         return [(members[0][0], members[1][0])] if len(a & b) >= similarity * len(a | b) - 1e-6 else []
     codes = np.unique(np.concatenate([m[1] for m in members]), return_inverse=True)[1]
     size = np.array([len(m[1]) for m in members])
-    has = np.zeros((n, int(codes.max()) + 1), np.float32)
-    has[np.repeat(np.arange(n), size), codes] = 1
-    size = has.sum(1)
-    both = has @ has.T
+    owner = np.repeat(np.arange(n), size)
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    for low in range(0, int(codes[-1]) + 1, COLUMNS):  # few columns at a time: long paragraphs have many shingles
+        a, b = np.searchsorted(codes, [low, low + COLUMNS])
+        has = np.zeros((n, int(codes[b - 1]) - low + 1), np.float32)
+        has[owner[a:b], codes[a:b] - low] = 1
+        both += has @ has.T
     near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
     part = np.arange(n)
     out = []
@@ -192,8 +240,9 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     return out
 
 
-def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(u, v)``: edges between different classes of paragraphs that share a key and are similar.
+def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``(u, v)``: edges between different classes of paragraphs that share a key and are similar; and ``(class, shingles)``
+    of the classes that were compared.
 
     ``found`` is a written result of ``collisions``.  Only buckets with several classes need it; one document
     per class gives the shingles.  A bucket of many classes is cut into blocks, and each pair of blocks is a task's
@@ -208,11 +257,12 @@ def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
         for b in batches:
             cls, sh = [], []
             for t, want in zip(b.column(0), b.column(1)):
-                _, shingles, _ = paragraphs(t.as_py())
-                h = sequence_hash(shingles).view(np.int64)
+                units = Units([t.as_py()])
+                h = units.hashes(units.paragraphs).view(np.int64)
                 for k in np.flatnonzero(np.isin(h, want.values.to_numpy())):
+                    lo, hi = units.paragraphs[k]
                     cls.append(h[k])
-                    sh.append(np.unique(shingles[k]).view(np.int64))
+                    sh.append(units.shingles[lo:hi - SHINGLE + 1].view(np.int64))
             if cls:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cls)), pa.array(sh, pa.list_(pa.int64()))], names=["class", "shingles"])
 
@@ -245,35 +295,118 @@ def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
         if len(members) > 1:
             yield out(_similar(members, similarity))
 
-    return deal.mapInArrow(run, "u long, v long")
+    return deal.mapInArrow(run, "u long, v long"), texts
+
+
+def _common(texts: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
+    """``class, component, lead, tail``: the words of a similar paragraph from its first shingle that its component has in
+    another document to its last."""
+    owners = found.join(comp, F.col("class") == F.col("node")).groupBy("class", "component").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    each = texts.join(owners, "class").select("component", "class", "a", "b", F.posexplode("shingles").alias("at", "shingle"))
+    both = each.groupBy("component", "shingle").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").drop("a", "b")
+    return each.join(both, ["component", "shingle"]).groupBy("class", "component").agg(
+        F.min("at").cast("long").alias("lead"), (F.max("at") + SHINGLE).cast("long").alias("tail"))
+
+
+def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``class, doc, pos, size`` of the windows near those of ``found``, which it lacks."""
+    at = found.where("key = class").groupBy("doc").agg(F.collect_set("pos").alias("at"))
+
+    def run(batches):
+        for b in batches:
+            for doc, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                units = Units([t.as_py()])
+                spans = units.near(at.values.to_numpy())
+                if len(spans):
+                    yield pa.RecordBatch.from_arrays([pa.array(units.hashes(spans).view(np.int64)), pa.array(np.full(len(spans), doc)),
+                                                      pa.array(spans[:, 0]), pa.array(spans[:, 1] - spans[:, 0])], names=["class", "doc", "pos", "size"])
+
+    return docs.join(at, "doc").select("doc", "text", "at").mapInArrow(run, "class long, doc long, pos long, size long")
+
+
+def join_spans(units: list[tuple[int, int, int, int]], similarity: float | None) -> list[tuple[int, int]]:
+    """The spans ``(start, end)`` that units ``(start, end, start in the keeper, end in the keeper)`` make up.
+
+    Units that meet or overlap join.  With ``similarity``, spans in the same order in both documents join over
+    what differs between them if the shingles of the whole stay as similar."""
+    spans: list[list[int]] = []  # start, end, start and end in the keeper, common shingles
+    for s, e, ks, ke in sorted(units):
+        if spans and s <= spans[-1][1]:
+            if e > spans[-1][1]:
+                spans[-1][1], spans[-1][3] = e, ke
+        else:
+            spans.append([s, e, ks, ke, 0])
+    out: list[list[int]] = []
+    for x in spans:
+        x[4] = max(0, x[1] - x[0] - SHINGLE + 1)
+        while out and similarity is not None and x[2] >= out[-1][3]:
+            p = out[-1]
+            common = p[4] + x[4]
+            if common < similarity * (x[1] - p[0] + x[3] - p[2] - 2 * (SHINGLE - 1) - common) - 1e-6:
+                break
+            x = [p[0], x[1], p[2], x[3], common]
+            out.pop()
+        out.append(x)
+    return [(x[0], x[1]) for x in out]
+
+
+def _doc_spans(units: list[tuple[int, int, int, int, bool]], doc: int, similarity: float) -> list[tuple[int, int, int]]:
+    """``(keeper, start, end)`` from one document's ``(keeper, start, words, start in the keeper, exact)``."""
+    by_keeper: dict = {}
+    for keeper, s, n, kept, exact in units:
+        by_keeper.setdefault(keeper, ([], []))[0 if exact else 1].append((s, s + n, kept, kept + n))
+    out = []
+    for keeper, (same, similar) in by_keeper.items():
+        spans = join_spans(same, None if keeper == doc else similarity) + [x[:2] for x in similar]
+        out += [(keeper, *x) for x in join_spans([(*x, 0, 0) for x in spans], None)]
+    return out
+
+
+def _spans(units: DataFrame, similarity: float) -> DataFrame:
+    """``doc, keeper, start, end`` from ``doc, keeper, pos, size, kept, exact`` (``kept``: the position in the keeper)."""
+    lists = units.groupBy("doc").agg(F.collect_list(F.struct("keeper", "pos", "size", "kept", "exact")).alias("units"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, u in zip(b.column(0).to_pylist(), b.column(1)):
+                mine = list(zip(*(x.to_pylist() for x in u.values.flatten())))
+                rows += [(doc, *x) for x in _doc_spans(mine, doc, similarity)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "keeper", "start", "end"])
+
+    return lists.mapInArrow(run, "doc long, keeper long, start long, end long")
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.98, rows: int = 2,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that another document has too:
+    """One row per longest span that is made up of what one other document has too:
     ``doc_id, start_word, end_word, keeper_id, removed``.
 
-    ``keeper_id`` is the smallest id in the paragraph's component and keeps it; ``removed`` is true in the other
+    ``keeper_id`` is the smallest id that has the span's words and keeps them; ``removed`` is true in the other
     documents.  Word positions count words between ASCII white space from 0, the end is exclusive.  Rows with one id
     (or with none) are one document, so a repetition within it is left alone; null, empty and very short texts have no
-    paragraph; every repeated passage of ``WORDS + SPREAD`` words or more is found for certain if it is exact."""
+    unit.  Every exact passage of ``WORDS + SPREAD - 1`` words or more is found for certain and to its ends, wherever it
+    stands; ``recall`` is for pairs of lines or blocks at ``similarity``."""
     none = -(1 << 63)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.col(text_col).alias("text"))
     found = written(collisions(d, tune_bands(similarity, recall, rows), rows), "passages-found")
-    comp = written(connected_components(verified(d, found, similarity), "passages-links"), "passages-components")
-    para = found.groupBy("class", "doc", "pos").agg(F.lit(1).alias("one")).drop("one")
-    para = written(para.join(comp, para["class"] == comp.node, "left").select(
-        F.coalesce("component", "class").alias("component"), "doc", "pos"), "passages-paragraphs")
-    ends = para.groupBy("component").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    ends = written(ends.select("component", F.col("lo").alias("keeper")), "passages-keepers")
-    out = para.join(ends, "component").select(
-        F.nullif("doc", F.lit(none)).alias("doc_id"), F.col("pos").alias("start_word"), (F.col("pos") + WORDS).alias("end_word"),
+    edges, texts = verified(d, found, similarity)
+    comp = written(connected_components(edges, "passages-links"), "passages-components")
+    units = written(found.select("class", "doc", "pos", "size").unionByName(_around(d, found)).distinct(), "passages-units")
+    like = units.join(_common(texts, found, comp), "class").select(
+        "component", "doc", (F.col("pos") + F.col("lead")).alias("pos"), (F.col("tail") - F.col("lead")).alias("size"), F.lit(False).alias("exact"))
+    units = written(units.select(F.col("class").alias("component"), "doc", "pos", "size", F.lit(True).alias("exact")).unionByName(like), "passages-all")
+    ends = units.groupBy("component", "exact").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("hi")).where("lo.doc < hi")
+    ends = written(ends.select("component", "exact", F.col("lo.doc").alias("keeper"), F.col("lo.pos").alias("kept")), "passages-keepers")
+    out = _spans(units.join(ends, ["component", "exact"]).select("doc", "keeper", "pos", "size", "kept", "exact"), similarity)
+    return out.select(
+        F.nullif("doc", F.lit(none)).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
         F.nullif("keeper", F.lit(none)).alias("keeper_id"), (F.col("doc") != F.col("keeper")).alias("removed"))
-    return out
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the words of removed paragraphs (the white space after them goes too); other columns unchanged."""
+    """``docs`` without the words of removed spans (the white space after them goes too); other columns unchanged."""
     gone = passages.where("removed").groupBy(F.struct(F.col("doc_id")).alias("_llm_key")).agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("_llm_gone"))
     src = docs.withColumn("_llm_key", F.struct(F.col(id_col).cast("long").alias("doc_id"))).join(gone, "_llm_key", "left")

@@ -80,3 +80,53 @@ def test_edges(spark):
     assert P.cut_passages(df, P.repeated_passages(df)).columns == df.columns
     none = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert P.repeated_passages(none).count() == 0
+
+
+def _planted(n, passage, seed, other=None):
+    """Two texts of random words around a passage and its copy (or ``other``), and where it begins in them."""
+    rng = random.Random(seed)
+    parts = [[f"w{rng.randrange(10**9)}" for _ in range(rng.randint(30, 90))] for _ in range(4)]
+    return ([" ".join([*parts[0], *passage, *parts[1]]), " ".join([*parts[2], *(other or passage), *parts[3]])], len(parts[0]), len(parts[2]))
+
+
+def test_exact_passages_are_found_to_their_ends(spark):
+    """Of 24 words or more, wherever they stand: every one, and all of its words."""
+    texts, want = [], set()
+    for k in range(120):
+        n = (24, 30, 40, 51, 100)[k % 5]
+        pair, a, b = _planted(n, [f"p{k}x{i}" for i in range(n)], k)
+        want |= {(2 * k, a, a + n, 2 * k), (2 * k + 1, b, b + n, 2 * k)}
+        texts += pair
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["keeper_id"]) for r in found(spark, texts)} == want
+
+
+def test_similar_passages_against_brute_force(spark):
+    """Passages of 26 to 150 words, edited at random: whenever Jaccard similarity is 0.8 or more, one is found,
+    and with one changed word in 60 the span goes over it."""
+    texts, near, rng = [], [], random.Random(4)
+    for k in range(150):
+        n = rng.randint(26, 150)
+        p = [f"p{k}x{i}" for i in range(n)]
+        q = list(p)
+        for _ in range(rng.randint(1, 1 + n // 45)):
+            at = rng.randrange(len(q))
+            q[at:at + rng.randint(0, 1)] = [f"new{rng.randrange(10**9)}"][:rng.randint(0, 1)]
+        a, b = ({tuple(x[i:i + P.SHINGLE]) for i in range(len(x) - P.SHINGLE + 1)} for x in (p, q))
+        if p != q and len(a & b) >= 0.8 * len(a | b):
+            near.append(2 * k + 1)
+        texts += _planted(n, p, k, q)[0]
+    p = [f"q{i}" for i in range(60)]
+    pair, a, b = _planted(60, p, 999, [*p[:30], "changed", *p[31:]])
+    rows = found(spark, texts + pair)
+    assert len(near) > 60 and set(near) <= {r["doc_id"] for r in rows}
+    assert [(r["start_word"], r["end_word"]) for r in rows if r["doc_id"] == 301] == [(b, b + 60)]
+
+
+def test_lines_and_blocks_are_units(spark):
+    """A line of 12 words and a block of 16, of which the last is changed, between others."""
+    line, block = edge.text(12, 50), edge.text(16, 51).split()
+    mine = ["{}\n" + line + "\n{}\n\n" + " ".join(block[:8]) + "\n" + " ".join([*block[8:-1], end]) + "\n\n{}" for end in (block[-1], "other")]
+    texts = [m.format(*[" ".join(f"f{k}x{j}x{i}" for i in range(20)) for j in range(3)]) for k, m in enumerate(mine)]
+    rows = found(spark, texts, recall=0.999999)
+    for d in (0, 1):
+        assert {(r["start_word"], r["end_word"]) for r in rows if r["doc_id"] == d} == {(20, 32), (52, 67)}
