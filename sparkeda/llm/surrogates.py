@@ -12,6 +12,7 @@ have equal surrogates everywhere and different ones different surrogates.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import itertools
 import re
 import unicodedata
@@ -32,32 +33,39 @@ _NAME = r"[^\W\d_]{2,40}"
 PATTERNS = (
     ("email", r"[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?:[A-Za-z0-9]{1,32}_)?(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?P<_secret>[A-Za-z0-9_+/.-]{8,256})"),
+    # the keyword stands anywhere in an identifier; a quoted value goes to its quote, another one to white space
+    ("secret", r"(?:\w*?(?i:api-key)\w*+|(?=\w*?(?i:password|passwd|pwd|token|secret|api_?key))\w++)(?:[-.]\w++){0,4}[\"']?[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}"
+               r"(?:\"(?P<_double>(?:\\.|[^\"\\\n]){8,}+)\"|'(?P<_single>(?:\\.|[^'\\\n]){8,}+)'|(?=\S*[^\W_])(?P<_plain>[^\s\"']\S{7,})|[\"'](?P<_open>[^\s\"']{8,}))"),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
-    ("card", r"(?<![.+-])[2-6]\d{3}(?P<_sep>[ -]?)\d{4}(?P=_sep)\d{4}(?P=_sep)\d{3,4}(?!\d)"),
+    ("ipv6", r"(?<![\w:])(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]{0,40}::|(?:[0-9A-Fa-f]{1,4}:){7})(?:[0-9A-Fa-f]{1,4}|:)(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:])"),
+    ("card", r"(?<![.+-])3[47]\d{2}(?P<_gap>[ -])\d{6}(?P=_gap)\d{5}(?!\d)|(?<![.+-])[2-6]\d{3}(?P<_sep>[ -]?)\d{4}(?P=_sep)\d{4}(?P=_sep)\d{3,4}(?!\d)"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)"),
+    ("phone", r"(?<!\+)(?:0|\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?)[1-9](?:[ .-]\d{2}){4}(?!\d)|(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)"),
     ("name", r"(?P<_title>" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + rf")[  ](?P<_name>{_NAME}(?:[  -]{_NAME}){{0,2}})"),
 )
-_FOUND: list = []
+#: What a text needs for a secret, in lower case, and for any other type than those with a digit or a title.
+KEYWORDS, SIGNS = ("passw", "pwd", "token", "secret", "api"), ("@", "AKIA", "ASIA")
+_FOUND: dict = {}
 
 
-def _pattern() -> re.Pattern:
-    """All types at once; an entity begins where no word character stands before it."""
-    if not _FOUND:
-        _FOUND.append(re.compile(r"(?<!\w)(?:" + "|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS) + ")"))
-    return _FOUND[0]
+def _pattern(secrets: bool) -> re.Pattern:
+    """All types at once, or all but secrets; an entity begins where no word character stands before it."""
+    if secrets not in _FOUND:
+        _FOUND[secrets] = re.compile(r"(?<!\w)(?:" + "|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS if secrets or kind != "secret") + ")")
+    return _FOUND[secrets]
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, type)`` of the entities of a text, in order, without overlap.  Names have the types
     ``name_m`` and ``name_f``; of the words after a title the capitalised ones count."""
     out = []
-    if not re.search(r"[0-9@=:]", text) and not any(t in text for t in TITLES):
+    low = text.lower()
+    secrets = any(k in low for k in KEYWORDS)
+    if not secrets and not any(x in text for x in SIGNS) and not re.search(r"\d", text) and not any(t in text for t in TITLES):
         return out
-    for m in _pattern().finditer(text):
-        kind = next(k for k, _ in PATTERNS if m[k] is not None)
+    for m in _pattern(secrets).finditer(text):
+        kind = next(k for k, _ in PATTERNS if (secrets or k != "secret") and m[k] is not None)
         if kind == "name":
             words = re.split(r"[  -]", m["_name"])
             upper = list(itertools.takewhile(lambda w: w[0].isupper(), words))
@@ -65,11 +73,22 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 start = m.start("_name")
                 out.append((start, start + sum(map(len, upper)) + len(upper) - 1, "name_" + TITLES[m["_title"]]))
         else:
-            group = "_secret" if kind == "secret" else kind
+            group = kind
+            if kind == "secret":
+                group = next(g for g in ("_double", "_single", "_plain", "_open") if m[g] is not None)
+            if kind == "ipv6" and not _address(m[0]):
+                continue
             out.append((m.start(group), m.end(group), kind))
     return out
 
 
+def _address(text: str) -> ipaddress.IPv6Address | None:
+    try:
+        return ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+
+
 _DIGITS_ONLY = ("card", "ssn", "phone", "iban")
 
 
@@ -79,6 +98,8 @@ def normal(kind: str, value: str) -> str:
         return re.sub(r"[^0-9A-Za-z]", "", value)
     if kind == "email":
         return value.lower()
+    if kind == "ipv6":
+        return ":".join(f"{int(x, 16):x}" for x in _address(value).exploded.split(":"))
     if kind.startswith("name"):
         return re.sub(r"[  -]", " ", value).casefold()
     return value
@@ -96,6 +117,10 @@ def draw(key: bytes, kind: str, value: str, attempt: int) -> str:
             parts += ["0"] * extra
         room = {1: (1, 9), 2: (10, 90), 3: (100, 155)}  # as many digits as before: the least number, how many
         return ".".join(str(room[len(x)][0] + next(stream) % room[len(x)][1]) for x in parts)
+    if kind == "ipv6":  # groups of zeros stay, others keep their digits
+        groups = [x if x == "0" else "123456789abcdef"[next(stream) % 15] + "".join("0123456789abcdef"[next(stream) % 16] for _ in range(min(3, len(x) - 1 + extra)))
+                  for x in value.split(":")]
+        return ":".join(groups)
     if kind == "email":
         name, _, domain = value.rpartition("@")
         labels = domain.split(".")
@@ -104,10 +129,11 @@ def draw(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "aws_key":
         return value[:4] + "".join(_like(stream, c) for c in value[4:] + "A" * extra)
     if kind == "card":
-        body = value[0] + "".join(str(next(stream) % 10) for _ in value[1:-1]) + "0" * extra
+        lead = 2 if len(value) == 15 else 1  # the issuer's digits that the 4-6-5 form needs
+        body = value[:lead] + "".join(str(next(stream) % 10) for _ in value[lead:-1]) + "0" * extra
         return body + _luhn(body) if _luhn(value[:-1]) == value[-1] else body + str(next(stream) % 10)
     if kind == "phone":
-        keep = 1 if len(value) > 10 else 0
+        keep = 1 if len(value) > 10 or value[0] == "0" else 0
         rest = "".join(str(next(stream) % 10) for _ in value[keep:])
         return value[:keep] + str(2 + next(stream) % 8) + rest[1:] + "".join(str(next(stream) % 10) for _ in range(extra))
     if kind == "iban":
@@ -121,6 +147,9 @@ def render(kind: str, mention: str, surrogate: str) -> str:
         left = iter(surrogate)
         out = "".join(next(left, "") if c.isalnum() else c for c in mention)
         return out + "".join(left)
+    if kind == "ipv6":
+        left = iter([x for x in surrogate.split(":") if x != "0"])
+        return re.sub(r"[0-9A-Fa-f]+", lambda m: m[0] if int(m[0], 16) == 0 else next(left).zfill(len(m[0])), mention)
     if kind == "email":
         return surrogate.upper() if mention.isupper() else surrogate
     if kind.startswith("name"):
