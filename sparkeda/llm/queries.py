@@ -1,4 +1,4 @@
-"""The registered queries ``op1_`` to ``op10_`` and ``pipeline``, and the SQL for those that have one."""
+"""The registered queries ``op1_`` to ``op13_`` and ``pipeline``, and the SQL for those that have one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkeda.llm import chat, licences, mixing, passages, pieces, quality, search, simhash, surrogates, tokenfiles
+from sparkeda.llm import (alignment, chat, graphs, licences, mixing, passages, pieces, quality, resampling, search, simhash, surrogates,
+                          tokenfiles)
 from sparkeda.llm.common import new_path, table, written
 
 QUERIES: dict = {}
@@ -122,6 +123,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+@register("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op12_nearest_graph")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return graphs.search(e, e.where("vec_id % 20 = 0"), k=20)
+
+
+@register("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

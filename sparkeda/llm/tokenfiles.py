@@ -41,17 +41,23 @@ BYTE_LETTERS = byte_letters()
 class Encoder:
     """``tokenizers`` encoding that works each distinct word off once where the pre-tokenizer is byte-level.
 
+    Strings of added tokens inside texts become those tokens, as the library has it by default; with
+    ``special_as_text`` those of special tokens are ordinary text.
+
     Where words stand between single spaces or line feeds, a word with the space before it is a run of
     whole pre-tokens, and a line feed before a word is one of its own; so a text's ids are those of its
     words, in order.  Words whose pre-tokens are plain go straight to the tokenizer's model; other words
     pass its pre-tokenizer.  Other texts, and all texts of other tokenizers, are encoded as they are."""
 
-    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        # texts that hold one of these pass the library whole
+        self.added = [] if special_as_text and all(t.special for t in self.tok.get_added_tokens_decoder().values()) else [
+            t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words, self.tails = WordCache(cache_size, self._learn), {}
         model, pre = self.tok.model, self.tok.pre_tokenizer
         self.by_word = (self.tok.normalizer is None and isinstance(model, models.BPE) and isinstance(pre, pre_tokenizers.ByteLevel)
@@ -115,7 +121,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._whole(texts)
-        cut = [spaced_words(t) for t in texts]
+        cut = [None if any(x in t for x in self.added) else spaced_words(t) for t in texts]
         odd = iter(self._whole([t for t, c in zip(texts, cut) if not c]))
         plain = iter(self.words.texts([c for c in cut if c]))
         return [next(plain)[4:] if c else next(odd) for c in cut]  # without the first word's line feed

@@ -12,22 +12,28 @@ from sparkeda.llm import tokenfiles
 from sparkeda.llm.common import new_path, spaced_words
 
 PATH = P.path("byte_bpe_50k.json")
-ODD = ["", " ", "  a", "a  b", "a b ", " a", "\n\n x", "a\n b", "a\u00a0 b", "a \u2003b", "it's we'll  x", "1 2 3", "<|endoftext|> a", "é 漢字 🎉", "\x00 \x1f b",
+ODD = ["", " ", "  a", "a  b", "a b ", " a", "\n\n x", "a\n b", "a\u00a0 b", "a \u2003b", "it's we'll  x", "1 2 3", "<|endoftext|> a", "a <|endoftext|>", "a<|endoftext|>b <|endof", "é 漢字 🎉", "\x00 \x1f b",
        "a \x1cb", "a \x85 b", "a \u200b b", "...  !!", "\t a\tb"]
 
 
-def direct(texts):
+def direct(texts, special_as_text=False):
+    """The library as it comes, or with the strings of special tokens as ordinary text."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_give_the_library_ids():
     texts = [*ODD, *(a + " " + b for a in ODD for b in ODD), edge.text(500), "ther, ther. ther Ther.\nther, ther., été! über; naïve: x1. x_. a'. it's. ʼn. ǆ, 漢. a..b, ...\nFin."]
     for size in (tokenfiles.CACHE_SIZE, 3):
-        enc = tokenfiles.Encoder(PATH, size)
-        for _ in range(2):
-            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == direct(texts)
+        for plain in (False, True):
+            enc = tokenfiles.Encoder(PATH, size, plain)
+            for _ in range(2):
+                assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == direct(texts, plain)
+
+
+def test_special_tokens_are_the_library_s():
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenfiles.Encoder(PATH).encode(["<|endoftext|> hi"])] == [[50256, 23105]]
 
 
 def test_files(spark):
