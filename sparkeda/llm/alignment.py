@@ -13,7 +13,9 @@ documents through a table of the most frequent pairs, whose size is set, and a j
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkeda.llm import pieces, tokenfiles
-from sparkeda.llm.common import runs, spaced_words, written
+from sparkeda.llm.common import runs, written
 
-#: Words whose ids a worker remembers for each tokenizer; more are encoded again.
-CACHE_SIZE = 600_000
+#: Words whose ids a worker remembers for texts that A's library encodes; more are encoded again.
+CACHE_SIZE = 100_000
+#: Texts beyond this length, and those with characters whose classes Unicode versions disagree on, stay with the
+#: tokenizers library; the ids are the same.
+LONG_TEXT, RARE = 200_000, re.compile("[^\x00-\u024f]")
 #: Pairs of ids that every worker holds with their counts (17 bytes each); the others are joined.
 FREQUENT_PAIRS = 1 << 18
 #: Characters that are aligned at a time.
@@ -33,49 +38,74 @@ BATCH_CHARS = 1 << 20
 _WORKER: dict = {}
 
 
+class Spelled:
+    """Byte strings of ids, put together for arrays of ids at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's end."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        return self.bytes[np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Aligner:
     """Both tokenizers, and the bytes of each of their ids."""
 
     def __init__(self, path_a: str, path_b: str, cache_size: int = CACHE_SIZE):
+        import sentencepiece
+
         self.a = tokenfiles.Encoder(path_a, cache_size, special_as_text=True)
-        self.b = pieces.Codec(path_b, cache_size)
         letter = {c: b for b, c in {**{b: chr(x) for b, x in tokenfiles.BYTE_LETTERS.items()}, 10: chr(266)}.items()}
         added = {k: t.content.encode() for k, t in self.a.tok.get_added_tokens_decoder().items()}
         vocab = sorted((k, t) for t, k in self.a.tok.get_vocab(True).items())
         self.bytes_a = [b""] * (vocab[-1][0] + 1)
         for k, t in vocab:
             self.bytes_a[k] = added[k] if k in added else bytes(letter.get(c, ord(c) & 255) for c in t)
-        m = self.b.model
+        self.ranks = self._ranks(path_a, added)
+        m = pieces.Codec(path_b, 0).model
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [p.replace(pieces.SPACE, " ").encode() for p in m.pieces]
         for byte, k in m.bytes.items():
             self.bytes_b[k] = bytes([byte])
-        self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.spelled = Spelled(self.bytes_a), Spelled(self.bytes_b)
         # an id in a group's list with what follows it: "," inside the group, "|" or ";" after its last id
-        self.said = [np.array([str(k).encode() + e for k in range(len(x)) for e in (b",", last)], object)
-                     for x, last in ((self.bytes_a, b"|"), (self.bytes_b, b";"))]
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of both for texts that are not empty, as little-endian 32-bit integers."""
-        cut = [spaced_words(t) if self.a.by_word and self.b.plain and pieces.SPACE not in t else None for t in texts]
-        for c in cut:
-            if c:
-                c[0] = c[0][1:]  # the first word follows the added space
-        words = [c for c in cut if c]
-        rest = [t for t, c in zip(texts, cut) if not c]
-        plain = zip(self.a.words.texts(words), self.b.plain_words.texts(words))
-        odd = zip(self.a.encode([" " + t for t in rest]), self.b.encode(rest))
-        both = [next(plain if c else odd) for c in cut]
-        return [x for x, _ in both], [y for _, y in both]
+        self.listed = Spelled([str(k).encode() + e for x, last in ((self.bytes_a, b"|"), (self.bytes_b, b";"))
+                               for k in range(len(x)) for e in (b",", last)])
+
+    def _ranks(self, path: str, added: dict):
+        """The same merges as ranks, which encode faster, where ids rise in the order of the merges."""
+        if not self.a.by_word:
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        if model.get("ignore_merges") or any(x >= y for x, y in zip([255, *made], made)) or len(made) + 256 != len(model["vocab"]):
+            return None
+        ranks = {x: k for k, x in enumerate(self.bytes_a) if k not in added}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        fast = [self.ranks is not None and len(t) <= LONG_TEXT and (t.isascii() or not RARE.search(t)) for t in texts]
+        rest = iter(self.a.encode([" " + t for t, f in zip(texts, fast) if not f]))
+        return [np.array(self.ranks.encode_ordinary(" " + t) if f else np.frombuffer(next(rest), "<u4"), np.int64) for t, f in zip(texts, fast)]
+
+    def _encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
 
     def align(self, texts: list[str]) -> dict:
         """Per text: ``n_a, n_b, n_groups, n_links, groups_sha256`` and ``links`` (pairs ``a * |B| + b``, packed)."""
         n = len(texts)
-        ids = [[np.frombuffer(x, "<u4").astype(np.int64) for x in side] for side in self.encode(texts)]
+        ids = self._encode_a(texts), self._encode_b(texts)
         want = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
-        # tokens that do not spell the text out leave it without tokens
-        whole = [k for k in range(n) if all(b"".join(map(table.__getitem__, side[k].tolist())) == want[k]
-                                            for table, side in zip((self.bytes_a, self.bytes_b), ids))]
+        whole = self._spelled_out(ids, want)
         out = {"n_a": np.zeros(n, np.int64), "n_b": np.zeros(n, np.int64), "n_groups": np.zeros(n, np.int64),
                "n_links": np.zeros(n, np.int64), "groups_sha256": [""] * n, "links": [b""] * n}
         if not whole:
@@ -83,9 +113,10 @@ class Aligner:
         a, b = (np.concatenate([side[k] for k in whole]) for side in ids)
         n_a, n_b = (np.array([len(side[k]) for k in whole]) for side in ids)
         doc_a, doc_b = np.repeat(np.arange(len(whole)), n_a), np.repeat(np.arange(len(whole)), n_b)
-        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])  # documents lie one after another
-        left = pd.DataFrame({"doc": doc_a, "start": end_a - self.length_a[a], "i": np.arange(len(a))})
-        right = pd.DataFrame({"doc": doc_b, "start": end_b - self.length_b[b], "j": np.arange(len(b))})
+        length_a, length_b = self.spelled[0].length[a], self.spelled[1].length[b]
+        end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)  # documents lie one after another
+        left = pd.DataFrame({"doc": doc_a, "start": end_a - length_a, "i": np.arange(len(a))})
+        right = pd.DataFrame({"doc": doc_b, "start": end_b - length_b, "j": np.arange(len(b))})
         over = pd.merge_asof(left, right, on="start", by="doc")["j"].to_numpy()
         under = pd.merge_asof(right, left, on="start", by="doc")["i"].to_numpy()
         fresh = left["start"].to_numpy()[under] != right["start"].to_numpy()  # equal starts are found both ways
@@ -102,17 +133,33 @@ class Aligner:
         n_groups = np.bincount(doc_a[last_a], minlength=len(whole))
         # a token stands after the other side's tokens of earlier groups, or, for B, of its own group as well
         until_a, until_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-        said = np.empty(len(a) + len(b), object)
-        said[np.arange(len(a)) + np.concatenate([[0], until_b])[group_a]] = self.said[0][2 * a + last_a]
-        said[np.arange(len(b)) + until_a[group_b]] = self.said[1][2 * b + last_b]
-        said, cuts = said.tolist(), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        said = np.empty(len(a) + len(b), np.int64)
+        said[np.arange(len(a)) + np.concatenate([[0], until_b])[group_a]] = 2 * a + last_a
+        said[np.arange(len(b)) + until_a[group_b]] = 2 * (len(self.bytes_a) + b) + last_b
+        said, ends = self.listed.of(said)
+        said, cuts = memoryview(said), np.concatenate([[0], ends[np.cumsum(n_a + n_b) - 1]]).tolist()
         link_cuts = np.concatenate([[0], np.cumsum(n_links)]).tolist()
         out["n_a"][whole], out["n_b"][whole], out["n_groups"][whole], out["n_links"][whole] = n_a, n_b, n_groups, n_links
         for r, k in enumerate(whole):
-            out["groups_sha256"][k] = hashlib.sha256(b"".join(said[cuts[r]:cuts[r + 1]])[:-1]).hexdigest()
+            out["groups_sha256"][k] = hashlib.sha256(said[cuts[r]:cuts[r + 1] - 1]).hexdigest()
             out["links"][k] = pair[link_cuts[r]:link_cuts[r + 1]].tobytes()
         return out
 
+    def _spelled_out(self, ids: tuple, want: list[bytes]) -> list[int]:
+        """The texts that the tokens of both sides spell out."""
+        whole = range(len(want))
+        for side, table in zip(ids, self.spelled):
+            got, ends = table.of(np.concatenate(side) if side else np.zeros(0, np.int64))
+            got = memoryview(got)
+            if got != memoryview(b"".join(want)) or [0, *np.cumsum([len(w) for w in want]).tolist()] != self._cuts(side, ends):
+                cuts = self._cuts(side, ends)
+                whole = [k for k in whole if got[cuts[k]:cuts[k + 1]] == want[k]]
+        return list(whole)
+
+    @staticmethod
+    def _cuts(side: list[np.ndarray], ends: np.ndarray) -> list[int]:
+        return np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64)].tolist()
+
     def packed(self) -> np.dtype:
         """Four bytes a pair where all pairs of ids fit."""
         return np.dtype("<u4" if len(self.bytes_a) * len(self.bytes_b) < 1 << 32 else "<i8")

@@ -83,3 +83,14 @@ def test_small_and_large_batches_agree():
     for k, t in enumerate(texts):
         one = al.align([t])
         assert all(one[c][0] == whole[c][k] for c in one)
+
+
+def test_both_ways_to_a_give_the_library_ids():
+    al, t = alignment.Aligner(A, B), Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    assert al.ranks is not None
+    low = [chr(c) for c in range(0x250)]
+    texts = [*ODD, *(f"{c}" for c in low), *(f"a{c}b {c}{c} 1{c}2{c}\n{c} 's{c}" for c in low), "".join(low), "漢字 " * 50, "a " * 150_000]
+    assert [x.tolist() for x in al._encode_a(texts)] == [t.encode(" " + x, add_special_tokens=False).ids for x in texts]
+    sp = sentencepiece.SentencePieceProcessor(model_file=B)
+    assert [x.tolist() for x in al._encode_b(texts)] == sp.encode(texts)
