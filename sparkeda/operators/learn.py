@@ -12,13 +12,13 @@ from abc import ABC, abstractmethod
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkeda.dataset import Dataset, DatasetSplit
+from sparkeda.operators.clustering import fit_starts
 from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns, present
 
 ID_NAMES = ("id", "nombre", "name", "index")
@@ -383,41 +383,19 @@ def vectors_from_array(df: DataFrame, col: str, out: str = "features") -> DataFr
     return df.withColumn(out, array_to_vector(F.col(col)))
 
 
-def _fit_kmeans(data: DataFrame, k: int, seed: int, features: str, out: str, max_iter: int):
-    m = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out, maxIter=max_iter).fit(data)
-    return m, m.summary.trainingCost
-
-
-def _best_fits(data: DataFrame, jobs: list[tuple[int, int]], features: str, out: str, max_iter: int,
-               parallelism: int) -> dict:
-    """Fit every (k, seed) start; independent fits run as concurrent Spark jobs.
-    Returns {k: (model, cost)} keeping the least cost per k."""
-    from concurrent.futures import ThreadPoolExecutor
-    best: dict = {}
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futs = {pool.submit(_fit_kmeans, data, k, s, features, out, max_iter): (k, s) for k, s in jobs}
-        for f, (k, s) in sorted(((f, ks) for f, ks in futs.items()), key=lambda x: x[1]):
-            m, cost = f.result()
-            if k not in best or cost < best[k][1]:
-                best[k] = (m, cost)
-    return best
-
-
 def kmeans(df: DataFrame, k: int = 3, n_init: int = 10, seed: int = 42, features: str = "features",
-           out: str = "Cluster", max_iter: int = 300, parallelism: int | None = None):
-    """Best of ``n_init`` starts by inertia (training cost); ties -> lower seed.
-    Returns (model, frame + ``Cluster``, inertia)."""
-    data = df.persist()
-    if parallelism is None:
-        parallelism = min(n_init, 4)
-    best = _best_fits(data, [(k, s) for s in range(seed, seed + n_init)], features, out, max_iter, parallelism)
-    model, cost = best[k]
-    data.unpersist()
-    return model, model.transform(df), cost
+           out: str = "Cluster", max_iter: int = 300):
+    """Best of ``n_init`` starts by inertia; ties -> lower start.  All starts move in one pass per iteration.
+    Returns (model with ``centers`` and ``inertia``, frame + ``Cluster``, inertia)."""
+    found = fit_starts(df, [k], n_init, seed, features, max_iter)
+    if not found:
+        raise ValueError("no rows with whole features to cluster")
+    return found[k], found[k].transform(df, features, out), found[k].inertia
 
 
 def silhouette(pred: DataFrame, features: str = "features", cluster: str = "Cluster") -> float:
-    """Silhouette with Spark's evaluator (squared Euclidean, linear cost)."""
+    """Mean silhouette by squared Euclidean distance (Spark's evaluator): the mean distance of a row to a cluster has a closed form
+    in the cluster's size, vector sum and sum of squared norms, so the cost is linear."""
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(pred)
 
 
@@ -430,16 +408,12 @@ def cluster_sizes(pred: DataFrame, cluster: str = "Cluster", digits: int = 2) ->
 
 
 def elbow(df: DataFrame, k_max: int = 10, n_init: int = 10, seed: int = 42, features: str = "features",
-          n_rows: int | None = None, max_iter: int = 300, parallelism: int = 8) -> DataFrame:
-    """(k, inertia) for k = 2 .. min(k_max, n - 1), on one cached vector table;
-    all (k, start) fits are independent and run concurrently."""
-    data = df.select(features).persist()
-    n = n_rows if n_rows is not None else data.count()
+          n_rows: int | None = None, max_iter: int = 300) -> DataFrame:
+    """(k, inertia) for k = 2 .. min(k_max, n - 1); all (k, start) models move in one pass per iteration."""
+    n = n_rows if n_rows is not None else df.count()
     ks = list(range(2, min(k_max + 1, n)))
-    best = _best_fits(data, [(k, s) for k in ks for s in range(seed, seed + n_init)], features, "Cluster",
-                      max_iter, parallelism)
-    data.unpersist()
-    rows = [(k, float(best[k][1])) for k in ks]
+    found = fit_starts(df, ks, n_init, seed, features, max_iter) if ks else {}
+    rows = [(k, float(found[k].inertia)) for k in ks if k in found]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

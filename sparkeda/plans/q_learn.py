@@ -279,6 +279,47 @@ def m18_silhouette(spark, sf_dir):
     return spark.createDataFrame([(L.silhouette(pred), float(cost))], "silhouette double, inertia double")
 
 
+def _flag_points(spark, sf_dir):
+    """Lines as points that lie apart by return flag."""
+    li = tbl(spark, sf_dir, "lineitem")
+    far = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 400.0).otherwise(900.0)
+    return li.select("l_returnflag", F.array(far + F.col("l_quantity"), far * 0.5 + F.col("l_linenumber")).alias("features"))
+
+
+FLAG_POINTS = """p AS (SELECT l_returnflag AS f, far + l_quantity AS x, far * 0.5 + l_linenumber AS y FROM (
+  SELECT *, CASE l_returnflag WHEN 'A' THEN 0.0::DOUBLE WHEN 'N' THEN 400.0 ELSE 900.0 END AS far FROM lineitem))"""
+M17_SQL = f"""WITH {FLAG_POINTS}
+SELECT count(*) AS "count", round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(sum(var) OVER (), 0) AS inertia
+FROM (SELECT *, 0 AS one FROM p) JOIN (SELECT f, count(*) * (var_pop(x) + var_pop(y)) AS var FROM p GROUP BY f) USING (f) GROUP BY f, var"""
+
+
+@register("m17_kmeans_planted", M17_SQL)
+def m17_kmeans_planted(spark, sf_dir):
+    """Sizes, centres and inertia of three clusters, where the clusters are known."""
+    _, pred, cost = L.kmeans(_flag_points(spark, sf_dir), k=3, n_init=10)
+    return pred.groupBy("Cluster").agg(F.count("*").alias("count"), F.round(F.avg(F.col("features")[0]), 4).alias("x"),
+                                       F.round(F.avg(F.col("features")[1]), 4).alias("y")).select(
+        "count", "x", "y", F.lit(float(round(cost))).alias("inertia"))
+
+
+M18_SQL = f"""WITH {FLAG_POINTS},
+c AS (SELECT f, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM p GROUP BY f),
+d AS (SELECT p.f, x, y, c.f AS o, (c.n * (x * x + y * y) - 2 * (x * sx + y * sy) + q) AS far, c.n AS n FROM p, c),
+s AS (SELECT max(CASE WHEN f = o THEN far / (n - 1) END) AS a, min(CASE WHEN f <> o THEN far / n END) AS b, count(*) AS k FROM
+      (SELECT *, row_number() OVER (PARTITION BY o ORDER BY f, x, y) AS i FROM d) GROUP BY i)
+SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette FROM s"""
+
+
+@register("m18_silhouette_planted", M18_SQL)
+def m18_silhouette_planted(spark, sf_dir):
+    """The mean silhouette of the lines clustered by their flag."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = _flag_points(spark, sf_dir).select(array_to_vector("features").alias("features"), F.when(
+        F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("Cluster"))
+    return spark.createDataFrame([(round(L.silhouette(p), 4),)], "silhouette double")
+
+
 M19_SQL = """SELECT label AS "Cluster", count(*) AS "count", round(count(*) * 100.0 / (SELECT count(*) FROM embeddings), 2) AS share_pct
 FROM embeddings GROUP BY label"""
 
@@ -294,6 +335,18 @@ def m20_elbow(spark, sf_dir):
     return L.elbow(_vectors(spark, sf_dir), k_max=10, n_init=10)
 
 
+M20_SQL = f"""WITH {FLAG_POINTS}, c AS (SELECT f, count(*) AS n, avg(x) AS x, avg(y) AS y, count(*) * (var_pop(x) + var_pop(y)) AS w FROM p GROUP BY f),
+t AS (SELECT sum(w) AS w FROM c),
+two AS (SELECT min(a.n * b.n / (a.n + b.n) * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS more FROM c a JOIN c b ON a.f < b.f)
+SELECT 2 AS k, round((w + more) / 1000) AS inertia FROM t, two UNION ALL SELECT 3, round(w / 1000) FROM t"""
+
+
+@register("m20_elbow_planted", M20_SQL)
+def m20_elbow_planted(spark, sf_dir):
+    """Two centres merge the two clusters that cost least, three find each its own."""
+    return L.elbow(_flag_points(spark, sf_dir), k_max=3, n_init=10).select("k", F.round(F.col("inertia") / 1000).alias("inertia"))
+
+
 M21_SQL = f"""WITH {TWO_SQL}
 SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2), 4) AS pc1, round(abs(a - b) / sqrt(2), 4) AS pc2 FROM z"""
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkeda.operators import learn as L
+from sparkeda.operators.clustering import fit_starts
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,32 @@ def test_standardize_and_kmeans(blobs):
     assert [r.k for r in el] == [2, 3, 4] and el[0].inertia > el[1].inertia
 
 
+def test_all_starts_move_together(spark, blobs):
+    """The least inertia of many starts is that of separate fits, in a job count that does not grow with the models."""
+    from pyspark.ml.clustering import KMeans
+
+    v = L.assemble(blobs, ["x", "y"])
+    found = fit_starts(v, [2, 3, 5], n_init=10)
+    for k in (2, 3):
+        separate = min(KMeans(k=k, seed=s).fit(v).summary.trainingCost for s in range(8))
+        assert found[k].inertia == pytest.approx(separate, rel=1e-6)
+    assert found[5].inertia < found[3].inertia and found[5].k == 5
+    m = found[3]
+    near = m.transform(v).collect()
+    x = np.array([[r.x, r.y] for r in near])
+    assert [r.Cluster for r in near] == ((x[:, None] - m.centers) ** 2).sum(2).argmin(1).tolist()
+    assert m.inertia == pytest.approx(((x[:, None] - m.centers) ** 2).sum(2).min(1).sum())
+    assert fit_starts(v, [3], n_init=10)[3].inertia == pytest.approx(m.inertia)
+
+
+def test_starts_on_odd_rows(spark):
+    nan = float("nan")
+    d = spark.createDataFrame([([1.0, 1.0],), ([1.0, 1.0],), ([5.0, 5.0],), (None,), ([nan, 1.0],), ([None, 2.0],)], "features array<double>")
+    found = fit_starts(d, [2, 4], n_init=3)
+    assert found[2].inertia == 0 and sorted(found[2].centers[:, 0]) == [1.0, 5.0] and found[4].k == 2
+    assert fit_starts(d.limit(0), [2]) == {}
+
+
 def test_pca_and_cumulative(blobs):
     d, cols = L.standardize(blobs, exclude=("truth",))
     v = L.assemble(d, cols)
