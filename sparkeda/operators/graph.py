@@ -2,8 +2,8 @@
 
 Crawling is re-aimed at a table of landed pages: the link graph is an edge
 table, reachability is breadth-first search as an iterative join (one join +
-anti-join per level, lineage cut with a reliable checkpoint each level), and
-pagination chains are bounded iterative joins.
+anti-join per level, the new level written by a reliable checkpoint), and
+pagination chains double their links, so long ones take few rounds.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkeda.functions import text as X
-from sparkeda.operators.web import attr, elements, has_attr
+from sparkeda.operators.web import Step, attr, elements, has_attr, match_path
 from sparkeda.session import checkpoint_dir
 
 
@@ -59,8 +59,7 @@ def reachable(pages: DataFrame, edges: DataFrame, seeds, depth: int = 1, max_pag
         s = spark.createDataFrame([(u, i) for i, u in enumerate(seeds)], "url string, i long")
     visited = (s.join(pg, "url").groupBy("page_id", "url").agg(F.min("i").alias("i"))
                .select("page_id", "url", F.lit(0).alias("level"), F.array("i").alias("order")))
-    visited = visited.checkpoint(eager=True)
-    frontier = visited
+    frontier = visited = visited.checkpoint(eager=True)
     ed = edges.select("page_id", "dst_url", "link_pos")
     for lvl in range(1, depth + 1):
         step = (frontier.join(ed, "page_id")
@@ -72,7 +71,7 @@ def reachable(pages: DataFrame, edges: DataFrame, seeds, depth: int = 1, max_pag
         frontier = step.checkpoint(eager=True)
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier).checkpoint(eager=True)
+        visited = visited.unionByName(frontier)  # every level is written once, by its own checkpoint
     if max_pages is not None:
         return visited.orderBy("level", "order").limit(max_pages)
     return visited
@@ -117,10 +116,18 @@ def next_page_candidates(el: DataFrame) -> DataFrame:
     return agg.select("page_id", "url", "node_id", attr("href").alias("href"), F.explode(prios).alias("prio"))
 
 
-def next_page(el: DataFrame) -> DataFrame:
-    """Per page the next-page URL: for each test in priority order its first
-    match in document order counts; it must carry an href that resolves to a
-    different URL, else the next test is tried."""
+def next_page(el: DataFrame, steps: list[Step] | None = None) -> DataFrame:
+    """Per page the next-page URL (``prio``: the number of the test that found it).
+
+    Without ``steps``: for each test in priority order its first match in document order counts; it must carry an
+    href that resolves to a different URL, else the next test is tried.  With ``steps``, a
+    path of one's own: the first match of the path, if it carries an href that resolves."""
+    if steps is not None:
+        hits = elements(el).join(match_path(el, steps), ["page_id", "node_id"], "left_semi")
+        first = hits.groupBy("page_id", "url").agg(F.min(F.struct("node_id", attr("href").alias("href"))).alias("f"))
+        return (first.where(F.coalesce(F.col("f.href"), F.lit("")) != "")
+                .select("page_id", "url", X.url_join(F.col("url"), F.col("f.href")).alias("next_url"), F.lit(0).alias("prio"))
+                .where("next_url IS NOT NULL"))
     c = next_page_candidates(el)
     first = c.groupBy("page_id", "url", "prio").agg(F.min(F.struct("node_id", "href")).alias("f"))
     nxt = X.url_join(F.col("url"), F.col("f.href"))
@@ -133,30 +140,32 @@ def next_page(el: DataFrame) -> DataFrame:
 def page_chain(pages: DataFrame, nexts: DataFrame, start_urls, max_pages: int = 10) -> DataFrame:
     """Follow next-page links from each start URL through landed pages; stop on
     a loop, a different host, a missing page or after ``max_pages`` pages.
-    Output: start_url, step (1-based), page_id, url."""
+    Output: start_url, step (1-based), page_id, url.
+
+    Links are doubled: round i knows where 2^i links lead, so a chain of n pages takes log2(n) rounds.  A page that a start
+    reaches twice is a loop; the earlier visit counts, and what follows the later one repeats what followed the earlier.
+    Each round is written by a checkpoint.  Of pages with one URL the smallest id is taken."""
     spark = pages.sparkSession
     checkpoint_dir(spark)
-    pg = pages.select("page_id", "url")
+    pg = pages.where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id"))
     if isinstance(start_urls, DataFrame):
-        s = start_urls.select(F.col("url").alias("start_url"))
+        s = start_urls.select(F.col("url").alias("start_url")).distinct()
     else:
-        s = spark.createDataFrame([(u,) for u in start_urls], "start_url string")
-    cur = (s.join(pg, s.start_url == pg.url)
-           .groupBy("start_url").agg(F.min("page_id").alias("page_id"))
-           .join(pg, "page_id")
-           .select("start_url", F.lit(1).alias("step"), "page_id", "url", F.array("url").alias("seen")))
-    out = cur.select("start_url", "step", "page_id", "url")
-    nx = nexts.select("page_id", "next_url")
-    for step in range(2, max_pages + 1):
-        cand = (cur.join(nx, "page_id")
-                .where(~F.array_contains("seen", F.col("next_url")) &
-                       (X.url_netloc("next_url") == X.url_netloc("start_url")))
-                .join(pg.withColumnRenamed("url", "next_url").withColumnRenamed("page_id", "np"), "next_url")
-                .groupBy("start_url", "seen").agg(F.min(F.struct("np", "next_url")).alias("n"))
-                .select("start_url", F.lit(step).alias("step"), F.col("n.np").alias("page_id"),
-                        F.col("n.next_url").alias("url"), F.concat("seen", F.array(F.col("n.next_url"))).alias("seen")))
-        cur = cand.checkpoint(eager=True)
-        if cur.isEmpty():
+        s = spark.createDataFrame([(u,) for u in dict.fromkeys(start_urls)], "start_url string")
+    target = pg.select(F.col("url").alias("next_url"), F.col("page_id").alias("to"))
+    near = nexts.join(pg.select("page_id", F.col("url").alias("from_url")), "page_id")  # a chain stays on one host, link by link
+    jump = (near.where(X.url_netloc("next_url") == X.url_netloc("from_url")).join(target, "next_url")
+            .groupBy(F.col("page_id").alias("at")).agg(F.min("to").alias("to")).checkpoint(eager=True))
+    seen = s.join(pg, s.start_url == pg.url).select("start_url", F.lit(1).alias("step"), F.col("page_id").alias("at")).checkpoint(eager=True)
+    reach = 1  # seen holds the first ``reach`` pages of every chain
+    while reach < max_pages:
+        more = seen.join(jump, "at").select("start_url", (F.col("step") + reach).alias("step"), F.col("to").alias("at")).where(F.col("step") <= max_pages)
+        before = seen.count()
+        seen = seen.unionByName(more).groupBy("start_url", "at").agg(F.min("step").alias("step")).checkpoint(eager=True)
+        reach *= 2
+        if seen.count() == before:
             break
-        out = out.unionByName(cur.select("start_url", "step", "page_id", "url"))
-    return out
+        if reach < max_pages:
+            jump = jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("then")), "to").select("at", F.col("then").alias("to")).checkpoint(eager=True)
+    urls = pg.select(F.col("page_id").alias("at"), "url")
+    return seen.join(urls, "at").select("start_url", "step", F.col("at").alias("page_id"), "url")

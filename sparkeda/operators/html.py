@@ -18,6 +18,8 @@ Columns
   own_string (the element's single string: set when its content reduces, through
   single children, to one string node, else NULL).
   ``raw_text`` is always filled for the document node (``get_text()``).
+  source (optional: the first characters of the element's html), error (document
+  node: why the page could not be parsed to its end, else NULL).
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ ELEMENT_SCHEMA = T.StructType([
     T.StructField("raw_text", T.StringType()),
     T.StructField("src_start", T.IntegerType()), T.StructField("src_end", T.IntegerType()),
     T.StructField("tag_pos", T.IntegerType()), T.StructField("own_string", T.StringType()),
+    T.StructField("source", T.StringType()), T.StructField("error", T.StringType()),
 ])
 
 _ARROW_SCHEMA = pa.schema([
@@ -55,7 +58,7 @@ _ARROW_SCHEMA = pa.schema([
     ("kind", pa.string()), ("tag", pa.string()), ("parent_tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
     ("is_last", pa.bool_()), ("text", pa.string()), ("full_text", pa.string()), ("raw_text", pa.string()),
-    ("src_start", pa.int32()), ("src_end", pa.int32()), ("tag_pos", pa.int32()), ("own_string", pa.string()),
+    ("src_start", pa.int32()), ("src_end", pa.int32()), ("tag_pos", pa.int32()), ("own_string", pa.string()), ("source", pa.string()), ("error", pa.string()),
 ])
 
 _PLAIN = "plain"
@@ -93,18 +96,25 @@ class _TreeBuilder(HTMLParser):
 
     def _new_element(self, tag, attrs, classes, parent, start):
         node = {"node_id": len(self.nodes), "kind": "element", "tag": tag, "attrs": attrs, "classes": classes,
-                "parent": parent, "src_start": start, "src_end": None, "children": [], "open_piece": None}
-        self.nodes.append(node)
+                "parent": parent, "src_start": start, "src_end": None, "open_piece": None, "last": None}
+        self._append(node)
         if parent is not None:
-            parent["children"].append(node)
+            parent["last"] = node
         return node
 
+    def _append(self, node):
+        """Add the node, and keep of its parent's children what ``own_string`` needs: their number and the first."""
+        node["n_children"], node["child"] = 0, None
+        self.nodes.append(node)
+        if node["parent"] is not None:
+            node["parent"]["n_children"] += 1
+            node["parent"]["child"] = node["parent"]["child"] or node
+
     def _add_string(self, kind: str, text: str):
         parent = self.stack[-1]
         node = {"node_id": len(self.nodes), "kind": kind, "tag": None, "attrs": None, "classes": None,
-                "parent": parent, "text": text, "src_start": None, "src_end": None, "children": None}
-        self.nodes.append(node)
-        parent["children"].append(node)
+                "parent": parent, "text": text, "src_start": None, "src_end": None}
+        self._append(node)
         if kind in ("text", "cdata"):
             stype = self._container() if kind == "text" else "cdata"
             self.pieces.append((text.strip(), text, stype))
@@ -189,15 +199,11 @@ class _TreeBuilder(HTMLParser):
         self.stack = []
 
 
-def _single_string(node):
-    """The one string an element reduces to through single children, else None."""
-    while True:
-        ch = node["children"]
-        if not ch or len(ch) != 1:
-            return None
-        node = ch[0]
-        if node["kind"] != "element":
-            return node["text"]
+def _single_strings(nodes):
+    """Give every element the one string it reduces to through single children, else None; children first."""
+    for node in reversed(nodes):
+        only = node["child"] if node["n_children"] == 1 else None
+        node["single"] = None if only is None else only["single"] if only["kind"] == "element" else only["text"]
 
 
 def _wanted_type(tag: str) -> set:
@@ -205,34 +211,38 @@ def _wanted_type(tag: str) -> set:
 
 
 def parse_html(page_id: int, url: str, html: str, with_raw: bool = False, text_tags=None,
-               keep_strings: bool = True):
+               keep_strings: bool = True, source_chars: int = 0):
     """Yield node records (tuples in ``ELEMENT_SCHEMA`` order) for one page.
 
     ``text_tags``: compute ``full_text`` / ``raw_text`` only for these tags (the
     document node always); None = every element.  ``keep_strings``: emit the
-    string nodes (needed by visible-text extraction only)."""
-    b = _TreeBuilder(html or "", with_raw)
+    string nodes (needed by visible-text extraction only).  ``source_chars``: emit so many
+    characters of each element's html.  A page whose parse breaks off keeps what
+    was built, and its document node says why."""
+    html, error = html or "", None
+    b = _TreeBuilder(html, with_raw)
     try:
-        b.feed(html or "")
+        b.feed(html)
         b.finish()
-    except Exception:  # noqa: BLE001 -- keep what was built for a broken page
-        end = len(html or "")
+    except Exception as e:  # noqa: BLE001 -- reported in the document node
+        error = f"{type(e).__name__}: {e}"
         for el in b.stack:
             if el.get("src_end") is None:
-                b._close(el, end)
+                b._close(el, len(html))
         b.stack = []
     pieces = b.pieces
     tag_seen: dict[str, int] = {}
+    _single_strings(b.nodes)
     for node in b.nodes:
         parent = node["parent"]
-        path, path_tags = [], []
-        p = parent
-        while p is not None:
-            path.append(p["node_id"])
-            path_tags.append(p["tag"])
-            p = p["parent"]
-        path.reverse()
-        path_tags.reverse()
+        # the ancestors of a node are its parent's and the parent: lists are shared by all children
+        if parent is None:
+            path = path_tags = ()
+        else:
+            if "below" not in parent:
+                parent["below"] = (*parent["path"], parent["node_id"]), (*parent["path_tags"], parent["tag"])
+            path, path_tags = parent["below"]
+        node["path"], node["path_tags"] = path, path_tags
         if node["kind"] == "element":
             if text_tags is None or parent is None or node["tag"] in text_tags:
                 lo = node["open_piece"] or 0
@@ -244,15 +254,14 @@ def parse_html(page_id: int, url: str, html: str, with_raw: bool = False, text_t
             else:
                 full = raw = None
             tag_seen[node["tag"]] = tag_seen.get(node["tag"], 0) + 1
-            kids = [c for c in (parent["children"] if parent else []) if c["kind"] == "element"]
-            is_last = bool(kids) and kids[-1] is node
+            source = html[node["src_start"]:min(node["src_end"], node["src_start"] + source_chars)] if source_chars else None
             yield (page_id, url, node["node_id"], parent["node_id"] if parent else None, len(path), path, path_tags,
                    "element", node["tag"], parent["tag"] if parent else None, node["attrs"], node["classes"],
-                   is_last, None, full, raw, node["src_start"], node["src_end"], tag_seen[node["tag"]],
-                   _single_string(node))
+                   bool(parent) and parent["last"] is node, None, full, raw, node["src_start"], node["src_end"],
+                   tag_seen[node["tag"]], node["single"], source, error if parent is None else None)
         elif keep_strings:
             yield (page_id, url, node["node_id"], parent["node_id"], len(path), path, path_tags, node["kind"], None,
-                   parent["tag"], None, None, None, node["text"], None, None, None, None, None, None)
+                   parent["tag"], None, None, None, node["text"], None, None, None, None, None, None, None, None)
 
 
 def _emit(rows):
@@ -266,12 +275,12 @@ def _emit(rows):
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
-def _parse_batches(batches, with_raw: bool, text_tags=None, keep_strings: bool = True, rows_per_batch: int = 20000):
+def _parse_batches(batches, with_raw: bool, text_tags=None, keep_strings: bool = True, source_chars: int = 0, rows_per_batch: int = 20000):
     for batch in batches:
         d = batch.to_pydict()
         out = []
         for pid, url, html in zip(d["page_id"], d["url"], d["html"]):
-            for rec in parse_html(pid, url, html, with_raw, text_tags, keep_strings):
+            for rec in parse_html(pid, url, html, with_raw, text_tags, keep_strings, source_chars):
                 out.append(rec)
                 if len(out) >= rows_per_batch:
                     yield _emit(out)
@@ -281,14 +290,14 @@ def _parse_batches(batches, with_raw: bool, text_tags=None, keep_strings: bool =
 
 
 def element_table(pages: DataFrame, with_raw_text: bool = False, path: str | None = None,
-                  persist: bool = True, text_tags=None, keep_strings: bool = True) -> DataFrame:
+                  persist: bool = True, text_tags=None, keep_strings: bool = True, source_chars: int = 0) -> DataFrame:
     """H0 for reuse by several extractors, so the Python parse runs once.
 
     With ``path`` the table is written as parquet (a lineage cut that survives
     lost executors; use a folder under ``spark.checkpoint.dir`` or the
     warehouse) and read back; otherwise it is persisted in memory and disk."""
     from pyspark import StorageLevel
-    el = parse_pages(pages, with_raw_text, text_tags=text_tags, keep_strings=keep_strings)
+    el = parse_pages(pages, with_raw_text, text_tags=text_tags, keep_strings=keep_strings, source_chars=source_chars)
     if path:
         el.write.mode("overwrite").parquet(path)
         return pages.sparkSession.read.parquet(path)
@@ -296,7 +305,7 @@ def element_table(pages: DataFrame, with_raw_text: bool = False, path: str | Non
 
 
 def parse_pages(pages: DataFrame, with_raw_text: bool = False, text_tags=None,
-                keep_strings: bool = True) -> DataFrame:
+                keep_strings: bool = True, source_chars: int = 0) -> DataFrame:
     """H0: the element table of ``pages(page_id, url, html)``.
 
     Parsing is embarrassingly parallel (no shuffle); output rows stream out in
@@ -308,4 +317,4 @@ def parse_pages(pages: DataFrame, with_raw_text: bool = False, text_tags=None,
     ``body`` would otherwise each carry the page's whole text."""
     src = pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string"))
     tt = None if text_tags is None else frozenset(text_tags)
-    return src.mapInArrow(lambda it: _parse_batches(it, with_raw_text, tt, keep_strings), ELEMENT_SCHEMA)
+    return src.mapInArrow(lambda it: _parse_batches(it, with_raw_text, tt, keep_strings, source_chars), ELEMENT_SCHEMA)

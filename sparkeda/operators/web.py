@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkeda.functions import text as X
 
+# Heading levels, and the parents whose strings are not visible.
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 HIDDEN_PARENTS = ["script", "style", "meta", "link"]
 STRING_KINDS = ["text", "comment", "doctype", "cdata"]
@@ -130,10 +131,77 @@ def table_cells(el: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- H7
+#: What ``extract`` can be asked for, in this order.
+KINDS = ("headings", "paragraphs", "text", "links", "images", "tables", "products", "emails", "phones", "social")
+#: Columns of the records besides page_id and node_id; a kind without one of them has null there.
+RECORD = {"tipo": "string", "nivel": "string", "numero": "int", "etiqueta": "string", "contenido": "string", "texto": "string",
+          "href": "string", "es_externo": "boolean", "src": "string", "alt": "string", "titulo": "string", "width": "string",
+          "height": "string", "filas": "long", "nombre": "string", "precio": "string", "imagen": "string", "red": "string",
+          "url": "string", "longitud": "int", "n_palabras": "int"}
+
+
+def _record(**values: Column) -> Column:
+    return F.struct(*[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in RECORD.items()])
+
+
+def _node_records(el: DataFrame, kinds, base: str) -> DataFrame:
+    """Headings, paragraphs, visible text, links and images: one scan, each node gives the records it is good for."""
+    element, text = F.col("kind") == "element", F.col("full_text")
+    is_link, is_image = element & (F.col("tag") == "a") & has_attr("href"), element & (F.col("tag") == "img")
+    said = X.strip_ws("text")
+    tests = {"headings": element & F.col("tag").isin(HEADING_TAGS) & (text != ""), "paragraphs": element & (F.col("tag") == "p") & (text != ""),
+             "text": F.col("kind").isin(STRING_KINDS) & ~F.col("parent_tag").isin(HIDDEN_PARENTS) & (said != ""),
+             "links": is_link, "images": is_image}
+    tests = {k: F.coalesce(t, F.lit(False)) for k, t in tests.items() if k in kinds}
+    d = el.where(reduce(lambda a, b: a | b, tests.values()))
+    origin = base_of(base)
+    ref = F.when(is_link, attr("href")).when(is_image & (attr("src", "") != ""), attr("src"))
+    full = X.url_join(origin, ref) if {"links", "images"} & set(kinds) else F.lit(None)
+    d = d.withColumn("_full", full).withColumn("_said", said)
+    full, said = F.col("_full"), F.col("_said")
+
+    def counted(tipo, of, **more):
+        return _record(tipo=F.lit(tipo), contenido=of, longitud=X.text_length(of), n_palabras=X.word_count(of), **more)
+
+    made = {"headings": counted("encabezado", text, nivel=F.col("tag")), "paragraphs": counted("parrafo", text, numero=F.col("tag_pos")),
+            "text": counted("texto", said, etiqueta=F.col("parent_tag")),
+            "links": _record(tipo=F.lit("link"), texto=text, href=full, es_externo=~full.startswith(origin)),
+            "images": _record(tipo=F.lit("imagen"), src=F.coalesce(full, F.lit("")), alt=attr("alt", ""), titulo=attr("title", ""),
+                              width=attr("width", ""), height=attr("height", ""))}
+    found = F.array_compact(F.array(*[F.when(t, made[k]) for k, t in tests.items()]))
+    return d.select("page_id", "node_id", F.explode(found).alias("r")).select("page_id", "node_id", "r.*")
+
+
+def extract(el: DataFrame, kinds=("headings", "paragraphs", "links", "images", "tables"), base: str = "origin",
+            pages: DataFrame | None = None) -> DataFrame:
+    """H7: the records of the chosen ``kinds`` (see ``KINDS``) as one table.
+
+    What a node gives by itself comes from one scan; tables, products and contacts, which need
+    the page around them, are joined on.  ``social`` reads the html of ``pages``.  Columns that no chosen kind fills are left out."""
+    unknown = [k for k in kinds if k not in KINDS]
+    if unknown or not kinds:
+        raise ValueError(f"kinds must be among {', '.join(KINDS)}; got {list(kinds)}")
+    if "social" in kinds and pages is None:
+        raise ValueError("social links are read from the html: pass pages")
+    own = [k for k in ("headings", "paragraphs", "text", "links", "images") if k in kinds]
+    parts = [_node_records(el, own, base)] if own else []
+    more = {"tables": lambda: table_summary(el), "products": lambda: products(el, base).drop("pattern"), "emails": lambda: emails(el),
+            "phones": lambda: phones(el), "social": lambda: social_links(pages)}
+    parts += [make() for k, make in more.items() if k in kinds]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    filled = {"headings": "nivel contenido longitud n_palabras", "paragraphs": "numero contenido longitud n_palabras",
+              "text": "etiqueta contenido longitud n_palabras", "links": "texto href es_externo", "images": "src alt titulo width height",
+              "tables": "numero titulo filas contenido", "products": "nombre precio imagen", "emails": "contenido", "phones": "contenido",
+              "social": "red url"}
+    keep = {"tipo", *" ".join(filled[k] for k in kinds).split()}
+    if "node_id" not in out.columns:
+        out = out.withColumn("node_id", F.lit(None).cast("int"))
+    return out.select("page_id", "node_id", *[F.col(c).cast(t).alias(c) for c, t in RECORD.items() if c in keep])
+
+
 def everything(el: DataFrame, base: str = "origin") -> DataFrame:
     """H7: headings, paragraphs, links, images and table summaries as one record table."""
-    parts = [headings(el), paragraphs(el), links(el, base), images(el, base), table_summary(el)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return extract(el, base=base)
 
 
 # --------------------------------------------------------------------- H8-H10
@@ -283,7 +351,8 @@ class Step:
     classes: tuple = ()
     id: str | None = None
     attrs: dict = field(default_factory=dict)  # name -> value, or None for "present"
-    attr_contains: dict = field(default_factory=dict)  # name -> substring
+    attr_contains: dict = field(default_factory=dict)  # name -> substring, or several of which one must be there
+    attr_lacks: dict = field(default_factory=dict)  # name -> substring that must not be there
     axis: str = "descendant"
 
     def test(self) -> Column:
@@ -297,7 +366,10 @@ class Step:
         for k, v in self.attrs.items():
             c = c & (has_attr(k) if v is None else (attr(k) == v))
         for k, v in self.attr_contains.items():
-            c = c & F.coalesce(attr(k).contains(v), F.lit(False))
+            some = [F.coalesce(attr(k).contains(x), F.lit(False)) for x in ((v,) if isinstance(v, str) else v)]
+            c = c & reduce(lambda a, b: a | b, some)
+        for k, v in self.attr_lacks.items():
+            c = c & ~F.coalesce(attr(k).contains(v), F.lit(False))
         return c
 
 
@@ -317,22 +389,17 @@ def match_path(el: DataFrame, steps: list[Step]) -> DataFrame:
     return cur
 
 
-def select_path(el: DataFrame, steps: list[Step], pages: DataFrame | None = None, html_chars: int = 300) -> DataFrame:
+def select_path(el: DataFrame, steps: list[Step], with_source: bool = False) -> DataFrame:
     """Matched elements with number (document order), text (500 chars, empty
-    kept), length, and optionally the first ``html_chars`` of their source."""
+    kept), length, and with ``with_source`` the start of their html, as long as the element table
+    was built to keep it (``source_chars``)."""
     m = match_path(el, steps)
     rows = el.join(m, ["page_id", "node_id"], "left_semi")
     from pyspark.sql import Window
     w = Window.partitionBy("page_id").orderBy("node_id")
-    out = rows.select("page_id", "node_id", F.row_number().over(w).alias("numero"),
-                      F.substring(F.coalesce("full_text", F.lit("")), 1, 500).alias("contenido"),
-                      F.length(F.coalesce("full_text", F.lit(""))).alias("longitud"), "src_start", "src_end")
-    if pages is not None:
-        src = pages.select("page_id", "html")
-        out = out.join(src, "page_id").select(
-            "page_id", "node_id", "numero", "contenido", "longitud",
-            F.expr(f"substring(html, src_start + 1, least(src_end - src_start, {html_chars}))").alias("html"))
-    return out.drop("src_start", "src_end")
+    return rows.select("page_id", "node_id", F.row_number().over(w).alias("numero"),
+                       F.substring(F.coalesce("full_text", F.lit("")), 1, 500).alias("contenido"),
+                       F.length(F.coalesce("full_text", F.lit(""))).alias("longitud"), *([F.col("source").alias("html")] if with_source else []))
 
 
 def match_count(el: DataFrame, steps: list[Step]) -> DataFrame:
@@ -341,65 +408,158 @@ def match_count(el: DataFrame, steps: list[Step]) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ H14
+@dataclass(frozen=True)
+class Field:
+    """A field of a repeated item: the element at ``steps`` below it, its attribute or else its text.
+
+    The first match in document order counts, or the last one (``last``).  With ``in_first`` the match must lie in the first element
+    that matches the first step, as when one looks for that element and then inside it.  Items without a match of a
+    ``required`` field are dropped; a missing value becomes ``default``."""
+
+    steps: tuple
+    attr: str | None = None
+    default: str | None = None
+    last: bool = False
+    in_first: bool = False
+    required: bool = False
+
+
+def _bits(tests: list[Column]) -> Column:
+    """The numbers of the tests that hold as bits of a long."""
+    return reduce(lambda a, b: a + b, [F.when(F.coalesce(t, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)) for k, t in enumerate(tests)]).cast("long")
+
+
 def repeated_items(el: DataFrame, item: list[Step], fields: dict) -> DataFrame:
-    """One row per repeated block matched by ``item``; each field is
-    ``(steps relative to the item, attribute or None for text, default)`` and takes
-    the first match in document order."""
-    items = match_path(el, item).withColumnRenamed("node_id", "item_id")
-    out = items
-    for name, (steps, attr_name, default) in fields.items():
-        hits = match_path(el, steps) if steps else None
-        vals = el.join(hits, ["page_id", "node_id"], "left_semi") if hits is not None else el
-        val = F.col("full_text") if attr_name is None else attr(attr_name)
-        v = (vals.select("page_id", "node_id", val.alias("v"), F.explode("path").alias("item_id"))
-             .join(items, ["page_id", "item_id"], "left_semi")
-             .groupBy("page_id", "item_id").agg(F.min(F.struct("node_id", "v")).alias("s"))
-             .select("page_id", "item_id", F.col("s.v").alias(name)))
-        out = out.join(v, ["page_id", "item_id"], "left")
-        if default is not None:
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
-    return out
+    """One row per block matched by ``item``, with a column per field (``Field``, or ``(steps, attr, default)``).
+
+    Every node that some step asks for is marked once with the steps it passes; one join gives it
+    its marked ancestors, from which the fields it is good for and the item it lies in follow; one aggregate
+    per item takes the first or last of each field, whatever the number of fields.  Nested items each count what lies in them."""
+    fields = {n: f if isinstance(f, Field) else Field(tuple(f[0]), f[1], f[2]) for n, f in fields.items()}
+    steps = list(dict.fromkeys(map(repr, [s for f in fields.values() for s in f.steps])))
+    by_repr = {repr(s): s for f in fields.values() for s in f.steps}
+    if len(steps) > 62:
+        raise ValueError("at most 62 different steps")
+    number = {r: k for k, r in enumerate(steps)}
+    item_bit = 1 << len(steps)
+    items = match_path(el, item).select("page_id", F.col("node_id").alias("anc"), F.lit(item_bit).cast("long").alias("mark"))
+    mark = _bits([by_repr[r].test() for r in steps])
+    marked = el.where(F.col("kind") == "element").select(
+        "page_id", "node_id", "path", "depth", "full_text", "attrs", mark.alias("mark")).where("mark <> 0")
+    above = marked.select("page_id", F.col("node_id").alias("anc"), "mark").unionByName(items).groupBy("page_id", "anc").agg(
+        F.sum("mark").alias("mark"))  # one row of each kind: the sum is the union of the bits
+    wanted = reduce(lambda a, b: a | b, [1 << number[repr(f.steps[-1])] for f in fields.values()])
+    ends = marked.where(F.col("mark").bitwiseAND(F.lit(wanted)) != 0)
+    names = sorted({f.attr for f in fields.values() if f.attr})
+    got = F.struct(F.lit(None).cast("string").alias("none"), *[attr(n).alias(n) for n in names]).alias("got")
+    pairs = ends.select("page_id", "node_id", "depth", "full_text", F.col("mark").alias("own"), got,
+                        F.posexplode("path").alias("at", "anc")).join(above, ["page_id", "anc"])
+    nodes = pairs.groupBy("page_id", "node_id").agg(
+        F.first("depth").alias("depth"), F.first("full_text").alias("full_text"), F.first("own").alias("own"), F.first("got").alias("got"),
+        F.sort_array(F.collect_list(F.struct("at", "anc", "mark"))).alias("up"))  # at most the depth of the node
+    nodes = nodes.withColumn("item", F.explode(F.filter("up", lambda a: a["mark"].bitwiseAND(F.lit(item_bit)) != 0)))
+
+    def has(col, step):
+        return col.bitwiseAND(F.lit(1 << number[repr(step)])) != 0
+
+    def matched(f: Field) -> Column:
+        """Null, or the outermost ancestor (below the item) or the node itself that starts a match of the field."""
+        inner = F.filter("up", lambda a: a["at"] > F.col("item.at"))
+        if len(f.steps) == 1:
+            return F.when(has(F.col("own"), f.steps[0]), F.col("node_id"))
+        lead = f.steps[:-1]
+        # for each prefix of the path: the depth of its last element, if it is found so far ("any" of them for a descendant step)
+        start = F.struct(*[F.lit(None).cast("int").alias(f"p{k}") for k in range(len(lead))],
+                         *[F.array().cast("array<int>").alias(f"d{k}") for k in range(len(lead))])
+
+        def walk(state, a):
+            new = []
+            for k, s in enumerate(lead):
+                hit = has(a["mark"], s)
+                if k:
+                    hit = hit & (state[f"p{k - 1}"].isNotNull() if s.axis != "child" else F.array_contains(state[f"d{k - 1}"], a["at"] - 1))
+                first = F.coalesce(state[f"p{k}"], F.when(hit, a["anc"] if k == 0 else state[f"p{k - 1}"]))
+                new.append((first.alias(f"p{k}"), F.when(hit, F.array_append(state[f"d{k}"], a["at"])).otherwise(state[f"d{k}"]).alias(f"d{k}")))
+            return F.struct(*[x for x, _ in new], *[x for _, x in new])
+
+        end = F.aggregate(inner, start, walk)
+        k = len(lead) - 1
+        ok = end[f"p{k}"].isNotNull() if f.steps[-1].axis != "child" else F.array_contains(end[f"d{k}"], F.col("depth") - 1)
+        return F.when(has(F.col("own"), f.steps[-1]) & ok, end[f"p{k}"])
+
+    aggs = []
+    for n, f in fields.items():
+        value = F.col("full_text") if f.attr is None else F.col("got")[f.attr]
+        key = F.struct(matched(f).alias("lead"), F.col("node_id"), value.alias("v")) if f.in_first else F.struct(F.col("node_id"), value.alias("v"))
+        hit = F.when(matched(f).isNotNull(), key)
+        aggs.append((F.max if f.last else F.min)(hit).alias(n))
+        if f.in_first:
+            aggs.append(F.min(F.when(has(F.col("own"), f.steps[0]), F.col("node_id"))).alias(f"{n}__lead"))
+            if len(f.steps) > 1:  # the first element of the first step must be known as well where nothing of the field lies in it
+                wanted_lead = 1 << number[repr(f.steps[0])]
+                if not wanted & wanted_lead:
+                    raise ValueError(f"in_first needs a field that ends with the first step of {n}")
+    found = nodes.groupBy("page_id", F.col("item.anc").alias("item_id")).agg(*aggs)
+    out = items.select("page_id", F.col("anc").alias("item_id")).join(found, ["page_id", "item_id"], "left")
+    for n, f in fields.items():
+        hit = F.col(n)
+        if f.in_first:
+            hit = F.when(F.col(f"{n}.lead") == F.col(f"{n}__lead"), hit)
+        out = out.withColumn(n, hit)
+        if f.required:
+            out = out.where(F.col(n).isNotNull())
+        value = F.col(f"{n}.v")
+        out = out.withColumn(n, F.coalesce(value, F.lit(f.default)) if f.default is not None else value)
+    return out.select("page_id", "item_id", *fields)
 
 
 def trending_items(el: DataFrame) -> DataFrame:
-    """H14 with the sample layout of a trending-repositories page."""
-    art = [Step(tag="article", classes=("Box-row",))]
-    spec = {
-        "href": ([Step(tag="h2"), Step(tag="a")], "href", ""),
-        "descripcion": ([Step(tag="p", attr_contains={"class": "col-9"})], None, ""),
-        "descripcion2": ([Step(tag="p", attr_contains={"class": "my-1"})], None, ""),
-        "lenguaje": ([Step(tag="span", attrs={"itemprop": "programmingLanguage"})], None, "N/A"),
-        "estrellas": ([Step(tag="a", classes=("Link",), attr_contains={"href": "/stargazers"})], None, ""),
-        "forks": ([Step(tag="a", classes=("Link",), attr_contains={"href": "/forks"})], None, ""),
-        "estrellas_hoy": ([Step(tag="span", classes=("d-inline-block", "float-sm-right"))], None, ""),
-    }
-    t = repeated_items(el, art, spec)
-    path = F.regexp_replace(F.trim(F.col("href")), "^/+|/+$", "")
+    """H14 with the sample layout of a trending-repositories page: the link in the first heading (items without one are dropped, a link without
+    href stays, empty), the first paragraph of either class, the last star and fork links."""
+    h2 = Step(tag="h2")
+    t = repeated_items(el, [Step(tag="article", classes=("Box-row",))], {
+        "heading": Field((h2,)),
+        "href": Field((h2, Step(tag="a")), "href", "", in_first=True, required=True),
+        "col9": Field((Step(tag="p", attr_contains={"class": ("col-9", "my-1")}),), None, ""),
+        "lenguaje": Field((Step(tag="span", attrs={"itemprop": "programmingLanguage"}),), None, "N/A"),
+        "estrellas": Field((Step(tag="a", classes=("Link",), attr_contains={"href": "/stargazers"}),), None, "", last=True),
+        "forks": Field((Step(tag="a", classes=("Link",), attr_contains={"href": "/forks"}, attr_lacks={"href": "/stargazers"}),), None, "", last=True),
+        "estrellas_hoy": Field((Step(tag="span", attrs={"class": "d-inline-block float-sm-right"}),), None, ""),
+    })
+    path = F.regexp_replace(F.col("href"), "^/+|/+$", "")
     parts = F.split(path, "/")
-    desc = F.when(F.col("descripcion") != "", F.col("descripcion")).otherwise(F.col("descripcion2"))
-    return t.where(F.col("href") != "").select(
+    return t.select(
         "page_id", F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("autor"),
         F.coalesce(F.try_element_at(parts, F.lit(2)), path).alias("repositorio"),
-        F.substring(desc, 1, 150).alias("descripcion"), "lenguaje", "estrellas", "forks",
+        F.substring("col9", 1, 150).alias("descripcion"), "lenguaje", "estrellas", "forks",
         F.regexp_replace("estrellas_hoy", r"[^0-9,.]", "").alias("estrellas_hoy"),
         F.concat(F.lit("https://github.com/"), path).alias("url"))
 
 
 # ------------------------------------------------------------------ H15, H16
 def page_summary(el: DataFrame) -> DataFrame:
-    """Title (default ``Sin título``), non-empty h1-h3, non-empty paragraphs,
-    lists (ul/ol) holding at least one li."""
-    e = elements(el)
-    li = elements(el, ["li"]).select("page_id", F.explode("path").alias("node_id")).distinct()
-    lists = elements(el, ["ul", "ol"]).select("page_id", "node_id").join(li, ["page_id", "node_id"], "left_semi") \
-        .groupBy("page_id").agg(F.count("*").alias("n_listas"))
-    per = e.groupBy("page_id", "url").agg(
-        F.min(F.when(F.col("tag") == "title", F.struct("node_id", "full_text"))).alias("t"),
-        F.count_if(F.col("tag").isin("h1", "h2", "h3") & (F.col("full_text") != "")).alias("n_encabezados"),
-        F.count_if((F.col("tag") == "p") & (F.col("full_text") != "")).alias("n_parrafos"))
-    return per.join(lists, "page_id", "left").select(
+    """Title (default ``Sin título``), counts and contents of a page: non-empty h1, h2 and h3 (``encabezados``, all of a level before the
+    next), non-empty paragraphs (``parrafos``), and the li texts of every ul or ol that holds one (``listas``), in document order."""
+    e = elements(el, ["title", "h1", "h2", "h3", "p", "ul", "ol", "li"])
+    text, tag = F.col("full_text"), F.col("tag")
+    # an item counts in every list around it, as a search inside each list finds it
+    up = F.arrays_zip(F.col("path").alias("id"), F.col("path_tags").alias("tag"))
+    around = F.transform(F.filter(up, lambda a: a["tag"].isin("ul", "ol")), lambda a: a["id"])
+    items = (e.where(tag == "li").select("page_id", "node_id", F.coalesce(text, F.lit("")).alias("t"), F.explode(around).alias("list_id"))
+             .groupBy("page_id", "list_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "t"))).alias("li"))
+             .groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("list_id", F.col("li.t").alias("items")))).alias("lists")))
+    per = elements(el).groupBy("page_id", "url").agg(
+        F.min(F.when(tag == "title", F.struct("node_id", "full_text"))).alias("t"),
+        F.sort_array(F.collect_list(F.when(tag.isin("h1", "h2", "h3") & (text != ""), F.struct(
+            tag.alias("nivel"), "node_id", text.alias("texto"))))).alias("h"),
+        F.sort_array(F.collect_list(F.when((tag == "p") & (text != ""), F.struct("node_id", text.alias("texto"))))).alias("p"))
+    j = per.join(items, "page_id", "left")
+    lists = F.coalesce(F.col("lists.items"), F.array().cast("array<array<string>>"))
+    return j.select(
         "page_id", "url", F.coalesce(F.col("t.full_text"), F.lit("Sin título")).alias("titulo"),
-        "n_encabezados", "n_parrafos", F.coalesce("n_listas", F.lit(0)).alias("n_listas"))
+        F.size("h").cast("long").alias("n_encabezados"), F.size("p").cast("long").alias("n_parrafos"), F.size(lists).cast("long").alias("n_listas"),
+        F.transform("h", lambda x: F.struct(x["nivel"].alias("nivel"), x["texto"].alias("texto"))).alias("encabezados"),
+        F.col("p.texto").alias("parrafos"), lists.alias("listas"))
 
 
 def headings_table(el: DataFrame) -> DataFrame:

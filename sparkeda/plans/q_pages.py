@@ -39,9 +39,9 @@ def _filled(text: str):
     return F.concat(*[fields[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-def customer_pages(spark, sf_dir):
+def customer_pages(spark, sf_dir, html: str = HTML):
     """``page_id, url, html``: one page per customer."""
-    return tbl(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), _filled(URL).alias("url"), _filled(HTML).alias("html"))
+    return tbl(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), _filled(URL).alias("url"), _filled(html).alias("html"))
 
 
 def _sql(text: str) -> str:
@@ -102,12 +102,65 @@ _page_query("h12_by_tags_customers", _rows({"etiqueta": "p", "contenido": "About
 _page_query("h13_select_path_customers", _rows({"numero": 1, "contenido": "{seg}"}),
             lambda el, _: W.select_path(el, [W.Step(tag="ul", classes=("menu",)), W.Step(tag="li", axis="child")])
             .select("page_id", "numero", "contenido"))
-_page_query("h14_repeated_items_customers", _rows({"autor": "u{nat}", "repositorio": "r{k}", "descripcion": "About {name}", "lenguaje": "{seg}",
-                                                   "estrellas": "{k}", "url": "https://github.com/u{nat}/r{k}"}),
-            lambda el, _: W.trending_items(el).select("page_id", "autor", "repositorio", "descripcion", "lenguaje", "estrellas", "url"))
+#: Blocks that differ in what comes first, last or not at all.
+TRENDING = (
+    '<html><body><article class="Box-row"><h2><a href="/u{nat}/r{k}">repo</a></h2><p class="x my-1">First {name}</p><p class="col-9">Second</p>'
+    '<a class="Link" href="/u{nat}/r{k}/stargazers">1</a><a class="Link" href="/u{nat}/r{k}/forks">2</a><a class="Link" href="/a/stargazers">{k}</a>'
+    '<a class="Link x" href="/a/forks">3{nat}</a><a href="/a/forks">4</a><span class="d-inline-block">9</span>'
+    '<span class="d-inline-block float-sm-right">+{k},5 today</span></article>'
+    '<article class="Box-row y"><h2><a>none</a></h2><span itemprop="programmingLanguage"> {seg} </span></article>'
+    '<article class="Box-row"><h2>bare</h2><h2><a href="/not/here">x</a></h2></article>'
+    '<article class="Box"><h2><a href="/not/either">x</a></h2></article></body></html>')
+
+
+@register("h14_repeated_items_customers", _rows(
+    {"autor": "u{nat}", "repositorio": "r{k}", "descripcion": "First {name}", "lenguaje": "N/A", "estrellas": "{k}", "forks": "3{nat}",
+     "estrellas_hoy": "{k},5", "url": "https://github.com/u{nat}/r{k}"},
+    {"autor": "", "repositorio": "", "descripcion": "", "lenguaje": "{seg}", "estrellas": "", "forks": "", "estrellas_hoy": "",
+     "url": "https://github.com/"}))
+def h14_repeated_items_customers(spark, sf_dir):
+    pages = customer_pages(spark, sf_dir, TRENDING)
+    return W.trending_items(element_table(pages))
+
+
+H15_SQL = _rows({"titulo": "{name}", "n_encabezados": 3, "n_parrafos": 4, "n_listas": 1, "encabezados": "h1 {name}|h2 {seg}|h2 repo",
+                 "parrafos": "Balance of {name}|Nation {nat}|mailcall|About {name}", "listas": "{seg}"})
 _page_query("h15_page_summary_customers", "SELECT * REPLACE (CAST(n_encabezados AS BIGINT) AS n_encabezados, CAST(n_parrafos AS BIGINT) AS n_parrafos, "
-            "CAST(n_listas AS BIGINT) AS n_listas) FROM (" + _rows({"titulo": "{name}", "n_encabezados": 3, "n_parrafos": 4, "n_listas": 1}) + ")",
-            lambda el, _: W.page_summary(el).select("page_id", "titulo", "n_encabezados", "n_parrafos", "n_listas"))
+            "CAST(n_listas AS BIGINT) AS n_listas) FROM (" + H15_SQL + ")",
+            lambda el, _: W.page_summary(el).select(
+                "page_id", "titulo", "n_encabezados", "n_parrafos", "n_listas",
+                F.array_join(F.transform("encabezados", lambda h: F.concat_ws(" ", h["nivel"], h["texto"])), "|").alias("encabezados"),
+                F.array_join("parrafos", "|").alias("parrafos"),
+                F.array_join(F.transform("listas", lambda x: F.array_join(x, ",")), "|").alias("listas")))
+
+#: The strings and the whole text of the pages, from their html.
+STRINGS_SQL = C_SQL[:-1] + f""", h AS (SELECT page_id, {_sql(HTML)} AS html FROM c) """
+_page_query("h3_visible_text_customers", STRINGS_SQL + "SELECT page_id, trim(x) AS contenido FROM (SELECT page_id, "
+            "unnest(regexp_split_to_array(html, '<[^>]*>')) AS x FROM h) WHERE trim(x) <> ''",
+            lambda el, _: W.visible_text(el).select("page_id", "contenido"))
+PHONE_SQL = W.PHONE_RE.replace("'", "''")
+_page_query("h9_phones_customers", STRINGS_SQL + f"""SELECT DISTINCT page_id, trim(x) AS contenido FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', '', 'g'), '{PHONE_SQL}')) AS x FROM h
+  UNION ALL SELECT page_id, '555000' || page_id FROM h) WHERE length(trim(x)) >= 7""",
+            lambda el, _: W.phones(el).select("page_id", "contenido"), raw=True)
+
+
+def _kinds_query(name: str, kinds: tuple, rows: list):
+    """The value and type of the records of some kinds."""
+    def make(el, pages):
+        d = W.extract(el, kinds, pages=pages)
+        some = F.coalesce(*[F.col(c) for c in ("contenido", "href", "src", "nombre", "url") if c in d.columns])
+        return d.select("page_id", "tipo", F.coalesce(some, F.lit("")).alias("valor"))
+    _page_query(name, _rows(*[{"tipo": t, "valor": v} for t, v in rows]), make, raw=True)
+
+
+_HEAD, _PAR = [("encabezado", t) for _, t in HEADINGS], [("parrafo", t) for _, t in PARAGRAPHS]
+_LINK, _IMAGE = [("link", h or "") for _, h in LINKS], [("imagen", HOST + "/img/{k}.png"), ("imagen", HOST + "/p/{k}.png")]
+_TABLE = [("tabla", "Tabla con 2 filas")]
+_kinds_query("h7_everything_customers", ("headings", "paragraphs", "links", "images", "tables"), _HEAD + _PAR + _LINK + _IMAGE + _TABLE)
+_kinds_query("h7_headings_links_customers", ("headings", "links"), _HEAD + _LINK)
+_kinds_query("h7_contacts_products_customers", ("products", "emails", "social", "images"), _IMAGE + [
+    ("producto", "{name}"), ("correo", "c{k}@mail.example.com"), ("red_social", "https://github.com/c{k}")])
 _page_query("h16_headings_table_customers", _rows(*[{"nivel": n, "texto": t} for n, t in HEADINGS if n != "h4"]),
             lambda el, _: W.headings_table(el).select("page_id", "nivel", "texto"))
 _page_query("h16_paragraphs_table_customers", _rows(*[{"parrafo_num": i, "texto": t} for i, (_, t) in enumerate(PARAGRAPHS, 1)]),
@@ -130,3 +183,9 @@ _page_query("g2_reachable_customers", C_SQL + f"SELECT page_id, {_sql(URL)} AS u
 _page_query("g3_page_chain_customers", C_SQL + f"SELECT {_sql(HOST + '/c/')} || CAST(host * 1000 AS VARCHAR) AS start_url, "
             f"CAST(page_id % 1000 + 1 AS INTEGER) AS step, page_id, {_sql(URL)} AS url FROM c WHERE page_id % 1000 < 10",
             lambda el, pages: G.page_chain(pages, G.next_page(el), _first_of_hosts(pages), max_pages=10), raw=True)
+
+_page_query("g3_next_page_steps_customers", _rows({"next_url": HOST + "/u{nat}/r{k}"}),
+            lambda el, _: G.next_page(el, [W.Step(tag="article"), W.Step(tag="a")]).select("page_id", "next_url"))
+_page_query("g3_page_chain_long_customers", C_SQL + f"SELECT {_sql(HOST + '/c/')} || CAST(host * 1000 AS VARCHAR) AS start_url, "
+            f"CAST(page_id % 1000 + 1 AS INTEGER) AS step, page_id, {_sql(URL)} AS url FROM c",
+            lambda el, pages: G.page_chain(pages, G.next_page(el, [W.Step(tag="a", classes=("next",))]), _first_of_hosts(pages), max_pages=1000))

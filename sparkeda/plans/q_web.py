@@ -64,7 +64,7 @@ def h12_by_tags(spark, sf_dir):
 def h13_select_path(spark, sf_dir):
     steps = [W.Step(tag="article"), W.Step(tag="p", axis="child")]
     pages = tbl(spark, sf_dir, "pages")
-    return W.select_path(element_table(pages), steps, pages=pages)
+    return W.select_path(element_table(pages, source_chars=300), steps, with_source=True)
 
 
 @register("h17_page_kind")

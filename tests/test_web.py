@@ -44,7 +44,7 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def el(pages):
-    return parse_pages(pages, with_raw_text=True).persist()
+    return parse_pages(pages, with_raw_text=True, source_chars=300).persist()
 
 
 def test_tree_rules():
@@ -99,7 +99,7 @@ def test_products_first_pattern(el):
 
 def test_select_path_and_tags(el, pages):
     steps = [W.Step(tag="div", classes=("pagination",)), W.Step(tag="a")]
-    got = W.select_path(el, steps, pages=pages).orderBy("numero").collect()
+    got = W.select_path(el, steps, with_source=True).orderBy("numero").collect()
     assert [r.contenido for r in got] == ["1", "2"] and got[0].html.startswith("<a href=\"/page/1\">")
     child = W.match_count(el, [W.Step(tag="ul"), W.Step(tag="a", axis="descendant")]).collect()
     assert child == []
@@ -164,3 +164,78 @@ def test_bad_reference_gives_null(spark):
     from sparkeda.functions.text import url_join
     df = spark.createDataFrame([("http://a/b/", "c"), ("http://a/", "http://[bad"), ("http://a/", None)], "b string, r string")
     assert [r[0] for r in df.select(url_join("b", "r")).collect()] == ["http://a/b/c", None, None]
+
+
+def test_chains_double(spark):
+    """Long chains, loops, other hosts, missing pages and the page limit, against a walk."""
+    def url(k, host="a"):
+        return f"https://{host}.example.com/{k}"
+    rows = [(k, url(k), url(k + 1)) for k in range(40)] + [(50, url(50), url(51)), (51, url(51), url(52)), (52, url(52), url(51))]
+    rows += [(60, url(60), url(61)), (61, url(61), url(60, "b")), (62, url(60, "b"), url(61, "b")), (63, url(63), url(63)), (64, url(64), None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, next_url string")
+    nexts = pages.where("next_url IS NOT NULL").select("page_id", "next_url")
+    by_url, nxt = {u: k for k, u, _ in rows}, {k: n for k, _, n in rows}
+    starts = [url(0), url(33), url(50), url(60), url(63), url(64), url(999)]
+    for most in (1, 2, 5, 16, 100):
+        want = set()
+        for s in starts:
+            u, seen = s, set()
+            while u in by_url and u not in seen and len(seen) < most and u.split("/")[2] == s.split("/")[2]:
+                seen.add(u)
+                want.add((s, len(seen), by_url[u], u))
+                u = nxt[by_url[u]]
+        assert {tuple(r) for r in G.page_chain(pages.select("page_id", "url"), nexts, starts, max_pages=most).collect()} == want
+
+
+def test_each_level_is_written_once(spark, monkeypatch):
+    """What a crawl writes is its pages, once each, whatever its depth."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    rows = [(k, f"https://a.example.com/{k}") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    edges = spark.createDataFrame([(k, f"https://a.example.com/{k + d}", d) for k in range(30) for d in (1, 2)], "page_id long, dst_url string, link_pos int")
+    written, real = [], DataFrame.checkpoint
+
+    def counted(self, eager=True):
+        out = real(self, eager)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(DataFrame, "checkpoint", counted)
+    got = G.reachable(pages, edges, ["https://a.example.com/0"], depth=9).collect()
+    assert {(r.page_id, r.level) for r in got} == {(k, (k + 1) // 2) for k in range(19)} and sum(written) == len(got)
+
+
+def test_fields_of_nested_items(spark):
+    html = ('<div class="it"><b><i>1</i></b><i>2</i><div class="it"><i>3</i></div></div><div class="it"><b></b><b><i>4</i></b></div><div class="it"></div>')
+    el = parse_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    b, i = W.Step(tag="b"), W.Step(tag="i")
+    child = W.Step(tag="i", axis="child")
+    got = W.repeated_items(el, [W.Step(classes=("it",))], {
+        "i": W.Field((i,)), "last": W.Field((i,), last=True), "b": W.Field((b,)), "in_b": W.Field((b, i)), "first_b": W.Field((b, i), in_first=True),
+        "below_b": W.Field((b, child), None, "-")}).orderBy("item_id").collect()
+    assert [tuple(r)[2:] for r in got] == [("1", "3", "1", "1", "1", "1"), ("3", "3", None, None, None, "-"), ("4", "4", "", "4", None, "4"),
+                                           (None, None, None, None, None, "-")]
+    plan = W.trending_items(el)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_parser_is_linear_and_reports(spark):
+    import time
+    t0 = time.time()
+    assert sum(1 for _ in parse_html(1, "u", "<ul>" + "<li>a</li>" * 100_000 + "</ul>", text_tags=())) == 200_002
+    assert time.time() - t0 < 20
+    rows = parse_pages(spark.createDataFrame([(1, "u", "<p>a<![endif x"), (2, "u", "<p>b")], "page_id long, url string, html string")).where("node_id = 0").collect()
+    assert {r.page_id for r in rows} == {1, 2} and [r.error for r in rows if r.page_id == 2] == [None]
+
+
+def test_extract_kinds(el, pages):
+    d = W.extract(el, ("headings", "text"))
+    assert {r.tipo for r in d.collect()} == {"encabezado", "texto"} and "href" not in d.columns
+    both = W.extract(el, W.KINDS, pages=pages).groupBy("tipo").count().collect()
+    alone = {"encabezado": W.headings(el), "parrafo": W.paragraphs(el), "texto": W.visible_text(el), "link": W.links(el), "imagen": W.images(el),
+             "tabla": W.table_summary(el), "producto": W.products(el), "correo": W.emails(el), "telefono": W.phones(el), "red_social": W.social_links(pages)}
+    assert {r.tipo: r["count"] for r in both} == {k: n for k, v in alone.items() if (n := v.count())}
+    cols = ["page_id", "node_id", "texto", "href", "es_externo"]
+    assert sorted(map(tuple, W.extract(el, ("links", "images")).where("tipo = 'link'").select(cols).collect())) == sorted(map(tuple, W.links(el).select(cols).collect()))
+    for bad in ((), ("nothing",), ("social",)):
+        with pytest.raises(ValueError):
+            W.extract(el, bad)
