@@ -13,12 +13,13 @@ from abc import ABC, abstractmethod
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkeda.dataset import Dataset, DatasetSplit
 from sparkeda.operators.clustering import fit_starts
+from sparkeda.operators.ordered import bounded, numbered, running
 from sparkeda.operators.profile import NUMERIC_TYPES, column_profile, numeric_columns, present
 
 ID_NAMES = ("id", "nombre", "name", "index")
@@ -44,21 +45,25 @@ def candidate_targets(df: DataFrame, profile: list | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column_name string, distinct long, candidate boolean")
 
 
-def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, list]:
-    """M2: classes -> 0..k-1 in sorted order, whatever the classes are; returns the frame and the
-    class list, which maps predictions back.
+def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, DataFrame]:
+    """M2: classes -> 0..k-1 in sorted order, whatever the classes are; returns the frame and the table of the
+    classes (``label, value``), which maps predictions back.
 
     A null text is a class of its own (``"nan"``), a whole number of any size or sign is a class;
-    rows whose numeric label is missing have nothing to learn from and are dropped."""
+    rows whose numeric label is missing have nothing to learn from and are dropped.  The classes are numbered by range
+    partitions and joined back (broadcast up to a checked number of rows); no list of them reaches the driver."""
     numeric = isinstance(df.schema[col].dataType, NUMERIC_TYPES)
     key = _q(col).cast("double") if numeric else F.coalesce(_q(col).cast("string"), F.lit("nan"))
     if numeric:
-        key = F.when(~F.isnan(key), key)
-    found = df.select(key.alias("k"), key.cast("string").alias("s")).where("k IS NOT NULL").distinct().collect()
-    found.sort(key=lambda r: r["k"])
-    model = StringIndexerModel.from_labels([r["s"] for r in found], inputCol="_label_key", outputCol=out, handleInvalid="skip")
-    d = model.transform(df.withColumn("_label_key", key.cast("string"))).drop("_label_key")
-    return d, [r["k"] for r in found]
+        key = F.when(~F.isnan(key), key + F.lit(0.0))
+    d = df.withColumn("_label_key", key)
+    codes = numbered(d.select("_label_key"), "_label_key", out)
+    codes = codes.select(F.col("value").alias("_value"), F.col(out).cast("double").alias(out))
+    d = d.drop(out) if out in df.columns and out != col else d
+    kept = [c for c in d.columns if c not in ("_label_key", out)]
+    coded = d.join(bounded(codes).withColumnRenamed(out, "_code"), F.col("_label_key") == F.col("_value")).select(
+        *[_q(c) for c in kept], F.col("_code").alias(out))
+    return coded, codes.select(F.col(out).alias("label"), F.col("_value").alias("value"))
 
 
 def usable_features(df: DataFrame, target: str, exclude=(), profile: list | None = None) -> DataFrame:
@@ -91,7 +96,7 @@ def usable_features(df: DataFrame, target: str, exclude=(), profile: list | None
 
 
 def _categories(df: DataFrame, cols: list[str]) -> dict[str, list]:
-    """The sorted non-null values of each column, in one pass."""
+    """The sorted non-null values of each column, in one pass: what becomes a column each."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).cast("string").alias("v")) for c in cols])).alias("x")
     values: dict[str, list] = {c: [] for c in cols}
     for r in df.select(cells).select("x.c", "x.v").where("v IS NOT NULL").distinct().collect():
@@ -110,22 +115,30 @@ def one_hot(df: DataFrame, cols: list[str], sep: str = "_") -> tuple[DataFrame,
     return (df.withColumns(new) if new else df), list(new)
 
 
-def one_hot_vectors(df: DataFrame, cols: list[str], sep: str = "_") -> tuple[DataFrame, list[str], list[str]]:
+def one_hot_vectors(df: DataFrame, cols: list[str], sep: str = "_") -> tuple[DataFrame, list[str], DataFrame]:
     """M4 for models: one sparse vector column per category column, however many categories it has.
 
-    The alphabetically first category and null are the zero vector.  Returns the frame, the vector columns
-    and the names of their places."""
-    vectors, names = [], []
-    for k, (c, vs) in enumerate((_categories(df, cols) if cols else {}).items()):
-        if len(vs) < 2:
+    The alphabetically first category and null are the zero vector.  Categories are numbered by range partitions and joined back, so
+    none of them reaches the driver.  Returns the frame, the vector columns, and the table of their places
+    (``vector, place, name``)."""
+    vectors, names = [], df.sparkSession.createDataFrame([], "vector string, place long, name string")
+    for k, c in enumerate(cols):
+        text = df.select(_q(c).cast("string").alias("v"))
+        codes = numbered(text, "v", "code")
+        size = codes.count() - 1
+        if size < 1:
             continue
         index, vec = f"_index{k}", f"_hot{k}"
-        # what is not among the labels (null, the first) gets the last index, which the encoder drops
-        df = StringIndexerModel.from_labels(vs[1:], inputCol="_category", outputCol=index, handleInvalid="keep").transform(
-            df.withColumn("_category", F.coalesce(_q(c).cast("string"), F.lit(vs[0])))).drop("_category")
+        coded = bounded(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
+        # the first category and null get the last index, which the encoder drops; it knows their number from the column's attribute
+        place = F.when(F.col("_code") > 0, F.col("_code") - 1).otherwise(F.lit(size)).cast("double")
+        attribute = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+        df = df.join(coded, _q(c).cast("string") == F.col("_value"), "left").withColumn(index, place.alias(index)).drop("_value", "_code")
+        df = df.withMetadata(index, attribute)
         df = OneHotEncoder(inputCol=index, outputCol=vec, dropLast=True).fit(df).transform(df).drop(index)
         vectors.append(vec)
-        names += [f"{c}{sep}{v}" for v in vs[1:]]
+        names = names.unionByName(codes.where("code > 0").select(
+            F.lit(vec).alias("vector"), (F.col("code") - 1).alias("place"), F.concat(F.lit(f"{c}{sep}"), F.col("value")).alias("name")))
     return df, vectors, names
 
 
@@ -148,15 +161,35 @@ def split(df, test_size: float = 0.2, seed: int = 42, key: list[str] | None = No
     return train, test
 
 
-def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None):
+def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None,
+                     exact: bool = False, bins: int = 4096):
     """M6: split keeping each class's share, within sampling error, by a hash that is
     salted with the class: no shuffle, no threshold to look up.  Only when every class has
-    2 rows or more (otherwise a plain split, as the reference does)."""
+    2 rows or more (otherwise a plain split, as the reference does).
+
+    With ``exact`` every class gives its share of rows to the test part, rounded half up: the rows of least hash.  Rows
+    are counted per class and hash range; below and above the one range that holds the last test row the range decides, and only
+    the rows in it are numbered, in chunks, so no class goes through one task.  Null labels are a class."""
     least = df.groupBy(_q(label)).count().agg(F.min("count")).first()[0]
     if least is None or least < 2:
         return split(df, test_size, seed, key)
     u = _hash01([*(key or [c for c in df.columns if c != label]), label], seed)
-    return df.where(u >= test_size), df.where(u < test_size)
+    if not exact:
+        return df.where(u >= test_size), df.where(u < test_size)
+    cell = F.floor(u * bins).cast("int")
+    counts = df.groupBy(_q(label).alias("_class"), cell.alias("_cell")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("_class")  # one row per range: at most ``bins`` a class
+    upto = by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = counts.select("_class", "_cell", "n", F.sum("n").over(upto).alias("upto"),
+                          F.floor(F.sum("n").over(by) * test_size + 0.5).alias("take"))
+    last = sized.where("take > upto - n AND take <= upto").select("_class", F.col("_cell").alias("_last"), (F.col("take") - F.col("upto") + F.col("n")).alias("_need"))
+    d = df.withColumns({"_u": u, "_cell": cell}).join(bounded(last), _q(label).eqNullSafe(F.col("_class")), "left")
+    d = d.withColumn("_last", F.coalesce("_last", F.lit(-1)))  # a share that rounds to nothing takes no range
+    deciding = running(d.where("_cell = _last"), [label], ["_u"], {"_at": ("row_number", None)})
+    parts = []
+    for clear, within in (("_cell > _last", "_at > _need"), ("_cell < _last", "_at <= _need")):
+        parts.append(d.where(clear).select(*[_q(c) for c in df.columns]).unionByName(deciding.where(within).select(*[_q(c) for c in df.columns])))
+    return tuple(parts)
 
 
 # ------------------------------------------------------------------ features
@@ -168,7 +201,8 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 def prepare_classification(df: DataFrame, target: str, exclude=(), key: list[str] | None = None):
-    """M2 + M3 + M4 + assembly: (frame with features, label and the ``key`` columns, feature names, classes)."""
+    """M2 + M3 + M4 + assembly: (frame with features, label and the ``key`` columns, table of the feature
+    ``place`` and ``name``, table of the classes)."""
     prof = column_profile(df, with_rows=True).collect()
     skip = [*exclude, *(key or [])]
     roles = {r["column_name"]: r["role"] for r in usable_features(df, target, skip, profile=prof).collect()}
@@ -176,10 +210,18 @@ def prepare_classification(df: DataFrame, target: str, exclude=(), key: list[str
     cat = [c for c, r in roles.items() if r == "categorical"]
     d, classes = encode_label(df, target)
     d, vectors, names = one_hot_vectors(d, cat)
-    if not num and not names:
+    if not num and not vectors:
         raise ValueError("no usable input columns to train on")
     d = assemble(d, num + vectors)
-    return d.select("features", "label", *[_q(c) for c in key or []]), num + names, classes
+    # places: the numbers first, then the vectors one after another
+    sizes = {r["vector"]: r["n"] for r in names.groupBy("vector").agg(F.count("*").alias("n")).collect()}  # one row per column
+    at, first = len(num), {}
+    for v in vectors:
+        first[v], at = at, at + sizes[v]
+    table = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(num)], "place long, name string")
+    for v in vectors:
+        table = table.unionByName(names.where(F.col("vector") == v).select((F.col("place") + first[v]).alias("place"), "name"))
+    return d.select("features", "label", *[_q(c) for c in key or []]), table, classes
 
 
 # ------------------------------------------------------------------ M7-M9, U2

@@ -85,6 +85,35 @@ def m6_stratified_split(spark, sf_dir):
     return both.groupBy("o_orderpriority", "part").count()
 
 
+M6_EXACT_SQL = f"""SELECT o_orderkey, o_orderpriority, CASE WHEN i <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS part FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_u('o_orderkey, o_orderpriority')}) AS i,
+         count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"""
+
+
+@register("m6_stratified_exact", M6_EXACT_SQL)
+def m6_stratified_exact(spark, sf_dir):
+    o = tbl(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    train, test = L.stratified_split(o, "o_orderpriority", 0.2, 42, key=["o_orderkey"], exact=True)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+M4_VECTORS_SQL = """WITH c AS (SELECT DISTINCT p_type AS v FROM part WHERE p_type IS NOT NULL),
+i AS (SELECT v, row_number() OVER (ORDER BY v) - 2 AS place FROM c)
+SELECT p_partkey, CASE WHEN place >= 0 THEN CAST(place AS INTEGER) END AS place, CASE WHEN place >= 0 THEN 'p_type_' || v END AS name
+FROM part LEFT JOIN i ON p_type = v"""
+
+
+@register("m4_one_hot_vectors", M4_VECTORS_SQL)
+def m4_one_hot_vectors(spark, sf_dir):
+    """Where each part's type stands in its vector, and what that place is called."""
+    from pyspark.ml.functions import vector_to_array
+
+    d, (vec,), names = L.one_hot_vectors(tbl(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"])
+    at = F.array_position(vector_to_array(vec), F.lit(1.0)) - 1
+    d = d.select("p_partkey", F.when(at >= 0, at).cast("int").alias("place"))
+    return d.join(names.select(F.col("place").cast("int").alias("place"), "name"), "place", "left")
+
+
 def planted(spark, sf_dir):
     """Lines labelled by a rule that the models can find, beside a column that says nothing."""
     li = tbl(spark, sf_dir, "lineitem")

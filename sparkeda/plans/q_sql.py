@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparkeda.plans.catalog import register
+from pyspark.sql import functions as F
+
+from sparkeda.operators.ordered import running
+from sparkeda.plans.catalog import ORACLE, register, tbl
 from sparkeda.plans.sql_surface import sql
 from sparkeda.session import register_tables
 
@@ -132,3 +135,13 @@ SELECT CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS BIGINT)
        round(avg(value), 4) AS avg_value
 FROM events GROUP BY 1
 """)
+
+
+@register("q9_running_chunks", ORACLE["q9_window_running"])
+def q9_running_chunks(spark, sf_dir):
+    """The same running values by the library's chunks, so that a user with a third of the events is no one task."""
+    e = tbl(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
+    d = running(e, ["user_id"], ["ts", "event_id"], {"prev_value": ("lag", "value"), "running": ("sum", "value")})
+    d = running(d, ["user_id"], [F.desc("value"), "event_id"], {"value_rank": ("rank", None)})
+    return d.select("event_id", "user_id", "value", "prev_value", F.col("value_rank").cast("int").alias("value_rank"),
+                    F.round("running", 4).alias("running"))

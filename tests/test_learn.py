@@ -105,7 +105,8 @@ def test_compare_models_and_features(spark):
     roles = {r.column_name: r.role for r in L.usable_features(df, "target").collect()}
     assert roles == {"x": "numeric", "y": "numeric", "cat": "categorical", "name": "excluded"}
     data, feats, classes = L.prepare_classification(df, "target")
-    assert feats == ["x", "y", "cat_v"] and classes == [0.0, 1.0]
+    assert [r.name for r in feats.orderBy("place").collect()] == ["x", "y", "cat_v"]
+    assert [tuple(r) for r in classes.orderBy("label").collect()] == [(0.0, 0.0), (1.0, 1.0)]
     tr, te = L.split(data, 0.2, 42)
     table, preds, failures = L.compare_models(tr, te)
     rows = table.collect()
@@ -118,10 +119,10 @@ def test_compare_models_and_features(spark):
 def test_one_hot_keeps_every_category(spark):
     df = spark.createDataFrame([(f"c{i % 1200:04d}" if i else None, i % 2) for i in range(13_000)], "c string, y int")
     d, vectors, names = L.one_hot_vectors(df, ["c"])
-    assert len(names) == 1199 and d.select(vectors[0]).first()[0].size == 1199
+    assert names.count() == 1199 and d.select(vectors[0]).first()[0].size == 1199
     assert d.where("c IS NULL OR c = 'c0000'").first()[vectors[0]].numNonzeros() == 0
     data, feats, _ = L.prepare_classification(df, "y")
-    assert len(feats) == 1199 and data.first().features.size == 1199
+    assert feats.count() == 1199 and data.first().features.size == 1199
 
 
 @pytest.mark.parametrize("labels,classes", [([-1, 1, None], [-1.0, 1.0]), ([2021, 2023, 150], [150.0, 2021.0, 2023.0]), (["b", None, "a"], ["a", "b", "nan"])])
@@ -129,7 +130,7 @@ def test_any_label_trains(spark, labels, classes):
     kind = "string" if isinstance(labels[0], str) else "int"
     df = spark.createDataFrame([(float(i % 3), labels[i % 3]) for i in range(60)], f"`x.y` double, t {kind}")
     data, _, found = L.prepare_classification(df, "t")
-    assert found == classes and set(r.label for r in data.collect()) == set(map(float, range(len(classes))))
+    assert [r.value for r in found.orderBy("label").collect()] == classes and set(r.label for r in data.collect()) == set(map(float, range(len(classes))))
     L.decision_tree().fit(data)
 
 
@@ -144,3 +145,43 @@ def test_pca_centres_and_metrics_skip_missing(spark, blobs):
     assert c["a"] == 1 and c["(other)"] == 1
     z, cols = L.standardize(spark.createDataFrame([(1.0, 2.0, nan), (2.0, 4.0, 1.0)], "a double, b double, c double"))
     assert cols == ["z_a", "z_b"]
+
+
+@pytest.mark.parametrize("rows", [1, 5, 400])
+def test_exact_shares(spark, rows):
+    """Every class gives its share, hot, small and null classes and repeated rows alike, and no row is lost."""
+    df = spark.range(rows * 9).select(F.when(F.col("id") % 9 < 6, "hot").when(F.col("id") % 9 < 8, "mid").alias("g"), (F.col("id") % 50).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("few", 1), ("few", 1), ("few", 1)], "g string, v long")).unionByName(df.where("v = 7"))
+    if df.groupBy("g").count().agg(F.min("count")).first()[0] < 2:
+        df = df.unionByName(df)
+    train, test = L.stratified_split(df, "g", 0.2, exact=True, bins=64)
+    total, got = ({r.g: r["count"] for r in x.groupBy("g").count().collect()} for x in (df, test))
+    assert {g: got.get(g, 0) for g in total} == {g: int(n * 0.2 + 0.5) for g, n in total.items()}
+    both = sorted(map(tuple, train.unionByName(test).collect()), key=str)
+    assert both == sorted(map(tuple, df.collect()), key=str)
+    u = [L._hash01(["v", "g"], 42).alias("u"), "g"]
+    low = {r.g: r.u for r in train.select(*u).groupBy("g").agg(F.min("u").alias("u")).collect()}
+    assert all(r.u <= low[r.g] for r in test.select(*u).collect())
+
+
+def test_running_equals_windows(spark):
+    """Sums, counts, extremes, the row before and ranks, with one key in two thirds of the rows, null keys and null values."""
+    from pyspark.sql import Window
+
+    from sparkeda.operators.ordered import numbered, running
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"k{k % 7}", int(rng.integers(0, 40)), k, None if k % 5 == 0 else int(rng.integers(-9, 9))) for k in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    w = Window.partitionBy("k").orderBy("t", "i")
+    rw = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.select("*", F.sum("v").over(rw).alias("s"), F.count("v").over(rw).alias("c"), F.min("v").over(rw).alias("lo"), F.max("v").over(rw).alias("hi"),
+                     F.lag("v").over(w).alias("p"), F.row_number().over(w).alias("n"))
+    got = running(df, ["k"], ["t", "i"], {"s": ("sum", "v"), "c": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "p": ("lag", "v"),
+                                          "n": ("row_number", None)}, partitions=13)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    r = running(df, ["k"], [F.desc("t")], {"r": ("rank", None)}, partitions=9)
+    assert sorted(map(tuple, r.collect()), key=str) == sorted(map(tuple, df.select("*", F.rank().over(Window.partitionBy("k").orderBy(F.desc("t"))).alias("r")).collect()), key=str)
+    assert [tuple(x) for x in numbered(df, "t", "code").orderBy("code").collect()] == [(t, c) for c, t in enumerate(sorted({r[1] for r in rows}))]
+    assert running(df.limit(0), ["k"], ["t"], {"s": ("sum", "v")}).collect() == []
+    with pytest.raises(ValueError):
+        running(df, ["k"], ["t"], {"s": ("median", "v")})
