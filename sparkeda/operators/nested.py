@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -20,21 +21,21 @@ def _json_path(path: str) -> str:
 
 
 # --------------------------------------------------------------------------- J1
-def _check_path(df: DataFrame, path: str, body: str, extra_aggs=(), strict: bool = True):
-    """One aggregate: payloads missing each key prefix (+ any extra aggregates).  A missing key is an error in
-    any payload if ``strict``, else only if no payload has it."""
-    keys = [p for p in path.split(".") if p]
-    checks = [F.count_if(F.get_json_object(F.col(body), _json_path(".".join(keys[:i + 1]))).isNull()
-                         & F.col(body).isNotNull()).alias(f"m{i}") for i in range(len(keys))]
-    row = df.agg(*checks, F.count(body).alias("_bodies"), *extra_aggs).first()
-    for i, k in enumerate(keys):
-        if row[f"m{i}"] and (strict or row[f"m{i}"] == row["_bodies"]):
-            raise KeyError(f"path '{path}' does not exist in the JSON (failed at key '{k}')")
-    return row
+def parse_payloads(df: DataFrame, body: str = "body", keep=()) -> DataFrame:
+    """The payloads parsed once: the columns ``keep``, ``body``, ``payload`` (VARIANT, null where the body is no JSON) and
+    ``malformed``.  Persisted, since the path check, the schema and the records read it; ``unpersist`` releases it."""
+    payload = F.try_parse_json(F.col(f"`{body}`"))
+    d = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{body}`").alias("body"), payload.alias("payload"))
+    return d.withColumn("malformed", F.col("body").isNotNull() & F.col("payload").isNull()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _node(path: str, body: str) -> Column:
-    return F.variant_get(F.try_parse_json(F.col(body)), _json_path(path), "variant")
+def _at(path: str | None) -> Column:
+    return F.variant_get(F.col("payload"), _json_path(path), "variant") if path else F.col("payload")
+
+
+def _missing(path: str) -> Column:
+    node = _at(path)
+    return F.col("body").isNotNull() & (node.isNull() | F.is_variant_null(node))
 
 
 def _elements(node: Column) -> Column:
@@ -43,40 +44,58 @@ def _elements(node: Column) -> Column:
         .when(node.isNotNull(), F.array(node))
 
 
-def bad_payloads(df: DataFrame, body: str = "body", path: str | None = None) -> DataFrame:
-    """One row: payloads that are no JSON (``malformed``) and, with a path, JSON that lacks it (``without_path``)."""
-    parsed = F.try_parse_json(F.col(body))
-    lacks = F.variant_get(parsed, _json_path(path), "variant").isNull() if path else F.lit(False)
-    return df.where(F.col(body).isNotNull()).agg(F.count_if(parsed.isNull()).alias("malformed"),
-                                                 F.count_if(parsed.isNotNull() & lacks).alias("without_path"))
+def _check_path(parsed: DataFrame, path: str | None, extra_aggs=(), strict: bool = True):
+    """One aggregate over parsed payloads: how many lack each key prefix, are malformed, and any extra aggregates.  A missing key is an error in
+    any payload if ``strict``, else only if no payload has it."""
+    keys = [p for p in (path or "").split(".") if p]
+    checks = [F.count_if(_missing(".".join(keys[:i + 1]))).alias(f"m{i}") for i in range(len(keys))]
+    lacks = ~F.col("malformed") & _missing(path) if path else F.lit(False)
+    row = parsed.agg(*checks, F.count("body").alias("_bodies"), F.count_if("malformed").alias("malformed"),
+                     F.count_if(lacks).alias("without_path"), *extra_aggs).first()
+    for i, k in enumerate(keys):
+        if row[f"m{i}"] and (strict or row[f"m{i}"] == row["_bodies"]):
+            raise KeyError(f"path '{path}' does not exist in the JSON (failed at key '{k}')")
+    return row
+
+
+def bad_payloads(df: DataFrame, body: str = "body", path: str | None = None, keep=()) -> DataFrame:
+    """The payloads without records: ``keep``, ``body`` and ``reason`` (``malformed`` or, with a path, ``without_path``)."""
+    reason = F.when(F.col("malformed"), "malformed").when(_missing(path) if path else F.lit(False), "without_path")
+    parsed = df if "payload" in df.columns and "malformed" in df.columns else parse_payloads(df, body, keep)
+    return parsed.select(*[F.col(f"`{k}`") for k in keep], "body", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def records_at(df: DataFrame, path: str, body: str = "body", keep=(), checked: bool = False, strict: bool = True) -> DataFrame:
     """Descend the dotted ``path`` in each payload and emit one row per record
     (column ``record``, VARIANT).  A key missing from any payload is an error
     naming that key (checked in one aggregate pass); without ``strict`` only one that no payload has,
-    and payloads without records are counted by ``bad_payloads``."""
+    and payloads without records are listed by ``bad_payloads``.  ``df`` may be the result of ``parse_payloads``."""
+    parsed = df if "payload" in df.columns and "malformed" in df.columns else parse_payloads(df, body, keep)
     if not checked:
-        _check_path(df, path, body, strict=strict)
-    return df.select(*keep, F.explode(_elements(_node(path, body))).alias("record"))
+        _check_path(parsed, path, strict=strict)
+    return parsed.select(*keep, F.explode(_elements(_at(path))).alias("record"))
 
 
 # --------------------------------------------------------------------------- J2
+def _first_list() -> Column:
+    """The first key of an object, in document order, that holds a list."""
+    held = F.variant_get("payload", "$", "map<string,variant>")
+    return F.try_element_at(F.filter(F.json_object_keys("body"), lambda k: F.coalesce(
+        F.schema_of_variant(F.try_element_at(held, k)).startswith("ARRAY"), F.lit(False))), F.lit(1))
+
+
 def detect_records(df: DataFrame, body: str = "body", keep=()) -> DataFrame:
     """A top-level array gives its elements; an object gives the elements of its
-    first list-valued key in document order, else the object itself.  Malformed payloads have no records."""
-    b = F.col(body)
-    parsed = F.try_parse_json(b)
-    trimmed = F.ltrim(b)
-    m = F.from_json(b, "map<string,string>")  # values keep their raw JSON text
-    first_list_key = F.try_element_at(
-        F.filter(F.json_object_keys(b), lambda k: F.ltrim(F.try_element_at(m, k)).startswith("[")), F.lit(1))
-    elems = (F.when(parsed.isNull(), F.lit(None))
-             .when(trimmed.startswith("["), F.variant_get(parsed, "$", "array<variant>"))
-             .when(first_list_key.isNotNull(),
-                   F.variant_get(F.try_parse_json(F.try_element_at(m, first_list_key)), "$", "array<variant>"))
-             .otherwise(F.array(parsed)))
-    return df.select(*keep, F.explode(elems).alias("record"))
+    first list-valued key in document order, else the object itself.  Malformed payloads have no records.
+    ``df`` may be the result of ``parse_payloads``."""
+    parsed = df if "payload" in df.columns and "malformed" in df.columns else parse_payloads(df, body, keep)
+    kind, key = F.schema_of_variant("payload"), _first_list()
+    held = F.try_element_at(F.variant_get("payload", "$", "map<string,variant>"), key)
+    elems = (F.when(F.col("payload").isNull(), F.lit(None))
+             .when(kind.startswith("ARRAY"), F.variant_get("payload", "$", "array<variant>"))
+             .when(kind.startswith("OBJECT") & key.isNotNull(), F.variant_get(held, "$", "array<variant>"))
+             .otherwise(F.array("payload")))
+    return parsed.select(*keep, F.explode(elems).alias("record"))
 
 
 def require_records(df: DataFrame) -> DataFrame:
@@ -168,32 +187,36 @@ def flatten_complex_cells(df: DataFrame, empty_as_null: bool = True) -> DataFram
     return join_maps(join_arrays(df, empty_as_null=empty_as_null))
 
 
-def _first_record_text(df: DataFrame, body: str, path: str | None) -> str | None:
-    """Raw JSON text of the record with the most keys (ties: the greatest text), in one aggregate."""
-    b = F.col(body)
-    if path:
-        node = F.get_json_object(b, _json_path(path))
-        rec = F.when(F.ltrim(node).startswith("["), F.get_json_object(node, "$[0]")).otherwise(node)
-    else:
-        m = F.from_json(b, "map<string,string>")
-        key = F.try_element_at(
-            F.filter(F.json_object_keys(b), lambda k: F.ltrim(F.try_element_at(m, k)).startswith("[")), F.lit(1))
-        rec = (F.when(F.ltrim(b).startswith("["), F.get_json_object(b, "$[0]"))
-               .when(key.isNotNull(), F.get_json_object(F.try_element_at(m, key), "$[0]"))
-               .otherwise(b))
-    t = df.select(rec.alias("t")).where(F.col("t").isNotNull())
-    rank = F.struct(F.coalesce(F.size(F.json_object_keys("t")), F.lit(0)), F.col("t"))
-    return t.agg(F.max_by("t", rank)).first()[0]
-
-
-def _doc_order(text: str | None, sep: str = ".") -> list[str]:
-    """Flattened column names of one JSON record in document order."""
-    if not text:
-        return []
+def _first_record(path: str | None) -> Column:
+    """The first record of a parsed payload."""
+    node = _at(path)
+    if path is None:
+        held = F.try_element_at(F.variant_get("payload", "$", "map<string,variant>"), _first_list())
+        node = F.when(F.schema_of_variant("payload").startswith("OBJECT") & held.isNotNull(), held).otherwise(F.col("payload"))
+    return F.when(F.schema_of_variant(node).startswith("ARRAY"), F.try_variant_get(node, "$[0]", "variant")).otherwise(node)
+
+
+def _widest(path: str | None) -> Column:
+    """The body whose first record has the most keys (ties: the greatest text), as an aggregate."""
+    keys = F.size(F.map_keys(F.try_variant_get(_first_record(path), "$", "map<string,variant>")))
+    return F.max_by("body", F.when(~F.col("malformed"), F.struct(F.coalesce(keys, F.lit(0)), F.col("body"))))
+
+
+def _record_in(body: str | None, path: str | None):
+    """The first record of one payload, as written."""
     try:
-        obj = json.loads(text)
-    except ValueError:
-        return []
+        obj = json.loads(body or "")
+        for k in [p for p in (path or "").split(".") if p]:
+            obj = obj[k]
+        if path is None and isinstance(obj, dict):
+            obj = next((v for v in obj.values() if isinstance(v, list)), obj)
+        return obj[0] if isinstance(obj, list) else obj
+    except (ValueError, KeyError, IndexError, TypeError):
+        return None
+
+
+def _doc_order(obj, sep: str = ".") -> list[str]:
+    """Flattened column names of one record in document order."""
     out: list[str] = []
 
     def walk(prefix, v):
@@ -209,30 +232,30 @@ def _doc_order(text: str | None, sep: str = ".") -> list[str]:
     return out
 
 
-def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None, keep=(),
-                      check: bool = False, document_order: bool = True, strict: bool = True) -> DataFrame:
+def payloads_to_table(df: DataFrame, body: str = "body", path: str | None = None, keep=(), check: bool = False,
+                      document_order: bool = True, strict: bool = True, counts: dict | None = None) -> DataFrame:
     """J1/J2 -> J3 -> J4/J5: payload column to a flat table of records.
 
-    With a ``path`` the key check and the record schema come from one
+    Payloads are parsed once.  With a ``path`` the key check and the record schema come from one
     aggregate over the payloads (the merged schema of the array nodes).
     Columns follow the key order of a record as written (``document_order``;
-    keys missing from that record follow alphabetically)."""
-    schema = None
-    if path:
-        row = _check_path(df, path, body, [F.schema_of_variant_agg(_node(path, body)).alias("_schema")], strict)
-        s = row["_schema"] or ""
-        if s.startswith("ARRAY<") and s.endswith(">"):
-            inner = s[len("ARRAY<"):-1]
-            if inner.startswith("OBJECT<"):
-                schema = _DEC.sub("DOUBLE", inner).replace("OBJECT<", "STRUCT<")
-        recs = records_at(df, path, body, keep, checked=True)
-    else:
-        recs = detect_records(df, body, keep)
+    keys missing from that record follow alphabetically).  ``counts`` takes the numbers of ``malformed`` payloads and those ``without_path``."""
+    schema, parsed = None, df if "payload" in df.columns and "malformed" in df.columns else parse_payloads(df, body, keep)
+    more = [_widest(path).alias("_widest")] if document_order else []
+    row = _check_path(parsed, path, [F.schema_of_variant_agg(_at(path)).alias("_schema"), *more], strict)
+    if counts is not None:
+        counts.update({k: row[k] for k in ("malformed", "without_path")})
+    s = row["_schema"] or ""
+    if path and s.startswith("ARRAY<") and s.endswith(">"):
+        inner = s[len("ARRAY<"):-1]
+        if inner.startswith("OBJECT<"):
+            schema = _DEC.sub("DOUBLE", inner).replace("OBJECT<", "STRUCT<")
+    recs = records_at(parsed, path, body, keep, checked=True) if path else detect_records(parsed, body, keep)
     if check:
         require_records(recs)
     out = flatten_complex_cells(flatten(records_to_struct(recs, "record", keep, schema=schema)))
     if document_order:
-        order = _doc_order(_first_record_text(df, body, path))
+        order = _doc_order(_record_in(row["_widest"], path))
         rest = [c for c in out.columns if c not in keep]
         cols = list(keep) + [c for c in order if c in rest] + [c for c in rest if c not in order]
         out = out.select(*[F.col(f"`{c}`") for c in cols])

@@ -46,6 +46,15 @@ class Pipeline:
         self.model, self.prepare = model, prepare
         return self
 
+    def as_ml(self):
+        """The transforms, and a ``pyspark.ml`` model if that is set, as a ``pyspark.ml.Pipeline`` to fit, save and load."""
+        from pyspark.ml import Estimator, Pipeline as MlPipeline
+
+        from sparkeda.operators.stages import TransformStage
+
+        model = getattr(self.model, "estimator", self.model)
+        return MlPipeline(stages=[*map(TransformStage, self.steps), *([model] if isinstance(model, Estimator) else [])])
+
     def run(self, df: DataFrame) -> PipelineResult:
         res = PipelineResult(ok=True)
         try:

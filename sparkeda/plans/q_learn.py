@@ -99,7 +99,7 @@ def m6_stratified_exact(spark, sf_dir):
 
 M4_VECTORS_SQL = """WITH c AS (SELECT DISTINCT p_type AS v FROM part WHERE p_type IS NOT NULL),
 i AS (SELECT v, row_number() OVER (ORDER BY v) - 2 AS place FROM c)
-SELECT p_partkey, CASE WHEN place >= 0 THEN CAST(place AS INTEGER) END AS place, CASE WHEN place >= 0 THEN 'p_type_' || v END AS name
+SELECT p_partkey, CAST(coalesce(place, -1) AS INTEGER) AS place, CASE WHEN place >= 0 THEN 'p_type_' || v END AS name
 FROM part LEFT JOIN i ON p_type = v"""
 
 
@@ -110,7 +110,7 @@ def m4_one_hot_vectors(spark, sf_dir):
 
     d, (vec,), names = L.one_hot_vectors(tbl(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"])
     at = F.array_position(vector_to_array(vec), F.lit(1.0)) - 1
-    d = d.select("p_partkey", F.when(at >= 0, at).cast("int").alias("place"))
+    d = d.select("p_partkey", F.coalesce(at, F.lit(-1)).cast("int").alias("place"))
     return d.join(names.select(F.col("place").cast("int").alias("place"), "name"), "place", "left")
 
 
@@ -394,3 +394,47 @@ UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0, (1 + r) / 2 < 0.9 FROM r"""
 @register("m22_cumulative_variance", M22_SQL)
 def m22_cumulative_variance(spark, sf_dir):
     return round_doubles(L.cumulative_variance(_two(spark, sf_dir), target=0.9), 6)
+
+
+#: Lines with a quantity left out in every seventh order, filled with the mean and scaled; fitted stages are saved and read back.
+U1_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS q, l_tax FROM lineitem),
+f AS (SELECT l_orderkey, l_linenumber, coalesce(q, avg(q) OVER ()) AS q, l_tax FROM l)
+SELECT l_orderkey, l_linenumber, round((q - avg(q) OVER ()) / stddev_samp(q) OVER (), 6) AS l_quantity,
+  round((l_tax - min(l_tax) OVER ()) / (max(l_tax) OVER () - min(l_tax) OVER ()), 6) AS l_tax FROM f"""
+
+
+@register("u1_pipeline_stages", U1_SQL)
+def u1_pipeline_stages(spark, sf_dir):
+    import uuid
+
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from sparkeda.operators.clean import Imputer, Scaler
+    from sparkeda.operators.stages import TransformStage
+    from sparkeda.session import checkpoint_dir
+
+    d = tbl(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("l_quantity"), "l_tax")
+    stages = [TransformStage(Imputer("mean", ["l_quantity"])), TransformStage(Scaler("zscore", ["l_quantity"])), TransformStage(Scaler("minmax", ["l_tax"]))]
+    path = f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+    Pipeline(stages=stages).fit(d).write().save(path)
+    return round_doubles(PipelineModel.load(path).transform(d), 6)
+
+
+U3_SQL = f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 4 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction FROM lineitem
+WHERE {_u("l_orderkey || '-' || l_linenumber")} < 0.2"""
+
+
+@register("u3_pipeline", U3_SQL)
+def u3_pipeline(spark, sf_dir):
+    """Split, impute, scale, train (a U2 model) and predict; the label is known from a column of its own."""
+    from sparkeda.operators.clean import Imputer, Scaler
+    from sparkeda.plans.pipeline import Pipeline
+
+    d = planted(spark, sf_dir).withColumns({"number": F.col("l_linenumber").cast("double"), "label": F.col("late").cast("double"),
+                                            "gap": F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax"))})
+    p = Pipeline(0.2, 42, split_key=["line"]).add_step(Imputer("median", ["gap"])).add_step(Scaler("zscore", ["number", "gap"]))
+    p.set_model(L.SupervisedModel(L.decision_tree()), prepare=lambda x: L.assemble(x, ["number", "gap"]))
+    res = p.run(d)
+    if not res.ok:
+        raise RuntimeError(f"{res.failed_step}: {res.error}")
+    return res.predictions.select("l_orderkey", "l_linenumber", "prediction")

@@ -189,3 +189,38 @@ _page_query("g3_next_page_steps_customers", _rows({"next_url": HOST + "/u{nat}/r
 _page_query("g3_page_chain_long_customers", C_SQL + f"SELECT {_sql(HOST + '/c/')} || CAST(host * 1000 AS VARCHAR) AS start_url, "
             f"CAST(page_id % 1000 + 1 AS INTEGER) AS step, page_id, {_sql(URL)} AS url FROM c",
             lambda el, pages: G.page_chain(pages, G.next_page(el, [W.Step(tag="a", classes=("next",))]), _first_of_hosts(pages), max_pages=1000))
+
+
+#: Records of the pages by kind, with their content (none for links and images).
+_RECORDS = [("encabezado", t) for _, t in HEADINGS] + [("parrafo", t) for _, t in PARAGRAPHS] + [("tabla", "Tabla con 2 filas")] + [
+    ("link", None)] * len(LINKS) + [("imagen", None)] * 2
+A12_SQL = f"""WITH r AS (SELECT tipo, contenido FROM ({_rows(*[{"tipo": t, "contenido": v} for t, v in _RECORDS])})),
+g AS (SELECT tipo, contenido, count(*) AS n FROM r GROUP BY ALL)
+SELECT 'total' AS metric, CAST(NULL AS VARCHAR) AS kind, CAST(sum(n) AS BIGINT) AS value FROM g
+UNION ALL SELECT 'empty_content', NULL, CAST(sum(n) FILTER (WHERE contenido IS NULL OR contenido = '') AS BIGINT) FROM g
+UNION ALL SELECT 'duplicates', NULL, CAST(sum(n) - count(*) AS BIGINT) FROM g
+UNION ALL SELECT 'images_without_src', NULL, 0
+UNION ALL SELECT 'records_per_kind', tipo, CAST(sum(n) AS BIGINT) FROM g GROUP BY tipo"""
+
+
+@register("a12_quality_customers", A12_SQL)
+def a12_quality_customers(spark, sf_dir):
+    from sparkeda.operators.profile import quality_report
+
+    return quality_report(W.everything(element_table(customer_pages(spark, sf_dir))).select("tipo", "contenido"))
+
+
+H20_SQL = """WITH l AS (SELECT *, event_id % 6 AS i FROM events), r AS (
+  SELECT CASE i WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 503 ELSE 200 END AS status, i = 1 AS redirected, length(event_type) AS bytes, value AS seconds FROM l)
+SELECT CASE WHEN status = 200 THEN 'ok' WHEN status IN (403, 404) OR status >= 500 THEN 'failed' ELSE 'warning' END AS status_class,
+  count(*) AS fetches, count(*) FILTER (WHERE redirected) AS redirects, CAST(sum(bytes) AS BIGINT) AS bytes, round(avg(seconds), 6) AS avg_seconds FROM r GROUP BY 1"""
+
+
+@register("h20_fetch_log", H20_SQL)
+def h20_fetch_log(spark, sf_dir):
+    """A fetch log from the events: what came back, redirects, sizes and times per class."""
+    i, url = F.col("event_id") % 6, F.concat(F.lit("https://e.example.com/"), F.col("event_id").cast("string"))
+    status = F.when(i == 0, 404).when(i == 1, 301).when(i == 2, 503).otherwise(200)
+    log = tbl(spark, sf_dir, "events").select(url.alias("url"), status.alias("status"), F.when(i == 1, F.concat(url, F.lit("/new"))).otherwise(url).alias("final_url"),
+                                              F.length("event_type").alias("bytes"), F.col("value").alias("seconds"))
+    return W.fetch_log_summary(log).withColumn("avg_seconds", F.round("avg_seconds", 6))

@@ -145,3 +145,19 @@ def q9_running_chunks(spark, sf_dir):
     d = running(d, ["user_id"], [F.desc("value"), "event_id"], {"value_rank": ("rank", None)})
     return d.select("event_id", "user_id", "value", "prev_value", F.col("value_rank").cast("int").alias("value_rank"),
                     F.round("running", 4).alias("running"))
+
+
+K3_SQL = """SELECT 'orders_2024' AS key, count(*) AS rows, 6 AS columns, 'dataframe' AS origin FROM orders
+UNION ALL SELECT 'orders_2024_2', count(*), 5, 'dataframe' FROM customer UNION ALL SELECT 'by_status', count(DISTINCT o_orderstatus), 2, 'dataframe' FROM orders"""
+
+
+@register("k3_registry", K3_SQL)
+def k3_registry(spark, sf_dir):
+    """Datasets registered under one name, and one made by SQL over a registered name."""
+    from sparkeda.sources.registry import Registry, view_name
+
+    reg = Registry(spark)
+    key = reg.register(tbl(spark, sf_dir, "orders"), "Orders 2024")
+    reg.register(tbl(spark, sf_dir, "customer"), "orders 2024")
+    reg.register(sql(spark, f"SELECT o_orderstatus, count(*) AS n FROM {view_name(key)} GROUP BY o_orderstatus"), "by status")
+    return reg.list()

@@ -91,3 +91,16 @@ def test_bad_payloads_do_not_stop_a_load(spark):
     with pytest.raises(KeyError):
         read_api_payloads(spark, df, path="data.o'k", strict=True)
     assert N.detect_records(df).count() == 2
+    bad = {r.reason: r.body for r in N.bad_payloads(df, path="data.o'k").collect()}
+    assert bad == {"malformed": "{broken", "without_path": '{"error": "busy"}'}
+
+
+def test_payloads_are_parsed_once(spark):
+    df = spark.createDataFrame([("e", json.dumps({"data": {"items": [{"b": 1, "a": [1, 2]}, {"b": None, "c": {"d": "x"}}]}}))] * 3, "endpoint string, body string")
+    for path in ("data.items", None):
+        t = N.payloads_to_table(df, path=path, keep=["endpoint"])
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") <= 1 and "InMemoryRelation" in plan
+    assert N.payloads_to_table(df, path="data.items").columns == ["b", "a", "c.d"]
+    with pytest.raises(KeyError, match="items"):
+        N.records_at(spark.createDataFrame([("{\"data\": {\"items\": null}}",)], "body string"), "data.items")
