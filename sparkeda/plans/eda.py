@@ -9,22 +9,40 @@ from sparkeda.dataset import Dataset
 from sparkeda.operators import profile as P
 
 
-def eda(data, bins: int = 20, top: int = 12, exact: bool = True) -> dict[str, DataFrame]:
+class Sections(dict):
+    """The sections of a profile by name; ``release`` (or leaving a ``with`` block) gives the persisted input back."""
+
+    def __init__(self, source: DataFrame):
+        super().__init__()
+        self._source = source
+
+    def release(self) -> None:
+        self._source.unpersist()
+
+    def __enter__(self) -> "Sections":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def eda(data, bins: int = 20, top: int = 12, exact: bool = True) -> Sections:
     """Shape, dtypes, describe, nulls, histograms, top values and correlations.
 
     Sections are skipped when no column qualifies (no numeric columns: no
     describe/histogram; fewer than 2: no correlation; no text: no top values).
-    The input is persisted once (memory and disk) for the several passes."""
+    The input is persisted once (memory and disk) for the several passes, until the result's ``release``."""
     df = data.df if isinstance(data, Dataset) else data
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     num, txt = P.numeric_columns(df), P.text_columns(df)
-    out: dict[str, DataFrame] = {
+    out = Sections(df)
+    out.update({
         "shape": P.shape_metrics(df),
         "dtypes": spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields],
                                         "column_name string, type string"),
         "nulls": P.null_profile(df),
-    }
+    })
     if num:
         out["describe"] = P.describe(df, num, digits=2, exact=exact)
         out["histogram"] = P.histogram(df, num, bins=bins, exact_median=exact)

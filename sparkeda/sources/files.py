@@ -77,13 +77,16 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, name: str | None = None, schema=None,
-             sep: str = ",", as_dataset: bool = False, multi_line: bool = True, **opts):
+             sep: str = ",", as_dataset: bool = False, multi_line: bool | None = None, **opts):
     """Header row, UTF-8 (a BOM is dropped by the reader); missing path is an error.
 
-    A quote inside quotes is doubled, and quoted fields may hold line breaks; files without such can
-    be read in splits with ``multi_line=False``.  NA tokens are missing before types are inferred, so
-    a column of numbers and ``NA`` is one of numbers."""
+    A quote inside quotes is doubled, and quoted fields may hold line breaks.  Files are read in splits
+    unless a field does: then some line has an odd number of quotes, which one pass over all lines
+    finds out (``multi_line`` True or False says it beforehand and saves the pass); such files are one task each.  NA tokens are
+    missing before types are inferred, so a column of numbers and ``NA`` is one of numbers."""
     _require(spark, path)
+    if multi_line is None:
+        multi_line = not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
     reader = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("quote", '"')
               .option("escape", '"').option("multiLine", multi_line))
     if schema is not None:
@@ -159,13 +162,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
-def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
+def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists",
          partition_by: list[str] | None = None) -> str:
     """K1: write csv (header), tsv/txt (tab, header), json (lines) or parquet.
 
     The format comes from ``fmt`` or the path's extension; unknown -> csv.
-    Spark writes a folder of part files, one per partition, with no BOM.
+    Spark writes a folder of part files, one per partition, with no BOM.  What is there already is an error unless ``mode`` says
+    otherwise; overwriting the files that ``df`` still has to be read from is always one.
     """
+    if mode == "overwrite":
+        target = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+        if any(f"{f.split(':', 1)[-1].lstrip('/')}/".startswith(f"{target}/") for f in df.inputFiles()):
+            raise ValueError(f"{path} is what the rows are read from; write them elsewhere first")
     fmt = (fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".")).lower()
     w = df.write.mode(mode)
     if partition_by:

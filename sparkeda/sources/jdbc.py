@@ -25,18 +25,59 @@ def _reader(spark: SparkSession, url: str, properties: dict | None):
     return r
 
 
-def read_table(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
+#: Types of java.sql.Types that a read can be split by.
+_WHOLE = (-6, 5, 4, -5, 2, 3)
+
+
+def _catalogue(spark: SparkSession, url: str, table: str, properties: dict | None) -> tuple[list[tuple], list[str]]:
+    """What the driver's own catalogue says of a table, on any dialect: its columns ``(name, type, nullable, default, type number, digits
+    after the point)`` and its primary key.  Names are arguments, never part of a SQL text; the case that the database stores is found."""
+    jvm = spark.sparkContext._jvm
+    props = jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        if k == "driver":
+            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(v)
+        else:
+            props.setProperty(k, str(v))
+    con = jvm.java.sql.DriverManager.getConnection(url, props)
+    try:
+        meta = con.getMetaData()
+        schema, _, name = table.rpartition(".")
+        for case in (str, str.upper, str.lower):
+            own = case(schema) if schema else con.getSchema()
+            rows, found = meta.getColumns(con.getCatalog(), own, case(name), None), []
+            while rows.next():
+                if rows.getString("TABLE_NAME") != case(name):  # the catalogue takes names as patterns
+                    continue
+                found.append((rows.getInt("ORDINAL_POSITION"), rows.getString("COLUMN_NAME"), rows.getString("TYPE_NAME"), rows.getInt("NULLABLE") != 0,
+                              rows.getString("COLUMN_DEF"), rows.getInt("DATA_TYPE"), rows.getInt("DECIMAL_DIGITS")))
+            if found:
+                keys, key = meta.getPrimaryKeys(con.getCatalog(), own, case(name)), []
+                while keys.next():
+                    key.append((keys.getInt("KEY_SEQ"), keys.getString("COLUMN_NAME")))
+                return [f[1:] for f in sorted(found)], [k for _, k in sorted(key)]
+        return [], []
+    finally:
+        con.close()
+
+
+def read_table(spark: SparkSession, url: str, table: str, partition_column: str | None = "key",
                lower_bound=None, upper_bound=None, num_partitions: int | None = None,
                properties: dict | None = None, fetch_size: int = 10000) -> DataFrame:
-    """A whole remote table.  Give ``partition_column`` (+ bounds) to split the
-    read into ``num_partitions`` parallel range scans; bounds default to the
+    """A whole remote table, split into ``num_partitions`` parallel range scans by a whole-number
+    column.  By default (``"key"``) that is the table's primary key if it is one such column; without one, and with
+    ``partition_column=None``, the table comes through one connection.  Bounds default to the
     column's min/max fetched with one tiny remote aggregate."""
     r = _reader(spark, url, properties).option("dbtable", table).option("fetchsize", fetch_size)
+    if partition_column == "key":
+        columns, key = _catalogue(spark, url, table, properties)
+        splits = {c[0] for c in columns if c[4] in _WHOLE and not c[5]}
+        partition_column = key[0] if len(key) == 1 and key[0] in splits else None
     if partition_column:
         if lower_bound is None or upper_bound is None:
             b = read_query(spark, url, f"SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi "
                                        f"FROM {table}", properties=properties).first()
-            lower_bound, upper_bound = b["LO"] if "LO" in b else b[0], b["HI"] if "HI" in b else b[1]
+            lower_bound, upper_bound = b[0], b[1]
         if lower_bound is None:  # empty table
             return r.load()
         r = (r.option("partitionColumn", partition_column).option("lowerBound", lower_bound)
@@ -78,41 +119,23 @@ def list_tables(spark: SparkSession, url: str | None = None, properties: dict |
 
 
 def table_schema(spark: SparkSession, url: str | None, table: str, properties: dict | None = None) -> DataFrame:
-    """Column, type, nullable, key, default.  Without ``url``: a registered view."""
+    """Column, type, nullable, key (``PRI`` or empty), default, in the table's order, from the driver's catalogue on every
+    dialect.  Without ``url``: a registered view."""
     if url is None:
         fields = spark.table(table).schema.fields
         return spark.createDataFrame(
             [(f.name, f.dataType.simpleString(), f.nullable, None, None) for f in fields],
             "column string, type string, nullable boolean, key string, default string")
-    d = _dialect(url)
-    if d == "sqlite":
-        sql = (f"SELECT name AS column_name, type AS data_type, CASE WHEN \"notnull\" = 1 THEN 'NO' ELSE 'YES' END "
-               f"AS is_nullable, CASE WHEN pk > 0 THEN 'PRI' ELSE '' END AS column_key, dflt_value AS column_default "
-               f"FROM pragma_table_info('{table}')")
-    elif d == "derby":
-        sql = (f"SELECT c.columnname AS column_name, CAST(c.columndatatype AS VARCHAR(128)) AS data_type, "
-               f"'' AS is_nullable, '' AS column_key, CAST(c.columndefault AS VARCHAR(256)) AS column_default "
-               f"FROM sys.syscolumns c JOIN sys.systables t ON c.referenceid = t.tableid "
-               f"WHERE t.tablename = '{table.upper()}'")
-    elif d == "mysql":
-        sql = (f"SELECT column_name, column_type AS data_type, is_nullable, column_key, column_default "
-               f"FROM information_schema.columns WHERE table_schema = DATABASE() AND table_name = '{table}' "
-               f"ORDER BY ordinal_position")
-    else:
-        sql = (f"SELECT c.column_name, c.data_type, c.is_nullable, "
-               f"CASE WHEN EXISTS (SELECT 1 FROM information_schema.key_column_usage k "
-               f"WHERE k.table_name = c.table_name AND k.column_name = c.column_name) THEN 'PRI' ELSE '' END "
-               f"AS column_key, c.column_default FROM information_schema.columns c "
-               f"WHERE c.table_name = '{table}' ORDER BY c.ordinal_position")
-    df = read_query(spark, url, sql, properties=properties)
-    cols = df.columns
-    return df.select(F.col(cols[0]).cast("string").alias("column"), F.col(cols[1]).cast("string").alias("type"),
-                     (F.trim(F.col(cols[2]).cast("string")) != "NO").alias("nullable"),
-                     F.col(cols[3]).cast("string").alias("key"), F.col(cols[4]).cast("string").alias("default"))
+    columns, key = _catalogue(spark, url, table, properties)
+    if not columns:
+        raise ValueError(f"no table '{table}' at {url}")
+    return spark.createDataFrame([(n, t, nullable, "PRI" if n in key else "", default) for n, t, nullable, default, *_ in columns],
+                                 "column string, type string, nullable boolean, key string, default string")
 
 
 def load_many(spark: SparkSession, registry, url: str, tables="all", properties: dict | None = None) -> list[str]:
-    """Register each remote table lazily as ``sql_<table>``; returns the keys."""
+    """Register each remote table lazily as ``sql_<table>``; returns the keys.  Tables with a whole-number key are
+    read in ranges of it (S5)."""
     if tables == "all":
         tables = [r["table_name"] for r in list_tables(spark, url, properties).collect()]
     keys = []

@@ -123,3 +123,52 @@ def test_registry_takes_any_file_name(spark):
     assert r.register(spark.range(2), "ventas-2024.csv") == "ventas-2024.csv" and spark.table("ventas_2024_csv").count() == 2
     assert r.register(spark.range(4), "ventas 2024.csv") == "ventas_2024.csv_2"
     r.drop("ventas-2024.csv")
+
+
+def test_catalogue_gives_keys_nullability_and_splits(spark, tmpdir_path):
+    url = f"jdbc:derby:memory:sparkedakeys{abs(hash(tmpdir_path)) % 10**8};create=true"
+    props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(1).write.format("jdbc").option("url", url).option("dbtable", "X").option("driver", props["driver"]).save()
+    con = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    st = con.createStatement()
+    st.execute("CREATE TABLE TAKEN_N (ID INT NOT NULL PRIMARY KEY, NAME VARCHAR(20) DEFAULT 'x', SCORE DOUBLE NOT NULL)")
+    st.execute("CREATE TABLE TAKENXN (A INT, B INT)")
+    for k in range(40):
+        st.execute(f"INSERT INTO TAKEN_N VALUES ({k}, 'n{k}', {k}.5)")
+    con.close()
+    got = [tuple(r) for r in J.table_schema(spark, url, "taken_n", props).collect()]
+    assert got == [("ID", "INTEGER", False, "PRI", None), ("NAME", "VARCHAR", True, "", "'x'"), ("SCORE", "DOUBLE", False, "", None)]
+    t = J.read_table(spark, url, "TAKEN_N", properties=props, num_partitions=4)
+    assert t.rdd.getNumPartitions() == 4 and t.count() == 40
+    assert J.read_table(spark, url, "TAKENXN", properties=props).rdd.getNumPartitions() == 1
+    reg = Registry(spark)
+    J.load_many(spark, reg, url, ["TAKEN_N"], properties=props)
+    assert spark.table("sql_taken_n").rdd.getNumPartitions() > 1
+    with pytest.raises(ValueError):
+        J.table_schema(spark, url, "TAKEN_N'; DROP TABLE X; --", props)
+
+
+def test_csv_reads_in_splits_unless_a_field_breaks(spark, tmpdir_path):
+    plain, broken = os.path.join(tmpdir_path, "plain.csv"), os.path.join(tmpdir_path, "broken.csv")
+    with open(plain, "w") as f:
+        f.write("a,b\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(3000)))
+    with open(broken, "w") as f:
+        f.write('a,b\n1,"x\ny"\n2,z\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        assert S.read_csv(spark, plain).rdd.getNumPartitions() > 1 and S.read_csv(spark, plain).count() == 3000
+        assert S.read_csv(spark, broken).where("a = 1").first().b == "x\ny" and S.read_csv(spark, broken, multi_line=False).count() != 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_save_does_not_overwrite(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "o.parquet")
+    S.save(spark.range(5).toDF("x"), out)
+    with pytest.raises(Exception):
+        S.save(spark.range(3).toDF("x"), out)
+    with pytest.raises(ValueError):
+        S.save(S.load(spark, out).where("x > 1"), out, mode="overwrite")
+    S.save(spark.range(3).toDF("x"), out, mode="overwrite")
+    assert S.load(spark, out).count() == 3
