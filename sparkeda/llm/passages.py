@@ -7,7 +7,10 @@ of passages that are no paragraph of their own: of every ``spread`` consecutive
 starts a window, and equal windows meet by their hash.  So texts that share ``words + spread - 1`` words share a
 window, and a passage of 26 words or more that is similar at 0.8 holds as long an exact run.  Around the windows found,
 all window positions are compared, which takes each exact run to its ends; runs that lie in the same
-order in two documents join over edits while the whole stays similar.  The smallest document keeps its words.
+order in two documents join over edits while the whole stays similar.
+
+The smallest document that has a unit keeps it.  What a document keeps for any unit stays in it, whatever else it shares with
+a smaller one, so every window and paragraph that is found twice stays whole in some text.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkeda.llm.common import runs, written
+from sparkeda.llm.common import dropped, runs, scratch
 from sparkeda.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -240,16 +243,17 @@ def _similar(members: list[tuple[int, np.ndarray]], similarity: float) -> list[t
     return out
 
 
-def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``(u, v)``: edges between different classes of paragraphs that share a key and are similar; and ``(class, shingles)``
-    of the classes that were compared.
+def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``(u, v)``: edges between different classes of paragraphs that share a key and are similar; ``(class, shingles)``
+    of the classes that were compared; and the tables that the edges are read from.
 
     ``found`` is a written result of ``collisions``.  Only buckets with several classes need it; one document
     per class gives the shingles.  A bucket of many classes is cut into blocks, and each pair of blocks is a task's
     group of its own, of ``2 * BLOCK`` members or so."""
-    classes = written(found.groupBy("key", "class").agg(F.min("doc").alias("doc")), "passages-classes")
+    classes = scratch(found.where("key <> class").groupBy("key", "class").agg(F.min("doc").alias("doc")), "passages-classes")
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = written(classes.join(several, "key"), "passages-open")
+    open_ = scratch(classes.join(several, "key"), "passages-open")
+    dropped(classes)
     wanted = open_.groupBy("class").agg(F.min("doc").alias("doc")).groupBy("doc").agg(
         F.collect_list("class").alias("classes"))  # a document's own paragraphs
 
@@ -267,7 +271,7 @@ def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cls)), pa.array(sh, pa.list_(pa.int64()))], names=["class", "shingles"])
 
     texts = docs.join(wanted, "doc").select("text", "classes").mapInArrow(fetch, "class long, shingles array<long>")
-    texts = written(texts.groupBy("class").agg(F.first("shingles").alias("shingles")), "passages-shingles")
+    texts = scratch(texts.groupBy("class").agg(F.first("shingles").alias("shingles")), "passages-shingles")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     deal = open_.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("m")).cast("int"))
     deal = deal.join(texts, "class").select("key", "class", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
@@ -295,7 +299,7 @@ def verified(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
         if len(members) > 1:
             yield out(_similar(members, similarity))
 
-    return deal.mapInArrow(run, "u long, v long"), texts
+    return deal.mapInArrow(run, "u long, v long"), texts, [open_]
 
 
 def _common(texts: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
@@ -350,15 +354,38 @@ def join_spans(units: list[tuple[int, int, int, int]], similarity: float | None)
     return [(x[0], x[1]) for x in out]
 
 
+def _without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of some spans lies in none of the ``kept`` ones; both in order and without overlaps."""
+    out, j = [], 0
+    for s, e in spans:
+        while j < len(kept) and kept[j][1] <= s:
+            j += 1
+        k = j
+        while k < len(kept) and kept[k][0] < e:
+            if s < kept[k][0]:
+                out.append((s, kept[k][0]))
+            s = kept[k][1]
+            k += 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
 def _doc_spans(units: list[tuple[int, int, int, int, bool]], doc: int, similarity: float) -> list[tuple[int, int, int]]:
-    """``(keeper, start, end)`` from one document's ``(keeper, start, words, start in the keeper, exact)``."""
+    """``(keeper, start, end)`` from one document's ``(keeper, start, words, start in the keeper, exact)``.
+
+    What the document keeps is taken out of the spans that others keep."""
     by_keeper: dict = {}
     for keeper, s, n, kept, exact in units:
         by_keeper.setdefault(keeper, ([], []))[0 if exact else 1].append((s, s + n, kept, kept + n))
+    own: list = []
     out = []
-    for keeper, (same, similar) in by_keeper.items():
+    for keeper, (same, similar) in sorted(by_keeper.items(), key=lambda x: x[0] != doc):
         spans = join_spans(same, None if keeper == doc else similarity) + [x[:2] for x in similar]
-        out += [(keeper, *x) for x in join_spans([(*x, 0, 0) for x in spans], None)]
+        spans = join_spans([(*x, 0, 0) for x in spans], None)
+        if keeper == doc:
+            own = spans
+        out += [(keeper, *x) for x in (spans if keeper == doc else _without(spans, own))]
     return out
 
 
@@ -383,23 +410,31 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     """One row per longest span that is made up of what one other document has too:
     ``doc_id, start_word, end_word, keeper_id, removed``.
 
-    ``keeper_id`` is the smallest id that has the span's words and keeps them; ``removed`` is true in the other
-    documents.  Word positions count words between ASCII white space from 0, the end is exclusive.  Rows with one id
+    ``keeper_id`` is the smallest id that has the span's units; ``removed`` is true in the other
+    documents.  Words that a document keeps for another unit are not in its removed spans, so after ``cut_passages`` every window
+    and paragraph that was found in two documents is whole in its keeper; of passages that are similar, one stays.  Word positions count words between ASCII white space from 0, the end is exclusive.  Rows with one id
     (or with none) are one document, so a repetition within it is left alone; null, empty and very short texts have no
     unit.  Every exact passage of ``WORDS + SPREAD - 1`` words or more is found for certain and to its ends, wherever it
     stands; ``recall`` is for pairs of lines or blocks at ``similarity``."""
     none = -(1 << 63)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), F.col(text_col).alias("text"))
-    found = written(collisions(d, tune_bands(similarity, recall, rows), rows), "passages-found")
-    edges, texts = verified(d, found, similarity)
-    comp = written(connected_components(edges, "passages-links"), "passages-components")
-    units = written(found.select("class", "doc", "pos", "size").unionByName(_around(d, found)).distinct(), "passages-units")
+    found = scratch(collisions(d, tune_bands(similarity, recall, rows), rows), "passages-found")
+    edges, texts, compared = verified(d, found, similarity)
+    comp = connected_components(edges, "passages-links", tidy=True)
+    dropped(*compared)
+    # a window has one row already; a paragraph one for each key that it shares
+    blocks = found.where("key <> class").select("class", "doc", "pos", "size").distinct()
+    units = found.where("key = class").select("class", "doc", "pos", "size").unionByName(_around(d, found)).unionByName(blocks)
+    units = scratch(units, "passages-units")
     like = units.join(_common(texts, found, comp), "class").select(
         "component", "doc", (F.col("pos") + F.col("lead")).alias("pos"), (F.col("tail") - F.col("lead")).alias("size"), F.lit(False).alias("exact"))
-    units = written(units.select(F.col("class").alias("component"), "doc", "pos", "size", F.lit(True).alias("exact")).unionByName(like), "passages-all")
-    ends = units.groupBy("component", "exact").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("hi")).where("lo.doc < hi")
-    ends = written(ends.select("component", "exact", F.col("lo.doc").alias("keeper"), F.col("lo.pos").alias("kept")), "passages-keepers")
-    out = _spans(units.join(ends, ["component", "exact"]).select("doc", "keeper", "pos", "size", "kept", "exact"), similarity)
+    like = scratch(like, "passages-like")
+    dropped(found, texts, comp)
+    units_ = units.select(F.col("class").alias("component"), "doc", "pos", "size", F.lit(True).alias("exact")).unionByName(like)
+    ends = units_.groupBy("component", "exact").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("hi")).where("lo.doc < hi")
+    ends = scratch(ends.select("component", "exact", F.col("lo.doc").alias("keeper"), F.col("lo.pos").alias("kept")), "passages-keepers")
+    out = scratch(_spans(units_.join(ends, ["component", "exact"]).select("doc", "keeper", "pos", "size", "kept", "exact"), similarity), "passages-spans")
+    dropped(units, like, ends)
     return out.select(
         F.nullif("doc", F.lit(none)).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
         F.nullif("keeper", F.lit(none)).alias("keeper_id"), (F.col("doc") != F.col("keeper")).alias("removed"))

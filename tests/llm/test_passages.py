@@ -130,3 +130,88 @@ def test_lines_and_blocks_are_units(spark):
     rows = found(spark, texts, recall=0.999999)
     for d in (0, 1):
         assert {(r["start_word"], r["end_word"]) for r in rows if r["doc_id"] == d} == {(20, 32), (52, 67)}
+
+
+def _grams(texts, n=P.WORDS):
+    """Where each run of n words stands: text numbers."""
+    out = {}
+    for k, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for i in range(len(w) - n + 1):
+            out.setdefault(tuple(w[i:i + n]), set()).add(k)
+    return out
+
+
+def _kept_windows(spark, texts):
+    """The repeated windows that lie in a shared run of ``WORDS + SPREAD - 1`` words, and those of them that the cut texts lack."""
+    df = edge.docs(spark, texts)
+    cut = [r["text"] for r in P.cut_passages(df, P.repeated_passages(df)).orderBy("doc_id").collect()]
+    long = [g for g, d in _grams(texts, P.WORDS + P.SPREAD - 1).items() if len(d) > 1]
+    wanted = {g[i:i + P.WORDS] for g in long for i in range(P.SPREAD)}
+    return wanted, wanted - set(_grams(cut)), cut
+
+
+def test_a_keeper_keeps_what_it_keeps(spark):
+    """A line, the line with a changed word, and that one inside another text."""
+    line = edge.text(60, 7).split()
+    other = [*line[:10], "changed", *line[11:]]
+    inside = " ".join([*(f"a{k}" for k in range(50)), *other, *(f"b{k}" for k in range(50))])
+    wanted, lost, cut = _kept_windows(spark, [" ".join(line), " ".join(other), inside])
+    assert len(wanted) >= 41 and not lost and any("changed" in t for t in cut) and len(cut[2].split()) < 110
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_repeated_window_is_lost(spark, seed):
+    """Texts put together from a few passages, whole, cut or changed, in any order, some of them copies: whatever long run stood in two texts,
+    all of its windows still stand in some text, though the texts have become much shorter."""
+    rng = random.Random(seed)
+    stock = [edge.text(rng.randint(25, 120), 300 + k).split() for k in range(8)]
+    texts = []
+    for k in range(90):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = list(rng.choice(stock))
+            a = rng.randrange(len(p) // 2) if rng.random() < 0.5 else 0
+            p = p[a:rng.randint(a + 10, len(p))]
+            if rng.random() < 0.4:
+                p[rng.randrange(len(p))] = f"x{rng.randrange(10**6)}"
+            parts.append(" ".join([*p, *(f"u{rng.randrange(10**9)}" for _ in range(rng.choice([0, 0, 7, 40])))]))
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join(parts))
+    texts += texts[:15]
+    wanted, lost, cut = _kept_windows(spark, texts)
+    assert len(wanted) > 300 and not lost
+    assert sum(len(t.split()) for t in cut) < 0.7 * sum(len(t.split()) for t in texts)
+
+
+def test_recall_of_short_lines(spark):
+    """Lines and blocks of 12 to 24 words that are similar at 0.8 or more, each in a text of its own: found as registered."""
+    rng, texts, near = random.Random(12), [], []
+    for k in range(400):
+        n = rng.randint(12, 24)
+        p = [f"p{k}x{i}" for i in range(n)]
+        q = list(p)
+        at = rng.choice([0, n - 1, 1, n - 2])
+        q[at] = f"new{k}"
+        a, b = ({tuple(x[i:i + P.SHINGLE]) for i in range(len(x) - P.SHINGLE + 1)} for x in (p, q))
+        if len(a & b) >= 0.8 * len(a | b):
+            near.append(2 * k + 1)
+        half = n // 2
+        for x in (p, q):
+            lines = [" ".join(x)] if k % 2 else [" ".join(x[:half]), " ".join(x[half:])]
+            own = [" ".join(f"f{len(texts)}x{j}x{i}" for i in range(15)) for j in range(2)]
+            texts.append(own[0] + "\n\n" + "\n".join(lines) + "\n\n" + own[1])
+    hit = {r["doc_id"] for r in found(spark, texts)}
+    assert len(near) > 150 and len(hit & set(near)) >= 0.95 * len(near)
+
+
+def test_scratch_tables_go(spark):
+    """Only the result's table is left."""
+    import os
+
+    from sparkeda.llm.common import shared_dir
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    texts = [edge.text(80, 1), edge.text(80, 1) + " more", edge.text(40, 2)]
+    assert found(spark, texts)
+    left = {f.split("-")[1] + "-" + f.split("-")[2] for f in set(os.listdir(folder)) - before if f.startswith("llm-")}
+    assert left == {"passages-spans"}
