@@ -120,10 +120,12 @@ class Units:
         at = np.flatnonzero(chosen)
         return np.stack([at, at + self.words], 1)
 
-    def near(self, at: np.ndarray) -> np.ndarray:
-        """The windows that begin less than ``spread`` words from one that begins in ``at``, without those."""
-        d = np.arange(1 - self.spread, self.spread)
-        near = np.unique((at[:, None] + d).ravel())
+    def near(self, at: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        """The windows that begin less than ``spread`` words from one that begins in ``at`` (rising), without those and without the ones
+        between two that are ``linked`` (one value per gap)."""
+        d = np.arange(1, self.spread)
+        left, right = at[np.concatenate([[True], ~linked])], at[np.concatenate([~linked, [True]])]
+        near = np.unique(np.concatenate([(left[:, None] - d).ravel(), (right[:, None] + d).ravel()]))
         near = near[(near >= 0) & (near < len(self.shingles))]
         mine = np.searchsorted(self.first, near, "right") - 1
         near = np.setdiff1d(near[near + self.words <= self.first[np.minimum(mine + 1, len(self.first) - 1)]], at)
@@ -312,15 +314,28 @@ def _common(texts: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
         F.min("at").cast("long").alias("lead"), (F.max("at") + SHINGLE).cast("long").alias("tail"))
 
 
+def _window_keepers(found: DataFrame) -> DataFrame:
+    """``class, keeper, kept``: the first place of each window that was found."""
+    return found.where("key = class").groupBy("class").agg(F.min(F.struct("doc", "pos")).alias("lo")).select(
+        "class", F.col("lo.doc").alias("keeper"), F.col("lo.pos").alias("kept"))
+
+
 def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``class, doc, pos, size`` of the windows near those of ``found``, which it lacks."""
-    at = found.where("key = class").groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    """``class, doc, pos, size`` of the windows near those of ``found``, which it lacks.
+
+    Two windows less than ``SPREAD`` words apart that one keeper has as far apart are part of one run, so their keeper
+    has all windows between them as well: those are left out.  So a run gives windows at its ends only."""
+    kept = found.where("key = class").select("class", "doc", "pos").join(_window_keepers(found), "class")
+    at = kept.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "keeper", "kept"))).alias("at"))
 
     def run(batches):
         for b in batches:
             for doc, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                pos, keeper, kept = (x.to_numpy() for x in at.values.flatten())
+                step = np.diff(pos)
+                linked = (step <= SPREAD) & (keeper[1:] == keeper[:-1]) & (np.diff(kept) == step)
                 units = Units([t.as_py()])
-                spans = units.near(at.values.to_numpy())
+                spans = units.near(pos, linked)
                 if len(spans):
                     yield pa.RecordBatch.from_arrays([pa.array(units.hashes(spans).view(np.int64)), pa.array(np.full(len(spans), doc)),
                                                       pa.array(spans[:, 0]), pa.array(spans[:, 1] - spans[:, 0])], names=["class", "doc", "pos", "size"])
@@ -410,7 +425,8 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     """One row per longest span that is made up of what one other document has too:
     ``doc_id, start_word, end_word, keeper_id, removed``.
 
-    ``keeper_id`` is the smallest id that has the span's units; ``removed`` is true in the other
+    ``keeper_id`` is the smallest id that has the span's units (of a window at the very end of a run, the smallest in whose text it is one
+    that its shingles choose); ``removed`` is true in the other
     documents.  Words that a document keeps for another unit are not in its removed spans, so after ``cut_passages`` every window
     and paragraph that was found in two documents is whole in its keeper; of passages that are similar, one stays.  Word positions count words between ASCII white space from 0, the end is exclusive.  Rows with one id
     (or with none) are one document, so a repetition within it is left alone; null, empty and very short texts have no
@@ -424,14 +440,19 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     dropped(*compared)
     # a window has one row already; a paragraph one for each key that it shares
     blocks = found.where("key <> class").select("class", "doc", "pos", "size").distinct()
-    units = found.where("key = class").select("class", "doc", "pos", "size").unionByName(_around(d, found)).unionByName(blocks)
+    around = _around(d, found).withColumn("first", F.lit(False))
+    units = found.where("key = class").select("class", "doc", "pos", "size").unionByName(blocks).withColumn("first", F.lit(True)).unionByName(around)
     units = scratch(units, "passages-units")
     like = units.join(_common(texts, found, comp), "class").select(
         "component", "doc", (F.col("pos") + F.col("lead")).alias("pos"), (F.col("tail") - F.col("lead")).alias("size"), F.lit(False).alias("exact"))
     like = scratch(like, "passages-like")
     dropped(found, texts, comp)
-    units_ = units.select(F.col("class").alias("component"), "doc", "pos", "size", F.lit(True).alias("exact")).unionByName(like)
-    ends = units_.groupBy("component", "exact").agg(F.min(F.struct("doc", "pos")).alias("lo"), F.max("doc").alias("hi")).where("lo.doc < hi")
+    units_ = units.select(F.col("class").alias("component"), "doc", "pos", "size", F.lit(True).alias("exact"), "first").unionByName(
+        like.withColumn("first", F.lit(True)))
+    # windows that were found keep the keeper that their runs were told by; the ones around them have one of their own
+    place = F.struct("doc", "pos")
+    ends = units_.groupBy("component", "exact").agg(F.min(F.when(F.col("first"), place)).alias("told"), F.min(place).alias("lo"), F.max("doc").alias("hi"))
+    ends = ends.where("lo.doc < hi").withColumn("lo", F.coalesce("told", "lo"))
     ends = scratch(ends.select("component", "exact", F.col("lo.doc").alias("keeper"), F.col("lo.pos").alias("kept")), "passages-keepers")
     out = scratch(_spans(units_.join(ends, ["component", "exact"]).select("doc", "keeper", "pos", "size", "kept", "exact"), similarity), "passages-spans")
     dropped(units, like, ends)
