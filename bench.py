@@ -36,6 +36,10 @@ HEADLINE = [
     "j1_records_at_path",
     # learning
     "m10_classification_metrics", "m12_compare_models", "m17_kmeans",
+    # many models, order and dictionaries, chosen kinds, repeated items, graphs, whole profiles
+    "m20_elbow", "m18_silhouette_planted", "m6_stratified_exact", "m4_one_hot_vectors", "q9_running_chunks", "h7_everything_customers",
+    "h14_repeated_items_customers", "h15_page_summary_customers", "g2_reachable_customers", "g3_page_chain_long_customers",
+    "a9_eda_sections", "a12_quality_customers", "s11_bad_payloads", "u1_pipeline_stages", "u3_pipeline",
 ]
 
 
