@@ -86,8 +86,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return pieces.encode(d, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+    """Ids of the documents, written, and what decoding the written ids gives, against the text they came from."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
+    ids = written(pieces.encode(d, model, keep=["doc_id", "text_crc32"]), "pieces")
+    back = pieces.decode(ids.withColumn("ids", F.col("token_ids")), model, ids_col="ids")
+    return back.select("doc_id", "n_tokens", "token_ids", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
 
 
 @register("op9_chat_formatting")

@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkeda.llm.common import written
 
-NONE = np.iinfo(np.int64).max
+#: Rows of a shard and of a block of queries at the most, and of a shard at the least where more shards let more cores work.
+SHARD_ROWS, QUERY_ROWS, FEW_ROWS = 1 << 16, 1 << 14, 1 << 12
+#: Tasks that share the pairs of shards and blocks, at the most.
+TASKS = 4096
 
 
 class Shard:
@@ -88,18 +91,18 @@ def _exact(q: np.ndarray, x: np.ndarray) -> bool:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-           scale: float = 256.0, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+           scale: float = 256.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k vectors of highest inner product for every query.
 
     Components count as ``floor(scale * x)``.  Every row but the query's own (by id) is a
     candidate; equal scores go to the smaller id.  Vectors that are null or hold a null, NaN or
     infinite component, and rows without an id, take no part; an empty vector scores 0 with all.
     Vectors of different length are compared over the common dimensions.  Rows that repeat an id
-    count once, with the smallest vector.  Components and scores beyond a long are cut to its range.
+    are candidates each; queries that repeat one count once, with the smallest vector.  Components and scores beyond a long are cut to its range.
 
-    Shards of about ``shard_rows`` vectors (by hash of the id) meet blocks of about
+    Shards of about ``shard_rows`` vectors (by hash of id and vector) meet blocks of about
     ``query_rows`` queries; both are shuffled to their pair, so neither side is ever broadcast
-    or held whole, and one task holds one shard and one block at a time."""
+    or held whole.  A task takes a run of pairs, at most ``TASKS`` do, and each holds one shard and one block at a time."""
     def usable(df):
         v = F.col(vec_col)
         good = (F.col(id_col).isNotNull() & v.isNotNull()
@@ -109,9 +112,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     x, q = usable(vectors), usable(queries)
     n, m = x.count(), q.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
+    cores = x.sparkSession.sparkContext.defaultParallelism
+    shards, blocks = max(1, -(-n // shard_rows), min(cores, n // FEW_ROWS)), max(1, -(-m // query_rows))
     pair = (F.col("shard") * F.lit(blocks) + F.col("block")).alias("pair")
-    left = x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
+    left = x.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(pair, F.lit(1).alias("side"), "id", "v")
     right = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(pair, F.lit(0).alias("side"), "id", "v")
@@ -121,7 +125,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         ids = {0: [], 1: []}
         vecs = {0: [], 1: []}
         for side, i, v in rows:
-            if not ids[side] or ids[side][-1] != i:  # sorted: repeats of an id follow each other
+            if side == 1 or not ids[side] or ids[side][-1] != i:  # sorted: queries that repeat an id follow each other
                 ids[side].append(i)
                 vecs[side].append(v)
         dims = max([1, *(len(v) // 8 for s in (0, 1) for v in vecs[s])])
@@ -153,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         if rows:
             yield batch(meet(at, rows))
 
-    both = left.unionByName(right).repartition(shards * blocks, "pair").sortWithinPartitions("pair", "side", "id", "v")
+    both = left.unionByName(right).repartitionByRange(min(shards * blocks, TASKS), "pair").sortWithinPartitions("pair", "side", "id", "v")
     best = written(both.mapInArrow(run, "query_id long, vec_id long, score long"), "search-shards")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -88,3 +88,12 @@ def test_round_trip_and_edges(spark):
     clash = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_tokens long")
     assert pieces.encode(clash, PATH).first()["n_tokens"] == 2
     assert pieces.decode(spark.createDataFrame([(1, None)], "i int, token_ids array<int>"), PATH).first()["text"] is None
+
+
+def test_query_decodes_what_it_wrote(spark):
+    from sparkeda.llm import queries
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    d = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: sp.encode(r["text"] or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op8(spark, d).collect()
+    assert {r["doc_id"]: r["token_ids"] for r in got} == want and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in got)

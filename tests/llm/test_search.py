@@ -9,14 +9,15 @@ KINDS = "vec_id long, embedding array<float>, query_id long, v int, pair int"
 
 
 def brute(rows, queries, k, scale=256.0):
-    good = {}
+    good, every = {}, []
     for i, v, *_ in sorted((r for r in rows if r[0] is not None and r[1] is not None and all(
             c is not None and math.isfinite(c) for c in r[1])), key=lambda r: (r[0], [math.floor(scale * c) for c in r[1]])):
-        good.setdefault(i, [math.floor(scale * c) for c in v])
+        every.append((i, [math.floor(scale * c) for c in v]))
+        good.setdefault(*every[-1])
     out = {}
     for q in queries:
         if q in good:
-            s = sorted(((-sum(a * b for a, b in zip(good[q], x)), i) for i, x in good.items() if i != q))[:k]
+            s = sorted(((-sum(a * b for a, b in zip(good[q], x)), i) for i, x in every if i != q))[:k]
             out[q] = [(i, -s_) for s_, i in s]
     return out
 
@@ -58,3 +59,16 @@ def test_edges(spark):
     assert [i for i, _ in got[0]] == [1, 2] or got[0][0][1] == (1 << 63) - 1
     e = spark.createDataFrame([], KINDS)
     assert search.search(e, e).count() == 0
+
+
+def test_each_row_of_an_id_is_a_candidate(spark):
+    rows = [(1, [1.0, 1.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0])]
+    for kw in ({}, {"shard_rows": 2}):
+        assert run(spark, rows, [2], k=4, **kw) == {2: [(1, 256 * 768), (1, 256 * 768), (3, 256 * 512), (1, 256 * 256)]}
+
+
+def test_tasks_are_bounded(spark, monkeypatch):
+    """However many pairs of shards and blocks there are, so many tasks share them."""
+    monkeypatch.setattr(search, "TASKS", 3)
+    rows = [(k, [k % 7 / 8, k % 5 / 8]) for k in range(60)]
+    assert run(spark, rows, range(0, 60, 3), k=4, shard_rows=7, query_rows=2) == brute(rows, range(0, 60, 3), 4)
