@@ -322,16 +322,22 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], *new)
 
 
-def decode(tokens: DataFrame, model: str, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
-    """The rows of ``tokens`` with the list of ids replaced by its text (null: null)."""
+def decode(tokens: DataFrame, model: str, ids_col: str = "token_ids", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """The rows of ``tokens`` with the text of the list of ids (null: null) in its place, or beside it with ``keep_ids``."""
     rest = [c for c in tokens.columns if c not in (ids_col, text_col)]
-    src = tokens.select(F.col(f"`{ids_col}`").alias("t"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    kinds = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(src.schema.fields[1:])], "t string"])
+    src = tokens.select(F.col(f"`{ids_col}`").cast("array<int>").alias("t"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    kinds = ", ".join([*[f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(src.schema.fields[1:])], *(["i array<int>"] if keep_ids else []), "t string"])
 
     def run(batches):
         codec = _codec(model)
         for b in batches:
-            texts = [None if x is None else codec.decode(np.array(x, np.int64)) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], names=[*b.schema.names[1:], "t"])
-
-    return src.mapInArrow(run, kinds).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)], F.col("t").alias(text_col))
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                ids = part.column(0)
+                flat, at, none = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy(), ids.is_null().to_pylist()
+                texts = [None if no else codec.decode(flat[i:j]) for no, i, j in zip(none, at, at[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *([ids] if keep_ids else []), pa.array(texts, pa.string())],
+                                                 names=[*b.schema.names[1:], *(["i"] if keep_ids else []), "t"])
+
+    out = src.mapInArrow(run, kinds)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)], *([F.col("i").alias(ids_col)] if keep_ids else []), F.col("t").alias(text_col))

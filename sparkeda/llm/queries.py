@@ -90,7 +90,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     d = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "text")
     ids = written(pieces.encode(d, model, keep=["doc_id", "text_crc32"]), "pieces")
-    back = pieces.decode(ids.withColumn("ids", F.col("token_ids")), model, ids_col="ids")
+    back = pieces.decode(ids, model, keep_ids=True)
     return back.select("doc_id", "n_tokens", "token_ids", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
 
 
