@@ -278,8 +278,8 @@ def m16_standardize(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = tbl(spark, sf_dir, "embeddings")
-    n = len(e.select("embedding").first()[0])
-    wide = e.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(n)])
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = e.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(n)])
     z, cols = L.standardize(wide, [f"e{k}" for k in range(n)])  # M16 first, as the reference does
     return L.assemble(z, cols).select("vec_id", "label", "features")
 
