@@ -26,7 +26,7 @@ class Sections(dict):
         self.release()
 
 
-def eda(data, bins: int = 20, top: int = 12, exact: bool = True) -> Sections:
+def eda(data, bins: int = 20, top: int = 12, exact: bool = True, digits: int | None = 2) -> Sections:
     """Shape, dtypes, describe, nulls, histograms, top values and correlations.
 
     Sections are skipped when no column qualifies (no numeric columns: no
@@ -44,7 +44,7 @@ def eda(data, bins: int = 20, top: int = 12, exact: bool = True) -> Sections:
         "nulls": P.null_profile(df),
     })
     if num:
-        out["describe"] = P.describe(df, num, digits=2, exact=exact)
+        out["describe"] = P.describe(df, num, digits=digits, exact=exact)
         out["histogram"] = P.histogram(df, num, bins=bins, exact_median=exact)
     if txt:
         out["top_values"] = P.value_counts(df, txt, top=top)

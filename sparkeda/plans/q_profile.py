@@ -213,7 +213,7 @@ A9_SQL = _union([
     "SELECT 'shape' AS section, 'rows' AS name, '' AS part, count(*)::DOUBLE AS value FROM lineitem",
     *[f"SELECT 'dtypes', '{c}', '{'string' if c == 'l_returnflag' else 'double'}', 1.0" for c in [*A9_NUM, "l_returnflag"]],
     *[f"SELECT 'nulls', '{c}', '', count(*) FILTER (WHERE {c} IS NULL)::DOUBLE FROM lineitem" for c in [*A9_NUM, "l_returnflag"]],
-    *[f"SELECT 'describe', column_name, '{k}', round({k}::DOUBLE, 2) + 0.0 FROM ({_A9_DESCRIBE})" for k in _STATS],
+    *[f"SELECT 'describe', column_name, '{k}', round({k}::DOUBLE, 4) + 0.0 FROM ({_A9_DESCRIBE})" for k in _STATS],
     "SELECT 'top_values', 'l_returnflag', l_returnflag, count(*)::DOUBLE FROM lineitem GROUP BY l_returnflag",
     *[f"SELECT 'correlation', col_a, col_b, round(corr, 6) FROM ({_corr_sql(a, b)})" for a in A9_NUM for b in A9_NUM],
     "SELECT 'histogram', column_name, CAST(bin AS VARCHAR), \"count\"::DOUBLE FROM (" + A6_SQL.replace("20", "5").replace("19", "4") + ") WHERE column_name <> 'l_tax'"])
@@ -225,7 +225,7 @@ def a9_eda_sections(spark, sf_dir):
     from functools import reduce
     from sparkeda.plans.eda import eda
 
-    parts = eda(tbl(spark, sf_dir, "lineitem").select(*A9_NUM, "l_returnflag"), bins=5)
+    parts = eda(tbl(spark, sf_dir, "lineitem").select(*A9_NUM, "l_returnflag"), bins=5, digits=None)
 
     def rows(section, name, part, value):
         return parts[section].select(F.lit(section).alias("section"), F.col(name).alias("name") if isinstance(name, str) else name.alias("name"),
@@ -233,7 +233,7 @@ def a9_eda_sections(spark, sf_dir):
 
     out = [rows("shape", F.lit("rows"), F.lit(""), F.col("rows")), rows("dtypes", "column_name", F.col("type"), F.lit(1.0)),
            rows("nulls", "column_name", F.lit(""), F.col("nulls")).where("name <> '(total)'"),
-           *[rows("describe", "column_name", F.lit(k), F.round(F.col(k).cast("double"), 2)) for k in _STATS],
+           *[rows("describe", "column_name", F.lit(k), F.round(F.col(k).cast("double"), 4)) for k in _STATS],
            rows("top_values", "column_name", F.col("value"), F.col("count")),
            rows("correlation", "col_a", F.col("col_b"), F.round("corr", 6)),
            rows("histogram", "column_name", F.col("bin"), F.col("count")).where("name <> 'l_tax'")]
