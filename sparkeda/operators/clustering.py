@@ -163,19 +163,20 @@ def _seed_from(points: np.ndarray, weights: np.ndarray, k: int, rng) -> np.ndarr
     return centers
 
 
-def _seeds(vectors: DataFrame, ks: list[int], n_init: int, seed: int, rounds: int) -> dict[tuple[int, int], np.ndarray]:
-    """Starting centres of every (k, start): k-means|| candidates of each start, shared by all k."""
-    first = vectors.agg(*[F.min_by("v", F.xxhash64(F.lit(seed + s), "v")).alias(f"s{s}") for s in range(n_init)]).first()
-    if first[0] is None:
-        return {}
-    chosen = [np.array([first[s]]) for s in range(n_init)]
+def _seeds(vectors: DataFrame, ks: list[int], n_init: int, seed: int, rounds: int) -> tuple[dict[tuple[int, int], np.ndarray], float]:
+    """Starting centres of every (k, start): k-means|| candidates of each start, shared by all k; and the mean variance of the components."""
+    spread = vector_to_array(Summarizer.variance(array_to_vector("v"))).alias("spread")
+    first = vectors.groupBy(F.lit("all")).agg(*[F.min_by("v", F.xxhash64(F.lit(seed + s), "v")).alias(f"s{s}") for s in range(n_init)], spread).first()
+    if first is None:
+        return {}, 0.0
+    chosen = [np.array([first[f"s{s}"]]) for s in range(n_init)]
     for step in range(rounds):
         chosen = _farther(vectors, chosen, 2 * max(ks), seed, step)
     chosen = [np.unique(c, axis=0) for c in chosen]
     cuts = np.cumsum([0, *map(len, chosen)]).tolist()
     weights, _, _ = _move(vectors, np.concatenate(chosen), cuts)
     return {(k, s): _seed_from(chosen[s], weights[cuts[s]:cuts[s + 1]], k, np.random.default_rng([seed, k, s]))
-            for k in ks for s in range(n_init)}
+            for k in ks for s in range(n_init)}, float(np.mean(first["spread"]))
 
 
 def fit_starts(df: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, features: str = "features", max_iter: int = 300,
@@ -183,13 +184,13 @@ def fit_starts(df: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, f
     """The start of least inertia for every k, ties to the lower start.
 
     Rows without features, or with a null, NaN or infinite component, take no part.  Centres of fewer than k appear where there are fewer different
-    rows.  A model ends when no centre moves by more than ``tol``, or after ``max_iter`` passes; its inertia
-    belongs to the centres returned.  Every pass is one aggregate whatever the number of models."""
+    rows.  A model ends when its centres' squared moves add up to no more than ``tol`` times the mean variance of the components (the
+    reference's rule), or after ``max_iter`` passes; its inertia belongs to the centres returned.  Every pass is one aggregate whatever the number of models."""
     v = df.select(_array(df, features).alias("v")).where(
         F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
     v = v.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        at = _seeds(v, ks, n_init, seed, seed_rounds)
+        at, spread = _seeds(v, ks, n_init, seed, seed_rounds)
         done: dict[tuple[int, int], Clusters] = {}
         live = sorted(at)
         for step in range(max_iter):
@@ -201,7 +202,7 @@ def fit_starts(df: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, f
             for j, m in enumerate(live):
                 count, total = n[cuts[j]:cuts[j + 1], None], sums[cuts[j]:cuts[j + 1]]
                 moved = np.where(count > 0, total / np.maximum(count, 1), at[m])  # a centre without rows stays
-                if step + 1 < max_iter and (((moved - at[m]) ** 2).sum(1) > tol ** 2).any():
+                if step + 1 < max_iter and ((moved - at[m]) ** 2).sum() > tol * spread:
                     at[m] = moved
                     still.append(m)
                 else:
