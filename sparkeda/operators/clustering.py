@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows whose distances to all centres are held at a time, as cells of the matrix.
 CELLS = 1 << 22
+#: Rows of sums (one per task and centre) that the driver adds up itself; more are aggregated on the cluster first.
+FEW_SUMS = 1 << 14
 
 
 @dataclass
@@ -75,8 +77,8 @@ def _rows(batch) -> np.ndarray:
     return flat[cuts[0]:cuts[-1]].reshape(len(col), -1)
 
 
-def _move(vectors: DataFrame, centers: np.ndarray, cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass: rows and vector sum of every centre of every model, and the inertia of every model."""
+def _move(vectors: DataFrame, centers: np.ndarray, cuts: list[int], tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over ``tasks`` partitions: rows and vector sum of every centre of every model, and the inertia of every model."""
     held = vectors.sparkSession.sparkContext.broadcast((centers, cuts))  # models x k vectors
 
     def run(batches):
@@ -98,11 +100,13 @@ def _move(vectors: DataFrame, centers: np.ndarray, cuts: list[int]) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.FixedSizeListArray.from_arrays(
             pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))], names=["slot", "v"])
 
-    total = vectors.mapInArrow(run, "slot long, v array<double>").groupBy("slot").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    total = vectors.mapInArrow(run, "slot long, v array<double>")
+    if tasks * len(centers) > FEW_SUMS:  # then one row per centre
+        total = total.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    rows = total.toArrow()
     out = np.zeros((len(centers), centers.shape[1] + 2))
-    for r in total.collect():  # one row per centre
-        out[r["slot"]] = r["v"]
+    if rows.num_rows:
+        np.add.at(out, rows["slot"].to_numpy(), rows["v"].combine_chunks().values.to_numpy().reshape(rows.num_rows, -1))
     return out[:, 0], out[:, 2:], out[np.asarray(cuts[:-1]), 1]
 
 
@@ -163,7 +167,7 @@ def _seed_from(points: np.ndarray, weights: np.ndarray, k: int, rng) -> np.ndarr
     return centers
 
 
-def _seeds(vectors: DataFrame, ks: list[int], n_init: int, seed: int, rounds: int) -> tuple[dict[tuple[int, int], np.ndarray], float]:
+def _seeds(vectors: DataFrame, ks: list[int], n_init: int, seed: int, rounds: int, tasks: int) -> tuple[dict[tuple[int, int], np.ndarray], float]:
     """Starting centres of every (k, start): k-means|| candidates of each start, shared by all k; and the mean variance of the components."""
     spread = vector_to_array(Summarizer.variance(array_to_vector("v"))).alias("spread")
     first = vectors.groupBy(F.lit("all")).agg(*[F.min_by("v", F.xxhash64(F.lit(seed + s), "v")).alias(f"s{s}") for s in range(n_init)], spread).first()
@@ -174,7 +178,7 @@ def _seeds(vectors: DataFrame, ks: list[int], n_init: int, seed: int, rounds: in
         chosen = _farther(vectors, chosen, 2 * max(ks), seed, step)
     chosen = [np.unique(c, axis=0) for c in chosen]
     cuts = np.cumsum([0, *map(len, chosen)]).tolist()
-    weights, _, _ = _move(vectors, np.concatenate(chosen), cuts)
+    weights, _, _ = _move(vectors, np.concatenate(chosen), cuts, tasks)
     return {(k, s): _seed_from(chosen[s], weights[cuts[s]:cuts[s + 1]], k, np.random.default_rng([seed, k, s]))
             for k in ks for s in range(n_init)}, float(np.mean(first["spread"]))
 
@@ -190,14 +194,15 @@ def fit_starts(df: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, f
         F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
     v = v.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        at, spread = _seeds(v, ks, n_init, seed, seed_rounds)
+        tasks = v.rdd.getNumPartitions()
+        at, spread = _seeds(v, ks, n_init, seed, seed_rounds, tasks)
         done: dict[tuple[int, int], Clusters] = {}
         live = sorted(at)
         for step in range(max_iter):
             if not live:
                 break
             cuts = np.cumsum([0, *[len(at[m]) for m in live]]).tolist()
-            n, sums, cost = _move(v, np.concatenate([at[m] for m in live]), cuts)
+            n, sums, cost = _move(v, np.concatenate([at[m] for m in live]), cuts, tasks)
             still = []
             for j, m in enumerate(live):
                 count, total = n[cuts[j]:cuts[j + 1], None], sums[cuts[j]:cuts[j + 1]]
