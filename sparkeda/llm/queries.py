@@ -14,10 +14,18 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 #: Where the tokenizer files are; the default is the installed package's folder.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
-#: The key of the surrogates; a deployment sets its own.
+#: The key of the surrogates; outside a local session a deployment sets its own.
 PII_KEY = os.environ.get("PII_KEY", "sparkeda-demo-key").encode()
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key in ``PII_KEY`` of the environment.  Only a local session, as in tests, may go without; the key that
+    it then uses is public."""
+    if not os.environ.get("PII_KEY") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set PII_KEY: with a public key anyone can draw the surrogates again")
+    return PII_KEY
+
+
 def tokenizer_path(name: str) -> str:
     if TOKENIZERS:
         return f"{TOKENIZERS}/{name}"
@@ -58,7 +66,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_pii_surrogates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace(d, PII_KEY, count_col="n_entities")
+    return surrogates.replace(d, pii_key(spark), count_col="n_entities")
 
 
 @register("op4_mixing")

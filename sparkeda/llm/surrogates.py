@@ -7,14 +7,19 @@ of the gender that the title names.  The draws are checked against each other an
 all entities of the corpus: of entities that drew the same surrogate one keeps it and the
 others draw again, as do those that drew something that really occurs.  So equal entities
 have equal surrogates everywhere and different ones different surrogates.
+
+A person is found by a title; the words of the name then count wherever they stand capitalised
+in that text, with or without title, initials and other words of the name.  Each word of a name
+is an entity of its own and begins with a letter that only the key and its first letter give, so
+full names, parts of them and initials agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import ipaddress
-import itertools
 import re
+import string
 import unicodedata
 
 import pyarrow as pa
@@ -22,18 +27,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkeda.llm.common import written
 
-#: Titles before a personal name (fixed values): title -> gender.
-TITLES = {"Mr": "m", "Mr.": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Herr": "m", "Frau": "f", "Señor": "m",
-          "Señora": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+#: Titles before a personal name (fixed values): title -> gender, n if it names none.
+TITLES = {"Mr": "m", "Mr.": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Herrn": "m",
+          "Frau": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr.": "m", "Sra.": "f", "Monsieur": "m", "Madame": "f", "Mme": "f",
+          "Mademoiselle": "f", "господин": "m", "госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "n", "Dr.": "n", "Prof": "n", "Prof.": "n",
+          "Professor": "n"}
+#: Small words inside a name, which stay (fixed values).
+PARTICLES = set("van von der den ten ter zu de la le las los du del della di da dos das al el bin ibn y e".split())
 #: Letters that drawn names use and the last letters by gender, by script (fixed values).
 NAME_LETTERS = {"LATIN": ("aeiou", "bdfgklmnprstv"), "CYRILLIC": ("аеиоу", "бвгдклмнпрст"), "GREEK": ("αεηιου", "βγδκλμνπρστ")}
-NAME_ENDS = {"LATIN": {"m": "onrs", "f": "ae"}, "CYRILLIC": {"m": "нрвм", "f": "ая"}, "GREEK": {"m": "ςν", "f": "αη"}}
-_NAME = r"[^\W\d_]{2,40}"
+NAME_ENDS = {"LATIN": {"m": "onrs", "f": "ae", "n": "iltk"}, "CYRILLIC": {"m": "нрвм", "f": "ая", "n": "коит"},
+             "GREEK": {"m": "ςν", "f": "αη", "n": "ορι"}}
+ALPHABETS = {"LATIN": string.ascii_lowercase, "CYRILLIC": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
+_TITLE = "(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + ")"
+_GAP = "  -"
+#: A word of a name: initials with their dots, or letters with an inner apostrophe.
+_NAME_WORD = re.compile(r"(?:[^\W\d_]\.)+(?!\w)|[^\W\d_]+(?:['’][^\W\d_]{2,})?(?!\w)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word of two letters or more with the initials before it.
+_WITH_INITIALS = re.compile(rf"(?<!\w)((?:[^\W\d_](?:['’]|\.[{_GAP}]?))*)([^\W\d_]{{2,}})")
 #: Types in order of precedence; the group that holds the entity has the type's name.
 PATTERNS = (
-    ("email", r"[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
+    ("email", r"(?<![.+%-])[\w.+%-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     ("aws_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     # the keyword stands anywhere in an identifier; a quoted value goes to its quote, another one to white space
+    ("pem", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?P<_pem>(?:[^-]|-(?!----))++)(?=-----END)"),
+    ("jwt", r"(?<!-)eyJ[\w-]{8,}+\.eyJ[\w-]{8,}+\.[\w-]{8,}+"),
+    # prefixes that issuers give their tokens (fixed values)
+    ("token", r"(?<!-)(?:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|(?:sk|pk|rk)_(?:live|test)_|hf_|npm_|AIza|sk-(?=[A-Za-z0-9_]{20}|proj-|ant-))"
+              r"(?=[\w-]{0,80}\d)[\w-]{16,}+"),
     ("secret", r"(?:\w*?(?i:api-key)\w*+|(?=\w*?(?i:password|passwd|pwd|token|secret|api_?key))\w++)(?:[-.]\w++){0,4}[\"']?[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}"
                r"(?:\"(?P<_double>(?:\\.|[^\"\\\n]){8,}+)\"|'(?P<_single>(?:\\.|[^'\\\n]){8,}+)'|(?=\S*[^\W_])(?P<_plain>[^\s\"']\S{7,})|[\"'](?P<_open>[^\s\"']{8,}))"),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -42,44 +64,106 @@ PATTERNS = (
     ("card", r"(?<![.+-])3[47]\d{2}(?P<_gap>[ -])\d{6}(?P=_gap)\d{5}(?!\d)|(?<![.+-])[2-6]\d{3}(?P<_sep>[ -]?)\d{4}(?P=_sep)\d{4}(?P=_sep)\d{3,4}(?!\d)"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<!\+)(?:0|\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?)[1-9](?:[ .-]\d{2}){4}(?!\d)|(?<!\+)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\+)\+\d{8,15}(?!\d)"),
-    ("name", r"(?P<_title>" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + rf")[  ](?P<_name>{_NAME}(?:[  -]{_NAME}){{0,2}})"),
+    ("name", rf"(?P<_titles>{_TITLE}(?:[{_GAP[:2]}]{_TITLE})*)[{_GAP[:2]}](?=[^\W\d_])"),  # the name itself is read word by word
 )
-#: What a text needs for a secret, in lower case, and for any other type than those with a digit or a title.
+#: What a text needs for a secret, in lower case, for a key or token, and for any other type than those with a digit or a title.
 KEYWORDS, SIGNS = ("passw", "pwd", "token", "secret", "api"), ("@", "AKIA", "ASIA")
+KEY_SIGNS = ("PRIVATE KEY", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "_test_", "hf_", "npm_", "AIza", "sk-")
 _FOUND: dict = {}
 
 
-def _pattern(secrets: bool) -> re.Pattern:
-    """All types at once, or all but secrets; an entity begins where no word character stands before it."""
-    if secrets not in _FOUND:
-        _FOUND[secrets] = re.compile(r"(?<!\w)(?:" + "|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS if secrets or kind != "secret") + ")")
-    return _FOUND[secrets]
+def _pattern(secrets: bool, keys: bool) -> re.Pattern:
+    """All types at once, but for secrets, keys and tokens where the text can't have them; an entity begins where no word
+    character stands before it."""
+    if (secrets, keys) not in _FOUND:
+        left = [(kind, p) for kind, p in PATTERNS if (secrets or kind != "secret") and (keys or kind not in ("pem", "jwt", "token"))]
+        _FOUND[secrets, keys] = re.compile(r"(?<!\w)(?:" + "|".join(f"(?P<{kind}>{p})" for kind, p in left) + ")")
+    return _FOUND[secrets, keys]
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, type)`` of the entities of a text, in order, without overlap.  Names have the types
-    ``name_m`` and ``name_f``; of the words after a title the capitalised ones count."""
-    out = []
+    """``(start, end, type)`` of the entities of a text, in order, without overlap.  Names have the types ``name_m``, ``name_f``
+    and, after a title that names no gender and without another mention that does, ``name_n``; a name goes from its title over
+    capitalised words, initials and small words between them."""
+    out, people = [], []
     low = text.lower()
-    secrets = any(k in low for k in KEYWORDS)
-    if not secrets and not any(x in text for x in SIGNS) and not re.search(r"\d", text) and not any(t in text for t in TITLES):
+    secrets, keys, titled = any(k in low for k in KEYWORDS), any(k in text for k in KEY_SIGNS), any(t in text for t in TITLES)
+    if not (secrets or keys or titled) and not any(x in text for x in SIGNS) and not re.search(r"\d", text):
         return out
-    for m in _pattern(secrets).finditer(text):
-        kind = next(k for k, _ in PATTERNS if (secrets or k != "secret") and m[k] is not None)
+    search, at = _pattern(secrets, keys).search, 0
+    while m := search(text, at):
+        kind, at = m.lastgroup, m.end()
         if kind == "name":
-            words = re.split(r"[  -]", m["_name"])
-            upper = list(itertools.takewhile(lambda w: w[0].isupper(), words))
-            if upper:
-                start = m.start("_name")
-                out.append((start, start + sum(map(len, upper)) + len(upper) - 1, "name_" + TITLES[m["_title"]]))
-        else:
-            group = kind
-            if kind == "secret":
-                group = next(g for g in ("_double", "_single", "_plain", "_open") if m[g] is not None)
-            if kind == "ipv6" and not _address(m[0]):
-                continue
+            end = _name_end(text, m.end())
+            if end > m.end():
+                gender = next((g for g in (TITLES[t] for t in re.split(f"[{_GAP[:2]}]", m["_titles"])) if g != "n"), "n")
+                people.append(len(out))
+                out.append((m.end(), end, "name_" + gender))
+                at = end
+        elif kind == "secret":
+            group = next(g for g in ("_double", "_single", "_plain", "_open") if m[g] is not None)
             out.append((m.start(group), m.end(group), kind))
-    return out
+        elif kind == "pem":
+            out.append((m.start("_pem"), m.end("_pem"), kind))
+        elif kind != "ipv6" or _address(m[0]):
+            out.append((m.end() - len(m[0].lstrip(".+%-")) if kind == "email" else m.start(), m.end(), kind))
+    return _mentions(text, out, people) if people else out
+
+
+def _name_end(text: str, start: int) -> int:
+    """Where the name that begins at ``start`` ends; ``start`` if there is none."""
+    end = at = start
+    full = False
+    while w := _NAME_WORD.match(text, at):
+        if w[0][0].isupper():
+            end, full = w.end(), full or len(w[0]) > 1 and w[0][1] != "."
+        elif w[0] not in PARTICLES:
+            break
+        at = w.end() + 1
+        if text[w.end():at] not in tuple(_GAP):
+            break
+    return end if full else start
+
+
+def _words(name: str) -> list[str]:
+    """The words of a name in normal form, without initials and small words."""
+    return [w.casefold() for w in _LETTERS.findall(name) if len(w) > 1 and w not in PARTICLES]
+
+
+def _mentions(text: str, out: list, people: list[int]) -> list[tuple[int, int, str]]:
+    """The entities with the other mentions of the people among them.  A name without gender takes that of a titled one with the
+    same last word; other mentions take the gender that all their words have in the text, of several the one met first."""
+    kinds: dict[str, dict] = {}  # word -> the types it has, in order
+    first = set()
+    for k in people:
+        for w in _words(text[out[k][0]:out[k][1]]):
+            if out[k][2] != "name_n":
+                kinds.setdefault(w, {})[out[k][2]] = True
+    for k in people:
+        s, e, kind = out[k]
+        words = _words(text[s:e])
+        if kind == "name_n":
+            kind = next(iter(kinds.get(words[-1], ())), kind)
+            out[k] = (s, e, kind)
+        for w in words:
+            kinds.setdefault(w, {})[kind] = True
+        first.update(x[0].casefold() for x in _LETTERS.findall(text[s:e]))
+    more, taken = [], 0
+    for m in _WITH_INITIALS.finditer(text):
+        if m[2].casefold() not in kinds or not m[2][0].isupper():
+            continue
+        initials = [x for x in m[1] if x.isalpha()]
+        start = m.start() if initials and all(x.isupper() and x.casefold() in first for x in initials) else m.start(2)
+        while taken < len(out) and out[taken][1] <= start:
+            taken += 1
+        if taken < len(out) and out[taken][0] < m.end():
+            continue  # inside an entity
+        had = kinds[m[2].casefold()]
+        if more and more[-1][1] + 1 == start and text[more[-1][1]] in _GAP and (both := [x for x in more[-1][2] if x in had]):
+            more[-1] = (more[-1][0], m.end(), both)
+        else:
+            more.append((start, m.end(), list(had)))
+    return sorted([*out, *((s, e, which[0]) for s, e, which in more)])
 
 
 def _address(text: str) -> ipaddress.IPv6Address | None:
@@ -100,17 +184,26 @@ def normal(kind: str, value: str) -> str:
         return value.lower()
     if kind == "ipv6":
         return ":".join(f"{int(x, 16):x}" for x in _address(value).exploded.split(":"))
-    if kind.startswith("name"):
-        return re.sub(r"[  -]", " ", value).casefold()
+    if kind == "pem":
+        return re.sub(r"\s", "", value)
     return value
 
 
+def parts(kind: str, mention: str) -> list[str]:
+    """The entities of a mention in normal form: the words of a name, else one."""
+    return _words(mention) if kind.startswith("name") else [normal(kind, mention)]
+
+
 def draw(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The surrogate of a normal form.  Further attempts draw anew; every eighth makes room by one more character."""
     stream = _stream(key, f"{kind}\x00{attempt}\x00{value}")
     extra = attempt // 8
     if kind.startswith("name"):
-        return " ".join(_name(stream, w, kind[-1], extra if k == 0 else 0) for k, w in enumerate(value.split(" ")))
+        return _name(key, stream, value, kind[-1], attempt // 3)
+    if kind in ("token", "jwt"):  # the prefix and a token's segments stay
+        prefix = re.match(r"(?:github_pat_|glpat-|[a-z]{2}_(?:live|test)_|sk-proj-|sk-ant-|xox.-|AIza|[a-z]{2,3}_|sk-|eyJ)", value)[0]
+        return prefix + ".".join(x[:3] + _like(stream, x[3:]) if k and kind == "jwt" and x.startswith("eyJ") else _like(stream, x)
+                                 for k, x in enumerate(value[len(prefix):].split("."))) + "".join(str(next(stream) % 10) for _ in range(extra))
     if kind == "ip":
         parts = value.split(".")
         if extra:  # all addresses of the form are taken: a form of its own
@@ -152,14 +245,29 @@ def render(kind: str, mention: str, surrogate: str) -> str:
         return re.sub(r"[0-9A-Fa-f]+", lambda m: m[0] if int(m[0], 16) == 0 else next(left).zfill(len(m[0])), mention)
     if kind == "email":
         return surrogate.upper() if mention.isupper() else surrogate
-    if kind.startswith("name"):
-        seps = iter(re.findall(r"[  -]", mention))
-        words = re.split(r"[  -]", mention)
-        return "".join((w.upper() if o.isupper() and len(o) > 1 else w.capitalize()) + next(seps, "")
-                       for o, w in zip(words, surrogate.split(" ")))
+    if kind == "pem":
+        left = iter(surrogate)
+        return re.sub(r"\S", lambda m: next(left), mention) + "".join(left)
     return surrogate
 
 
+def surrogate(key: bytes, kind: str, mention: str, attempts: dict[str, int]) -> str:
+    """What replaces a mention; ``attempts`` has, as ``kind\\0value``, the entities whose first draw did not stand."""
+    if not kind.startswith("name"):
+        value = normal(kind, mention)
+        return render(kind, mention, draw(key, kind, value, attempts.get(f"{kind}\x00{value}", 0)))
+
+    def word(m):
+        if m[0] in PARTICLES:
+            return m[0]
+        if len(m[0]) == 1:
+            return _initial(key, m[0])
+        got = draw(key, kind, m[0].casefold(), attempts.get(f"{kind}\x00{m[0].casefold()}", 0))
+        return got.upper() if m[0].isupper() else got.capitalize()
+
+    return _LETTERS.sub(word, mention)
+
+
 def _stream(key: bytes, text: str):
     k = 0
     while True:
@@ -194,14 +302,29 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "LATIN").split(" ")[0]
 
 
-def _name(stream, word: str, gender: str, extra: int) -> str:
+_ORDERS: dict = {}
+
+
+def _initial(key: bytes, letter: str) -> str:
+    """The letter that stands for a first letter: the key orders the script's letters anew, so that none stands for two."""
+    script = _script(letter) if _script(letter) in ALPHABETS else "LATIN"
+    base = letter.lower() if letter.lower() in ALPHABETS[script] else unicodedata.normalize("NFD", letter)[0].lower()
+    if (key, script) not in _ORDERS:
+        order = sorted(ALPHABETS[script], key=lambda c: hashlib.blake2b(c.encode(), key=key).digest())
+        _ORDERS[key, script] = dict(zip(ALPHABETS[script], order))
+    got = _ORDERS[key, script].get(base) or ALPHABETS[script][next(_stream(key, base)) % len(ALPHABETS[script])]
+    return got.upper() if letter.isupper() else got
+
+
+def _name(key: bytes, stream, word: str, gender: str, extra: int) -> str:
     """A pronounceable name of the word's length and script that ends as the gender does."""
     script = _script(word[0]) if _script(word[0]) in NAME_LETTERS else "LATIN"
     vowels, others = NAME_LETTERS[script]
     ends = NAME_ENDS[script][gender]
     size = max(4, len(word)) + extra
-    body = "".join((others if k % 2 == size % 2 else vowels)[next(stream) % len(others if k % 2 == size % 2 else vowels)] for k in range(size - 1))
-    return body + ends[next(stream) % len(ends)]
+    first = _initial(key, word[0])
+    body = "".join((others, vowels)[(k + (first not in vowels)) % 2][next(stream) % len((others, vowels)[(k + (first not in vowels)) % 2])] for k in range(size - 2))
+    return first + body + ends[next(stream) % len(ends)]
 
 
 def _luhn(digits: str) -> str:
@@ -213,14 +336,14 @@ def _luhn(digits: str) -> str:
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, kind, value)``: the distinct entities of each row, in normal form."""
+    """``(doc_id, kind, value)``: the distinct entities of each row, in normal form; of a name its words."""
     def run(batches):
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py()
                 if t:
-                    rows += [(i, *e) for e in {(k, normal(k, t[s:e])) for s, e, k in detect(t)}]
+                    rows += [(i, *e) for e in {(k, v) for s, e, k in detect(t) for v in parts(k, t[s:e])}]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])],
@@ -232,12 +355,13 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """``(kind, value, attempt, surrogate)`` for each distinct ``(kind, value)``, no two surrogates of a kind alike
-    and none equal to a value of its kind.
+    and none equal to a value of its kind; all names are one kind in this.
 
     Each round draws for what is left; the smallest value keeps a surrogate that several drew.  Rounds are
     written tables; what is left shrinks by the chance of a collision each time, and every eighth attempt has
     ten times the room or more, so the loop ends."""
     values = written(found.select("kind", "value").distinct(), "pii-values")
+    group = F.regexp_replace("kind", "^name_.$", "name").alias("group")
     left, done, attempt = values, None, 0
     while True:
         def run(batches, n=attempt):
@@ -246,12 +370,12 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string())], names=["kind", "value", "surrogate"])
 
         drawn = written(left.mapInArrow(run, "kind string, value string, surrogate string"), "pii-drawn")
-        taken = values.select("kind", F.col("value").alias("surrogate"))
+        taken = values.select(group, F.col("value").alias("surrogate"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
-        free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
-        wins = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        wins = written(wins.select("kind", "value", F.lit(attempt).alias("attempt"), "surrogate"), "pii-assigned")
+            taken = taken.unionByName(done.select(group, "surrogate"))
+        free = drawn.withColumn("group", group).join(taken, ["group", "surrogate"], "left_anti")
+        wins = free.groupBy("group", "surrogate").agg(F.min(F.struct("value", "kind")).alias("won"))
+        wins = written(wins.select("won.kind", "won.value", F.lit(attempt).alias("attempt"), "surrogate"), "pii-assigned")
         done = wins if done is None else done.unionByName(wins)
         left = written(drawn.select("kind", "value").join(wins, ["kind", "value"], "left_anti"), "pii-left")
         if left.isEmpty():
@@ -287,8 +411,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
                     tries = dict(zip(names.as_py(), attempts.as_py())) if names.is_valid else {}
                     out, upto = [], 0
                     for s, e, kind in detect(t):
-                        value = normal(kind, t[s:e])
-                        out += [t[upto:s], render(kind, t[s:e], draw(key, kind, value, tries.get(f"{kind}\x00{value}", 0)))]
+                        out += [t[upto:s], surrogate(key, kind, t[s:e], tries)]
                         upto, n = e, n + 1
                     if n:
                         t = "".join(out) + t[upto:]
