@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from sparkeda.llm.common import n_words, uniform, written
+from sparkeda.operators.ordered import running
 
 DEFAULT_WEIGHTS = (5, 2, 1)
 
@@ -67,8 +68,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights=DEFAULT_WEIGHTS, cap: float
         .select("source", "source_size", "target", F.floor(share).alias("whole"), (share - F.floor(share)).alias("p"),
                 F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(fan_in))).alias("buckets")), "mix-targets")
     of = targets.select(F.struct("source").alias("k"), "whole", "p", "buckets")
-    rows = (units.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-            .withColumn("k", F.struct("source")).join(of, "k"))
+    rows = _numbered(units).withColumn("k", F.struct("source")).join(of, "k")
     pivotal = (F.col("size") > 0) & (F.col("p") > 0)
     alone = rows.where(~pivotal).select("id", "source", "size", "rep",
                                         (uniform("id", "source", "rep", seed=seed + 1) < F.col("p")).cast("long").alias("extra"))
@@ -95,6 +95,15 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights=DEFAULT_WEIGHTS, cap: float
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _numbered(units: DataFrame, run: int = 4096) -> DataFrame:
+    """``units`` with a row for each of their ``n`` rows, numbered ``rep``; many alike are numbered by several tasks, a run of
+    them at a time."""
+    few = units.where(F.col("n") <= run).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    many = units.where(F.col("n") > run).withColumn("from", F.explode(F.expr(f"sequence(1L, n, {run}L)")))
+    many = many.repartition("id", "source", "size", "from").withColumn("rep", F.explode(F.expr(f"sequence(from, least(n, from + {run - 1}L))")))
+    return few.unionByName(many.select(*few.columns))
+
+
 def _rounds(level: DataFrame, seed: int) -> DataFrame:
     """Work off one bucket: ``out`` has the documents that are decided, ``left`` the one that is not."""
     order = F.struct(F.xxhash64(F.lit(seed), "source", "unit").alias("h"), F.col("unit"))
@@ -128,15 +137,26 @@ def _rounds(level: DataFrame, seed: int) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The mixed documents: every row of ``docs`` as often as the mix takes it, columns unchanged."""
-    from pyspark.sql import Window
+    """The mixed documents: every row of ``docs`` as often as the mix takes it, columns unchanged.
 
+    Texts are shuffled once, to meet what the plan says for all rows that agree in id, source and size; a hot group of
+    such rows may be split, since the plan has one row for it.  Rows that all get the same number of copies are done
+    then.  Only groups whose rows get different numbers are numbered, in chunks and by a hash of all columns but
+    maps, so reruns agree.  Null ids, sources and texts are values like others; an empty table gives an empty result."""
+    cols = docs.columns
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
-    plan = plan.groupBy(F.struct("id", "source", "size").alias("_llm_key")).agg(
-        F.sort_array(F.collect_list(F.struct("rep", "copies"))).alias("_llm_copies"))
+    plan = written(plan.select(F.struct("id", "source", "size").alias("k"), "rep", "copies"), "mix-plan")
+    groups = written(plan.groupBy("k").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi")), "mix-groups")
     key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    order = Window.partitionBy("_llm_key").orderBy(F.xxhash64(text_col))
-    keyed = docs.withColumn("_llm_key", key).withColumn("_llm_rep", F.row_number().over(order))
-    taken = keyed.join(plan, "_llm_key").withColumn("_llm_copies", F.expr("_llm_copies[_llm_rep - 1].copies"))
-    return taken.where("_llm_copies > 0").withColumn(
-        "_llm_copy", F.explode(F.expr("sequence(1L, _llm_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(cols)], key.alias("k")).join(groups, "k").where("hi > 0")
+    rows = written(rows, "mix-rows")
+    mixed = rows.where("lo < hi")
+    taken = rows.where("lo = hi").withColumn("copies", F.col("lo"))
+    if not groups.where("lo < hi").isEmpty():
+        hashed = [F.col(f.name) for f in rows.schema.fields if f.name not in ("k", "lo", "hi")
+                  and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        mixed = running(mixed, ["k"], [F.xxhash64(*hashed)], {"rep": ("row_number", None)})
+        mixed = mixed.withColumn("rep", F.col("rep").cast("long")).join(plan, ["k", "rep"])
+        taken = taken.unionByName(mixed.select(*taken.columns))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(
+        *[F.col(f"c{n}").alias(c) for n, c in enumerate(cols)])

@@ -89,3 +89,35 @@ def test_edges(spark):
         rows[r["doc_id"], r["source"], n_words(r["text"])] += 1
     assert dict(rows) == {k: v for k, v in copies.items() if v}
     assert mixing.mix(edge.empty(spark)).count() == 0 and mixing.apply_mix(edge.empty(spark)).count() == 0
+
+
+def test_hot_group_is_spread_and_reruns_agree(spark):
+    """A third of all rows are alike in id, source and size: some the same text, some not."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, edge.text(5 + k % 20, k), f"s{k % 3}", k) for k in range(4000)]
+    rows += [(None, "", "s1", 0)] * 5000 + [(None, f"w{k % 700} end", "s1", k % 2) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(6)
+    got = mixing.mix(df).groupBy("id", "source", "size").agg(F.sum("copies").alias("n")).collect()
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns
+    rows = mixed.collect()
+    count = defaultdict(int)
+    for r in rows:
+        count[r["doc_id"], r["source"], n_words(r["text"])] += 1
+    assert dict(count) == {(r["id"], r["source"], r["size"]): r["n"] for r in got if r["n"]}
+    again = mixing.apply_mix(df.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    given, taken = defaultdict(int), defaultdict(int)
+    for r in df.collect():
+        given[tuple(r)] += 1
+    for r in rows:
+        taken[tuple(r)] += 1
+    assert all(taken[k] <= 2 * given[k] for k in taken)
+
+
+def test_many_alike_are_numbered_by_several_tasks(spark):
+    df = spark.createDataFrame([(1, "a", 3, 10_000), (None, None, 0, 7), (2, "a", 5, 4096), (3, "a", 5, 4097)], "id long, source string, size long, n long")
+    got = mixing._numbered(df, run=1000).select("id", "rep").collect()
+    for i, n in ((1, 10_000), (None, 7), (2, 4096), (3, 4097)):
+        assert sorted(r["rep"] for r in got if r["id"] == i) == list(range(1, n + 1))
