@@ -111,23 +111,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
+    """Units and passages over the same fixed templates and anchors, written for a relational engine."""
     rows = [(k, n, g) for k, n, g in licences.template_rows() if g]
-    values = ", ".join("('{}', {}, [{}])".format(k, n, ", ".join("'" + x.replace("'", "''") + "'" for x in g)) for k, n, g in rows)
+    values = ", ".join("('{}', {}, {}, [{}])".format(k, no, len(licences.normal_words(licences.TEMPLATES[k][n])), ", ".join(f"'{x}'" for x in g))
+                       for no, (k, n, g) in enumerate(rows))
+    anchors = ", ".join(f"('{g}', {no}, {p})" for g, no, p in licences.anchor_bigrams())
     return rf"""
-WITH t(licence, part, b) AS (VALUES {values}),
-d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, 'line' AS unit, unnest(string_split(x, chr(10))) AS body, unnest(range(len(string_split(x, chr(10))))) AS unit_no FROM d),
-bl AS (SELECT doc_id, x, regexp_split_to_array(x, '\n[ \t\r]*\n') AS parts FROM d),
-b AS (SELECT doc_id, 'block' AS unit, unnest(parts) AS body, unnest(range(len(parts))) AS unit_no FROM bl),
-u AS (SELECT doc_id, unit, unit_no, body FROM l
-      UNION ALL SELECT doc_id, unit, unit_no, body FROM b WHERE contains(body, chr(10))
-      UNION ALL SELECT doc_id, 'text', 0, x FROM bl WHERE len(parts) > 1),
-w AS (SELECT doc_id, unit, unit_no, list_filter(list_transform(regexp_split_to_array(body, '[^a-z0-9.]+'), lambda y: trim(y, '.')), lambda y: y <> '') AS w FROM u),
-g AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
-c AS (SELECT doc_id, unit, unit_no, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t
-      WHERE len(g) BETWEEN 0.66 * len(b) AND 1.51 * len(b))
-SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, licence, max(CAST(dice AS DOUBLE)) AS dice FROM c
-WHERE dice >= 0.8 GROUP BY doc_id, unit, unit_no, licence"""
+WITH t(licence, part, n, b) AS (VALUES {values}),
+a(gram, part, place) AS (VALUES {anchors}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+      FROM documents WHERE text IS NOT NULL),
+l AS (SELECT rid, doc_id, 'line' AS unit, unnest(string_split(x, chr(10))) AS body, unnest(range(len(string_split(x, chr(10))))) AS unit_no FROM d),
+bl AS (SELECT rid, doc_id, x, regexp_split_to_array(x, '\n[ \t\r]*\n') AS parts FROM d),
+b AS (SELECT rid, doc_id, 'block' AS unit, unnest(parts) AS body, unnest(range(len(parts))) AS unit_no FROM bl),
+u AS (SELECT rid, doc_id, unit, unit_no, body FROM l
+      UNION ALL SELECT rid, doc_id, unit, unit_no, body FROM b WHERE contains(body, chr(10))
+      UNION ALL SELECT rid, doc_id, 'text', 0, x FROM bl WHERE len(parts) > 1
+      UNION ALL SELECT rid, doc_id, 'passage', 0, x FROM bl),
+w AS (SELECT rid, doc_id, unit, unit_no, list_filter(list_transform(regexp_split_to_array(body, '[^a-z0-9.]+'), lambda y: trim(y, '.')), lambda y: y <> '') AS w FROM u),
+g AS (SELECT rid, doc_id, unit, unit_no, len(w) AS n_words, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w WHERE len(w) > 1),
+gd AS (SELECT rid, doc_id, unit, unit_no, n_words, list_distinct(g) AS g FROM g WHERE unit <> 'passage'),
+c AS (SELECT rid, doc_id, unit, unit_no, n_words, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM gd, t
+      WHERE len(g) BETWEEN 0.66 * len(b) AND 1.51 * len(b)),
+h AS (SELECT rid, unnest(g) AS gram, unnest(range(len(g))) AS i FROM g WHERE unit = 'passage'),
+s AS (SELECT DISTINCT rid, part, i - place AS start FROM h JOIN a USING (gram)),
+win AS (SELECT s.rid, g.doc_id, t.licence, greatest(s.start, 0) AS lo, least(s.start + t.n, g.n_words) AS hi, t.b, g.g
+        FROM s JOIN t USING (part) JOIN g ON g.rid = s.rid AND g.unit = 'passage'),
+wg AS (SELECT rid, doc_id, licence, lo, hi, b, list_distinct(list_slice(g, lo + 1, hi - 1)) AS g FROM win),
+wd AS (SELECT rid, doc_id, licence, lo, hi, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM wg
+       WHERE len(g) BETWEEN 0.66 * len(b) AND 1.51 * len(b)),
+o AS (SELECT *, max(hi) OVER (PARTITION BY rid ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wd WHERE dice >= 0.8),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR lo >= before THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM o),
+p AS (SELECT *, min(lo) OVER (PARTITION BY rid, run) AS unit_no, max(hi) OVER (PARTITION BY rid, run) - min(lo) OVER (PARTITION BY rid, run) AS n_words FROM r),
+f AS (SELECT rid, doc_id, unit, unit_no, n_words, licence, max(CAST(dice AS DOUBLE)) AS dice FROM c WHERE dice >= 0.8 GROUP BY ALL
+      UNION ALL SELECT rid, doc_id, 'passage', unit_no, n_words, licence, max(CAST(dice AS DOUBLE)) FROM p GROUP BY ALL)
+SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, CAST(n_words AS INTEGER) AS n_words, licence, dice,
+       dice = max(dice) OVER (PARTITION BY rid, unit, unit_no) AS best FROM f"""
 
 
 @register("op10_licence_dice", _licence_sql())
