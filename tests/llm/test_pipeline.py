@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import edge
 import public_tokenizers
 import sentencepiece
 from test_quality import plain
@@ -57,3 +58,28 @@ def test_stages(spark):
     assert abs(sum(taken.values()) - 1.5 * sum(total.values())) <= sum(max(size[i] for i in kept if docs[i]["source"] == s) for s in total)
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert all(r["token_ids"] == sp.encode(text[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"]) for r in got)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing column names and no rows, stage by stage."""
+    odd, none = edge.frame(spark), edge.empty(spark)
+    whole = Counter(r["text"] for r in odd.collect())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        last = k == len(corpus_pipeline.STAGES) - 1
+        got, nothing = stage(spark, odd, SF), stage(spark, none, SF)
+        rows = got.collect()
+        assert nothing.count() == 0, name
+        if last:
+            assert got.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and len(rows) == odd.count()
+            continue
+        assert got.columns == odd.columns == nothing.columns, name
+        texts = Counter(r["text"] for r in rows)
+        if name == "quality_rules":
+            assert texts == Counter({t: n for t, n in whole.items() if len((t or "").split()) >= 10})
+        elif name == "near_duplicates":
+            fp = {t: plain_fingerprint(t) for t in whole}
+            assert set(texts) <= set(whole) and all(any((fp[t] ^ fp[o]).bit_count() <= 2 for o in texts) for t in whole)
+        elif name == "personal_data":
+            assert texts == whole  # nothing in them is personal
+        else:
+            assert set(texts) <= set(whole) and all(n <= 2 * whole[t] for t, n in texts.items())

@@ -51,6 +51,29 @@ def test_held_out_accuracy_on_the_given_table(spark):
     assert len(got) > 100 and np.mean([r["kept"] == (r["quality"] == 1) for r in got]) > 0.97
 
 
+def test_verdict_equals_the_rules_in_plain_python(spark):
+    """The conditional expression over all documents against each rule, condition by condition."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.fit(docs, labels)
+    assert rules
+
+    def rejected(rule, values):
+        env = {"greatest": max, **values}
+        return all(eval(quality.FEATURES[f], env) > t if op == ">" else eval(quality.FEATURES[f], env) <= t for f, op, t in rule.conditions)
+
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got, by_rule = quality.judge(docs, labels).collect(), 0
+    assert len(got) == len(text)
+    for r in got:
+        n = plain(text[r["id"]])
+        failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
+        hit = any(rejected(x, r.asDict()) for x in rules)
+        by_rule += hit and not failed
+        assert tuple(r[s] for s in quality.STATS[:5]) == n and r["base_failed"] == failed and r["kept"] == (not failed and not hit)
+    assert by_rule > 5
+
+
 def test_edges(spark):
     df = edge.frame(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 0), (8, None), (77, 0)], "doc_id long, quality int")
