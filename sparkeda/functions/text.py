@@ -23,9 +23,9 @@ __all__ = ["WS_CLASS", "strip_tags", "unescape_entities", "strip_html", "squeeze
 WS_CLASS = (r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 
-# Characters kept by drop_special_chars besides letters, digits,
+# Characters kept by drop_special_chars besides letters (accented ones too), digits,
 # underscore and whitespace.
-KEEP_PUNCT = r".,;:!?¿¡\-()@#$%&/=+'\"áéíóúñüÁÉÍÓÚÑÜ"
+KEEP_PUNCT = r".,;:!?¿¡\-()@#$%&/=+'\""
 
 # Fixed value: a tag.
 TAG_PATTERN = r"<[^>]+>"

@@ -277,7 +277,6 @@ def social_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 PRODUCT_PATTERNS = [
     ("class_contains", "product"), ("class_contains", "item"), ("class_contains", "card"),
     ("has_attr", "data-product"), ("attr_contains", ("itemtype", "Product")),
-    ("class_token", "product"), ("class_token", "item"), ("class_token", "card"),
 ]
 PRICE_RE = r"[\$€£¥][" + X.WS_CLASS + r"]*[0-9,]+\.?[0-9]*|[0-9]+[\.,][0-9]{2}[" + X.WS_CLASS + r"]*(?:USD|MXN|EUR|GBP)"
 NAME_TAGS = ["h1", "h2", "h3", "h4", "a"]
@@ -286,8 +285,6 @@ NAME_TAGS = ["h1", "h2", "h3", "h4", "a"]
 def _pattern_test(kind: str, arg) -> Column:
     if kind == "class_contains":
         return F.coalesce(attr("class").contains(arg), F.lit(False))
-    if kind == "class_token":
-        return F.array_contains(F.col("classes"), arg)
     if kind == "has_attr":
         return has_attr(arg)
     name, sub = arg
