@@ -99,6 +99,24 @@ def column_stats(df: DataFrame, cols: list[str], moments: bool = False) -> dict:
     return out
 
 
+def _in_intervals(df: DataFrame, intervals: dict[str, list], bins: int) -> DataFrame:
+    """Cells that lie in one of their column's intervals, with its number and the bin: ``column_name, x, iid, bin``.
+
+    Each value meets only its own column's bounds, before the columns are unpivoted; null, NaN
+    and infinite values lie in no interval."""
+    cells = []
+    for n, (c, ivs) in enumerate(intervals.items()):
+        x, place = F.col(f"c{n}"), F.lit(None).cast("struct<iid:int,bin:int>")
+        for i, (lo, hi) in enumerate(ivs):
+            share = (x - F.lit(lo)) / (F.lit(hi) - F.lit(lo))
+            bin_ = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+            place = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), F.struct(F.lit(i).alias("iid"), bin_.alias("bin"))).otherwise(place)
+        cells.append(F.struct(F.lit(c).alias("column_name"), x.alias("x"), place.alias("at")))
+    d = df.select(*[_q(c).cast("double").alias(f"c{n}") for n, c in enumerate(intervals)])
+    return (d.select(F.explode(F.array(*cells)).alias("cell")).where(F.col("cell.at").isNotNull())
+            .select("cell.column_name", "cell.x", "cell.at.iid", "cell.at.bin"))
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bins: int = 1024,
                     final_rows: int = 10_000, stats: dict | None = None) -> dict:
     """Exact quantiles (linear interpolation, as ``percentile`` / numpy) for many columns.
@@ -123,7 +141,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
         return {}
     inf = float("inf")
     stats = stats if stats is not None else column_stats(df, cols)
-    long = _long_doubles(df, cols).where((F.col("x") > -inf) & (F.col("x") < inf))
     result = {c: {p: None for p in probs} for c in cols}
     plans, need = {}, {}
     for c in cols:
@@ -159,22 +176,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), bin
             lst = intervals.setdefault(c, [])
             if iv not in lst:
                 lst.append(iv)
-        iid = F.lit(None).cast("int")
-        lo_e = F.lit(None).cast("double")
-        hi_e = F.lit(None).cast("double")
-        for c, ivs in intervals.items():
-            for i, (lo, hi) in enumerate(ivs):
-                cond = (F.col("column_name") == c) & (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-                iid = F.when(cond, F.lit(i)).otherwise(iid)
-                lo_e = F.when(cond, F.lit(lo)).otherwise(lo_e)
-                hi_e = F.when(cond, F.lit(hi)).otherwise(hi_e)
-        tagged = (long.where(F.col("column_name").isin(list(intervals)))
-                  .select("column_name", "x", iid.alias("iid"), lo_e.alias("ilo"), hi_e.alias("ihi"))
-                  .where(F.col("iid").isNotNull()))
-        bin_e = F.least(F.floor((F.col("x") - F.col("ilo")) / (F.col("ihi") - F.col("ilo")) * bins),
-                        F.lit(bins - 1)).cast("int")
+        tagged = _in_intervals(df, intervals, bins)
         counts = [] if all_small else (
-            tagged.groupBy("column_name", "iid", bin_e.alias("bin"))
+            tagged.groupBy("column_name", "iid", "bin")
             .agg(F.count("*").alias("cnt"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
             .collect())
         per_iv: dict[tuple, list] = {}
