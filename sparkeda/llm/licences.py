@@ -142,8 +142,7 @@ _ORIGIN = 1 << 16
 
 def _passages(grams, parts, anchors, n_licences: int, score, threshold: float):
     """Passages of a text whose bigrams are ``grams``, in order: ``(unit_no, n_words, dice of each licence)``."""
-    places = F.create_map(*[F.lit(x) for g in anchors for x in (g, json.dumps(anchors[g]))])
-    places = F.transform_values(places, lambda g, x: F.from_json(x, "array<bigint>"))
+    places = F.from_json(F.lit(json.dumps(anchors)), "map<string,array<bigint>>")  # one constant
     hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: h.g.isin(list(anchors)))
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(places, h.g), lambda p: p + h.i))))
 
