@@ -8,10 +8,11 @@ pagination chains double their links, so long ones take few rounds.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkeda.functions import text as X
-from sparkeda.operators.web import Step, attr, elements, has_attr, match_path
+from sparkeda.operators.web import Step, _matched, attr, elements, has_attr
 from sparkeda.session import checkpoint_dir
 
 
@@ -52,7 +53,7 @@ def reachable(pages: DataFrame, edges: DataFrame, seeds, depth: int = 1, max_pag
     limit is the feature), via a distributed top-k."""
     spark = pages.sparkSession
     checkpoint_dir(spark)
-    pg = pages.select("page_id", "url")
+    pg = pages.select("page_id", "url").hint("merge")  # sizes guessed before pages are parsed must not make these broadcasts
     if isinstance(seeds, DataFrame):
         s = seeds.select("url").withColumn("i", F.monotonically_increasing_id())
     else:
@@ -60,7 +61,8 @@ def reachable(pages: DataFrame, edges: DataFrame, seeds, depth: int = 1, max_pag
     visited = (s.join(pg, "url").groupBy("page_id", "url").agg(F.min("i").alias("i"))
                .select("page_id", "url", F.lit(0).alias("level"), F.array("i").alias("order")))
     frontier = visited = visited.checkpoint(eager=True)
-    ed = edges.select("page_id", "dst_url", "link_pos")
+    kept = edges.select("page_id", "dst_url", "link_pos").persist(StorageLevel.MEMORY_AND_DISK)  # found once, read by every level
+    ed = kept.hint("merge")
     for lvl in range(1, depth + 1):
         step = (frontier.join(ed, "page_id")
                 .select(F.col("dst_url").alias("url"), F.concat("order", F.array(F.col("link_pos").cast("long"))).alias("order"))
@@ -72,6 +74,7 @@ def reachable(pages: DataFrame, edges: DataFrame, seeds, depth: int = 1, max_pag
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)  # every level is written once, by its own checkpoint
+    kept.unpersist()
     if max_pages is not None:
         return visited.orderBy("level", "order").limit(max_pages)
     return visited
@@ -86,34 +89,42 @@ NEXT_LINK_TEXTS = ["Next", "Siguiente", "›", "»", "→"]
 def next_page_candidates(el: DataFrame) -> DataFrame:
     """(page_id, url, prio, node_id, href) for every ``a`` matching a priority test."""
     # ':contains' reads the raw text when the element table carries it (with_raw_text=True)
-    a = elements(el, ["a"]).select("page_id", "url", "node_id", "classes", "attrs", "is_last",
-                                   F.coalesce("raw_text", "full_text").alias("full_text"),
-                                   "own_string", F.posexplode("path").alias("pos", "anc"))
-    info = elements(el).select("page_id", F.col("node_id").alias("anc"), F.col("tag").alias("atag"),
-                               F.col("classes").alias("acls"), attr("class").alias("araw"))
-    j = a.join(info, ["page_id", "anc"], "left")
-    agg = j.groupBy("page_id", "url", "node_id", "classes", "attrs", "is_last", "full_text", "own_string").agg(
-        F.max(F.array_contains("acls", "pagination").cast("int")).alias("in_pagination"),
-        F.min(F.when(F.array_contains("acls", "pager"), F.col("pos"))).alias("pager_pos"),
-        F.max(F.when(F.array_contains("acls", "next"), F.col("pos"))).alias("next_pos"),
-        F.max(((F.col("atag") == "li") & F.array_contains("acls", "next")).cast("int")).alias("in_li_next"),
-        F.max(F.coalesce(F.col("araw").contains("next"), F.lit(False)).cast("int")).alias("in_class_next"))
+    from pyspark.sql import Window
+    is_link, none = F.col("tag") == "a", F.array().cast("array<struct<pos:int,anc:int>>")
+    in_next = F.array_contains("classes", "next")
+    says = F.struct(F.array_contains("classes", "pagination").alias("pagination"), F.array_contains("classes", "pager").alias("pager"), in_next.alias("next"),
+                    ((F.col("tag") == "li") & in_next).alias("li_next"), F.coalesce(attr("class").contains("next"), F.lit(False)).alias("raw_next"))
+    marked = F.col("says.pagination") | F.col("says.pager") | F.col("says.next") | F.col("says.raw_next")
+    link = F.struct("classes", attr("href").alias("href"), attr("rel").alias("rel"), attr("aria-label").alias("aria"), "is_last",
+                    F.coalesce("raw_text", "full_text").alias("text"), "own_string")
+    # links, and the elements whose class says something of the links below them: all of a page in one partition
+    rows = elements(el).select("page_id", "url", "node_id", F.when(is_link, F.col("path")).alias("path"), says.alias("says"),
+                               F.when(is_link, link).alias("a")).where(F.col("path").isNotNull() | marked).repartition("page_id")
+    above = F.transform("path", lambda a, i: F.struct(i.alias("pos"), a.alias("anc")))
+    keys = F.concat(F.when(marked, F.array(F.struct(F.lit(-1).alias("pos"), F.col("node_id").alias("anc")))).otherwise(none), F.coalesce(above, none))
+    j = rows.withColumn("key", F.explode(keys)).drop("path")
+    j = j.withColumn("of", F.max(F.when(F.col("key.pos") < 0, F.col("says"))).over(Window.partitionBy("page_id", "key.anc"))).where("key.pos >= 0")
+    pos = F.col("key.pos")
+    agg = j.groupBy("page_id", "url", "node_id").agg(
+        F.first("a").alias("a"), F.max(F.col("of.pagination").cast("int")).alias("in_pagination"), F.min(F.when(F.col("of.pager"), pos)).alias("pager_pos"),
+        F.max(F.when(F.col("of.next"), pos)).alias("next_pos"), F.max(F.col("of.li_next").cast("int")).alias("in_li_next"),
+        F.max(F.col("of.raw_next").cast("int")).alias("in_class_next")).select("*", "a.*")
     cls = F.col("classes")
     tests = [
         F.array_contains(cls, "next"),
         F.array_contains(cls, "next-page"),
-        attr("rel") == "next",
+        F.col("rel") == "next",
         (F.col("in_pagination") == 1) & F.col("is_last"),
         F.col("pager_pos").isNotNull() & F.col("next_pos").isNotNull() & (F.col("pager_pos") < F.col("next_pos")),
-        attr("aria-label") == "Next",
-        attr("aria-label") == "Siguiente",
+        F.col("aria") == "Next",
+        F.col("aria") == "Siguiente",
         F.col("in_li_next") == 1,
         F.col("next_pos").isNotNull(),
         F.col("in_class_next") == 1,
-    ] + [F.col("full_text").contains(t) for t in NEXT_TEXTS_CONTAINS] \
+    ] + [F.col("text").contains(t) for t in NEXT_TEXTS_CONTAINS] \
       + [F.lower(F.col("own_string")).contains(t.lower()) for t in NEXT_LINK_TEXTS]
     prios = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(i)) for i, t in enumerate(tests)]))
-    return agg.select("page_id", "url", "node_id", attr("href").alias("href"), F.explode(prios).alias("prio"))
+    return agg.select("page_id", "url", "node_id", "href", F.explode(prios).alias("prio"))
 
 
 def next_page(el: DataFrame, steps: list[Step] | None = None) -> DataFrame:
@@ -123,7 +134,7 @@ def next_page(el: DataFrame, steps: list[Step] | None = None) -> DataFrame:
     href that resolves to a different URL, else the next test is tried.  With ``steps``, a
     path of one's own: the first match of the path, if it carries an href that resolves."""
     if steps is not None:
-        hits = elements(el).join(match_path(el, steps), ["page_id", "node_id"], "left_semi")
+        hits = _matched(el, steps, ("url", "attrs"))
         first = hits.groupBy("page_id", "url").agg(F.min(F.struct("node_id", attr("href").alias("href"))).alias("f"))
         return (first.where(F.coalesce(F.col("f.href"), F.lit("")) != "")
                 .select("page_id", "url", X.url_join(F.col("url"), F.col("f.href")).alias("next_url"), F.lit(0).alias("prio"))
@@ -147,13 +158,13 @@ def page_chain(pages: DataFrame, nexts: DataFrame, start_urls, max_pages: int =
     Each round is written by a checkpoint.  Of pages with one URL the smallest id is taken."""
     spark = pages.sparkSession
     checkpoint_dir(spark)
-    pg = pages.where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    pg = pages.where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id")).hint("merge")  # a row per page: no broadcast by a guessed size
     if isinstance(start_urls, DataFrame):
         s = start_urls.select(F.col("url").alias("start_url")).distinct()
     else:
         s = spark.createDataFrame([(u,) for u in dict.fromkeys(start_urls)], "start_url string")
-    target = pg.select(F.col("url").alias("next_url"), F.col("page_id").alias("to"))
-    near = nexts.join(pg.select("page_id", F.col("url").alias("from_url")), "page_id")  # a chain stays on one host, link by link
+    target = pg.select(F.col("url").alias("next_url"), F.col("page_id").alias("to")).hint("merge")
+    near = nexts.join(pg.select("page_id", F.col("url").alias("from_url")).hint("merge"), "page_id")  # a chain stays on one host, link by link
     jump = (near.where(X.url_netloc("next_url") == X.url_netloc("from_url")).join(target, "next_url")
             .groupBy(F.col("page_id").alias("at")).agg(F.min("to").alias("to")).checkpoint(eager=True))
     seen = s.join(pg, s.start_url == pg.url).select("start_url", F.lit(1).alias("step"), F.col("page_id").alias("at")).checkpoint(eager=True)
@@ -167,5 +178,5 @@ def page_chain(pages: DataFrame, nexts: DataFrame, start_urls, max_pages: int =
             break
         if reach < max_pages:
             jump = jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("then")), "to").select("at", F.col("then").alias("to")).checkpoint(eager=True)
-    urls = pg.select(F.col("page_id").alias("at"), "url")
+    urls = pg.select(F.col("page_id").alias("at"), "url").hint("merge")
     return seen.join(urls, "at").select("start_url", "step", F.col("at").alias("page_id"), "url")

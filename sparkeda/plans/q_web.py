@@ -12,17 +12,9 @@ from sparkeda.plans.catalog import register, tbl
 from sparkeda.plans.q_clean import lit
 
 
-def _el(spark, sf_dir, raw=False, reused=True, text_tags=None, keep_strings=True):
-    """The element table; persisted when the plan reads it more than once."""
-    return element_table(tbl(spark, sf_dir, "pages"), with_raw_text=raw, persist=reused, text_tags=text_tags,
-                         keep_strings=keep_strings)
-
-
-# extractors that read the element table once: no persist; only the text they read
-SINGLE_READ = {"h1_headings": (W.HEADING_TAGS, False), "h2_paragraphs": (["p"], False),
-               "h3_visible_text": ([], True), "h4_links": (["a"], False), "h5_images": ([], False),
-               "h16_headings_table": (["h1", "h2", "h3"], False), "h16_paragraphs_table": (["p"], False),
-               "g1_link_edges": ([], False)}
+def _el(spark, sf_dir, reads, reused=False):
+    """What is read of the element table; persisted when the plan reads it more than once."""
+    return element_table(tbl(spark, sf_dir, "pages"), persist=reused, **reads)
 
 
 @register("h0_parse_pages")
@@ -30,47 +22,49 @@ def h0_parse_pages(spark, sf_dir):
     return parse_pages(tbl(spark, sf_dir, "pages")).drop("attrs")
 
 
-for _name, _fn in [("h1_headings", W.headings), ("h2_paragraphs", W.paragraphs), ("h3_visible_text", W.visible_text),
-                   ("h4_links", W.links), ("h5_images", W.images), ("h6_table_summary", W.table_summary),
-                   ("h6_table_cells", W.table_cells), ("h7_everything", W.everything), ("h8_emails_pages", W.emails),
-                   ("h9_phones_pages", W.phones), ("h14_repeated_items", W.trending_items),
-                   ("h15_page_summary", W.page_summary), ("h16_headings_table", W.headings_table),
-                   ("h16_paragraphs_table", W.paragraphs_table), ("g1_link_edges", G.link_edges)]:
-    if _name in SINGLE_READ:
-        _tags, _strings = SINGLE_READ[_name]
-        register(_name)((lambda f, t, k: (lambda spark, sf_dir: f(
-            _el(spark, sf_dir, reused=False, text_tags=t, keep_strings=k))))(_fn, _tags, _strings))
-    else:
-        register(_name)((lambda f: (lambda spark, sf_dir: f(_el(spark, sf_dir))))(_fn))
+# every extractor reads the element table once, but for h7's two scans (nodes by themselves, tables)
+for _name, _fn, _reads in [("h1_headings", W.headings, "headings"), ("h2_paragraphs", W.paragraphs, "paragraphs"),
+                           ("h3_visible_text", W.visible_text, "text"), ("h4_links", W.links, "links"), ("h5_images", W.images, "images"),
+                           ("h6_table_summary", W.table_summary, "tables"), ("h6_table_cells", W.table_cells, "cells"),
+                           ("h8_emails_pages", W.emails, "emails"), ("h9_phones_pages", W.phones, "phones"),
+                           ("h14_repeated_items", W.trending_items, "trending"), ("h15_page_summary", W.page_summary, "summary"),
+                           ("h16_headings_table", W.headings_table, "headings"), ("h16_paragraphs_table", W.paragraphs_table, "paragraphs"),
+                           ("g1_link_edges", G.link_edges, "edges")]:
+    register(_name)((lambda f, r: (lambda spark, sf_dir: f(_el(spark, sf_dir, W.READS[r]))))(_fn, _reads))
+
+
+@register("h7_everything")
+def h7_everything(spark, sf_dir):
+    return W.everything(_el(spark, sf_dir, W.reads(*W.EVERYTHING), reused=True))
 
 
 @register("g3_next_page")
 def g3_next_page(spark, sf_dir):
-    return G.next_page(_el(spark, sf_dir, raw=True))
+    return G.next_page(_el(spark, sf_dir, W.READS["next"]))
 
 
 @register("h11_products")
 def h11_products(spark, sf_dir):
-    return W.products(_el(spark, sf_dir, raw=True))
+    return W.products(_el(spark, sf_dir, W.READS["products"]))
 
 
 @register("h12_by_tags")
 def h12_by_tags(spark, sf_dir):
     tags = ["div", "li"]
-    return W.by_tags(_el(spark, sf_dir, reused=False, text_tags=tags, keep_strings=False), tags, class_="ad")
+    return W.by_tags(_el(spark, sf_dir, W.tags_read(tags)), tags, class_="ad")
 
 
 @register("h13_select_path")
 def h13_select_path(spark, sf_dir):
     steps = [W.Step(tag="article"), W.Step(tag="p", axis="child")]
-    pages = tbl(spark, sf_dir, "pages")
-    return W.select_path(element_table(pages, source_chars=300), steps, with_source=True)
+    reads = W.steps_read(steps, "full_text", "source") | {"source_chars": 300}
+    return W.select_path(_el(spark, sf_dir, reads), steps, with_source=True)
 
 
 @register("h17_page_kind")
 def h17_page_kind(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    return W.page_kind(pages, element_table(pages))
+    return W.page_kind(pages, element_table(pages, persist=False, **W.READS["kind"]))
 
 
 # SQL-checkable parts -----------------------------------------------------------
@@ -147,20 +141,20 @@ def _host_seeds(pages):
 @register("g2_reachable")
 def g2_reachable(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    el = element_table(pages)
+    el = element_table(pages, persist=False, **W.READS["edges"])
     return G.reachable(pages, G.link_edges(el), _host_seeds(pages), depth=5)
 
 
 @register("g3_page_chain")
 def g3_page_chain(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    return G.page_chain(pages, G.next_page(element_table(pages, with_raw_text=True)), _host_seeds(pages), max_pages=10)
+    return G.page_chain(pages, G.next_page(element_table(pages, persist=False, **W.READS["next"])), _host_seeds(pages), max_pages=10)
 
 
 @register("a12_quality_report")
 def a12_quality_report(spark, sf_dir):
     from sparkeda.operators.profile import quality_report
-    recs = W.everything(_el(spark, sf_dir))
+    recs = W.everything(_el(spark, sf_dir, W.reads(*W.EVERYTHING), reused=True))
     return quality_report(recs.select("tipo", "contenido", "src", "texto", "href"))
 
 
@@ -184,10 +178,10 @@ FROM pages"""
 @register("h0_tag_counts", TAG_COUNT_SQL)
 def h0_tag_counts(spark, sf_dir):
     pages = tbl(spark, sf_dir, "pages")
-    e = W.elements(parse_pages(pages))
+    e = W.elements(parse_pages(pages, keep_strings=False, text_tags=[], columns=["tag", "attrs"]))
     counts = e.groupBy("page_id").agg(
         F.count_if(F.col("tag") == "h1").alias("n_h1"), F.count_if(F.col("tag") == "p").alias("n_p"),
         F.count_if(F.col("tag") == "li").alias("n_li"),
         F.count_if((F.col("tag") == "a") & W.has_attr("href")).alias("n_links"),
         F.count_if(F.col("tag") == "script").alias("n_script"))
-    return pages.select("page_id").join(counts, "page_id", "left").na.fill(0)
+    return pages.select("page_id").join(counts.hint("merge"), "page_id", "left").na.fill(0)
