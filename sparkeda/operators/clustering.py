@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 #: Rows whose distances to all centres are held at a time, as cells of the matrix.
 CELLS = 1 << 22
 #: Rows of sums (one per task and centre) that the driver adds up itself; more are aggregated on the cluster first.
-FEW_SUMS = 1 << 14
+FEW_SUMS = 1 << 11
 
 
 @dataclass

@@ -187,3 +187,23 @@ def test_running_equals_windows(spark):
     assert running(df.limit(0), ["k"], ["t"], {"s": ("sum", "v")}).collect() == []
     with pytest.raises(ValueError):
         running(df, ["k"], ["t"], {"s": ("median", "v")})
+
+
+def test_a_pass_sends_the_driver_few_sums(spark, monkeypatch):
+    """Many tasks over many centres send one row per centre, with the same sums as one task."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+    from sparkeda.operators import clustering as K
+
+    points = spark.range(640).selectExpr("array(cast(id % 17 AS double), cast(id % 29 AS double)) AS v")
+    centers, cuts = np.array([[float(k % 10), float(k % 7)] for k in range(60)]), [0, 20, 60]
+    received, real = [], DataFrame.toArrow
+
+    def counted(self):
+        out = real(self)
+        received.append(out.num_rows)
+        return out
+    monkeypatch.setattr(DataFrame, "toArrow", counted)
+    many = K._move(points.repartition(64), centers, cuts, 64)
+    one = K._move(points.coalesce(1), centers, cuts, 1)
+    assert received == [60, 60] and all(np.allclose(a, b) for a, b in zip(many, one))
