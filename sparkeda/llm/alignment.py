@@ -60,7 +60,7 @@ class Aligner:
         import sentencepiece
 
         self.a = tokenfiles.Encoder(path_a, cache_size, special_as_text=True)
-        letter = {c: b for b, c in {**{b: chr(x) for b, x in tokenfiles.BYTE_LETTERS.items()}, 10: chr(266)}.items()}
+        letter = {c: b for b, c in {**{b: chr(x) for b, x in enumerate(tokenfiles.BYTE_LETTERS)}, 10: chr(266)}.items()}
         added = {k: t.content.encode() for k, t in self.a.tok.get_added_tokens_decoder().items()}
         vocab = sorted((k, t) for t, k in self.a.tok.get_vocab(True).items())
         self.bytes_a = [b""] * (vocab[-1][0] + 1)

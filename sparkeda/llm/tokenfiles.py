@@ -27,11 +27,11 @@ TAIL, LATIN_END = string.punctuation, "\u0250"
 _WORKER: dict = {}
 
 
-def byte_letters() -> dict[int, int]:
-    """The letters that a byte-level vocabulary has for the bytes that don't print, numbered from 256 on; line feeds stay."""
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    letters = dict(zip([b for b in range(256) if b not in prints], range(256, 512)))
-    del letters[10]
+def byte_letters() -> np.ndarray:
+    """The letter that a byte-level vocabulary has for each byte; those that don't print are numbered from 256 on."""
+    letters, prints = np.arange(256, dtype="<u2"), {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in prints]
+    letters[other] = np.arange(256, 256 + len(other))
     return letters
 
 
@@ -65,21 +65,26 @@ class Encoder:
                         and not model.continuing_subword_prefix and not model.end_of_word_suffix)
         if self.by_word:
             (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
-            self.model = model
+            # the model alone, for pre-tokens in the vocabulary's letters with a line feed's between them
+            self.bare = Tokenizer(model)
+            self.bare.pre_tokenizer = pre_tokenizers.Split(chr(BYTE_LETTERS[10]), "isolated")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """The ids of words of Latin letters, after a space or after a line feed."""
-        lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in words])
-        letters = lines.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS).split("\n") if words else []
-        tokenize, feed, ids, ends = self.model.tokenize, np.array([self.feed], "<u4").tobytes(), [], []
-        for x in letters:
-            ids += [t.id for t in tokenize(x)]
-            ends.append(4 * len(ids))
-        ids = np.array(ids, "<u4").tobytes()
-        return [feed + ids[i:j] if w[0] == "\n" else ids[i:j] for w, i, j in zip(words, [0, *ends], ends)]
+        out, feed = [], np.array([self.feed], "<u4").tobytes()
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
+            lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part])
+            letters = BYTE_LETTERS[np.frombuffer(lines.encode("utf-8"), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+            cuts, ids = 4 * np.flatnonzero(ids == self.feed), ids.tobytes()
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep line feeds apart")
+            out += [feed + ids[i:j] if w[0] == "\n" else ids[i:j] for w, i, j in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)])]
+        return out
 
     def _learn(self, new: list[str]) -> list[bytes]:
         """After a space or a line feed, a word of Latin letters is one pre-token and punctuation that closes it
