@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkeda.functions import text as X
-from sparkeda.operators.web import Step, _matched, attr, elements, has_attr
+from sparkeda.operators.web import Step, _matched, _one_page, attr, elements, has_attr
 from sparkeda.session import checkpoint_dir
 
 
@@ -98,8 +98,8 @@ def next_page_candidates(el: DataFrame) -> DataFrame:
     link = F.struct("classes", attr("href").alias("href"), attr("rel").alias("rel"), attr("aria-label").alias("aria"), "is_last",
                     F.coalesce("raw_text", "full_text").alias("text"), "own_string")
     # links, and the elements whose class says something of the links below them: all of a page in one partition
-    rows = elements(el).select("page_id", "url", "node_id", F.when(is_link, F.col("path")).alias("path"), says.alias("says"),
-                               F.when(is_link, link).alias("a")).where(F.col("path").isNotNull() | marked).repartition("page_id")
+    rows = _one_page(elements(el).select("page_id", "url", "node_id", F.when(is_link, F.col("path")).alias("path"), says.alias("says"),
+                                         F.when(is_link, link).alias("a")).where(F.col("path").isNotNull() | marked))
     above = F.transform("path", lambda a, i: F.struct(i.alias("pos"), a.alias("anc")))
     keys = F.concat(F.when(marked, F.array(F.struct(F.lit(-1).alias("pos"), F.col("node_id").alias("anc")))).otherwise(none), F.coalesce(above, none))
     j = rows.withColumn("key", F.explode(keys)).drop("path")
