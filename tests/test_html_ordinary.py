@@ -34,3 +34,23 @@ def test_ordinary_pages_do_not_reach_the_library(monkeypatch):
     monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: 1 / 0)
     for page in (q_pages.HTML, q_pages.TRENDING, '<!DOCTYPE html><script>var t="</p>";</script><!-- x --><p>a'):
         assert list(H.parse_html(1, "u", page))[0][-1] is None  # no error
+
+
+def test_only_what_is_asked_for_is_made(monkeypatch):
+    """Nodes of other tags are numbered and not kept, strings likewise, and the attributes of elements that nobody asks for are not read."""
+    read, real = [], H._attributes
+    monkeypatch.setattr(H, "_attributes", lambda pairs: read.append(pairs) or real(pairs))
+    b = H._TreeBuilder(q_pages.HTML, frozenset(["h1", "img"]), keep_strings=False, with_single=False)
+    b.feed(q_pages.HTML)
+    b.finish()
+    assert [n["tag"] for n in b.nodes] == ["h1", "img", "img"] and not read
+    whole = [r for r in H.parse_html(1, "u", q_pages.HTML) if r[8] == "img"]
+    read.clear()
+    assert list(H.parse_html(1, "u", q_pages.HTML, keep_strings=False, tags={"img"})) == whole and len(read) == 2
+
+
+def test_one_string_of_an_element():
+    """An element's single string, through single children only, whatever else is asked for."""
+    page = "<a>x</a><a><b>y</b></a><a><b>y</b>z</a><a></a><a><!-- c --></a><a><b><i>w</i></b></a><br/>"
+    got = [(r[2], r[-1]) for r in H.parse_html(1, "u", page, keep_strings=False, tags={"a"}, columns=["page_id", "kind", "node_id", "own_string"])]
+    assert [s for _, s in got] == ["x", "y", None, None, " c ", "w"] and [n for n, _ in got] == [1, 3, 6, 10, 11, 13]
