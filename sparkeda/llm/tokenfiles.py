@@ -10,20 +10,24 @@ range of ids reads the pages that hold it.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparkeda.llm.common import WordCache, runs, spaced_words
+from sparkeda.llm.common import WordCache, runs, spaced
 
 #: Words whose ids a worker remembers; more are encoded again.
 CACHE_SIZE = 1_200_000
 #: Closing punctuation, and the first character after the Latin letters that every Unicode version agrees on.
-TAIL, LATIN_END = string.punctuation, "\u0250"
+TAIL, LATIN_END = string.punctuation, 0x250
+#: A word of Latin letters, with a line feed before it perhaps, and the punctuation that closes it.
+_LATIN = re.compile("(\n?[%s]+)([%s]*)" % ("".join(c for c in map(chr, range(LATIN_END)) if c.isalpha()), re.escape(TAIL))).fullmatch
 _WORKER: dict = {}
 
 
@@ -89,24 +93,17 @@ class Encoder:
     def _learn(self, new: list[str]) -> list[bytes]:
         """After a space or a line feed, a word of Latin letters is one pre-token and punctuation that closes it
         another: the ids of the two, known or not, are the word's.  Other words as they are."""
-        known, cores, ends, fresh, other = self.words.known, [], [], {}, []
-        for w in new:
-            core = w.rstrip(TAIL)
-            bare = core.lstrip("\n")
-            if bare.isalpha() and (bare.isascii() or max(bare) < LATIN_END):
-                cores.append(core)
-                ends.append(w[len(core):])
-                if core not in known:
-                    fresh[core] = None
-            else:
-                cores.append(None)
-                ends.append("")
-                other.append(w)
+        known, parts, fresh, tails = self.words.known, list(map(_LATIN, new)), {}, self.tails
+        parts = [m and m.groups() for m in parts]
+        for p in parts:
+            if p:
+                if p[0] not in known:
+                    fresh[p[0]] = None
+                if p[1] not in tails:
+                    (tails[p[1]],) = self._whole([p[1]])
         fresh = dict(zip(fresh, self._plain(list(fresh))))
-        for tail in set(ends) - self.tails.keys():
-            (self.tails[tail],) = self._whole([tail])
-        tails, other = self.tails, iter(self._encode(other))
-        return [next(other) if c is None else (fresh.get(c) or known[c]) + tails[t] for c, t in zip(cores, ends)]
+        other = iter(self._encode([w for w, p in zip(new, parts) if not p]))
+        return [(fresh.get(p[0]) or known[p[0]]) + tails[p[1]] if p else next(other) for p in parts]
 
     def _encode(self, new: list[str]) -> list[bytes]:
         out, feed = [b""] * len(new), np.array([self.feed], "<u4").tobytes()
@@ -126,10 +123,28 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._whole(texts)
-        cut = [None if any(x in t for x in self.added) else spaced_words(t) for t in texts]
-        odd = iter(self._whole([t for t, c in zip(texts, cut) if not c]))
-        plain = iter(self.words.texts([c for c in cut if c]))
-        return [next(plain)[4:] if c else next(odd) for c in cut]  # without the first word's line feed
+        lines = [None if any(x in t for x in self.added) else spaced(t) for t in texts]
+        odd = iter(self._whole([t for t, x in zip(texts, lines) if not x]))
+        plain = iter(self._by_word([x for x in lines if x]))
+        return [next(plain) if x else next(odd) for x in lines]
+
+    def _by_word(self, lines: list[str]) -> list[bytes]:
+        """The ids of ``spaced`` texts: each different word of them is looked up once."""
+        if not lines:
+            return []
+        words = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        codes = words.values.dictionary_encode()
+        ids = self.words.each(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, first = codes.indices.to_numpy(), np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((first[at] - ends[:-1]).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        flat = np.frombuffer(b"".join(ids), "<u4")[place]
+        cuts = ends[words.offsets.to_numpy()].tolist()
+        return [flat[i + 1:j].tobytes() for i, j in zip(cuts, cuts[1:])]  # without the first word's line feed
 
 
 def _encoder(path: str) -> Encoder:

@@ -29,3 +29,12 @@ def test_fresh_words_are_one_call():
     e.bare = type("Bare", (), {"encode_batch_fast": lambda self, x, **k: calls.append(1) or bare.encode_batch_fast(x, **k)})()
     text = " ".join(f"w{c}{d}ü{c}é, {d}{c}straße" for c in "abcdefghijkl" for d in "mnopqrstuvwxyz") + "\nend.\nof İt ŉ ẞ Ω"
     assert e.encode([text, text]) == e._whole([text, text]) and len(calls) == 1
+
+
+def test_different_words_are_looked_up_once():
+    """However often a word stands in the texts encoded together, the encoder asks the cache once."""
+    e = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["one two one\ntwo one, one"] * 50 + ["two one", "naïve  one", ""]
+    e.encode(texts)
+    e.words.known, Counting.lookups = Counting(e.words.known), 0
+    assert e.encode(texts) == e._whole(texts) and Counting.lookups == 5
