@@ -33,6 +33,8 @@ BLOCK, COLUMNS = 256, 1 << 14
 _ROLL, _SEQ = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C55)
 _SEQ_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _SALTS = 63
+#: Stretches of keys that a task settles one after the other.
+STRETCHES = 4
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = 0.98, rows: int = 2) -> int:
@@ -120,15 +122,19 @@ class Units:
         at = np.flatnonzero(chosen)
         return np.stack([at, at + self.words], 1)
 
-    def near(self, at: np.ndarray, linked: np.ndarray) -> np.ndarray:
-        """The windows that begin less than ``spread`` words from one that begins in ``at`` (rising), without those and without the ones
-        between two that are ``linked`` (one value per gap)."""
+    def near(self, text: np.ndarray, at: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        """The windows that begin less than ``spread`` words from one that begins in its ``text`` at word ``at`` (both rising), without those
+        and without the ones between two that are ``linked`` (one value per gap)."""
         d = np.arange(1, self.spread)
-        left, right = at[np.concatenate([[True], ~linked])], at[np.concatenate([~linked, [True]])]
-        near = np.unique(np.concatenate([(left[:, None] - d).ravel(), (right[:, None] + d).ravel()]))
-        near = near[(near >= 0) & (near < len(self.shingles))]
-        mine = np.searchsorted(self.first, near, "right") - 1
-        near = np.setdiff1d(near[near + self.words <= self.first[np.minimum(mine + 1, len(self.first) - 1)]], at)
+        left, right = np.concatenate([[True], ~linked]), np.concatenate([~linked, [True]])
+        near = np.concatenate([(at[left][:, None] - d).ravel(), (at[right][:, None] + d).ravel()])
+        mine = np.concatenate([np.repeat(text[left], len(d)), np.repeat(text[right], len(d))])
+
+        def inside(text, at):
+            fit = (at >= 0) & (at + self.words <= np.diff(self.first)[text])
+            return self.first[text[fit]] + at[fit]
+
+        near = np.setdiff1d(inside(mine, near), inside(text, at))
         return np.stack([near, near + self.words], 1)
 
 
@@ -146,11 +152,12 @@ def band_keys(shingles: np.ndarray, spans: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``key, class, doc, meta, size`` per window, and per paragraph and band; the key of a window is its class.
+def _band_rows(docs: DataFrame, bands: int, rows: int, tasks: int) -> DataFrame:
+    """Lists of ``key, class, doc, meta, size`` per window, and per paragraph and band; the key of a window is its class.
 
     Rows of a key that several documents share within one run of texts are known to collide: one of them keeps
-    salt 0 and meets the key's other rows, the rest (salt > 0) need no meeting and are dealt out evenly."""
+    salt 0 and meets the key's other rows, the rest (salt > 0) need no meeting and are dealt out evenly.  A run of texts
+    gives one row per ``task`` (of ``tasks``) and ``stretch`` of that task's keys, with all units that go there."""
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
@@ -172,46 +179,66 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 ends = np.append(starts[1:], len(key)) - 1
                 known = (doc[ends] != doc[starts])[group]
                 place = np.arange(len(key)) - starts[group]
-                salt = np.where(known, np.where(place == 0, 0, 1 + place % _SALTS), 0) + np.where(known, 64, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(doc),
-                                                  pa.array(pos * 128 + salt), pa.array(size)], names=["key", "class", "doc", "meta", "size"])
-
-    return docs.mapInArrow(run, "key long, class long, doc long, meta long, size long")
+                salt = np.where(known & (place > 0), 1 + place % _SALTS, 0)
+                meta = pos * 128 + salt + np.where(known, 64, 0)
+                to = np.where(salt > 0, _mix(key + salt.astype(np.uint64) * _SEQ), key) >> np.uint64(32)
+                to = (to * np.uint64(tasks * STRETCHES) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                at = pa.array(np.append(cuts, len(to)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((to[cuts] // STRETCHES).astype(np.int32)), pa.array((to[cuts] % STRETCHES).astype(np.int32)),
+                     *(pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (key.view(np.int64), cls.view(np.int64), doc, meta, size))],
+                    names=["task", "stretch", "key", "class", "doc", "meta", "size"])
+
+    lists = ", ".join(f"{c} array<long>" for c in ("key", "class", "doc", "meta", "size"))
+    return docs.mapInArrow(run, f"task int, stretch int, {lists}")
+
+
+def _colliding(key, cls, doc, meta, size) -> list[np.ndarray]:
+    """``key, class, doc, size, pos`` of the units whose key is known to collide or stands in two documents here."""
+    salted = np.flatnonzero(meta % 64 > 0)
+    meets = np.flatnonzero(meta % 64 == 0)
+    meets = meets[np.argsort(key[meets], kind="stable")]
+    k, d, known = key[meets], doc[meets], meta[meets] // 64 % 2
+    if len(meets):
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        hit = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        hit |= np.maximum.reduceat(known, first) > 0
+        meets = meets[np.repeat(hit, np.diff(np.append(first, len(k))))]
+    take = np.concatenate([salted, meets])
+    return [key[take], cls[take], doc[take], size[take], meta[take] // 128]
 
 
 def collisions(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``key, class, doc, size, pos`` of the units whose key occurs in two documents or more.
 
-    ``docs`` has ``doc`` and ``text``.  One shuffle by key; rows stream in order of the key and only the first
-    row of a key waits for a second document."""
-    salt = F.col("meta") % 64
-    rows_ = _band_rows(docs, bands, rows).repartition(F.col("key"), salt).sortWithinPartitions("key", salt)
+    ``docs`` has ``doc`` and ``text``.  One shuffle by key; a task settles its keys in stretches, one after the other, so it
+    holds one stretch of ``STRETCHES`` of them at a time."""
+    names = ["key", "class", "doc", "size", "pos"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows_ = _band_rows(docs, bands, rows, tasks).repartitionById(tasks, F.col("task")).sortWithinPartitions("stretch").drop("task")
 
-    def run(batches):
-        names = ["key", "class", "doc", "size", "pos"]
-        carry, open_key = [np.zeros(0, np.int64)] * 5, None  # rows of the last key; a key that is known to collide
+    def settled(parts):
+        cols = [np.concatenate([p.column(k).flatten().to_numpy() for p in parts]) for k in range(1, 6)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, _colliding(*cols))], names=names)
 
+    def run(batches):
+        at, parts = None, []
         for b in batches:
-            cols = [np.concatenate([c, b.column(k).to_numpy(zero_copy_only=False)]) for k, c in enumerate(carry)]
-            key, _, doc, meta, _ = cols
-            if not len(key):
-                continue
-            take = meta % 64 > 0
-            meets = np.flatnonzero(~take)
-            carry = [c[:0] for c in cols]
-            if len(meets):
-                k, d, known = key[meets], doc[meets], meta[meets] // 64 % 2
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                hit = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-                hit |= (np.maximum.reduceat(known, first) > 0) | (k[first] == open_key)
-                size = np.diff(np.append(first, len(k)))
-                take[meets] = np.repeat(hit, size)
-                # the last key may go on: its rows go out if it collides already, else they wait (one document's rows)
-                open_key = k[-1] if hit[-1] else None
-                if not hit[-1]:
-                    carry = [c[meets[first[-1]:]] for c in cols]
-            out = [c[take] for c in cols]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out[:3]), pa.array(out[4]), pa.array(out[3] // 128)], names=names)
+            stretch = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(stretch)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if parts and stretch[i] != at:
+                    yield settled(parts)
+                    parts = []
+                at = stretch[i]
+                parts.append(b.slice(i, j - i))
+        if parts:
+            yield settled(parts)
 
     return rows_.mapInArrow(run, "key long, class long, doc long, size long, pos long")
 
@@ -330,15 +357,20 @@ def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for doc, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                pos, keeper, kept = (x.to_numpy() for x in at.values.flatten())
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for lo, hi in runs(texts, 4 << 20):
+                at = b.column(2).slice(lo, hi - lo)
+                text = np.repeat(np.arange(hi - lo), at.value_lengths().to_numpy())
+                pos, keeper, kept = (x.to_numpy() for x in at.flatten().flatten())
                 step = np.diff(pos)
-                linked = (step <= SPREAD) & (keeper[1:] == keeper[:-1]) & (np.diff(kept) == step)
-                units = Units([t.as_py()])
-                spans = units.near(pos, linked)
+                linked = (step <= SPREAD) & (keeper[1:] == keeper[:-1]) & (np.diff(kept) == step) & (text[1:] == text[:-1])
+                units = Units(texts[lo:hi])
+                spans = units.near(text, pos, linked)
                 if len(spans):
-                    yield pa.RecordBatch.from_arrays([pa.array(units.hashes(spans).view(np.int64)), pa.array(np.full(len(spans), doc)),
-                                                      pa.array(spans[:, 0]), pa.array(spans[:, 1] - spans[:, 0])], names=["class", "doc", "pos", "size"])
+                    mine = units.texts(spans)
+                    yield pa.RecordBatch.from_arrays([pa.array(units.hashes(spans).view(np.int64)), pa.array(ids[lo:hi][mine]),
+                                                      pa.array(spans[:, 0] - units.first[mine]), pa.array(spans[:, 1] - spans[:, 0])],
+                                                     names=["class", "doc", "pos", "size"])
 
     return docs.join(at, "doc").select("doc", "text", "at").mapInArrow(run, "class long, doc long, pos long, size long")
 
@@ -386,13 +418,30 @@ def _without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[
     return out
 
 
-def _doc_spans(units: list[tuple[int, int, int, int, bool]], doc: int, similarity: float) -> list[tuple[int, int, int]]:
-    """``(keeper, start, end)`` from one document's ``(keeper, start, words, start in the keeper, exact)``.
+def _joined(doc, keeper, start, end, kept, kept_end) -> list[np.ndarray]:
+    """The units of each document and keeper, joined where they meet or overlap as in ``join_spans``."""
+    order = np.lexsort((kept_end, kept, end, start, keeper, doc))
+    doc, keeper, start, end, kept, kept_end = (x[order] for x in (doc, keeper, start, end, kept, kept_end))
+    if not len(doc):
+        return [doc, keeper, start, end, kept, kept_end]
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (keeper[1:] != keeper[:-1])])
+    base = (np.cumsum(other) - 1) * (int(end.max()) + 1)  # so that a group's words come after those of the group before
+    reach = np.maximum.accumulate(base + end)
+    so_far = np.concatenate([[-1], reach[:-1]])
+    new = other | (base + start > so_far)
+    farther = np.maximum.accumulate(np.where(new | (base + end > so_far), np.arange(len(doc)), 0))  # the unit that reaches so far
+    first = np.flatnonzero(new)
+    last = farther[np.append(first[1:], len(doc)) - 1]
+    return [doc[first], keeper[first], start[first], end[last], kept[first], kept_end[last]]
+
+
+def _doc_spans(units: list[tuple[int, int, int, int, int, bool]], doc: int, similarity: float) -> list[tuple[int, int, int]]:
+    """``(keeper, start, end)`` from one document's ``(keeper, start, end, start in the keeper, end in the keeper, exact)``.
 
     What the document keeps is taken out of the spans that others keep."""
     by_keeper: dict = {}
-    for keeper, s, n, kept, exact in units:
-        by_keeper.setdefault(keeper, ([], []))[0 if exact else 1].append((s, s + n, kept, kept + n))
+    for keeper, s, e, kept, kept_end, exact in units:
+        by_keeper.setdefault(keeper, ([], []))[0 if exact else 1].append((s, e, kept, kept_end))
     own: list = []
     out = []
     for keeper, (same, similar) in sorted(by_keeper.items(), key=lambda x: x[0] != doc):
@@ -410,10 +459,17 @@ def _spans(units: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, u in zip(b.column(0).to_pylist(), b.column(1)):
-                mine = list(zip(*(x.to_pylist() for x in u.values.flatten())))
-                rows += [(doc, *x) for x in _doc_spans(mine, doc, similarity)]
+            rows, n = [], b.column(1).value_lengths().to_numpy()
+            keeper, start, size, kept, exact = (x.to_numpy(zero_copy_only=False) for x in b.column(1).flatten().flatten())
+            units = [np.repeat(np.arange(len(n)), n), keeper, start, start + size, kept, kept + size]
+            same, similar = _joined(*(x[exact] for x in units)), [x[~exact] for x in units]
+            exact = np.repeat([True, False], [len(same[0]), len(similar[0])])
+            doc, *units = [np.concatenate(x) for x in zip(same, similar)]
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(len(n) + 1)).tolist()
+            units = list(zip(*(x[order].tolist() for x in (*units, exact))))
+            for doc, i, j in zip(b.column(0).to_pylist(), cuts, cuts[1:]):
+                rows += [(doc, *x) for x in _doc_spans(units[i:j], doc, similarity)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "keeper", "start", "end"])
 
