@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sparkeda.operators import learn as L
@@ -136,7 +137,10 @@ def _prepared(spark, sf_dir):
 
 def _fit_predict(spark, sf_dir, est_fn):
     train, test = _prepared(spark, sf_dir)
-    p = est_fn(train).fit(train).transform(test)
+    # a fit reads its rows several times: what it reads of them is prepared and split once, and kept on disk, so that memory stays the model's
+    kept = train.select("features", "label").persist(StorageLevel.DISK_ONLY)
+    p = est_fn(kept).fit(kept).transform(test)
+    kept.unpersist()
     return p.select(F.split("line", "-")[0].cast("long").alias("l_orderkey"), "l_linenumber", "prediction")
 
 

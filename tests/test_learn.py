@@ -207,3 +207,22 @@ def test_a_pass_sends_the_driver_few_sums(spark, monkeypatch):
     many = K._move(points.repartition(64), centers, cuts, 64)
     one = K._move(points.coalesce(1), centers, cuts, 1)
     assert received == [60, 60] and all(np.allclose(a, b) for a, b in zip(many, one))
+
+
+def test_a_fit_reads_rows_that_were_prepared_once(spark):
+    """The queries with one model fit it on kept rows; what was kept goes after the fit."""
+    from sparkeda.plans import q_learn
+
+    seen = []
+
+    class Estimator:
+        def fit(self, df):
+            seen.append(df)
+            assert df.storageLevel.useDisk and set(df.columns) == {"features", "label"}
+            return self
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("label"))
+
+    q_learn._fit_predict(spark, "/root/testdata/sf0.001", lambda train: Estimator())
+    assert len(seen) == 1 and not seen[0].storageLevel.useDisk
