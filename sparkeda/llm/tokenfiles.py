@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches):
         part, pos, before = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
+        for b in (b.slice(k, 800) for b in batches for k in range(0, b.num_rows, 800)):  # few texts are Python strings at a time
             texts = b.column(1).to_pylist()
             for lo, hi in runs(texts, 4 << 20):
                 ids = [x + end for x in _encoder(tokenizer).encode(texts[lo:hi])]
