@@ -141,8 +141,8 @@ def _mentions(text: str, out: list, people: list[int]) -> list[tuple[int, int, s
                 kinds.setdefault(w, {})[out[k][2]] = True
     for k in people:
         s, e, kind = out[k]
-        words = _words(text[s:e])
-        if kind == "name_n":
+        words = _words(text[s:e])  # none if small words follow an initial only, as in D'al
+        if kind == "name_n" and words:
             kind = next(iter(kinds.get(words[-1], ())), kind)
             out[k] = (s, e, kind)
         for w in words:
@@ -178,8 +178,8 @@ _DIGITS_ONLY = ("card", "ssn", "phone", "iban")
 
 def normal(kind: str, value: str) -> str:
     """The form that mentions of one entity share."""
-    if kind in _DIGITS_ONLY:
-        return re.sub(r"[^0-9A-Za-z]", "", value)
+    if kind in _DIGITS_ONLY:  # digits of any script are one
+        return re.sub(r"[^0-9A-Za-z]", "", value if value.isascii() else re.sub(r"\d", lambda m: str(unicodedata.decimal(m[0])), value))
     if kind == "email":
         return value.lower()
     if kind == "ipv6":
@@ -238,7 +238,7 @@ def render(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the format of a mention: its separators and its case."""
     if kind in _DIGITS_ONLY:
         left = iter(surrogate)
-        out = "".join(next(left, "") if c.isalnum() else c for c in mention)
+        out = "".join(_digit_as(c, next(left, "")) if c.isalnum() else c for c in mention)
         return out + "".join(left)
     if kind == "ipv6":
         left = iter([x for x in surrogate.split(":") if x != "0"])
@@ -251,6 +251,11 @@ def render(kind: str, mention: str, surrogate: str) -> str:
     return surrogate
 
 
+def _digit_as(c: str, new: str) -> str:
+    """A digit in the script of the digit that it stands for."""
+    return new if c.isascii() or not new.isdecimal() else chr(ord(c) - unicodedata.decimal(c) + int(new))
+
+
 def surrogate(key: bytes, kind: str, mention: str, attempts: dict[str, int]) -> str:
     """What replaces a mention; ``attempts`` has, as ``kind\\0value``, the entities whose first draw did not stand."""
     if not kind.startswith("name"):

@@ -159,3 +159,35 @@ def test_key_is_required_outside_local_sessions(spark, monkeypatch):
     assert queries.pii_key(spark)
     with pytest.raises(ValueError):
         queries.pii_key(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn")))
+
+
+def test_a_cluster_without_a_key_draws_one(spark, monkeypatch):
+    """op3 runs on a master that is not local, with a key that nobody knows; a key of any length is taken."""
+    from types import SimpleNamespace
+
+    from sparkeda.llm import queries
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.delenv("PII_KEY", raising=False)
+    with pytest.warns(UserWarning, match="PII_KEY"):
+        got = queries.op3(spark, "/root/testdata/sf0.001")
+    key = queries.run_key(spark)
+    assert key not in (queries.PII_KEY, queries.run_key(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", applicationId="other"))))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows.keys() == texts.keys() and sum(r["n_entities"] for r in rows.values()) == sum(len(S.detect(t)) for t in texts.values()) > 0
+    again = {r["doc_id"]: r["text"] for r in S.replace(docs, queries.run_key(spark)).collect()}
+    assert again == {i: r["text"] for i, r in rows.items()} != {r["doc_id"]: r["text"] for r in S.replace(docs, queries.PII_KEY).collect()}
+    monkeypatch.setenv("PII_KEY", "x" * 100)
+    assert S.draw(queries.run_key(spark), "ssn", "123456789", 0) != S.draw(key, "ssn", "123456789", 0)
+
+
+def test_digits_of_any_script_and_names_without_a_word(spark):
+    texts = ["call ٠١٢-٣٤٥-٦٧٨٩ now", "call 012-345-6789 now", "+٩٦٦٥٠١٢٣٤٥٦٧", "card 4539 ١٤٨٨ ０３４３ 6467", "id १२३-४५-६७८९", "Dr. D'al came, Mr. Weber went"]
+    assert [k for t in texts for _, _, k in S.detect(t)] == ["phone", "phone", "phone", "card", "ssn", "name_n", "name_m"]
+    got = [r["text"] for r in S.replace(edge.docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    plain = ["".join(str(int(c)) if c.isdecimal() else c for c in t) for t in got]
+    assert plain[0] == plain[1] == got[1] and all(len(a) == len(b) and a != b for a, b in zip(texts, got))
+    assert [[c.isascii() for c in t] for t in got] == [[c.isascii() for c in t] for t in texts]
+    assert S._luhn(re.sub(r"\D", "", plain[3])[:-1]) == plain[3][-1] and "Weber" not in got[5]
