@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkeda.llm import mixing, pieces, quality, simhash, surrogates
 from sparkeda.llm.common import table, written
-from sparkeda.llm.queries import pii_key, tokenizer_path
+from sparkeda.llm.queries import run_key, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and credentials get surrogates."""
-    return surrogates.replace(docs, pii_key(spark))
+    return surrogates.replace(docs, run_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,14 @@ def test_stages_take_odd_rows(spark):
             assert texts == whole  # nothing in them is personal
         else:
             assert set(texts) <= set(whole) and all(n <= 2 * whole[t] for t, n in texts.items())
+
+
+def test_personal_data_on_a_cluster_without_a_key(spark, monkeypatch):
+    """The stage runs on a master that is not local, and digits of other scripts do not end it."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.delenv("PII_KEY", raising=False)
+    texts = ["call 555-012-3456 now", "call ٥٥٥-٠١٢-٣٤٥٦ now", "nothing here"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in corpus_pipeline.personal_data(spark, docs, SF).orderBy("doc_id").collect()]
+    assert got[2] == texts[2] and all(a != b and len(a) == len(b) for a, b in zip(got[:2], texts))
+    assert got[0] == "".join(str(int(c)) if c.isdecimal() else c for c in got[1])
