@@ -48,3 +48,23 @@ def test_url_functions(spark):
     assert (r[1].v, r[1].v2, r[1].o) == (True, False, "http://x.example.org:8080")
     assert (r[2].f, r[2].v) == ("", False)
     assert r[3].o == "ftp://h"
+
+
+def test_quality_report_without_records_and_without_a_kind(spark):
+    recs = spark.createDataFrame([(None, "x", 1), (None, "x", 1), ("total", "", 2)], "tipo string, contenido string, n int")
+    assert sorted(map(tuple, quality_report(recs).collect()), key=str) == sorted([
+        ("total", None, 3), ("empty_content", None, 1), ("duplicates", None, 1), ("images_without_src", None, 0),
+        ("records_per_kind", None, 2), ("records_per_kind", "total", 1)], key=str)
+    assert sorted(map(tuple, quality_report(recs.limit(0)).collect())) == [
+        ("duplicates", None, 0), ("empty_content", None, 0), ("images_without_src", None, 0), ("total", None, 0)]
+
+
+def test_quality_of_customer_pages_reads_every_column(spark, monkeypatch):
+    """Records that differ in any column are no duplicates, and an image without src is one."""
+    from sparkeda.plans import q_pages
+
+    monkeypatch.setattr(q_pages, "customer_pages", lambda spark, sf_dir: spark.createDataFrame([
+        (1, "https://h.example.com/", '<h1>a</h1><h2>a</h2><a href="/x">l</a><a href="/y">l</a><a href="/x">l</a><img alt="z"><img src="/i.png">')],
+        "page_id long, url string, html string"))
+    r = {(x.metric, x.kind): x.value for x in q_pages.a12_quality_customers(spark, "").collect()}
+    assert r[("total", None)] == 7 and r[("duplicates", None)] == 1 and r[("images_without_src", None)] == 1
